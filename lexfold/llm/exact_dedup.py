@@ -21,7 +21,10 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     "spark.sql.streaming.metricsEnabled": "false",
 }
 
@@ -61,7 +64,7 @@ def advance(stream: DataFrame, state_dir: str, digest: Callable[[Column], Column
 
 def state_table(spark: SparkSession, state_dir: str) -> DataFrame:
     """digest, n, points, keep_id, at."""
-    held = spark.read.format("statestore").load(state_dir)
+    held = written(spark.read.format("statestore").load(state_dir), "exact-held")
     best, n = (f"value.{c}" for c in held.schema["value"].dataType.names)
     return held.select(
         F.col("key.digest").alias("digest"),
