@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup
+from lexfold.llm import exact_dedup, quality_rules, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 
 ORACLE = {
