@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup, line_dedup, quality_rules, secret_scan
+from lexfold.llm import exact_dedup, language_id, line_dedup, packing, quality_rules, secret_scan
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_packing": packing.op9_packing,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE = {
