@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup, language_id, line_dedup, packing, quality_rules, secret_scan
+from lexfold.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_pii": pii.op7_pii,
     "op9_packing": packing.op9_packing,
     "op10_language_id": language_id.op10_language_id,
 }
