@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,15 @@ def local_session(cpus: int = 8, app: str = "lexfold", partitions: int | None =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped with --py-files or installed; the added path is then without effect.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
