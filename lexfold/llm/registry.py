@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, url_filter
+from lexfold.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, url_filter
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
