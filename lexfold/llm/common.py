@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as a Java regular expression class.
-WS = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = getattr(spark.sparkContext, "_lexfold_dir", None)
-        if not held:
-            held = spark.sparkContext._lexfold_dir = "file://" + tempfile.mkdtemp(prefix="lexfold-")
-        base = held
-    return base.rstrip("/")
-
+from lexfold.storage import forget, fresh_path, shared_dir, written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexfold-{name}-{uuid.uuid4().hex}"
+__all__ = ["WS", "forget", "fresh_path", "let", "shared_dir", "table", "words", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/lexfold-" in root:
-                p = jvm.org.apache.hadoop.fs.Path(root)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: ASCII white space, as a Java regular expression class.
+WS = r"[\x20\x09-\x0D]"
 
 
 def let(value: Column, body) -> Column:

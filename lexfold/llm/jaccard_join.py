@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexfold.llm.common import forget, table, written
-from lexfold.llm.components import components
 from lexfold.llm.packing import slices
+from lexfold.operators.components import components
 
 K = 5  # words of a shingle
 SMALL_GROUP = 16  # clusters sharing a signature that are compared pair by pair at once
