@@ -28,47 +28,85 @@ END_ID = 1
 GROUPS = 96  # sizes that the large lengths are rounded to
 SMALL = CAPACITY // 8  # pieces up to here are placed best-fit, after the large ones
 BUCKETS = 1024  # parts in which the pieces of one length are counted
-SLICE_BYTES = 4 << 20  # of text tokenised at once
-CACHED_WORDS = 300_000
+SLICE_BYTES = 8 << 20  # of text tokenised at once
+CACHED_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class _Words:
-    """Ids of words split at white space, which no token of this tokenizer spans; each distinct word is encoded once."""
+    """Ids of words split at white space, which no token of this tokenizer spans; each distinct word is encoded once.
+
+    The tokenizer folds case and parts letters and digits from the punctuation after them, so a word is looked up in
+    lower case as a body and an ASCII tail. Bodies of letters alone are encoded many at a time, as one text: the
+    vocabulary marks where a body ends. Texts that may hold a special token's name keep their case.
+    """
+
+    BODY = r"""^(?P<b>.*[\p{L}\p{N}])(?P<t>[!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)$"""
+    LETTERS = "^[a-zà-öø-ÿ]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.marked = bool(self.last.any())
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Where each of some distinct words is held; new ones are encoded."""
+        listed = words.to_pylist()
+        if new := [k for k, w in enumerate(listed) if w not in self.at]:
+            fresh = words.take(pa.array(new))
+            simple = pc.match_substring_regex(fresh, self.LETTERS).to_numpy(zero_copy_only=False) & self.marked
+            plain = [listed[k] for k, x in zip(new, simple) if x]
+            for k in range(0, len(plain), 1024):
+                part = plain[k : k + 1024]
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+                self._learn(part, ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+            if other := [listed[k] for k, x in zip(new, simple) if not x]:
+                found = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+                self._learn(other, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        return np.fromiter((self.at[w] for w in listed), np.int64, len(listed))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts one after the other, and the number of ids of each text (without any end id)."""
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.values.dictionary_encode() if len(split.values) else pa.array([], pa.string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         if len(self.at) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
             self.clear()
-        new = [w for w in distinct if w not in self.at]
-        if new:
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        known = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
-        word = known[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
-        sizes = self.sizes[word]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[word] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        folded = texts if pc.any(pc.match_substring(texts, "<|")).as_py() else pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(folded)
+        if not len(split.values):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        coded = split.values.dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, self.BODY)
+        cut = pc.fill_null(pc.invert(pc.ends_with(pc.struct_field(parts, "b"), "İ")), False)  # in lower case it ends with a mark, which takes punctuation along
+        body = pc.if_else(cut, pc.struct_field(parts, "b"), coded.dictionary).dictionary_encode()
+        tail = pc.if_else(cut, pc.struct_field(parts, "t"), "").dictionary_encode()
+        both = np.stack([self._known(x.dictionary)[x.indices.to_numpy()] for x in (body, tail)], 1)
+        sizes = self.sizes[both].sum(1)
+        flat = _gather(self.flat, self.starts[both.ravel()], self.sizes[both.ravel()])
+        word = coded.indices.to_numpy()
+        ids = _gather(flat, (np.cumsum(sizes) - sizes)[word], sizes[word])
+        upto = np.concatenate([[0], np.cumsum(sizes[word])])[split.offsets.to_numpy()]
         return ids, np.diff(upto)
 
 
