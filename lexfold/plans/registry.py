@@ -2,5 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register fn(spark, sf_dir) -> DataFrame under name."""
+
+    def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = fn
+        if sql:
+            ORACLE[name] = sql
+        return fn
+
+    return add
+
+
+from lexfold.plans import analytics, production, review, search, sources  # noqa: E402, F401
