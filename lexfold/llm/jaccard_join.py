@@ -1,8 +1,8 @@
 """Exact set-similarity join on word shingles by partitioning the universe of shingles.
 
 Two sets of n and m shingles with a Jaccard similarity of 3/4 or more differ in at most H = (n + m) / 7 of them. Sets
-are grouped in size bands, each a third wider than the last, so partners lie in the same or neighbouring bands: a
-set is indexed in its own band and looked up in the band below. In a band, hashes are cut into segments. If two sets
+are grouped in size bands, each twice as wide as the last, so partners lie in the same or neighbouring bands: a set
+is indexed in its own band and, where it has smaller partners there, looked up in the band below. In a band, hashes are cut into segments. If two sets
 agree in none of the first segments whose weights sum to H + 1, they differ in more than H shingles: a segment of
 weight 1 stands for its exact content, one of weight 2 also for every content with one shingle deleted. Which of the
 two a band uses is a matter of cost: larger sets have plenty of segments and take exact contents (one signature for
@@ -14,13 +14,15 @@ Every set emits some segments more than needed (its slack). Signatures that too
 elsewhere. Only pairs of sets that have both used up their slack are compared through the left-out signatures too.
 Large clusters of near copies are first merged through a few anchor segments, and pairs within a merged cluster
 need no comparison, so no group of g sets costs g * g comparisons unless they are that many different clusters of
-sets beyond their slack. All candidate pairs are pruned by a lower bound from bucket counts and verified on whole sets.
+sets beyond their slack. A pair must share as many signatures as its slack promises, less what was left out; what
+remains is pruned by a lower bound from bucket counts and verified on whole sets.
 
 Documents with equal sets are one class throughout, known by the 128-bit digest of the set.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,10 @@ from lexfold.operators.components import components
 K = 5  # words of a shingle
 SMALL_GROUP = 16  # clusters sharing a signature that are compared pair by pair at once
 ANCHORS = 4  # segments through which large groups are first merged
-SLACK = 0.10  # share of a set's size that it emits beyond what it needs
-SINGLES, PAIRED = 26, 64  # bands of sets below the first use single shingles, below the second one-deletion neighbourhoods
-FLUSH_BYTES, FLUSH_CLASSES = 24 << 20, 30_000
+SLACK = 0.06  # share of a set's size that it emits beyond what it needs
+SINGLES, PAIRED = 32, 64  # bands of sets below the first use single shingles, below the second one-deletion neighbourhoods
+FLUSH_BYTES, FLUSH_CLASSES = 12 << 20, 30_000
+SLICE = 2 << 20  # bytes of text that are hashed at once
 BITMAP = 1 << 24  # bits of the filter that spares most documents the second reading; any number of ids is correct
 
 U = np.uint64
@@ -56,11 +59,12 @@ def band_edges(up_to: int = 1 << 40) -> list[int]:
     """Smallest size of each band; a set and any partner of at least 3/4 its size are at most one band apart."""
     edges = [1]
     while edges[-1] < up_to:
-        edges.append(4 * edges[-1] // 3 + 1)
+        edges.append(2 * edges[-1])
     return edges
 
 
 EDGES = np.array(band_edges(), np.int64)
+PAIRED_BAND = int(np.searchsorted(EDGES, SINGLES))
 
 
 def band_segments(band: np.ndarray) -> np.ndarray:
@@ -68,22 +72,56 @@ def band_segments(band: np.ndarray) -> np.ndarray:
     return np.where(top < SINGLES, 1 << 31, np.where(top < PAIRED, np.maximum(1, top // 3), top * 2 // 3)).astype(np.int64)
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BASE = 0xD1342543DE82EF95
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n, x, U)])) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of texts in A-Z folded to lower case, one after the other, and the number of words of each text.
+
+    A word's bytes are the digits of a number modulo 2**64, taken from running sums over all bytes; words of over 200
+    bytes, where such sums can be made to collide on purpose, are hashed one by one.
+    """
+    low = pc.ascii_lower(texts)
+    offsets = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, 4 * low.offset).astype(np.int64)
+    a, z = int(offsets[0]), int(offsets[-1])
+    if z == a:
+        return np.zeros(0, U), np.zeros(len(texts), np.int64)
+    data = np.frombuffer(low.buffers()[2], np.uint8, z - a, a)
+    offsets = offsets - a
+    gap = SPACE[data]
+    fresh = np.ones(len(data) + 1, bool)  # a word can begin here: after a gap, or with a text
+    fresh[1:-1] = gap[:-1]
+    fresh[offsets] = True
+    begin = np.flatnonzero(~gap & fresh[:-1])
+    stop = np.ones(len(data), bool)
+    stop[:-1] = gap[1:] | fresh[1:-1]
+    end = np.flatnonzero(~gap & stop) + 1
+    power, back = _powers(len(data))
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * power[: len(data)])])
+        word = _mix((run[end] - run[begin]) * back[begin] + (end - begin).astype(U) * M3)
+    for i in np.flatnonzero(end - begin > 200):
+        word[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return word, np.bincount(np.searchsorted(offsets, begin, side="right") - 1, minlength=len(texts))
+
+
 class Shingles:
     """Sets of hashed word shingles of texts, one after the other: h (sorted and distinct within a text) and start."""
 
     def __init__(self, texts: pa.Array):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        flat, offsets = split.values, split.offsets.to_numpy()
-        if len(flat):
-            coded = flat.dictionary_encode()
-            known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
-            word = known[coded.indices.to_numpy()]
-            real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # splitting leaves empty pieces at the ends
-        else:
-            word, real = np.zeros(0, U), np.zeros(0, bool)
-        upto = np.concatenate([[0], np.cumsum(real)])[offsets]
-        word = word[real]
-        count = np.diff(upto)
+        word, count = word_hashes(texts)
+        upto = np.concatenate([[0], np.cumsum(count)])
         n = len(word)
         with np.errstate(over="ignore"):
             h = np.zeros(n, U)
@@ -180,22 +218,27 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool) -> tu
     return exact, who, w, anchor, band, left, part
 
 
-HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<i8"), ("band", "<i2"), ("slack", "<i4")])
+#: What a shard must know of a set: digest, size, and the signatures two sets with its slack share, own band and below.
+HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("own", "<i2"), ("below", "<i2")])
+
+
+def band_of(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return np.searchsorted(EDGES, np.maximum(n, 1), side="right") - 1 - lower
 
 
 def _blobs(h: np.ndarray, doc: np.ndarray, n: np.ndarray, digest: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures of sets by shard: number of heads, heads, 5 bytes of each signature, its head, its weight and anchor."""
-    sig, who, flag, heads, base = [], [], [], [], 0
-    for lower in (False, True):
-        s, w, weight, anchor, band, slack, part = signatures(h, doc, n, lower)
-        head = np.zeros(len(n), HEAD)
-        head["a"], head["b"], head["n"], head["band"], head["slack"] = digest[:, 0], digest[:, 1], n, band, slack
+    """Signatures of sets by shard: the number of heads and of signatures, heads, 5 bytes of each signature, its head, and
+    flags (weight, 4 for an anchor, 8 for the band below)."""
+    head = np.zeros(len(n), HEAD)
+    head["a"], head["b"], head["n"] = digest[:, 0], digest[:, 1], np.minimum(n, 0xFFFFFFFF)
+    sig, who, flag = [], [], []
+    for lower, field in ((False, "own"), (True, "below")):
+        s, w, weight, anchor, _, slack, _ = signatures(h, doc, n, lower)
+        head[field] = np.clip(slack, -1, 32_000)
         sig.append(s)
-        who.append(w + base)
-        flag.append((weight | anchor.astype(np.int64) << 2).astype(np.uint8))
-        heads.append(head)
-        base += len(n)
-    s, w, f, heads = np.concatenate(sig), np.concatenate(who), np.concatenate(flag), np.concatenate(heads)
+        who.append(w)
+        flag.append((weight | anchor.astype(np.int64) << 2 | lower << 3).astype(np.uint8))
+    s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(flag)
     shard = ((s >> U(40)) % U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -204,7 +247,7 @@ def _blobs(h: np.ndarray, doc: np.ndarray, n: np.ndarray, digest: np.ndarray, sh
         mine = order[cut[k] : cut[k + 1]]
         if len(mine):
             used, at = np.unique(w[mine], return_inverse=True)
-            yield k, b"".join((len(used).to_bytes(4, "little"), heads[used].tobytes(), five[mine].tobytes(), at.astype("<u2").tobytes(), f[mine].tobytes()))
+            yield k, b"".join((len(used).to_bytes(4, "little"), head[used].tobytes(), five[mine].tobytes(), at.astype("<u2").tobytes(), f[mine].tobytes()))
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -235,7 +278,7 @@ def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
 
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = Shingles(texts.slice(a, b - a))
                 keys = sets.digests().astype(">u8")
                 for i in np.flatnonzero(sets.n):
@@ -253,7 +296,7 @@ def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "shard int, blob binary")
 
 
-GROUPS = "kind int, u binary, v binary, nu long, nv long, sig long, band int, weight int, slack int"
+GROUPS = "kind int, u binary, v binary, nu long, nv long, sig long, band int, weight int, slack int, shared int"
 
 
 def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,7 +304,8 @@ def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _group(shards: DataFrame) -> DataFrame:
-    """kind 0: candidate pairs (u, v); kind 1: members (u) of a signature that more than SMALL_GROUP classes share."""
+    """kind 0: candidate pairs (u, v) with how many signatures they share here, and their lesser slack; kind 1: members
+    (u) of a signature that more than SMALL_GROUP classes share."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, sigs, ats, flags, base = [], [], [], [], 0
@@ -286,7 +330,10 @@ def _group(shards: DataFrame) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(sig)))
         group = np.repeat(np.arange(len(begin)), size)
-        g, n = size[group], head["n"][at]
+        g, n = size[group], head["n"][at].astype(np.int64)
+        lower = (flag >> 3 & 1).astype(np.int64)
+        band = band_of(n, lower)
+        slack = np.where(lower == 1, head["below"][at], head["own"][at]).astype(np.int64)
         pairs = []
         small = np.flatnonzero((g > 1) & (g <= SMALL_GROUP))
         for k in range(1, SMALL_GROUP):
@@ -295,26 +342,24 @@ def _group(shards: DataFrame) -> DataFrame:
             if not len(i):
                 break
             i = i[compatible(n[i], n[i + k])]
-            pairs.append(np.stack([c[i], c[i + k], n[i], n[i + k]], 1))
+            pairs.append(np.stack([c[i], c[i + k], n[i], n[i + k], band[i], np.minimum(slack[i], slack[i + k])], 1))
         star = np.flatnonzero((g > SMALL_GROUP) & ((flag & 4) > 0))
         hub = begin[group[star]]  # the smallest class of each group
         fit = (star != hub) & compatible(n[star], n[hub])
-        pairs.append(np.stack([c[hub[fit]], c[star[fit]], n[hub[fit]], n[star[fit]]], 1))
-        pair = np.concatenate(pairs)
-        pair = np.unique(pair, axis=0) if len(pair) else pair
+        pairs.append(np.stack([c[hub[fit]], c[star[fit]], n[hub[fit]], n[star[fit]], band[star[fit]], np.full(int(fit.sum()), -1)], 1))
+        pair, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         raw = np.array(distinct).view(np.uint8).reshape(-1, 16)
         name = lambda i: pa.array([x.tobytes() for x in raw[i]], pa.binary())
-        schema = ["kind", "u", "v", "nu", "nv", "sig", "band", "weight", "slack"]
+        schema = ["kind", "u", "v", "nu", "nv", "sig", "band", "weight", "slack", "shared"]
         for a in range(0, len(pair), 50_000):
             p = pair[a : a + 50_000]
-            none = pa.nulls(len(p), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), name(p[:, 0]), name(p[:, 1]), pa.array(p[:, 2]), pa.array(p[:, 3]), pa.nulls(len(p), pa.int64()), none, none, none], schema)
+            i32 = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([i32(np.zeros(len(p))), name(p[:, 0]), name(p[:, 1]), pa.array(p[:, 2]), pa.array(p[:, 3]), pa.nulls(len(p), pa.int64()), i32(p[:, 4]), pa.nulls(len(p), pa.int32()), i32(p[:, 5]), i32(shared[a : a + 50_000])], schema)
         big = np.flatnonzero(g > SMALL_GROUP)
         for a in range(0, len(big), 50_000):
             i = big[a : a + 50_000]
-            h = head[at[i]]
             wide = (sig[i].astype(np.int64) | np.int64(shard % (1 << 22)) << 40).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), name(c[i]), pa.nulls(len(i), pa.binary()), pa.array(n[i].astype(np.int64)), pa.nulls(len(i), pa.int64()), pa.array(wide), pa.array(h["band"].astype(np.int32)), pa.array((flag[i] & 3).astype(np.int32)), pa.array(h["slack"].astype(np.int32))], schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), name(c[i]), pa.nulls(len(i), pa.binary()), pa.array(n[i].astype(np.int64)), pa.nulls(len(i), pa.int64()), pa.array(wide), pa.array(band[i].astype(np.int32)), pa.array((flag[i] & 3).astype(np.int32)), pa.array(slack[i].astype(np.int32)), pa.nulls(len(i), pa.int32())], schema)
 
     return shards.groupBy("shard").applyInArrow(run, GROUPS)
 
@@ -325,7 +370,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = Shingles(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.n.astype(np.int64)), nodes(sets.digests())], ["doc_id", "n_shingles", "node"])
 
@@ -369,7 +414,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not len(mine):
                 continue
             texts = pc.fill_null(batch.column(0).take(pa.array(mine)), "")
-            for x, y in slices(texts):
+            for x, y in slices(texts, SLICE):
                 sets = Shingles(texts.slice(x, y - x))
                 some = np.flatnonzero(sets.n)
                 parts = [sets.h[sets.start[i] : sets.start[i + 1]] for i in some]
@@ -379,6 +424,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("elements").alias("elements"))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 400):
+    """Fewer rows go to Python at a time, where each holds whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _promising(grouped: DataFrame) -> DataFrame:
+    """Pairs that share as many signatures as similar sets must, given what went to large groups; and those of anchors."""
+    lost = grouped.filter("kind = 1").groupBy("u", "band").agg(F.sum("weight").alias("lost"))
+    lost = written(lost, "lost")
+    of = lambda end: lost.select(F.col("u").alias(end), "band", F.col("lost").alias(f"lost_{end}"))
+    pairs = grouped.filter("kind = 0").groupBy("u", "v", "nu", "nv", "band").agg(F.sum("shared").alias("shared"), F.min("slack").alias("slack"))
+    pairs = pairs.join(of("u"), ["u", "band"], "left").join(of("v"), ["v", "band"], "left")
+    gone = F.least(F.coalesce("lost_u", F.lit(0)), F.coalesce("lost_v", F.lit(0)))
+    need = F.col("slack") + 1 - gone
+    # a one-deletion neighbourhood stands for two units of weight with a single shared signature
+    need = F.when(F.col("band") == PAIRED_BAND, F.ceil(need / 2)).otherwise(need)
+    return pairs.filter(F.col("shared") >= need).select("u", "v", "nu", "nv").distinct()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v, nu, nv) those of sets that are similar: u, v."""
     spark = docs.sparkSession
@@ -406,9 +477,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
-    near = with_sets(pairs, "sketch").select("u", "v", "nu", "nv", "xu", "xv").mapInArrow(prune, "u binary, v binary, nu long, nv long")
-    links = written(with_sets(written(near, "near"), "elements").select("u", "v", "xu", "xv").mapInArrow(verify, "u binary, v binary"), "links")
-    forget(spark, pairs, wanted, sets)
+    with small_batches(spark):
+        near = written(with_sets(pairs, "sketch").select("u", "v", "nu", "nv", "xu", "xv").mapInArrow(prune, "u binary, v binary, nu long, nv long"), "near")
+        links = written(with_sets(near, "elements").select("u", "v", "xu", "xv").mapInArrow(verify, "u binary, v binary"), "links")
+    forget(spark, pairs, wanted, sets, near)
     return links
 
 
@@ -423,9 +495,9 @@ SIMILAR = "100 * least(nu, nv) >= 75 * greatest(nu, nv)"
 def jaccard_links(docs: DataFrame, classes: DataFrame, shards: int | None = None) -> DataFrame:
     """u, v: links between classes that connect all sets of similarity 3/4 or more. classes: node, doc_id."""
     spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = written(_group(_emit_signatures(docs, shards)), "groups")
-    links = _verified(docs, classes, grouped.filter("kind = 0"))
+    links = _verified(docs, classes, _promising(grouped))
     members = grouped.filter("kind = 1").select("u", F.col("nu").alias("n"), "sig", "band", "weight", "slack")
     if members.isEmpty():
         return links
