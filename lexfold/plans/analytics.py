@@ -1,0 +1,492 @@
+"""Duplicates, threads, clusters, entities, graph, model wrappers and join shapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexfold.functions import normalize as N
+from lexfold.operators import clustering as K
+from lexfold.operators import dedup as D
+from lexfold.operators import entities as E
+from lexfold.operators import graph as G
+from lexfold.operators import threads as TH
+from lexfold.plans.registry import query
+from lexfold.sources import corpus as C
+from lexfold.streaming import events as ST
+
+HASH_SQL = "hg AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS group_id, count(*) OVER (PARTITION BY sha256) AS n FROM docs WHERE sha256 <> '')"
+
+
+@query("d1_hash_groups", C.with_sql(C.DOCS_SQL, HASH_SQL) + "SELECT doc_id, group_id FROM hg WHERE n > 1")
+def hash_groups(spark, sf):
+    return D.hash_groups(C.documents(spark, sf))
+
+
+TRI_SQL = r"""ws AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs),
+t AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM ws WHERE len(w) >= 5),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM t),
+jp AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 0.95 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+
+
+@query("d2_near_pairs", C.with_sql(C.DOCS_SQL, TRI_SQL) + """, cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM t)
+  SELECT a, b, round(similarity, 6) AS similarity FROM jp JOIN cls x ON x.doc_id = a JOIN cls y ON y.doc_id = b WHERE a = x.rep AND (b = y.rep OR y.rep = a)""")
+def near_pairs(spark, sf):
+    return D.near_pairs(C.documents(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+COS_SQL = "cp AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
+
+
+@query("d3_similar_pairs", C.with_sql(COS_SQL) + "SELECT a, b, round(s, 5) AS similarity FROM cp WHERE s >= 0.35 AND s < 0.45")
+def similar_pairs(spark, sf):
+    """The band is lowered to where the test vectors have pairs."""
+    v = C.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(4)).cast("string").alias("part"))
+    return D.similar_pairs(v, 0.35, 0.45).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query("d4_components", C.with_sql(C.DOCS_SQL, TRI_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT a AS x, b AS y FROM jp UNION SELECT b, a FROM jp), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS doc_id, min(y) AS group_id FROM r GROUP BY x""")
+def components(spark, sf):
+    return D.grouped(D.near_pairs(C.documents(spark, sf))).select("doc_id", "group_id")
+
+
+@query("d5_duplicate_lookup", C.with_sql(C.DOCS_SQL, HASH_SQL) + "SELECT h.doc_id AS duplicate_of, o.doc_id FROM hg h JOIN hg o ON o.group_id = h.group_id AND o.doc_id <> h.doc_id WHERE h.doc_id < 300")
+def duplicate_lookup(spark, sf):
+    g = D.hash_groups(C.documents(spark, sf))
+    return g.filter("doc_id < 300").select(F.col("doc_id").alias("duplicate_of"), "group_id").join(g, "group_id").filter("doc_id <> duplicate_of").select("duplicate_of", "doc_id")
+
+
+@query("d6_tag_propagation", C.with_sql(C.DOCS_SQL, C.TAGS_SQL, HASH_SQL) + "SELECT DISTINCT o.doc_id, tag_id FROM tags JOIN hg h USING (doc_id) JOIN hg o ON o.group_id = h.group_id WHERE h.n > 1 AND (o.doc_id, tag_id) NOT IN (SELECT (doc_id, tag_id) FROM tags)")
+def tag_propagation(spark, sf):
+    return D.propagate(C.document_tags(spark, sf), D.hash_groups(C.documents(spark, sf)))
+
+
+@query("d7_family_members", C.with_sql(C.DOCS_SQL) + "SELECT a.doc_id, b.doc_id AS member FROM docs a JOIN docs b ON a.family_id = b.family_id AND a.doc_id <> b.doc_id")
+def family_members(spark, sf):
+    d = C.documents(spark, sf).filter("family_id IS NOT NULL").select("doc_id", "family_id")
+    return d.join(d.withColumnRenamed("doc_id", "member"), "family_id").filter("doc_id <> member").select("doc_id", "member")
+
+
+# --- clusters ------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf):
+    return C.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+@query("c1_kmeans")
+def kmeans(spark, sf):
+    v = _vectors(spark, sf)
+    return K.assign(v, K.kmeans(v, 10, 5)).select("id", "cluster")
+
+
+@query("c2_silhouette", """WITH p AS (SELECT x.vec_id AS a, x.label AS la, y.label AS lb, avg(list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id < 300 AND y.vec_id < 300 GROUP BY ALL),
+  s AS (SELECT a, min(d) FILTER (la = lb) AS own, min(d) FILTER (la <> lb) AS other FROM p GROUP BY a) SELECT a AS id, round((other - own) / greatest(own, other), 4) AS silhouette FROM s WHERE own IS NOT NULL""")
+def silhouette(spark, sf):
+    """Of given labels, over the first 300 vectors: a report on a reviewer's sample. Singletons are left out."""
+    v = _vectors(spark, sf).filter("id < 300")
+    x, y = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("label").alias("la")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
+    dist = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, z: s + z))
+    p = x.join(F.broadcast(y), F.col("a") != F.col("b")).groupBy("a", "la", "lb").agg(F.avg(dist).alias("d"))
+    s = p.groupBy("a").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
+    return s.filter("own IS NOT NULL").select(F.col("a").alias("id"), F.round((F.col("other") - F.col("own")) / F.greatest("own", "other"), 4).alias("silhouette"))
+
+
+@query("c3_choose_k", "SELECT * FROM (VALUES (3, 2), (10, 4), (49, 4), (50, 5), (400, 12)) v(n, k)")
+def choose_k(spark, sf):
+    """Scores here peak at 4 and, from 50 vectors on, at 12."""
+    return spark.createDataFrame([(n, K.choose_k(n, lambda k, n=n: -abs(k - (12 if n >= 50 else 4)))) for n in (3, 10, 49, 50, 400)], "n int, k int")
+
+
+@query("c4_label_sanitise", "SELECT * FROM (VALUES (1,'Contracts'),(2,NULL),(3,NULL),(4,NULL),(5,NULL),(6,'Board minutes'),(7,NULL)) v(no, label)")
+def labels(spark, sf):
+    d = spark.createDataFrame([(1, ' "Contracts" '), (2, "I cannot read this"), (3, "x" * 41), (4, "a b c d e f g"), (5, "Ends with dot."), (6, "Board minutes"), (7, "")], "no int, raw string")
+    x = F.btrim(F.btrim(F.btrim("raw"), F.lit('"')))
+    refusal = F.lower(x).rlike("i cannot|i can't|i am unable|i'm unable|unable to|sorry|illegible|not legible|no legible|cannot determine")
+    bad = (x == "") | (F.char_length(x) > 40) | (F.size(F.split(x, r"\s+")) > 6) | x.endswith(".") | refusal
+    return d.select("no", F.when(~bad, x).alias("label"))
+
+
+@query("c5_spread_sample", "SELECT * FROM (VALUES (3,5,[0,1,2]),(10,4,[0,3,6,9]),(6,3,[0,2,5]),(9,1,[0]),(100,5,[0,25,50,74,99])) v(n, k, positions)")
+def spread(spark, sf):
+    """Half-way positions round to even."""
+    d = spark.createDataFrame([(3, 5), (10, 4), (6, 3), (9, 1), (100, 5)], "n int, k int")
+    step = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.bround(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)), 0).cast("int"))))
+    return d.select("n", "k", F.when(F.col("n") <= F.col("k"), F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("k") == 1, F.array(F.lit(0))).otherwise(step).alias("positions"))
+
+
+@query("c6_diverse_sample")
+def diverse(spark, sf):
+    return K.diverse(_vectors(spark, sf), 8)
+
+
+# --- threads -------------------------------------------------------------------------------------------------------
+
+SUBJECT_SQL = r"lower(trim(regexp_replace(regexp_replace(subject, '^(\s*(re|fwd|fw)\s*:\s*)+', '', 'i'), '\s+', ' ', 'g')))"
+THREAD_SQL = f"""m AS (SELECT *, {SUBJECT_SQL} AS subj, list_distinct(list_filter([in_reply_to] || regexp_extract_all(coalesce(refs, ''), '<[^<>\\s]+>'), lambda x: x IS NOT NULL)) AS targets FROM messages),
+h AS (SELECT message_id, min(doc_id) AS holder FROM m WHERE message_id IS NOT NULL GROUP BY message_id),
+l AS (SELECT doc_id, t AS message_id, holder FROM (SELECT doc_id, unnest(targets) AS t FROM m) JOIN h ON h.message_id = t),
+o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY subj) AS v FROM m WHERE message_id IS NULL AND subj <> '' AND doc_id NOT IN (SELECT doc_id FROM l)),
+e0 AS (SELECT doc_id AS x, holder AS y FROM l UNION SELECT doc_id, v FROM o UNION SELECT doc_id, doc_id FROM m), e AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), root AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x),
+a AS (SELECT m.*, root, m.message_id IN (SELECT message_id FROM l WHERE l.holder <> l.doc_id) AS replied FROM m JOIN root USING (doc_id)),
+th AS (SELECT doc_id, 'T-' || substr(sha1('0|' || coalesce(min(message_id) OVER w, CASE WHEN min(subj) OVER w <> '' THEN 'subj:' || min(subj) OVER w END, 'doc:' || min(doc_id) OVER w)), 1, 16) AS thread_id,
+  CASE WHEN bool_or(coalesce(replied, false)) OVER w THEN NOT coalesce(replied, false) ELSE row_number() OVER (PARTITION BY root ORDER BY sent_s DESC NULLS LAST, doc_id) = 1 END AS is_inclusive FROM a WINDOW w AS (PARTITION BY root))"""
+THREADS = C.with_sql(C.MESSAGES_SQL, THREAD_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("t1_subject", C.with_sql(C.MESSAGES_SQL) + f"SELECT doc_id, {SUBJECT_SQL} AS subject FROM messages")
+def subject(spark, sf):
+    return C.messages(spark, sf).select("doc_id", N.subject_of(F.col("subject")).alias("subject"))
+
+
+@query("t2_threads", THREADS + "SELECT doc_id, min(doc_id) OVER (PARTITION BY thread_id) AS first FROM th")
+def threads(spark, sf):
+    t = TH.threads(C.messages(spark, sf))
+    return t.select("doc_id", F.min("doc_id").over(Window.partitionBy("thread_id")).alias("first"))
+
+
+@query("t3_thread_ids", THREADS + "SELECT doc_id, thread_id FROM th")
+def thread_ids(spark, sf):
+    return TH.threads(C.messages(spark, sf)).select("doc_id", "thread_id")
+
+
+@query("t4_inclusive", THREADS + "SELECT doc_id, is_inclusive FROM th")
+def inclusive(spark, sf):
+    return TH.threads(C.messages(spark, sf)).select("doc_id", "is_inclusive")
+
+
+@query("t5_scope_guard", C.with_sql(C.DOCS_SQL) + "SELECT doc_id FROM docs WHERE lower(native_path) LIKE '%.msg' AND (doc_id % 3 = 0 OR doc_id % 3 = 1)")
+def scope(spark, sf):
+    """Only mail without a thread, or with one of ours, is threaded."""
+    thread = F.when(F.col("doc_id") % 3 == 1, "T-1").when(F.col("doc_id") % 3 == 2, "LOAD-1")
+    d = C.documents(spark, sf).withColumn("thread", thread)
+    return d.filter((N.file_type_of(F.col("native_path")) == "msg") & (F.col("thread").isNull() | F.col("thread").startswith("T-"))).select("doc_id")
+
+
+# --- entities ------------------------------------------------------------------------------------------------------
+
+NAMES = ["Rivera, Jorge", "Dr. Jorge Rivera, Jr.", "ACME Corp., Inc.", "Acme, Inc.", "Smith, John, Esq.", "  Mr. Li ", "O'Brien-Smith"]
+
+
+@query("e1_normal_names", "SELECT * FROM (VALUES (0,'jorge rivera'),(1,'jorge rivera'),(2,'acme corp inc'),(3,'acme inc'),(4,'john smith'),(5,'li'),(6,'o brien smith')) v(no, norm)")
+def normal_names(spark, sf):
+    return spark.createDataFrame(list(enumerate(NAMES)), "no int, name string").select("no", E.normal_name_udf("name").alias("norm"))
+
+
+@query("e2_token_similarity", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) v(no, suggested)")
+def token_similarity(spark, sf):
+    d = spark.createDataFrame([(1, "smyrna park elementary", "severna park elementary school"), (2, "meridian holdings", "acme corporation"), (3, "jon smith", "john smith")], "no int, a string, b string")
+    return d.select("no", (E.token_ratio_udf("a", "b") >= E.TOKEN_RATIO).alias("suggested"))
+
+
+@query("e3_typo", "SELECT * FROM (VALUES (1,true),(2,false),(3,false),(4,false),(5,false),(6,true)) v(no, typo)")
+def typo(spark, sf):
+    d = spark.createDataFrame([(1, "michele stone", "michelle stone"), (2, "joan lee", "john lee"), (3, "rogers", "roger"), (4, "li wu", "lin wu"), (5, "anna may west", "anna west"), (6, "acme holdings llc", "acme holding llc")], "no int, a string, b string")
+    return d.select("no", E.is_typo(F.col("a"), F.col("b")).alias("typo"))
+
+
+@query("e4_initials", "SELECT * FROM (VALUES (1,true),(2,false),(3,false),(4,true)) v(no, same)")
+def initials(spark, sf):
+    d = spark.createDataFrame([(1, "j rivera", "jorge rivera"), (2, "jorge rivera", "jorge rivera"), (3, "j rivera", "maria rivera"), (4, "maria stone", "m stone")], "no int, a string, b string")
+    return d.select("no", E.is_initial(F.col("a"), F.col("b")).alias("same"))
+
+
+def _candidates(spark):
+    c = [(1, "jorge rivera", "person", []), (2, "jorge rivara", "person", []), (3, "george rivera", "person", ["jr@acme.com"]), (4, "michele stone", "person", []), (5, "new name", "person", []), (6, "acme inc", "person", []), (7, "j rivera", "person", []), (8, "the acme", "org", [])]
+    e = [(10, "jorge rivera", "person", ["jorge r"], ["jr@acme.com"]), (11, "michelle stone", "person", [], []), (12, "acme inc", "org", ["the acme"], [])]
+    return spark.createDataFrame(c, "candidate_id int, norm string, kind string, emails array<string>"), spark.createDataFrame(e, "entity_id int, norm string, kind string, aliases array<string>, emails array<string>")
+
+
+@query("e5_match", "SELECT * FROM (VALUES (1,10,'exact'),(2,10,'suggest'),(3,10,'email'),(4,11,'typo'),(5,NULL,'create'),(6,NULL,'create'),(7,10,'suggest'),(8,12,'alias')) v(candidate_id, entity_id, how)")
+def match(spark, sf):
+    return E.match(*_candidates(spark)).select("candidate_id", "entity_id", "how")
+
+
+@query("e6_persist_entities")
+def persist(spark, sf):
+    """Names of mail authors become entities: equal normal forms are one, typo variants join (components, whatever the order)."""
+    from lexfold.operators.components import components as cc
+
+    raw = C.read(spark, sf, "supplier").select(F.concat(F.lit("Mr. Agent "), F.regexp_replace("s_name", "#0*", " no")).alias("name"))
+    n = raw.select(E.normal_name_udf("name").alias("norm")).distinct().withColumn("token", F.explode(F.split("norm", " ")))
+    pairs = n.join(n.select(F.col("norm").alias("other"), "token"), "token").filter("norm < other").select("norm", "other").distinct().filter(E.is_typo(F.col("norm"), F.col("other")))
+    labels = cc(pairs.select(F.col("norm").alias("u"), F.col("other").alias("v")))
+    return n.select("norm").distinct().join(labels.withColumnRenamed("node", "norm"), "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
+
+
+EXTRACTION = T.StructType().add("entities", T.ArrayType(T.StructType().add("name", "string").add("type", "string").add("surface_forms", T.ArrayType(T.StringType()))))
+
+
+@query("e7_extraction_parse", "SELECT * FROM (VALUES (1,['Jorge Rivera','Acme']),(2,[]),(3,['Acme'])) v(no, names)")
+def extraction(spark, sf):
+    """At most 50 entities, of known types, with usable names."""
+    good = '{"entities": [{"name": "Jorge Rivera", "type": "person"}, {"name": "x", "type": "robot"}, {"name": "he", "type": "person"}, {"name": "Acme", "type": "org"}]}'
+    d = spark.createDataFrame([(1, good), (2, "not json"), (3, '```json\n{"entities": [{"name": " Acme ", "type": "org"}]}\n```')], "no int, raw string")
+    bare = F.regexp_replace(F.regexp_replace("raw", r"^```[^\n]*\n", ""), r"\n?```$", "")
+    pronoun = ("he", "she", "her", "him", "they", "them", "it", "i", "we", "you", "his", "hers", "their")
+    name = lambda e: F.btrim(e["name"])
+    ok = lambda e: e["type"].isin("person", "org") & (F.char_length(name(e)) > 1) & ~F.lower(name(e)).isin(*pronoun)
+    kept = F.transform(F.filter(F.slice(F.coalesce(F.from_json(bare, EXTRACTION)["entities"], F.array().cast(EXTRACTION["entities"].dataType)), 1, 50), ok), name)
+    return d.select("no", kept.alias("names"))
+
+
+@query("e8_slice_merge", "SELECT l_suppkey AS entity, list(DISTINCT l_shipmode ORDER BY l_shipmode) AS forms FROM (SELECT l_suppkey, l_linestatus || l_returnflag AS l_shipmode FROM lineitem) GROUP BY l_suppkey")
+def slice_merge(spark, sf):
+    li = C.read(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.collect_set(F.concat("l_linestatus", "l_returnflag")).alias("forms"))
+    return li.groupBy(F.col("l_suppkey").alias("entity")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("forms"))
+
+
+@query("e9_mentions")
+def mentions(spark, sf):
+    return E.mentions(C.read(spark, sf, "documents").select("doc_id", "text"), ["the", "thing", "in the", "que la"])
+
+
+@query("e10_event_date", "SELECT * FROM (VALUES (1, DATE '2019-03-15', 'day'), (2, DATE '2019-03-01', 'month'), (3, DATE '2019-01-01', 'year'), (4, NULL, 'unknown'), (5, NULL, 'unknown'), (6, NULL, 'unknown')) v(no, date, precision_)")
+def event_date(spark, sf):
+    d = spark.createDataFrame(list(enumerate(["2019-03-15", "2019-03", " 2019 ", "2019-02-30", "March 18", None], 1)), "no int, raw string")
+    date, precision = N.event_date(F.col("raw"))
+    return d.select("no", date.alias("date"), precision.alias("precision_"))
+
+
+@query("e11_human_date", "SELECT * FROM (VALUES (1,'2019-03-05'),(2,'2019-03'),(3,'2019'),(4,NULL)) v(no, iso)")
+def human_date(spark, sf):
+    """1/2/2019-like edits: month, day and year in order, loosely written."""
+    d = spark.createDataFrame([(1, "3/5/2019"), (2, "2019-3"), (3, "2019"), (4, "soon")], "no int, raw string")
+    m, ym, y = (F.regexp_extract("raw", p, 0) != "" for p in (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}-\d{1,2}$", r"^\d{4}$"))
+    part = lambda sep, i: F.lpad(F.split_part("raw", F.lit(sep), F.lit(i)), 2, "0")
+    return d.select("no", F.when(m, F.concat_ws("-", F.split_part("raw", F.lit("/"), F.lit(3)), part("/", 1), part("/", 2))).when(ym, F.concat_ws("-", F.substring("raw", 1, 4), part("-", 2))).when(y, F.col("raw")).alias("iso"))
+
+
+@query("e12_addresses", "SELECT * FROM (VALUES (1,'Ann B','a@x.com'),(1,'','c@y.org'),(2,'','d@z.net')) v(no, name, address)")
+def addresses(spark, sf):
+    d = spark.createDataFrame([(1, "Ann B <A@x.com>; c@Y.org"), (2, "nobody, d@z.net"), (3, None)], "no int, header string")
+    return d.select("no", F.explode(E.addresses("header")).alias("a")).select("no", "a.name", "a.address")
+
+
+EDGES_SQL = "edges AS (SELECT DISTINCT l_partkey % 50 AS source, l_suppkey % 50 AS target FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0)"
+
+
+def _edges(spark, sf):
+    return C.read(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 40 = 0").select((F.col("l_partkey") % 50).alias("source"), (F.col("l_suppkey") % 50).alias("target")).distinct()
+
+
+@query("e13_merge", C.with_sql(C.MENTIONS_SQL, EDGES_SQL) + "SELECT 'mentions' AS kind, count(*) AS n FROM (SELECT DISTINCT doc_id, CASE WHEN entity_id = 7 THEN 9 ELSE entity_id END, start_offset FROM mentions) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT CASE WHEN source = 7 THEN 9 ELSE source END AS s, CASE WHEN target = 7 THEN 9 ELSE target END AS t FROM edges) WHERE s <> t")
+def merge(spark, sf):
+    m, e = G.merged(C.mentions(spark, sf), _edges(spark, sf), 7, 9)
+    return m.agg(F.lit("mentions").alias("kind"), F.count(F.lit(1)).alias("n")).union(e.agg(F.lit("edges"), F.count(F.lit(1))))
+
+
+@query("e14_undo", C.with_sql(C.MENTIONS_SQL) + "SELECT entity_id, count(DISTINCT doc_id) AS documents FROM mentions WHERE entity_id IN (7, 9) GROUP BY entity_id")
+def undo(spark, sf):
+    """The tables from before a merge are still there; counts are taken anew."""
+    before = C.mentions(spark, sf)
+    G.merged(before, _edges(spark, sf), 7, 9)
+    return before.filter("entity_id IN (7, 9)").groupBy("entity_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+@query("e15_auto_typos", "SELECT * FROM (VALUES ('michele stone','michelle stone'),('acme holding llc','acme holdings llc')) v(keep, gone)")
+def auto_typos(spark, sf):
+    """Safe typo pairs in order, each name used once."""
+    names = spark.createDataFrame([("michele stone",), ("michelle stone",), ("acme holdings llc",), ("acme holding llc",), ("joan lee",), ("john lee",)], "a string")
+    pairs = names.join(names.withColumnRenamed("a", "b")).filter("a < b").filter(E.is_typo(F.col("a"), F.col("b")))
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter("r = 1")
+    return first.withColumn("r2", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter("r2 = 1").select(F.col("a").alias("keep"), F.col("b").alias("gone"))
+
+
+CO_SQL = "dm AS (SELECT DISTINCT doc_id, entity_id FROM mentions), co AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS documents FROM dm a JOIN dm b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
+
+
+@query("e16_cooccurrence", C.with_sql(C.MENTIONS_SQL, CO_SQL) + "SELECT CASE WHEN a = 7 THEN b ELSE a END AS entity_id, documents FROM co WHERE a = 7 OR b = 7 ORDER BY documents DESC, entity_id LIMIT 10")
+def cooccurrence(spark, sf):
+    c = G.cooccurrence(C.mentions(spark, sf)).filter("a = 7 OR b = 7")
+    return c.select(F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")).alias("entity_id"), "documents").orderBy(F.desc("documents"), "entity_id").limit(10)
+
+
+@query("e17_graph", C.with_sql(C.MENTIONS_SQL, EDGES_SQL, CO_SQL) + """, top AS (SELECT entity_id FROM mentions GROUP BY entity_id ORDER BY count(DISTINCT doc_id) DESC, entity_id LIMIT 30),
+  st AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS weight FROM edges WHERE source <> target AND source IN (SELECT entity_id FROM top) AND target IN (SELECT entity_id FROM top) GROUP BY 1, 2)
+  SELECT a, b, 'stated' AS kind, weight FROM st UNION ALL SELECT a, b, 'cooccurrence', documents FROM co WHERE documents >= 60 AND a IN (SELECT entity_id FROM top) AND b IN (SELECT entity_id FROM top) AND (a, b) NOT IN (SELECT (a, b) FROM st)""")
+def graph(spark, sf):
+    return G.graph(C.mentions(spark, sf), _edges(spark, sf), 30, 60)
+
+
+@query("e18_timeline", """SELECT o_custkey AS case_id, o_orderkey AS event_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END NULLS LAST, o_orderkey) AS place,
+  coalesce((SELECT list(DISTINCT l_returnflag ORDER BY l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey), []) AS participants FROM orders WHERE coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 6 END, 3) >= 3""")
+def timeline(spark, sf):
+    o = C.read(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("date"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 6).alias("significance"))
+    return G.timeline(o, C.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_returnflag").alias("name")), 3)
+
+
+@query("e19_entity_list", C.with_sql(C.MENTIONS_SQL) + "SELECT entity_id, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM mentions GROUP BY entity_id ORDER BY documents DESC, entity_id LIMIT 20 OFFSET 10")
+def entity_list(spark, sf):
+    m = C.mentions(spark, sf).groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    return m.orderBy(F.desc("documents"), "entity_id").offset(10).limit(20)
+
+
+@query("e20_key_players", "SELECT * FROM (VALUES ('Jorge Rivera', 10), ('THE ACME', 12), ('Nobody', NULL)) v(name, entity_id)")
+def key_players(spark, sf):
+    _, e = _candidates(spark)
+    known = e.select("entity_id", F.explode(F.concat(F.array("norm"), "aliases")).alias("norm")).groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
+    asked = spark.createDataFrame([("Jorge Rivera",), ("THE ACME",), ("Nobody",)], "name string")
+    return asked.withColumn("norm", E.normal_name_udf("name")).join(F.broadcast(known), "norm", "left").select("name", "entity_id")
+
+
+@query("e21_staleness", "SELECT o_custkey, n, CASE WHEN o_custkey % 3 = 0 THEN true ELSE n >= 1.5 * (o_custkey % 20) OR n >= o_custkey % 20 + 10 END AS stale FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
+def staleness(spark, sf):
+    """An overview is missing, or now there is half as much again, or ten more."""
+    seen = F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 20)
+    d = C.read(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("o_custkey", "n", (seen.isNull() | (F.col("n") >= 1.5 * seen) | (F.col("n") >= seen + 10)).alias("stale"))
+
+
+@query("e22_merge_evidence", C.with_sql(C.MENTIONS_SQL, CO_SQL) + "SELECT a, b, documents AS shared, (SELECT count(*) FROM dm WHERE entity_id = a) AS of_a, (SELECT count(*) FROM dm WHERE entity_id = b) AS of_b FROM co WHERE b = a + 1")
+def evidence(spark, sf):
+    m = C.mentions(spark, sf)
+    n = m.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n"))
+    c = G.cooccurrence(m).filter("b = a + 1")
+    return c.join(n.select(F.col("entity_id").alias("a"), F.col("n").alias("of_a")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("n").alias("of_b")), "b").select("a", "b", F.col("documents").alias("shared"), "of_a", "of_b")
+
+
+@query("e23_merge_verdicts", "SELECT * FROM (VALUES (1,'merge'),(2,'keep'),(3,'keep'),(4,'dismiss')) v(no, action)")
+def verdicts(spark, sf):
+    """A merge needs confidence of 0.85 and a quote that both names' text really holds."""
+    d = spark.createDataFrame([(1, "same", 0.9, "jorge rivera cfo", "mr jorge rivera cfo signed"), (2, "same", 0.8, "x", "x"), (3, "same", 0.95, "not there", "text"), (4, "different", 0.9, "", "")], "no int, verdict string, confidence double, quote string, text string")
+    sure = (F.col("confidence") >= 0.85) & F.col("text").contains(F.col("quote"))
+    return d.select("no", F.when((F.col("verdict") == "same") & sure, "merge").when((F.col("verdict") == "different") & (F.col("confidence") >= 0.85), "dismiss").otherwise("keep").alias("action"))
+
+
+@query("e24_timeline_verdicts", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'kept' WHEN c < 0.8 THEN 'kept' WHEN o_orderkey % 3 = 0 THEN 'deleted' WHEN o_orderkey % 3 = 1 THEN 'rerated' ELSE 'edited' END AS outcome FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0 AS c FROM orders)")
+def timeline_verdicts(spark, sf):
+    """Verdicts below 0.8, and any on what a human has edited (every tenth), change nothing."""
+    c, k = (F.col("o_orderkey") % 100) / 100.0, F.col("o_orderkey") % 3
+    human = F.col("o_orderkey") % 10 == 0
+    return C.read(spark, sf, "orders").select("o_orderkey", F.when(human | (c < 0.8), "kept").when(k == 0, "deleted").when(k == 1, "rerated").otherwise("edited").alias("outcome"))
+
+
+# --- model wrappers ------------------------------------------------------------------------------------------------
+
+
+@query("m1_truncation", "SELECT doc_id, len(substr(text, 1, 12000)) AS summary, len(substr(text, 1, 8000)) AS similar_terms, len(substr(text, 1, 4000)) AS title FROM documents")
+def truncation(spark, sf):
+    n = lambda k: F.char_length(F.substring("text", 1, k)).cast("bigint")
+    return C.read(spark, sf, "documents").select("doc_id", n(12000).alias("summary"), n(8000).alias("similar_terms"), n(4000).alias("title"))
+
+
+@query("m2_title_filter", "SELECT * FROM (VALUES (1,'A Title'),(2,NULL),(3,NULL),(4,repeat('x',197) || '...')) v(no, title)")
+def title_filter(spark, sf):
+    d = spark.createDataFrame([(1, "\"A Title'"), (2, "I cannot tell"), (3, ""), (4, "x" * 250)], "no int, raw string")
+    t = F.btrim("raw", F.lit("\"'"))
+    refusal = F.lower(t).rlike("i don't have enough|i cannot|insufficient|not enough context|unable to")
+    return d.select("no", F.when((t == "") | refusal, None).when(F.char_length(t) > 200, F.concat(F.substring(t, 1, 197), F.lit("..."))).otherwise(t).alias("title"))
+
+
+@query("m3_summaries", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, 'summary of ' || len(text) AS summary FROM docs WHERE len(trim(text)) > 0")
+def summaries(spark, sf):
+    """Blank texts are skipped; the model is a stand-in."""
+    d = C.documents(spark, sf).filter(F.btrim("text") != "").select("doc_id", "text")
+
+    def model(frames):
+        for f in frames:
+            yield f.assign(summary=[f"summary of {len(t)}" for t in f["text"]])[["doc_id", "summary"]]
+
+    return d.mapInPandas(model, "doc_id long, summary string")
+
+
+@query("m5_title_fallback", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN 'Given ' || doc_id END, regexp_extract(native_path, '([^/]*)\\.[^.]*$', 1), left(text, 200)) AS title FROM docs")
+def title_fallback(spark, sf):
+    stem = F.regexp_extract("native_path", r"([^/]*)\.[^.]*$", 1)
+    return C.documents(spark, sf).select("doc_id", F.coalesce(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Given "), F.col("doc_id").cast("string"))), stem, F.substring("text", 1, 200)).alias("title"))
+
+
+@query("m6_brief_parse", "SELECT * FROM (VALUES (1, 'about', 6), (2, NULL, 0)) v(no, overview, players)")
+def brief_parse(spark, sf):
+    many = ", ".join(f'"p{i}"' for i in range(9))
+    d = spark.createDataFrame([(1, f'{{"overview": "about", "players": [{many}]}}'), (2, '{"players": ["x"]}')], "no int, raw string")
+    p = F.from_json("raw", "overview string, players array<string>")
+    return d.select("no", p["overview"].alias("overview"), F.when(p["overview"].isNotNull(), F.size(F.slice(p["players"], 1, 6))).otherwise(0).alias("players"))
+
+
+@query("m7_pending_stages", "SELECT * FROM (VALUES (1, ['summaries','brief']), (2, ['clustering','summaries','entities','timeline_review','brief'])) v(no, pending)")
+def pending(spark, sf):
+    stages = F.array(*map(F.lit, ("clustering", "summaries", "entities", "timeline_review", "brief")))
+    d = spark.createDataFrame([(1, {"clustering": "done", "summaries": "failed", "entities": "done", "timeline_review": "done"}), (2, {})], "no int, state map<string,string>")
+    return d.select("no", F.filter(stages, lambda s: F.coalesce(F.element_at("state", s), F.lit("")) != "done").alias("pending"))
+
+
+@query("m8_ocr_complete", "SELECT l_orderkey, count(*) = max(l_linenumber) AND bool_and(l_discount > 0) AS complete FROM lineitem GROUP BY l_orderkey")
+def ocr_complete(spark, sf):
+    """As many pages in the sidecar as the document has, none of them empty."""
+    li = C.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("pages"), F.max("l_linenumber").alias("n"))
+    return li.select("l_orderkey", ((F.size("pages") == F.col("n")) & F.forall("pages", lambda p: p > 0)).alias("complete"))
+
+
+@query("m9_verdict_parse", "SELECT * FROM (VALUES (1,'same',0.9),(2,'unsure',1.0),(3,'unsure',0.0)) v(no, verdict, confidence)")
+def verdict_parse(spark, sf):
+    d = spark.createDataFrame([(1, '{"verdict": "same", "confidence": "0.9"}'), (2, '{"verdict": "maybe", "confidence": 7}'), (3, "?")], "no int, raw string")
+    p = F.from_json("raw", "verdict string, confidence string")
+    known = F.when(p["verdict"].isin("same", "different", "unsure"), p["verdict"]).otherwise("unsure")
+    return d.select("no", known.alias("verdict"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.expr("try_cast(from_json(raw, 'verdict string, confidence string').confidence AS double)"))), F.lit(0.0)).alias("confidence"))
+
+
+@query("m10_timeline_json", "SELECT o_custkey, '[' || string_agg('{\"id\":' || o_orderkey || '}', ',' ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END NULLS LAST, o_orderkey) || ']' AS events FROM orders GROUP BY o_custkey")
+def timeline_json(spark, sf):
+    date = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate"))
+    item = F.struct(date.isNull().alias("undated"), date.alias("date"), F.col("o_orderkey").alias("id"))
+    o = C.read(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("e"))
+    return o.select("o_custkey", F.to_json(F.transform("e", lambda x: F.struct(x["id"].alias("id")))).alias("events"))
+
+
+@query("m11_display_type", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, CASE lower(regexp_extract(native_path, '\\.([^.]*)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'document' WHEN 'msg' THEN 'email' WHEN 'png' THEN 'image' WHEN 'mp4' THEN 'video' ELSE 'unknown' END AS kind FROM docs")
+def display_type(spark, sf):
+    kinds = {"pdf": "pdf", "doc": "document", "docx": "document", "xls": "spreadsheet", "xlsx": "spreadsheet", "csv": "spreadsheet", "ppt": "presentation", "pptx": "presentation", "potx": "presentation", "msg": "email", "eml": "email", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "mp4": "video", "mov": "video", "wmv": "video", "mp3": "audio", "wav": "audio"}
+    table = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    return C.documents(spark, sf).select("doc_id", F.coalesce(F.element_at(table, N.file_type_of(F.col("native_path"))), F.lit("unknown")).alias("kind"))
+
+
+@query("m12_cluster_members", C.with_sql(C.CHUNKS_SQL) + "SELECT label, document_id FROM (SELECT label, document_id, row_number() OVER (PARTITION BY label ORDER BY document_id) AS r FROM (SELECT DISTINCT label, document_id FROM chunks)) WHERE r <= least(20, greatest(1, 50))")
+def cluster_members(spark, sf):
+    limit = max(1, min(20, 50))
+    m = C.chunks(spark, sf).select("label", "document_id").distinct()
+    return m.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("document_id"))).filter(F.col("r") <= limit).drop("r")
+
+
+@query("m13_entity_delete", C.with_sql(C.MENTIONS_SQL) + "SELECT entity_id, count(*) AS n FROM mentions WHERE entity_id NOT IN (3, 4) GROUP BY entity_id")
+def entity_delete(spark, sf):
+    gone = spark.createDataFrame([(3,), (4,)], "entity_id long")
+    return C.mentions(spark, sf).join(F.broadcast(gone), "entity_id", "left_anti").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m14_qc_replacement", C.with_sql(C.TAGS_SQL) + "SELECT doc_id, tag_id FROM tags WHERE doc_id % 20 <> 0 UNION ALL SELECT doc_id, 2 FROM labels WHERE doc_id % 20 = 0")
+def qc_replacement(spark, sf):
+    """A QC decision replaces the tags of the documents it overturns."""
+    over = C.read(spark, sf, "labels").filter("doc_id % 20 = 0").select("doc_id")
+    return C.document_tags(spark, sf).join(over, "doc_id", "left_anti").select("doc_id", "tag_id").union(over.select("doc_id", F.lit(2)))
+
+
+@query("m15_redaction_list", "SELECT l_partkey AS doc_id, l_linenumber AS page, l_orderkey AS redaction_id FROM lineitem WHERE l_returnflag = 'R' AND l_partkey < 50 ORDER BY doc_id, page, redaction_id")
+def redaction_list(spark, sf):
+    return C.read(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_partkey < 50").select(F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("redaction_id")).orderBy("doc_id", "page", "redaction_id")
+
+
+# --- set operations and streams ------------------------------------------------------------------------------------
+
+
+@query("set_union_intersect_except", "SELECT 'union' AS op, count(*) AS n FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1)")
+def set_operations(spark, sf):
+    la = C.read(spark, sf, "labels")
+    a, b = la.filter("quality = 1").select("doc_id"), la.filter("toxic = 1").select("doc_id")
+    n = lambda op, d: d.agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"))
+    return n("union", a.union(b).distinct()).union(n("intersect", a.intersect(b))).union(n("except", a.subtract(b)))
+
+
+@query("stream_tumbling_counts", "SELECT CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling(spark, sf):
+    """Extension: events per hour and type, by a stream that runs until it has read all there is."""
+    return ST.tumbling_counts(spark, sf)
+
+
+@query("stream_sessions")
+def sessions(spark, sf):
+    """Extension: sessions of a user with gaps below 30 minutes."""
+    return ST.sessions(C.read(spark, sf, "events"))
