@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import WS, let, table, words, written
+from lexfold.llm.common import let, table, words, written
 
 SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smallest hashes of doc_id
 FEATURES = 2048
@@ -36,6 +36,13 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).dropna().groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
+def _one_blank(text: Column) -> Column:
+    """text with every kind of white space a blank: splitting at one plain character needs no regular expression."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _features(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(FEATURES)).cast("int"))
 
@@ -57,7 +64,7 @@ def scored(docs: DataFrame, prior: list[float], weights: list[float]) -> DataFra
     Words are exploded and summed by row map-side, in generated code; only one row per document is shuffled.
     """
     k = len(prior)
-    word = F.posexplode_outer(F.split(F.lower(F.coalesce("text", F.lit(""))), WS + "+")).alias("pos", "w")
+    word = F.posexplode_outer(F.split(_one_blank(F.lower(F.coalesce("text", F.lit("")))), " ")).alias("pos", "w")
     found = docs.select("doc_id", F.xxhash64("text").alias("t"), word)
     feature = F.pmod(F.xxhash64("w"), F.lit(FEATURES)).cast("int")
     weight = lambda j: F.when(F.col("w") != "", F.get(F.array(*(F.lit(round(x, 6)) for x in weights[j::k])), feature))
