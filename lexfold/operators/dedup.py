@@ -26,8 +26,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     shares a trigram with a similar one among its rarest (n - ceil(threshold * n) + 1), so only those are joined.
     """
     words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+    words = words.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     tri = words.withColumn("k", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
-    sets = tri.select("doc_id", F.when(F.size("w") >= LEAST_WORDS, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, SHINGLE), " ")))))).alias("s"))
+    sets = tri.select("doc_id", F.when(F.size("w") >= LEAST_WORDS, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))))).alias("s"))
     sets = written(sets.filter("s IS NOT NULL").withColumn("key", F.xxhash64("s")), "trigrams")
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = sets.join(classes, "key").filter("doc_id = rep").select("doc_id", "s", F.size("s").alias("n"))

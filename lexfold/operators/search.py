@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexfold.storage import written
+
 #: Words are runs of letters, digits, _ and -.
 WORD = r"[\p{L}\p{N}_-]+"
 
@@ -102,7 +104,8 @@ def term_report(docs: DataFrame, terms: list[str]) -> DataFrame:
     names = list(dict.fromkeys(terms))
     hit = F.filter(F.array(*(F.when(matches(F.col("w"), t), F.lit(t)) for t in names)), lambda x: x.isNotNull())
     tokenised = docs.select("doc_id", "family_id", tokens(F.col("text")).alias("w"))
-    scored = tokenised.select("doc_id", "family_id", hit.alias("terms"))
+    # a few names per document: written once, as three aggregates read them
+    scored = written(tokenised.select("doc_id", "family_id", hit.alias("terms")), "term-hits")
     by_family = Window.partitionBy(F.coalesce(F.col("family_id").cast("string"), F.concat(F.lit("\x00"), F.col("doc_id").cast("string"))))
     spread = scored.withColumn("family_terms", F.array_distinct(F.flatten(F.collect_set("terms").over(by_family))))
     total = spread.agg(F.count(F.lit(1)).alias("total_docs"), F.count_if(F.size("terms") > 0).alias("any_hits"), F.count_if(F.size("family_terms") > 0).alias("any_with_families"))
