@@ -28,7 +28,7 @@ SIZE = len(ALPHABET)
 SAMPLES = 20_000  # labelled strings of each class that the models are trained on, at most
 WORDS_EACH = 8  # ordinary words from each of SAMPLES / WORDS_EACH documents, whole texts
 SMOOTHING = 0.5
-THRESHOLD = 0.6  # nats a character
+THRESHOLD = 0.2  # nats a character by which random must be likelier
 
 
 def _starts(text: Column, pattern: str, matches: Column) -> Column:
