@@ -11,7 +11,9 @@ segments need no signature, since a segment that only one of the sets fills is i
 
 Every set emits some segments more than needed (its slack). Signatures that too many different clusters share
 (boilerplate) can then be left out, as long as a set leaves out no more weight than its slack: the pair still agrees
-elsewhere. Only pairs of sets that have both used up their slack are compared through the left-out signatures too.
+elsewhere. Only sets that have used up their slack (members of large families that are not quite similar) could miss each
+other: they are compared by blocks of a band, as products of incidence matrices, which give exact overlaps and emit
+nothing but links. This part alone grows with the square of its sets, of which there are few.
 Large clusters of near copies are first merged through a few anchor segments, and pairs within a merged cluster
 need no comparison, so no group of g sets costs g * g comparisons unless they are that many different clusters of
 sets beyond their slack. A pair must share as many signatures as its slack promises, less what was left out; what
@@ -39,10 +41,11 @@ from lexfold.operators.components import components
 K = 5  # words of a shingle
 SMALL_GROUP = 16  # clusters sharing a signature that are compared pair by pair at once
 ANCHORS = 4  # segments through which large groups are first merged
-SLACK = 0.06  # share of a set's size that it emits beyond what it needs
+SLACK = 0.09  # share of the largest size of a band that its sets emit beyond what they need
 SINGLES, PAIRED = 32, 64  # bands of sets below the first use single shingles, below the second one-deletion neighbourhoods
 FLUSH_BYTES, FLUSH_CLASSES = 12 << 20, 30_000
 SLICE = 2 << 20  # bytes of text that are hashed at once
+BLOCK, COLUMNS = 1_000, 4_096  # sets, and shared shingles, that are multiplied at once
 BITMAP = 1 << 24  # bits of the filter that spares most documents the second reading; any number of ids is correct
 
 U = np.uint64
@@ -178,7 +181,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool) -> tu
         differ = (n + EDGES[band + 1] - 1) // 7
     else:
         differ = (n + 4 * n // 3) // 7
-    slack = np.ceil(SLACK * n).astype(np.int64) + 2
+    slack = np.ceil(SLACK * EDGES[band + 1]).astype(np.int64) + 2  # one for a band: what two sets can leave out must not differ
     segments = band_segments(band)
     paired = (EDGES[band + 1] - 1 >= SINGLES) & (EDGES[band + 1] - 1 < PAIRED)
     use = part[doc]
@@ -492,6 +495,60 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 SIMILAR = "100 * least(nu, nv) >= 75 * greatest(nu, nv)"
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set of left with each of right."""
+    parts = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right)]
+    shared = np.intersect1d(*parts)
+    at = [np.minimum(np.searchsorted(shared, p), max(len(shared) - 1, 0)) for p in parts]
+    real = [shared[a] == p if len(shared) else np.zeros(len(p), bool) for a, p in zip(at, parts)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(shared), COLUMNS):
+        m = []
+        for x, r, a, ok in zip((left, right), rows, at, real):
+            mine = ok & (a >= c) & (a < c + COLUMNS)
+            dense = np.zeros((len(x), min(COLUMNS, len(shared) - c)), np.float32)
+            dense[r[mine], a[mine] - c] = 1
+            m.append(dense)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame:
+    """u, v: links between sets of beyond (u, band, comp) of one band and different clusters; all are compared, in blocks."""
+    spark = docs.sparkSession
+    sizes = {r["band"]: -(-r["n"] // BLOCK) for r in beyond.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a band
+    if not sizes:
+        return spark.createDataFrame([], "u binary, v binary")
+    wanted = written(beyond.select(F.col("u").alias("node")).distinct().join(classes, "node").select("node", "doc_id"), "wanted")
+    sets = written(_sets_of(docs, wanted).select(F.col("node").alias("u"), "elements"), "sets")
+    blocks = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col("band"))
+    rows = beyond.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("u"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("u", "comp", "own", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets, "u")
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        own = t.column("own").to_numpy()
+        names, comp = np.array(t.column("u").to_pylist(), object), np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1]
+        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(x) or not len(y):
+            return
+        found = [np.frombuffer(e, U) for e in t.column("elements").to_pylist()]
+        n = np.array([len(e) for e in found])
+        both = _overlaps([found[i] for i in x], [found[i] for i in y])
+        near = (100 * both >= 75 * (n[x][:, None] + n[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+        if lo == hi:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(names[x[i]].tolist(), pa.binary()), pa.array(names[y[j]].tolist(), pa.binary())], ["u", "v"])
+
+    with small_batches(spark):
+        links = written(rows.groupBy("band", "lo", "hi").applyInArrow(run, "u binary, v binary"), "links")
+    forget(spark, wanted, sets)
+    return links
+
+
 def jaccard_links(docs: DataFrame, classes: DataFrame, shards: int | None = None) -> DataFrame:
     """u, v: links between classes that connect all sets of similarity 3/4 or more. classes: node, doc_id."""
     spark = docs.sparkSession
@@ -512,12 +569,10 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shards: int | None = None
     few = open_.filter("NOT skipped AND comp <> top").select("sig", "u", F.col("n").alias("nu"), "comp")
     kept = few.join(whole(open_.filter("NOT skipped")), "sig").filter(F.col("comp") != F.col("comp_v")).filter(SIMILAR)
     # sets that left out more weight than their slack meet each other through what was left out
-    over = open_.filter("skipped").groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("slack")).filter("lost > slack").select("u", "band")
-    beyond = written(open_.filter("skipped").join(over, ["u", "band"], "left_semi").select("sig", "u", "n", "comp"), "beyond")
-    rest = beyond.withColumnRenamed("n", "nu").join(whole(beyond), "sig").filter(F.col("comp") < F.col("comp_v")).filter(SIMILAR)
+    lost = open_.filter("skipped").groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("most"), F.first("comp").alias("comp"))
+    beyond = written(lost.filter("lost > most").select("u", "band", "comp"), "beyond")
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")]
-    more = kept.select(*ordered).union(rest.select(*ordered))
-    out = written(links.union(_verified(docs, classes, more)), "links")
+    out = written(links.union(_verified(docs, classes, kept.select(*ordered))).union(_blocks(docs, classes, beyond)), "links")
     forget(spark, grouped, links, labelled, beyond)
     return out
 
