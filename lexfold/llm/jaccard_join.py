@@ -25,6 +25,7 @@ Documents with equal sets are one class throughout, known by the 128-bit digest
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,8 @@ SMALL_GROUP = 16  # clusters sharing a signature that are compared pair by pair
 ANCHORS = 4  # segments through which large groups are first merged
 SLACK = 0.09  # share of the largest size of a band that its sets emit beyond what they need
 SINGLES, PAIRED = 32, 64  # bands of sets below the first use single shingles, below the second one-deletion neighbourhoods
-FLUSH_BYTES, FLUSH_CLASSES = 12 << 20, 30_000
+FLUSH_BYTES, FLUSH_CLASSES = 6 << 20, 30_000
+TEXTS = 1_000  # texts that go to Python at a time
 SLICE = 2 << 20  # bytes of text that are hashed at once
 BLOCK, COLUMNS = 1_000, 4_096  # sets, and shared shingles, that are multiplied at once
 BITMAP = 1 << 24  # bits of the filter that spares most documents the second reading; any number of ids is correct
@@ -263,6 +265,13 @@ def _open(blob: bytes) -> tuple[np.ndarray, ...]:
     return heads, sig.view(U).ravel(), rest[5 * m : 7 * m].view("<u2").astype(np.int64), rest[7 * m :]
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, np.ndarray]] = {}
@@ -295,6 +304,8 @@ def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
                         yield from flush()
                         held_bytes = 0
         yield from flush()
+        seen.clear()
+        release()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "shard int, blob binary")
 
@@ -363,6 +374,8 @@ def _group(shards: DataFrame) -> DataFrame:
             i = big[a : a + 50_000]
             wide = (sig[i].astype(np.int64) | np.int64(shard % (1 << 22)) << 40).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), name(c[i]), pa.nulls(len(i), pa.binary()), pa.array(n[i].astype(np.int64)), pa.nulls(len(i), pa.int64()), pa.array(wide), pa.array(band[i].astype(np.int32)), pa.array((flag[i] & 3).astype(np.int32)), pa.array(slack[i].astype(np.int32)), pa.nulls(len(i), pa.int32())], schema)
+        del heads, sigs, ats, flags, head, sig, at, flag, c, pair, pairs
+        release()
 
     return shards.groupBy("shard").applyInArrow(run, GROUPS)
 
@@ -376,6 +389,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             for a, b in slices(texts, SLICE):
                 sets = Shingles(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.n.astype(np.int64)), nodes(sets.digests())], ["doc_id", "n_shingles", "node"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node binary")
 
@@ -422,6 +436,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 some = np.flatnonzero(sets.n)
                 parts = [sets.h[sets.start[i] : sets.start[i + 1]] for i in some]
                 yield pa.RecordBatch.from_arrays([nodes(sets.digests()[some]), pa.array([sketch(p).tobytes() for p in parts], pa.binary()), pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary())], ["node", "sketch", "elements"])
+        release()
 
     found = docs.select(F.col("text").cast("string").alias("text"), bit.cast("long").alias("b")).mapInArrow(run, "node binary, sketch binary, elements binary")
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("elements").alias("elements"))
@@ -459,7 +474,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     pairs = written(pairs.select("u", "v", "nu", "nv").distinct(), "pairs")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = written(ends.join(classes, "node").select("node", "doc_id"), "wanted")
-    sets = written(_sets_of(docs, wanted), "sets")
+    with small_batches(spark, TEXTS):
+        sets = written(_sets_of(docs, wanted), "sets")
 
     def with_sets(p: DataFrame, column: str) -> DataFrame:
         u, v = (sets.select(F.col("node").alias(end), F.col(column).alias(f"x{end}")) for end in "uv")
@@ -521,7 +537,8 @@ def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame
     if not sizes:
         return spark.createDataFrame([], "u binary, v binary")
     wanted = written(beyond.select(F.col("u").alias("node")).distinct().join(classes, "node").select("node", "doc_id"), "wanted")
-    sets = written(_sets_of(docs, wanted).select(F.col("node").alias("u"), "elements"), "sets")
+    with small_batches(spark, TEXTS):
+        sets = written(_sets_of(docs, wanted).select(F.col("node").alias("u"), "elements"), "sets")
     blocks = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col("band"))
     rows = beyond.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("u"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("u", "comp", "own", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets, "u")
@@ -542,6 +559,8 @@ def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
         yield pa.RecordBatch.from_arrays([pa.array(names[x[i]].tolist(), pa.binary()), pa.array(names[y[j]].tolist(), pa.binary())], ["u", "v"])
+        del t, found, both, near
+        release()
 
     with small_batches(spark):
         links = written(rows.groupBy("band", "lo", "hi").applyInArrow(run, "u binary, v binary"), "links")
@@ -553,7 +572,8 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shards: int | None = None
     """u, v: links between classes that connect all sets of similarity 3/4 or more. classes: node, doc_id."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = written(_group(_emit_signatures(docs, shards)), "groups")
+    with small_batches(spark, TEXTS):
+        grouped = written(_group(_emit_signatures(docs, shards)), "groups")
     links = _verified(docs, classes, _promising(grouped))
     members = grouped.filter("kind = 1").select("u", F.col("nu").alias("n"), "sig", "band", "weight", "slack")
     if members.isEmpty():
@@ -586,7 +606,8 @@ def similar_groups(docs: DataFrame, shards: int | None = None) -> DataFrame:
     that has another. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(document_sets(docs), "docsets")
+    with small_batches(docs.sparkSession, TEXTS):
+        rows = written(document_sets(docs), "docsets")
     filled = rows.filter("n_shingles > 0")
     classes = written(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
     links = jaccard_links(docs, classes, shards)
