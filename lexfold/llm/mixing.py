@@ -61,15 +61,16 @@ def train(docs: DataFrame, domains: DataFrame, names: list[str], samples: int =
 def scored(docs: DataFrame, prior: list[float], weights: list[float]) -> DataFrame:
     """doc_id, t (hash of the text), rows that have both, tokens (words of one of them), p: share of each domain.
 
-    Words are exploded and summed by row map-side, in generated code; only one row per document is shuffled.
+    Words are exploded and summed by row map-side, in generated code; only one row per document is shuffled. Weights
+    are taken relative to the first domain's, which needs no sum of its own.
     """
     k = len(prior)
     word = F.posexplode_outer(F.split(_one_blank(F.lower(F.coalesce("text", F.lit("")))), " ")).alias("pos", "w")
     found = docs.select("doc_id", F.xxhash64("text").alias("t"), word)
     feature = F.pmod(F.xxhash64("w"), F.lit(FEATURES)).cast("int")
-    weight = lambda j: F.when(F.col("w") != "", F.get(F.array(*(F.lit(round(x, 6)) for x in weights[j::k])), feature))
-    sums = found.groupBy("doc_id", "t").agg(F.count_if(F.col("pos") == 0).alias("rows"), F.count_if(F.col("w") != "").alias("words"), *(F.sum(weight(j)).alias(f"s{j}") for j in range(k)))
-    logs = F.array(*(F.lit(prior[j]) + SHARPNESS * F.coalesce(F.col(f"s{j}"), F.lit(0.0)) / F.greatest("words", F.lit(1)) for j in range(k)))
+    weight = lambda j: F.when(F.col("w") != "", F.get(F.array(*(F.lit(round(x - y, 6)) for x, y in zip(weights[j::k], weights[::k]))), feature))
+    sums = found.groupBy("doc_id", "t").agg(F.count_if(F.col("pos") == 0).alias("rows"), F.count_if(F.col("w") != "").alias("words"), *(F.sum(weight(j)).alias(f"s{j}") for j in range(1, k)))
+    logs = F.array(F.lit(prior[0]), *(F.lit(prior[j]) + SHARPNESS * F.coalesce(F.col(f"s{j}"), F.lit(0.0)) / F.greatest("words", F.lit(1)) for j in range(1, k)))
     soft = let(logs, lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))
     return sums.select("doc_id", "t", "rows", (F.col("words") / F.col("rows")).cast("long").alias("tokens"), soft.alias("p"))
 
