@@ -530,6 +530,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _forest(a: list[int], b: list[int], n: int) -> list[int]:
+    """Which of the edges (a, b) between n nodes connect what was not connected by those before."""
+    root, out = list(range(n)), []
+    for k, (u, v) in enumerate(zip(a, b)):
+        while root[u] != u:
+            root[u] = u = root[root[u]]
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        if u != v:
+            root[u] = v
+            out.append(k)
+    return out
+
+
 def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame:
     """u, v: links between sets of beyond (u, band, comp) of one band and different clusters; all are compared, in blocks."""
     spark = docs.sparkSession
@@ -558,6 +572,8 @@ def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame
         if lo == hi:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
+        tree = _forest(x[i].tolist(), y[j].tolist(), len(found))  # links that connect what all of the block's do
+        i, j = i[tree], j[tree]
         yield pa.RecordBatch.from_arrays([pa.array(names[x[i]].tolist(), pa.binary()), pa.array(names[y[j]].tolist(), pa.binary())], ["u", "v"])
         del t, found, both, near
         release()
