@@ -106,7 +106,7 @@ def strip_html(spark, sf):
 @query("s13_parse_mail")
 def parse_mail(spark, sf):
     """Messages built from the conversations, parsed back: headers, body and attachments, one row each."""
-    return X.parse_messages(X.sample_messages(C.messages(spark, sf).limit(200)), "raw")
+    return X.parse_messages(X.sample_messages(C.messages(spark, sf)), "raw")
 
 
 @query("s14_containers")
