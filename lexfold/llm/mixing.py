@@ -1,19 +1,22 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on a labelled table (multinomial naive Bayes over hashed words) gives every document a
-posterior over domains. Nonnegative rates, one per document, are then fitted by projected gradient so that the
-expected tokens of each domain, sum of rate * tokens * posterior, meet the targets in the least-squares sense.
-
-The residual of each domain is divided by the domain's expected tokens at rate 1. In the metric that weighs documents
-by their tokens, the gradient of this loss with respect to a rate is posterior . (residual / tokens of the domain),
-and a step of length one never overshoots. A rate is therefore a function of the posterior and of the few steps
-taken so far: no state is kept per document, and an iteration is one aggregation of as many sums as there are domains.
+posterior over domains. Nonnegative rates, one per document, are then fitted so that the expected tokens of each
+domain, sum of rate * tokens * posterior, meet the targets in the least-squares sense.
+
+The squared residual of each domain is divided by the domain's expected tokens at rate 1. Proximal steps lead from
+rates of 1 to the optimum: each minimises this loss plus PROXIMAL times the squared move of the rates, documents
+weighed by their tokens. The minimum is rate - posterior . y, cut at 0, for one vector y of as many numbers as there are
+domains, found by Newton's method. A rate is therefore a function of the posterior and of the few steps taken: no state
+is kept per document, and a trial of y is one aggregation of the domains' sums and their moments over positive rates.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smal
 FEATURES = 2048
 SMOOTHING = 0.5
 SHARPNESS = 40.0  # weight of the mean log-likelihood per word against the prior
-ITERATIONS = 40
-CLOSE = 1e-4  # largest relative residual at which fitting ends
+PROXIMAL = 1e-6
+CLOSE = 1e-4  # largest relative residual at which the targets are met
+OPTIMAL = 1e-7  # share of the tokens that a gradient step would still move, at which rates are optimal
 
 #: Production targets: shares of expected tokens.
 TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
@@ -82,33 +86,73 @@ def _rate(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(F.array(*(F.array(*(F.lit(x) for x in s)) for s in steps)), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
-def fit(rows: DataFrame, tokens: Column, p: Column, targets: list[float], budget: float | None = None, iterations: int = ITERATIONS) -> list[list[float]]:
+def fit(rows: DataFrame, tokens: Column, p: Column, targets: list[float], budget: float | None = None) -> list[list[float]]:
     """The steps that lead from rates of 1 to the fitted ones. targets: shares, in the order of p.
 
     budget: expected tokens in all; by default the least for which no domain of a target share of at least a
     tenth has to shrink, so that only rare, unwanted domains are thinned out.
-    """
-    def expected(steps: list[list[float]]) -> list[float]:
-        got = rows.select((tokens * _rate(p, steps)).alias("t"), p.alias("p")).agg(*(F.sum(F.col("t") * F.get("p", F.lit(j))).alias(f"s{j}") for j in range(len(targets)))).first()
-        return [float(x or 0) for x in got]
 
-    base = expected([])
-    if not sum(base):
+    Ends when the targets are met or, where no nonnegative rates meet them, at the optimum: a step's gradient is
+    PROXIMAL times the move that led there, so the tokens moved tell how far the optimality condition is missed.
+    """
+    k = len(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def tried(steps: list[list[float]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of rates after steps and then y: expected tokens by domain, moments over positive rates, tokens moved by y."""
+        q = [F.col(f"p{j}") for j in range(k)]
+        before = rows.select(tokens.cast("double").alias("t"), _rate(p, steps).alias("r0"), *(F.get(p, F.lit(j)).alias(f"p{j}") for j in range(k)))
+        free = before.withColumn("r", F.greatest(F.lit(0.0), F.col("r0") - sum((F.lit(float(y[j])) * q[j] for j in range(1, k)), F.lit(float(y[0])) * q[0])))
+        sums = [F.sum(F.col("t") * F.col("r") * x) for x in q] + [F.sum(F.when(F.col("r") > 0, F.col("t") * q[i] * q[j])) for i, j in pairs] + [F.sum(F.when(F.col("r") > 0, F.col("t") * F.abs(F.col("r") - F.col("r0"))))]
+        got = [float(x or 0) for x in free.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()]
+        moments = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:-1]):
+            moments[i, j] = moments[j, i] = x
+        return np.array(got[:k]), moments, got[-1]
+
+    zero = np.zeros(k)
+    base, moments, _ = tried([], zero)
+    if not base.sum():
         return []
     share = sum(targets)
     if budget is None:
         budget = max(b / (t / share) for b, t in zip(base, targets) if t / share >= 0.1)
-    goal = [budget * t / share for t in targets]
+    goal = np.array([budget * t / share for t in targets])
+    root = np.sqrt(np.maximum(base, 1e-9 * base.sum()))
+    relative = lambda off: float(np.max(np.abs(off) / np.maximum(goal, 1.0)))
     steps: list[list[float]] = []
     now = base
-    worst: list[float] = []
-    for _ in range(iterations):
-        off = [n - g for n, g in zip(now, goal)]
-        worst.append(max(abs(o) / max(g, 1.0) for o, g in zip(off, goal)))
-        if worst[-1] <= CLOSE or len(worst) > 3 and worst[-1] > 0.98 * worst[-4]:  # met, or as near as nonnegative rates get
+    while True:
+        y, worst = zero, relative(now - goal)
+        if worst <= CLOSE:
+            break
+        if steps:
+            _, moments, _ = tried(steps, zero)
+        off, moved = now - goal, 0.0
+        while relative(off) > CLOSE / 10:  # off: of the proximal step's own equations
+            # scaled by root, the matrix is positive and at most 1 + PROXIMAL
+            d = np.linalg.solve(moments / np.outer(root, root) + PROXIMAL * np.eye(k), off / root) / root
+            slope, low, high, a = float(off @ d), 0.0, 1.0, 1.0
+            while True:  # the slope along d falls: halve until the full step or a point near its zero is found
+                at = y + a * d
+                now, moments, moved = tried(steps, at)
+                off = now - goal - PROXIMAL * root**2 * at
+                left = float(off @ d)
+                if left < -0.1 * slope:
+                    high = a
+                elif left > 0.5 * slope and a < 1.0:
+                    low = a
+                else:
+                    break
+                if high - low < 1e-12:
+                    raise ArithmeticError(f"mixing rates don't converge: relative residual {relative(off):.3g}")
+                a = (low + high) / 2
+            y = at
+        steps.append([float(x) for x in y])
+        worst = relative(now - goal)
+        if worst <= CLOSE or PROXIMAL * moved <= OPTIMAL * budget:
             break
-        steps.append([o / max(b, 1e-9) for o, b in zip(off, base)])
-        now = expected(steps)
+    logging.getLogger(__name__).info("mixing rates fitted in %d proximal steps, largest relative residual %.3g", len(steps), worst)
     return steps
 
 
