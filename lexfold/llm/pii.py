@@ -30,13 +30,15 @@ PATTERN = re.compile(
     r"""|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"""
     r"""|(?<![A-Za-z0-9.+-])(?:"""
     r"""(?P<ip>(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![A-Za-z0-9]|\.\d))"""
-    r"""|(?P<iso>\d{4}-\d{2}-\d{2}(?![A-Za-z0-9-]))"""
+    r"""|(?P<iso>\d{4}-\d{2}-\d{2}(?=T\d|(?![A-Za-z0-9-])))"""
     r"""|(?P<dmy>\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4}(?![A-Za-z0-9]))"""
     r"""|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-]))"""
-    r"""|(?P<card>\d(?:[\x20-]?\d){12,18}(?![A-Za-z0-9]|-\d)))"""
+    r"""|(?P<card>\d(?:[\x20-]?\d){12,}(?![A-Za-z0-9])))"""
     r"""|(?<![A-Za-z0-9])(?P<phone>(?:\+\d{1,3}[\x20.-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]?\d{2,4}){2,3}(?![A-Za-z0-9])|\(\d{3}\)\x20?\d{3}-\d{4}(?![A-Za-z0-9]))""",
     re.A,
 )
+# A run of digit groups ends where a date or number of its own format begins.
+WITHIN = re.compile(r"(?<=\x20)(?:(?P<iso>\d{4}-\d{2}-\d{2}(?=T\d|(?![A-Za-z0-9-])))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])))", re.A)
 KINDS = ("email", "iban", "ip", "iso", "dmy", "ssn", "card", "phone")
 DAY_FIRST = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - DAY_FIRST
@@ -196,22 +198,56 @@ def pseudonym(kind: str, value: str, step: Step) -> str | None:
     raise ValueError(kind)
 
 
+def _cards(text: str, start: int, end: int, step: Step) -> tuple[list[tuple[int, int, str]], int]:
+    """start, end and pseudonym of the cards in a run of digit groups, and where to search on.
+
+    A card may stand beside other numbers, so all spans of whole groups are tried, the longest first. The last group
+    is left to the search when no card takes it: a date, address or mailbox may begin there.
+    """
+    for m in WITHIN.finditer(text, start, min(len(text), end + 1)):
+        if pseudonym(m.lastgroup, m[0], step) is not None:
+            end = m.start()
+            break
+    else:
+        m = None
+    groups = [g.span() for g in re.finditer(r"[0-9]+", text[start:end])]
+    spans = []
+    for i, (a, _) in enumerate(groups):
+        digits = 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            if digits >= 13:
+                spans.append((-digits, i, j, start + a, start + groups[j][1]))
+    taken, found = [False] * len(groups), []
+    for _, i, j, a, b in sorted(spans):
+        if not any(taken[i : j + 1]) and (new := pseudonym("card", text[a:b], step)) is not None:
+            taken[i : j + 1] = [True] * (j + 1 - i)
+            found.append((a, b, new))
+    after = end if m or taken[-1] or len(groups) == 1 else start + groups[-1][0]
+    return sorted(found), after
+
+
 def rewrite(text: str, step: Step, known: dict[tuple[str, str], str | None] | None = None) -> tuple[str, list[tuple[str, int, int, str]]]:
     """text with pseudonyms, and (kind, start, end, value) of what was replaced, in code points of the original."""
     known = {} if known is None else known
     out, spans, last, at = [], [], 0, 0
     while m := PATTERN.search(text, at):
         kind = next(k for k in KINDS if m[k] is not None)
+        if kind == "card":
+            found, at = _cards(text, m.start(kind), m.end(kind), step)
+            for start, end, new in found:
+                out += [text[last:start], new]
+                spans.append((kind, start, end, text[start:end]))
+                last = end
+            continue
         value = m[kind]
         if (kind, value) not in known:
             if len(known) > 100_000:
                 known.clear()
             known[kind, value] = pseudonym(kind, value, step)
         new = known[kind, value]
-        if new is None and kind == "card":  # two numbers with a space between look like one
-            first = re.match(r"\d+", value)[0]
-            if 13 <= len(first) < len(value):
-                value, new = first, pseudonym(kind, first, step)
         if new is None:
             at = m.start() + len(value) if kind != "iban" else m.start() + 4
             continue
