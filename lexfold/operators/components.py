@@ -13,7 +13,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of every node with an edge to another; edges: u, v, of any ordered type.
 
     A large star hands every larger neighbour of a node to the node's smallest one, a small star every smaller one;
@@ -23,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _fingerprint(now)
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -36,7 +36,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         seen = _fingerprint(now)
         if seen == last:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     labels = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return written(labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
