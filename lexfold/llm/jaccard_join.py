@@ -2,30 +2,38 @@
 
 Two sets of n and m shingles with a Jaccard similarity of 3/4 or more differ in at most H = (n + m) / 7 of them. Sets
 are grouped in size bands, each twice as wide as the last, so partners lie in the same or neighbouring bands: a set
-is indexed in its own band and, where it has smaller partners there, looked up in the band below. In a band, hashes are cut into segments. If two sets
-agree in none of the first segments whose weights sum to H + 1, they differ in more than H shingles: a segment of
-weight 1 stands for its exact content, one of weight 2 also for every content with one shingle deleted. Which of the
-two a band uses is a matter of cost: larger sets have plenty of segments and take exact contents (one signature for
-each unit of weight), small ones take fewer, more telling segments with their one-deletion neighbourhoods. Empty
-segments need no signature, since a segment that only one of the sets fills is itself a difference.
+is indexed in its own band and, where it has smaller partners there, looked up in the band below. In a band, hashes are
+cut into segments. If two sets agree in none of the first segments whose weights sum to H + 1, they differ in more than
+H shingles: a segment of weight 1 stands for its exact content, one of weight 2 also for every content with one shingle
+deleted. Empty segments need no signature, since a segment that only one of the sets fills is itself a difference.
+
+How a band is cut, and whether its segments take exact contents or one-deletion neighbourhoods, is decided by measured
+cost: while the sets are first computed, every task counts for each band and scheme the signatures it would emit and a
+sketch of their second moment, the pairs they would bring together; sums over all documents give each band the scheme
+of least cost. (Bands below FILLED shingles always take single ones: so few don't fill segments reliably.)
 
 Every set emits some segments more than needed (its slack). Signatures that too many different clusters share
-(boilerplate) can then be left out, as long as a set leaves out no more weight than its slack: the pair still agrees
-elsewhere. Only sets that have used up their slack (members of large families that are not quite similar) could miss each
-other: they are compared by blocks of a band, as products of incidence matrices, which give exact overlaps and emit
-nothing but links. This part alone grows with the square of its sets, of which there are few.
-Large clusters of near copies are first merged through a few anchor segments, and pairs within a merged cluster
-need no comparison, so no group of g sets costs g * g comparisons unless they are that many different clusters of
-sets beyond their slack. A pair must share as many signatures as its slack promises, less what was left out; what
-remains is pruned by a lower bound from bucket counts and verified on whole sets.
-
-Documents with equal sets are one class throughout, known by the 128-bit digest of the set.
+(boilerplate) take no part then, as long as a set leaves out no more weight than its slack: the pair still agrees
+elsewhere. A pair must share as many signatures as its slack promises, less what was left out; what remains is pruned
+by a lower bound from bucket counts (sketches, which the first reading gives for every set) and verified on whole sets,
+which a second reading gives for the sets still in question only. Signatures many sets of one task share never meet
+in one place: all but one of the sets skip the shuffle of signatures. Large clusters of near copies are first merged
+through a few anchor signatures, and pairs within a merged cluster need no comparison.
+
+Only sets that left out more than their slack (members of large families that are not quite similar) could miss each
+other: those that share left-out signatures, directly or through others, form families, compared by blocks of bounded
+size as products of incidence matrices, which give exact overlaps and emit nothing but links. This part alone grows
+with the square of a family of different sets.
+
+Documents with equal sets are one class throughout, known by the 128-bit digest of the set; signatures carry 48 bits of
+it, and sets that agree in those are taken as candidates of each other.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +50,17 @@ from lexfold.operators.components import components
 K = 5  # words of a shingle
 SMALL_GROUP = 16  # clusters sharing a signature that are compared pair by pair at once
 ANCHORS = 4  # segments through which large groups are first merged
-SLACK = 0.09  # share of the largest size of a band that its sets emit beyond what they need
-SINGLES, PAIRED = 32, 64  # bands of sets below the first use single shingles, below the second one-deletion neighbourhoods
+SLACK = 0.06  # share of the largest size of a band that its sets emit beyond what they need
+FILLED = 32  # bands of smaller sets have no choice of scheme
+SCHEMES = ((0, 1), (2, 1), (4, 2))  # shingles a segment at the top of a band (0: each its own), weight of a segment
+PAIR_COST = 0.25  # of a pair that signatures bring together, in signatures
+COUNTERS = 256  # of the sketch of a scheme's pairs
+SHARD_BYTES = 8 << 20  # of signatures that meet in one place, about
 FLUSH_BYTES, FLUSH_CLASSES = 6 << 20, 30_000
 TEXTS = 1_000  # texts that go to Python at a time
 SLICE = 2 << 20  # bytes of text that are hashed at once
-BLOCK, COLUMNS = 1_000, 4_096  # sets, and shared shingles, that are multiplied at once
-BITMAP = 1 << 24  # bits of the filter that spares most documents the second reading; any number of ids is correct
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1_000, 1 << 20, 4_096  # sets and their shingles in a block; shared shingles multiplied at once
+BITMAP = 1 << 26  # most bits of the filter that spares other documents the second reading; any number of ids is correct
 
 U = np.uint64
 M1, M2, M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -69,12 +81,18 @@ def band_edges(up_to: int = 1 << 40) -> list[int]:
 
 
 EDGES = np.array(band_edges(), np.int64)
-PAIRED_BAND = int(np.searchsorted(EDGES, SINGLES))
 
 
-def band_segments(band: np.ndarray) -> np.ndarray:
-    top = EDGES[band + 1] - 1
-    return np.where(top < SINGLES, 1 << 31, np.where(top < PAIRED, np.maximum(1, top // 3), top * 2 // 3)).astype(np.int64)
+def cut(schemes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of each band, and whether they take one-deletion neighbourhoods."""
+    segments, paired = np.full(len(EDGES) - 1, 1 << 31, np.int64), np.zeros(len(EDGES) - 1, bool)
+    for band in range(len(segments)):
+        top = int(EDGES[band + 1]) - 1
+        load, weight = SCHEMES[schemes.get(band, 1)] if top >= FILLED else SCHEMES[0]
+        if load:
+            segments[band] = min(1 << 31, max(1, top // load))
+            paired[band] = weight == 2
+    return segments, paired
 
 
 SPACE = np.zeros(256, bool)
@@ -171,9 +189,9 @@ def nodes(digests: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests.astype(">u8")).tobytes())]).cast(pa.binary())
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool) -> tuple[np.ndarray, ...]:
-    """In a set's own band, or the one below: (signature, doc, weight, anchor) each emitted; and per set the band, its
-    slack (weight emitted beyond H + 1) and whether it takes part. h, doc: the sets, one after the other."""
+def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool, segments: np.ndarray, paired: np.ndarray) -> tuple[np.ndarray, ...]:
+    """In a set's own band, or the one below: (signature, doc, weight, anchor) each emitted; and per set the band and its
+    slack (weight emitted beyond H + 1; -1 where segments are too few). h, doc: the sets, one after the other."""
     band = np.searchsorted(EDGES, np.maximum(n, 1), side="right") - 1 - lower
     part = n > 0
     if lower:
@@ -184,23 +202,21 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool) -> tu
     else:
         differ = (n + 4 * n // 3) // 7
     slack = np.ceil(SLACK * EDGES[band + 1]).astype(np.int64) + 2  # one for a band: what two sets can leave out must not differ
-    segments = band_segments(band)
-    paired = (EDGES[band + 1] - 1 >= SINGLES) & (EDGES[band + 1] - 1 < PAIRED)
     use = part[doc]
     h, doc = h[use], doc[use]
     with np.errstate(over="ignore"):
-        seg = ((h >> U(32)) * segments[doc].astype(U)) >> U(32)
+        seg = ((h >> U(32)) * segments[band][doc].astype(U)) >> U(32)
         element = _mix(h ^ M2)
         first = np.ones(len(h), bool)
         first[1:] = (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1])
         at = np.flatnonzero(first)
         if not len(at):
             zero = np.zeros(0, np.int64)
-            return np.zeros(0, U), zero, zero, zero.astype(bool), band, np.where(part, -differ - 1, 0), part
+            return np.zeros(0, U), zero, zero, zero.astype(bool), band, np.where(part, -1, 0)
         size = np.diff(np.append(at, len(h)))
         content = np.add.reduceat(element, at)
         owner, place = doc[at], seg[at]
-        weight = np.where(paired[owner] & (size > 1), 2, 1)
+        weight = np.where(paired[band][owner] & (size > 1), 2, 1)
         upto = np.cumsum(weight)
         head = np.searchsorted(owner, np.arange(len(n)))
         before = upto - weight - np.concatenate([upto - weight, [0]])[head][owner]
@@ -208,61 +224,129 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, lower: bool) -> tu
         emitted = np.bincount(owner[kept], weight[kept], len(n)).astype(np.int64)
         salt = _mix(place + (band[owner].astype(U) << U(40)) + M3)
         exact = _mix(content[kept] ^ salt[kept])
-        who, w, anchor = owner[kept], weight[kept], place[kept] < U(ANCHORS) if not lower else np.zeros(int(kept.sum()), bool)
+        who, w, anchor = owner[kept], weight[kept], (before[kept] < ANCHORS) & (not lower)
         wide = kept & (weight == 2)
         if wide.any():
             each = np.repeat(wide, size)
             of = np.repeat(np.arange(len(at)), size)[each]
             exact = np.concatenate([exact, _mix((content[of] - element[each]) ^ salt[of])])
             who, w, anchor = np.concatenate([who, owner[of]]), np.concatenate([w, weight[of]]), np.concatenate([anchor, np.zeros(len(of), bool)])
-        left = np.where(part, emitted - differ - 1, 0)
+        left = np.where(part, np.maximum(emitted - differ - 1, -1), 0)
         poor = np.flatnonzero(left < 0)  # too few segments filled: these meet each other under one signature
         if len(poor):
             exact = np.concatenate([exact, _mix(band[poor].astype(U) ^ M1)])
             who, w, anchor = np.concatenate([who, poor]), np.concatenate([w, np.ones(len(poor), np.int64)]), np.concatenate([anchor, np.zeros(len(poor), bool)])
-    return exact, who, w, anchor, band, left, part
-
-
-#: What a shard must know of a set: digest, size, and the signatures two sets with its slack share, own band and below.
-HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("own", "<i2"), ("below", "<i2")])
+    return exact, who, w, anchor, band, left
 
 
-def band_of(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    return np.searchsorted(EDGES, np.maximum(n, 1), side="right") - 1 - lower
+class Measure:
+    """Signatures that each band's sets would emit under each scheme, and a sketch of how many pairs would share one."""
 
+    def __init__(self):
+        self.cuts = [cut(dict.fromkeys(range(len(EDGES)), k)) for k in range(len(SCHEMES))]
+        self.emitted = np.zeros((len(EDGES), len(SCHEMES)), np.int64)
+        self.z = np.zeros((len(EDGES), len(SCHEMES), COUNTERS), np.int64)
 
-def _blobs(h: np.ndarray, doc: np.ndarray, n: np.ndarray, digest: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures of sets by shard: the number of heads and of signatures, heads, 5 bytes of each signature, its head, and
-    flags (weight, 4 for an anchor, 8 for the band below)."""
-    head = np.zeros(len(n), HEAD)
-    head["a"], head["b"], head["n"] = digest[:, 0], digest[:, 1], np.minimum(n, 0xFFFFFFFF)
-    sig, who, flag = [], [], []
-    for lower, field in ((False, "own"), (True, "below")):
-        s, w, weight, anchor, _, slack, _ = signatures(h, doc, n, lower)
-        head[field] = np.clip(slack, -1, 32_000)
+    def add(self, sets: Shingles) -> None:
+        big = sets.n >= FILLED
+        if not big.any():
+            return
+        take = big[sets.doc]
+        h, doc = sets.h[take], sets.doc[take]
+        n = np.where(big, sets.n, 0)
+        for k in range(len(SCHEMES)):
+            sig, who, _, _, band, _ = signatures(h, doc, n, False, *self.cuts[k])
+            cell = band[who] * COUNTERS + (sig % U(COUNTERS)).astype(np.int64)
+            sign = (sig >> U(40) & U(1)).astype(np.int64) * 2 - 1
+            self.emitted[:, k] += np.bincount(band[who], minlength=len(EDGES))
+            self.z[:, k] += np.bincount(cell, sign, len(EDGES) * COUNTERS).astype(np.int64).reshape(-1, COUNTERS)
+
+    def rows(self) -> list[tuple[int, int, int, list[int]]]:
+        return [(int(b), int(k), int(self.emitted[b, k]), self.z[b, k].tolist()) for b, k in zip(*np.nonzero(self.emitted))]
+
+
+def least_cost(measured: DataFrame) -> tuple[dict[int, int], int]:
+    """Scheme of each band, and how many signatures sets emit in their own bands; measured: band, scheme, emitted, z."""
+    cells = measured.select("band", "scheme", F.posexplode("z").alias("cell", "z")).groupBy("band", "scheme", "cell").agg(F.sum("z").cast("double").alias("z"))
+    moment = cells.groupBy("band", "scheme").agg(F.sum(F.col("z") * F.col("z")).alias("f2"))
+    found = measured.groupBy("band", "scheme").agg(F.sum("emitted").alias("emitted")).join(moment, ["band", "scheme"]).collect()  # a row a band and scheme
+    cost = {(r["band"], r["scheme"]): r["emitted"] + PAIR_COST * max(0.0, r["f2"] - r["emitted"]) / 2 for r in found}
+    best = {b: min((c, k) for (x, k), c in cost.items() if x == b)[1] for b in {b for b, _ in cost}}
+    return best, sum(r["emitted"] for r in found if best[r["band"]] == r["scheme"])
+
+
+#: One run of signatures of a set: 48 bits of its digest, band with weight (64) and anchor (128), slack + 1 (up to 127)
+#: with 128 for what many sets of the task share, and how many signatures follow.
+RUN = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("band", "u1"), ("left", "u1"), ("count", "u1")])
+#: A set that shares a signature with many of its task: the signature's name, the set, the one that went on for all.
+DIRECT = np.dtype([("sig", "<i8"), ("u", "<i8"), ("hub", "<i8"), ("band", "u1"), ("left", "u1")])
+
+
+def short_id(digest: np.ndarray) -> np.ndarray:
+    return (digest[:, 0] >> U(16)).astype(np.int64)
+
+
+def _blobs(h: np.ndarray, doc: np.ndarray, n: np.ndarray, digest: np.ndarray, shards: int, segments: np.ndarray, paired: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Signatures of sets by shard (runs, then 4 bytes of each signature), and under negative shards what goes round them."""
+    ids = short_id(digest)
+    sig, who, flag, left = [], [], [], []
+    for lower in (False, True):
+        s, w, weight, anchor, band, slack = signatures(h, doc, n, lower, segments, paired)
         sig.append(s)
         who.append(w)
-        flag.append((weight | anchor.astype(np.int64) << 2 | lower << 3).astype(np.uint8))
-    s, w, f = np.concatenate(sig), np.concatenate(who), np.concatenate(flag)
-    shard = ((s >> U(40)) % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    five = s.view(np.uint8).reshape(-1, 8)[:, :5]
+        flag.append((band[w] + 64 * (weight == 2) + 128 * anchor).astype(np.uint8))
+        left.append((np.minimum(slack, 126) + 1)[w].astype(np.uint8))
+    s, w, f, left = (np.concatenate(x) for x in (sig, who, flag, left))
+    shard = ((s >> U(32)) % U(shards)).astype(np.int64)
+    name = shard << 32 | (s & U(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((w, name))
+    name, w, f, left, shard = name[order], w[order], f[order], left[order], shard[order]
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (w[1:] != w[:-1])
+    if not fresh.all():  # two signatures of a set under one name count once: the set promises less
+        twice = np.bincount(w[~fresh], 1 + (f[~fresh] >> 6 & 1), len(n)).astype(np.int64)
+        left = np.maximum(left.astype(np.int64) - twice[w], 0).astype(np.uint8)
+    name, w, f, left, shard = name[fresh], w[fresh], f[fresh], left[fresh], shard[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(name)))
+    many = np.repeat(size > SMALL_GROUP, size)
+    hub = np.repeat(begin, size)
+    around = np.flatnonzero(many & (np.arange(len(name)) != hub))
+    if len(around):
+        out = np.zeros(len(around), DIRECT)
+        out["sig"], out["u"], out["hub"], out["band"], out["left"] = name[around], ids[w[around]], ids[w[hub[around]]], f[around], left[around]
+        for a in range(0, len(out), 40_000):
+            yield -1 - (int(name[around[a]]) + a) % shards, out[a : a + 40_000].tobytes()
+        left = left | (many * 128).astype(np.uint8)
+        stay = np.ones(len(name), bool)
+        stay[around] = False
+        name, w, f, left, shard = name[stay], w[stay], f[stay], left[stay], shard[stay]
+    order = np.lexsort((left, f, w, shard))
+    name, w, f, left, shard = name[order], w[order], f[order], left[order], shard[order]
+    where = np.searchsorted(shard, np.arange(shards + 1))
     for k in range(shards):
-        mine = order[cut[k] : cut[k + 1]]
-        if len(mine):
-            used, at = np.unique(w[mine], return_inverse=True)
-            yield k, b"".join((len(used).to_bytes(4, "little"), head[used].tobytes(), five[mine].tobytes(), at.astype("<u2").tobytes(), f[mine].tobytes()))
+        mine = slice(where[k], where[k + 1])
+        if where[k] == where[k + 1]:
+            continue
+        x, y, z = w[mine], f[mine], left[mine]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+        at = np.flatnonzero(new)
+        new |= (np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))) % 255 == 0  # counts are of one byte
+        at = np.flatnonzero(new)
+        runs = np.zeros(len(at), RUN)
+        who = ids[x[at]]
+        runs["lo"], runs["hi"], runs["band"], runs["left"], runs["count"] = who & 0xFFFFFFFF, who >> 32, y[at], z[at], np.diff(np.append(at, len(x)))
+        yield k, b"".join((len(at).to_bytes(4, "little"), runs.tobytes(), name[mine].astype("<u4").tobytes()))
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Low part of the name, set, band with flags, and slack + 1 with a flag, of each signature."""
     k = int.from_bytes(blob[:4], "little")
-    heads = np.frombuffer(blob, HEAD, k, 4)
-    rest = np.frombuffer(blob, np.uint8, offset=4 + k * HEAD.itemsize)
-    m = len(rest) // 8
-    sig = np.zeros((m, 8), np.uint8)
-    sig[:, :5] = rest[: 5 * m].reshape(m, 5)
-    return heads, sig.view(U).ravel(), rest[5 * m : 7 * m].view("<u2").astype(np.int64), rest[7 * m :]
+    runs = np.frombuffer(blob, RUN, k, 4)
+    ids = runs["lo"].astype(np.int64) | runs["hi"].astype(np.int64) << 32
+    each = lambda x: np.repeat(x, runs["count"])
+    return np.frombuffer(blob, "<u4", offset=4 + k * RUN.itemsize), each(ids), each(runs["band"]), each(runs["left"])
 
 
 def release() -> None:
@@ -272,7 +356,9 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
+def _emit_signatures(docs: DataFrame, shards: int, schemes: dict[int, int]) -> DataFrame:
+    segments, paired = cut(schemes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, np.ndarray]] = {}
         seen, held_bytes = set(), 0
@@ -283,7 +369,7 @@ def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
             n = np.array([k for k, _ in held.values()], np.int64)
             h = np.concatenate([x for _, x in held.values()])
             digest = np.frombuffer(b"".join(held), ">u8").reshape(-1, 2).astype(U)
-            rows = list(_blobs(h, np.repeat(np.arange(len(n)), n), n, digest, shards))
+            rows = list(_blobs(h, np.repeat(np.arange(len(n)), n), n, digest, shards, segments, paired))
             held.clear()
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[a : a + 64]], pa.int32()), pa.array([b for _, b in rows[a : a + 64]], pa.binary())], ["shard", "blob"])
@@ -310,11 +396,17 @@ def _emit_signatures(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "shard int, blob binary")
 
 
-GROUPS = "kind int, u binary, v binary, nu long, nv long, sig long, band int, weight int, slack int, shared int"
+GROUPS = "kind int, u long, v long, sig long, band int, weight int, slack int, shared int"
 
 
-def compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
+def _rows(kind: int, u: np.ndarray, v: np.ndarray | None, sig: np.ndarray | None, flag: np.ndarray, left: np.ndarray, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(u), 50_000):
+        z = slice(a, a + 50_000)
+        m = len(u[z])
+        part = lambda x, t: pa.nulls(m, t) if x is None else pa.array(np.ascontiguousarray(x[z]), t)
+        i32 = lambda x: pa.array(x[z].astype(np.int32))
+        columns = [pa.array(np.full(m, kind, np.int32)), part(u, pa.int64()), part(v, pa.int64()), part(sig, pa.int64()), i32(flag & 63), i32(1 + (flag >> 6 & 1)), i32(left), pa.nulls(m, pa.int32()) if shared is None else i32(shared)]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "u", "v", "sig", "band", "weight", "slack", "shared"])
 
 
 def _group(shards: DataFrame) -> DataFrame:
@@ -322,87 +414,94 @@ def _group(shards: DataFrame) -> DataFrame:
     (u) of a signature that more than SMALL_GROUP classes share."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, sigs, ats, flags, base = [], [], [], [], 0
         shard = key[0].as_py()
-        for b in batches:
-            for blob in b.column(1).to_pylist():
-                h, s, a, f = _open(blob)
-                heads.append(h)
-                sigs.append(s)
-                ats.append(a + base)
-                flags.append(f)
-                base += len(h)
-        head, sig, at, flag = (np.concatenate(x) for x in (heads, sigs, ats, flags))
-        key_of = np.ascontiguousarray(np.stack([head["a"], head["b"]], 1).astype(">u8")).view("V16").ravel()
-        distinct, cls = np.unique(key_of, return_inverse=True)
-        order = np.lexsort((cls[at], sig))
-        sig, at, flag = sig[order], at[order], flag[order]
-        c = cls[at]
+        if shard < 0:  # each row for itself
+            for b in batches:
+                for blob in b.column(1).to_pylist():
+                    d = np.frombuffer(blob, DIRECT)
+                    yield from _rows(1, d["u"], None, d["sig"], d["band"], d["left"].astype(np.int64) - 1, None)
+                    star = d[(d["band"] & 128 > 0) & (d["u"] != d["hub"])]
+                    yield from _rows(0, np.minimum(star["u"], star["hub"]), np.maximum(star["u"], star["hub"]), None, star["band"], np.full(len(star), -1), np.ones(len(star), np.int64))
+            return
+        opened = [_open(blob) for b in batches for blob in b.column(1).to_pylist()]
+        sig, c, flag, left = (np.concatenate(x) for x in zip(*opened))
+        del opened
+        order = np.lexsort((c, sig))
+        sig, c, flag, left = sig[order], c[order], flag[order], left[order]
         once = np.ones(len(sig), bool)
         once[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
-        sig, at, flag, c = sig[once], at[once], flag[once], c[once]
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        shared_by_many = np.maximum.reduceat(left >> 7, begin) > 0
+        where = np.cumsum(once) - 1
+        sig, c, flag, left = sig[once], c[once], flag[once], left[once]
+        begin = where[begin]
         size = np.diff(np.append(begin, len(sig)))
+        large = shared_by_many | (size > SMALL_GROUP)
         group = np.repeat(np.arange(len(begin)), size)
-        g, n = size[group], head["n"][at].astype(np.int64)
-        lower = (flag >> 3 & 1).astype(np.int64)
-        band = band_of(n, lower)
-        slack = np.where(lower == 1, head["below"][at], head["own"][at]).astype(np.int64)
+        slack = (left & 127).astype(np.int64) - 1
         pairs = []
-        small = np.flatnonzero((g > 1) & (g <= SMALL_GROUP))
+        small = np.flatnonzero(((size > 1) & ~large)[group])
         for k in range(1, SMALL_GROUP):
             i = small[small + k < len(sig)]
-            i = i[group[i] == group[np.minimum(i + k, len(sig) - 1)]]
+            i = i[group[i] == group[i + k]]
             if not len(i):
                 break
-            i = i[compatible(n[i], n[i + k])]
-            pairs.append(np.stack([c[i], c[i + k], n[i], n[i + k], band[i], np.minimum(slack[i], slack[i + k])], 1))
-        star = np.flatnonzero((g > SMALL_GROUP) & ((flag & 4) > 0))
-        hub = begin[group[star]]  # the smallest class of each group
-        fit = (star != hub) & compatible(n[star], n[hub])
-        pairs.append(np.stack([c[hub[fit]], c[star[fit]], n[hub[fit]], n[star[fit]], band[star[fit]], np.full(int(fit.sum()), -1)], 1))
+            pairs.append(np.stack([c[i], c[i + k], (flag[i] & 127).astype(np.int64), np.minimum(slack[i], slack[i + k])], 1))
+        star = np.flatnonzero(large[group] & ((flag & 128) > 0))
+        hub = begin[group[star]]
+        star, hub = star[star != hub], hub[star != hub]
+        pairs.append(np.stack([np.minimum(c[hub], c[star]), np.maximum(c[hub], c[star]), (flag[star] & 127).astype(np.int64), np.full(len(star), -1)], 1))
         pair, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        raw = np.array(distinct).view(np.uint8).reshape(-1, 16)
-        name = lambda i: pa.array([x.tobytes() for x in raw[i]], pa.binary())
-        schema = ["kind", "u", "v", "nu", "nv", "sig", "band", "weight", "slack", "shared"]
-        for a in range(0, len(pair), 50_000):
-            p = pair[a : a + 50_000]
-            i32 = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([i32(np.zeros(len(p))), name(p[:, 0]), name(p[:, 1]), pa.array(p[:, 2]), pa.array(p[:, 3]), pa.nulls(len(p), pa.int64()), i32(p[:, 4]), pa.nulls(len(p), pa.int32()), i32(p[:, 5]), i32(shared[a : a + 50_000])], schema)
-        big = np.flatnonzero(g > SMALL_GROUP)
-        for a in range(0, len(big), 50_000):
-            i = big[a : a + 50_000]
-            wide = (sig[i].astype(np.int64) | np.int64(shard % (1 << 22)) << 40).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), name(c[i]), pa.nulls(len(i), pa.binary()), pa.array(n[i].astype(np.int64)), pa.nulls(len(i), pa.int64()), pa.array(wide), pa.array(band[i].astype(np.int32)), pa.array((flag[i] & 3).astype(np.int32)), pa.array(slack[i].astype(np.int32)), pa.nulls(len(i), pa.int32())], schema)
-        del heads, sigs, ats, flags, head, sig, at, flag, c, pair, pairs
+        yield from _rows(0, pair[:, 0], pair[:, 1], None, pair[:, 2], pair[:, 3], shared)
+        big = np.flatnonzero(large[group])
+        yield from _rows(1, c[big], None, sig[big].astype(np.int64) | np.int64(shard) << 32, flag[big], slack[big], None)
+        del sig, c, flag, left, order, once, where, group, slack, pairs, pair, shared
         release()
 
     return shards.groupBy("shard").applyInArrow(run, GROUPS)
 
 
+SETS = "doc_id long, h long, n_shingles long, node binary, sketch binary, band int, scheme int, emitted long, z array<long>"
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set) per row."""
+    """doc_id, h (hash of the text), n_shingles, node (digest of the set), sketch per row; and rows of measured costs, whose
+    node is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "h", "n_shingles", "node", "sketch", "band", "scheme", "emitted", "z"]
+        measure = Measure()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for a, b in slices(texts, SLICE):
                 sets = Shingles(texts.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.n.astype(np.int64)), nodes(sets.digests())], ["doc_id", "n_shingles", "node"])
+                measure.add(sets)
+                m = b - a
+                sketches = [sketch(sets.h[sets.start[i] : sets.start[i + 1]]) for i in range(m)]
+                none = [pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), batch.column(2).slice(a, m), pa.array(sets.n.astype(np.int64)), nodes(sets.digests()), pa.array(sketches, pa.binary()), *none], names)
+        rows = measure.rows()
+        if rows:
+            m = len(rows)
+            of = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *of], names)
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text")).mapInArrow(run, SETS)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Counts of the hashes in about n / 4 buckets of equal width, a power of two of them."""
-    k = max(16, 1 << max(0, int(len(h) // 4).bit_length()))
-    return np.minimum(np.bincount((h >> U(64 - k.bit_length() + 1)).astype(np.int64), minlength=k), 65535).astype("<u2")
+def sketch(h: np.ndarray) -> bytes:
+    """Counts of the hashes in about n / 3 buckets of equal width, a power of two of them; empty if one is over 255."""
+    k = max(8, 1 << max(0, int(len(h) // 4).bit_length()))
+    n = np.bincount((h >> U(64 - k.bit_length() + 1)).astype(np.int64), minlength=k)
+    return b"" if n.max() > 255 else n.astype(np.uint8).tobytes()
 
 
-def differ_at_least(a: np.ndarray, b: np.ndarray) -> int:
+def differ_at_least(a: bytes, b: bytes) -> int:
     """A lower bound of how many elements two sets differ in, from their sketches."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    if not a or not b:
+        return 0
+    a, b = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
     if len(a) > len(b):
         a = a.reshape(len(b), -1).sum(1)
     elif len(b) > len(a):
@@ -411,14 +510,15 @@ def differ_at_least(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, sketch, elements of the classes in wanted (node, doc_id of a document that has the set).
+    """node, elements of the classes in wanted (a table of node, doc_id of a document that has the set).
 
-    A bitmap of fixed size says which documents may be wanted; only their sets leave the reading tasks.
+    A bitmap of bounded size says which documents may be wanted; only their sets leave the reading tasks.
     """
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    bits = min(BITMAP, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     lanes = wanted.select(bit.alias("b")).select(F.floor(F.col("b") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 32 AS int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    bitmap = np.zeros(BITMAP // 32, np.int64)
+    bitmap = np.zeros(bits // 32, np.int64)
     got = lanes.toPandas()  # at most BITMAP / 32 rows, however many are wanted
     bitmap[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(bitmap.astype(np.uint32))
@@ -434,12 +534,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for x, y in slices(texts, SLICE):
                 sets = Shingles(texts.slice(x, y - x))
                 some = np.flatnonzero(sets.n)
-                parts = [sets.h[sets.start[i] : sets.start[i + 1]] for i in some]
-                yield pa.RecordBatch.from_arrays([nodes(sets.digests()[some]), pa.array([sketch(p).tobytes() for p in parts], pa.binary()), pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary())], ["node", "sketch", "elements"])
+                parts = [sets.h[sets.start[i] : sets.start[i + 1]].astype("<u8").tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([nodes(sets.digests()[some]), pa.array(parts, pa.binary())], ["node", "elements"])
         release()
 
-    found = docs.select(F.col("text").cast("string").alias("text"), bit.cast("long").alias("b")).mapInArrow(run, "node binary, sketch binary, elements binary")
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("elements").alias("elements"))
+    found = docs.select(F.col("text").cast("string").alias("text"), bit.cast("long").alias("b")).mapInArrow(run, "node binary, elements binary")
+    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"))
 
 
 @contextlib.contextmanager
@@ -454,38 +554,28 @@ def small_batches(spark: SparkSession, rows: int = 400):
         spark.conf.set(key, before)
 
 
-def _promising(grouped: DataFrame) -> DataFrame:
-    """Pairs that share as many signatures as similar sets must, given what went to large groups; and those of anchors."""
-    lost = grouped.filter("kind = 1").groupBy("u", "band").agg(F.sum("weight").alias("lost"))
-    lost = written(lost, "lost")
+def _promising(grouped: DataFrame, members: DataFrame, paired: np.ndarray) -> DataFrame:
+    """Pairs (u, v) that share as many signatures as similar sets must, given what went to large groups; and those of anchors."""
+    lost = members.groupBy("u", "band").agg(F.sum("weight").alias("lost"))
     of = lambda end: lost.select(F.col("u").alias(end), "band", F.col("lost").alias(f"lost_{end}"))
-    pairs = grouped.filter("kind = 0").groupBy("u", "v", "nu", "nv", "band").agg(F.sum("shared").alias("shared"), F.min("slack").alias("slack"))
+    pairs = grouped.filter("kind = 0").groupBy("u", "v", "band").agg(F.sum("shared").alias("shared"), F.min("slack").alias("slack"))
     pairs = pairs.join(of("u"), ["u", "band"], "left").join(of("v"), ["v", "band"], "left")
     gone = F.least(F.coalesce("lost_u", F.lit(0)), F.coalesce("lost_v", F.lit(0)))
     need = F.col("slack") + 1 - gone
     # a one-deletion neighbourhood stands for two units of weight with a single shared signature
-    need = F.when(F.col("band") == PAIRED_BAND, F.ceil(need / 2)).otherwise(need)
-    return pairs.filter(F.col("shared") >= need).select("u", "v", "nu", "nv").distinct()
+    need = F.when(F.col("band").isin([int(b) for b in np.flatnonzero(paired)]), F.ceil(need / 2)).otherwise(need)
+    return pairs.filter(F.col("shared") >= need).select("u", "v").distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v, nu, nv) those of sets that are similar: u, v."""
+    """Of pairs (u, v: short ids) those of sets that are similar: u, v (digests)."""
     spark = docs.sparkSession
-    pairs = written(pairs.select("u", "v", "nu", "nv").distinct(), "pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = written(ends.join(classes, "node").select("node", "doc_id"), "wanted")
-    with small_batches(spark, TEXTS):
-        sets = written(_sets_of(docs, wanted), "sets")
-
-    def with_sets(p: DataFrame, column: str) -> DataFrame:
-        u, v = (sets.select(F.col("node").alias(end), F.col(column).alias(f"x{end}")) for end in "uv")
-        return p.join(u, "u").join(v, "v")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(2).to_numpy() + b.column(3).to_numpy()
-            ok = [differ_at_least(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) <= s // 7 for x, y, s in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:4]], b.schema.names[:4])
+            ok = [differ_at_least(x, y) <= s // 7 for x, y, s in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -496,18 +586,20 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                 ok.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
+    end = lambda e: classes.select(F.col("id").alias(e), F.col("node").alias(f"node_{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"x{e}"))
+    sized = pairs.join(end("u"), "u").join(end("v"), "v").filter(SIMILAR).filter("node_u <> node_v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "nu", "nv", "xu", "xv")
+    near = written(sized.mapInArrow(prune, "u binary, v binary"), "near")
+    ends = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
+    wanted = written(ends.join(classes, "node").select("node", "doc_id"), "wanted")
+    with small_batches(spark, TEXTS):
+        sets = written(_sets_of(docs, wanted), "sets")
+    with_sets = near.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("xu")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("xv")), "v")
     with small_batches(spark):
-        near = written(with_sets(pairs, "sketch").select("u", "v", "nu", "nv", "xu", "xv").mapInArrow(prune, "u binary, v binary, nu long, nv long"), "near")
-        links = written(with_sets(near, "elements").select("u", "v", "xu", "xv").mapInArrow(verify, "u binary, v binary"), "links")
-    forget(spark, pairs, wanted, sets, near)
+        links = written(with_sets.select("u", "v", "xu", "xv").mapInArrow(verify, "u binary, v binary"), "links")
+    forget(spark, wanted, sets, near)
     return links
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with comp, the label of the cluster that u is in."""
-    return members.join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("label", "u")).drop("label")
-
-
 SIMILAR = "100 * least(nu, nv) >= 75 * greatest(nu, nv)"
 
 
@@ -544,22 +636,29 @@ def _forest(a: list[int], b: list[int], n: int) -> list[int]:
     return out
 
 
-def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame:
-    """u, v: links between sets of beyond (u, band, comp) of one band and different clusters; all are compared, in blocks."""
+def _families(beyond: DataFrame, shared: DataFrame) -> DataFrame:
+    """beyond with family: sets of it that are tied by left-out signatures (shared: u, sig)."""
+    spark = beyond.sparkSession
+    edges = shared.join(beyond.select("u").distinct(), "u", "left_semi").select("u", F.concat(F.lit("signature").cast("binary"), F.col("sig").cast("string").cast("binary")).alias("v"))
+    labels = components(edges)
+    out = written(beyond.join(labels.select(F.col("node").alias("u"), F.col("label").alias("family")), "u"), "families")
+    forget(spark, labels)
+    return out
+
+
+def _blocks(docs: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+    """u, v: links between sets of families (u, n, band, comp, family) of one band and family and different clusters."""
     spark = docs.sparkSession
-    sizes = {r["band"]: -(-r["n"] // BLOCK) for r in beyond.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a band
-    if not sizes:
-        return spark.createDataFrame([], "u binary, v binary")
-    wanted = written(beyond.select(F.col("u").alias("node")).distinct().join(classes, "node").select("node", "doc_id"), "wanted")
+    sizes = families.groupBy("band", "family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    wanted = written(families.select(F.col("u").alias("node")).distinct().join(classes, "node").select("node", "doc_id"), "wanted")
     with small_batches(spark, TEXTS):
         sets = written(_sets_of(docs, wanted).select(F.col("node").alias("u"), "elements"), "sets")
-    blocks = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col("band"))
-    rows = beyond.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("u"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("u", "comp", "own", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets, "u")
+    rows = families.join(sizes, ["band", "family"]).withColumn("own", F.pmod(F.xxhash64("u"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("u", "comp", "own", "band", "family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets, "u")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        lo, hi = key[1].as_py(), key[2].as_py()
+        lo, hi = key[2].as_py(), key[3].as_py()
         own = t.column("own").to_numpy()
         names, comp = np.array(t.column("u").to_pylist(), object), np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1]
         x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -579,62 +678,88 @@ def _blocks(docs: DataFrame, classes: DataFrame, beyond: DataFrame) -> DataFrame
         release()
 
     with small_batches(spark):
-        links = written(rows.groupBy("band", "lo", "hi").applyInArrow(run, "u binary, v binary"), "links")
+        links = written(rows.groupBy("band", "family", "lo", "hi").applyInArrow(run, "u binary, v binary"), "links")
     forget(spark, wanted, sets)
     return links
 
 
-def jaccard_links(docs: DataFrame, classes: DataFrame, shards: int | None = None) -> DataFrame:
-    """u, v: links between classes that connect all sets of similarity 3/4 or more. classes: node, doc_id."""
+def jaccard_links(docs: DataFrame, classes: DataFrame, schemes: dict[int, int], shards: int) -> DataFrame:
+    """u, v: links between classes that connect all sets of similarity 3/4 or more. classes: id, node, n, sketch, doc_id."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _, paired = cut(schemes)
     with small_batches(spark, TEXTS):
-        grouped = written(_group(_emit_signatures(docs, shards)), "groups")
-    links = _verified(docs, classes, _promising(grouped))
-    members = grouped.filter("kind = 1").select("u", F.col("nu").alias("n"), "sig", "band", "weight", "slack")
+        grouped = written(_group(_emit_signatures(docs, shards, schemes)), "groups")
+    # copies of a class in other tasks repeat its memberships
+    members = written(grouped.filter("kind = 1").groupBy("u", "sig").agg(*(F.first(c).alias(c) for c in ("band", "weight", "slack"))), "members")
+    twins = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("u"), F.col("id").alias("v"))
+    links = _verified(docs, classes, _promising(grouped, members, paired).union(twins))
+    forget(spark, grouped)
     if members.isEmpty():
         return links
-    labelled = written(_labelled(members, components(links)), "members")
+    clusters = components(links)
+    named = members.join(classes.select(F.col("id").alias("u"), "node", "n"), "u")
+    named = named.join(clusters, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    labelled = written(named.select(F.col("u").alias("id"), F.col("node").alias("u"), "n", "sig", "band", "weight", "slack", "comp"), "members")
+    forget(spark, members, clusters)
     # clusters per signature; the pairs across clusters bound what comparing them would cost
     by_cluster = labelled.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
     most = F.max(F.struct("c", "comp"))
     bucket = by_cluster.groupBy("sig").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("g2"), F.count(F.lit(1)).alias("clusters"), most.alias("top")).filter("clusters > 1")
     bucket = written(bucket.select("sig", F.col("top.comp").alias("top"), ((F.col("g") * F.col("g") - F.col("g2")) / 2 > SMALL_GROUP * F.col("g")).alias("skipped")), "buckets")
     open_ = labelled.join(bucket, "sig")
-    whole = lambda m: m.select("sig", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("comp_v"))
-    few = open_.filter("NOT skipped AND comp <> top").select("sig", "u", F.col("n").alias("nu"), "comp")
+    whole = lambda m: m.select("sig", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("comp_v"))
+    few = open_.filter("NOT skipped AND comp <> top").select("sig", F.col("id").alias("u"), F.col("n").alias("nu"), "comp")
     kept = few.join(whole(open_.filter("NOT skipped")), "sig").filter(F.col("comp") != F.col("comp_v")).filter(SIMILAR)
+    kept = kept.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    more = _verified(docs, classes, kept)
     # sets that left out more weight than their slack meet each other through what was left out
-    lost = open_.filter("skipped").groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("most"), F.first("comp").alias("comp"))
-    beyond = written(lost.filter("lost > most").select("u", "band", "comp"), "beyond")
-    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")]
-    out = written(links.union(_verified(docs, classes, kept.select(*ordered))).union(_blocks(docs, classes, beyond)), "links")
-    forget(spark, grouped, links, labelled, beyond)
+    skipped = open_.filter("skipped")
+    lost = skipped.groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("most"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+    beyond = written(lost.filter("lost > most").select("u", "band", "comp", "n"), "beyond")
+    out = links.union(more)
+    if not beyond.isEmpty():
+        families = _families(beyond, skipped.select("u", "sig"))
+        out = out.union(_blocks(docs, classes, families))
+        forget(spark, families)
+    out = written(out, "links")
+    forget(spark, links, more, labelled, bucket, beyond)
     return out
 
 
+def _placed(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """doc_id, h, n_shingles, label (of the component; null without words), component_id per row; see similar_groups."""
+    docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    with small_batches(spark, TEXTS):
+        rows = written(document_sets(docs), "docsets")
+    schemes, emitted = least_cost(rows.filter("node IS NULL"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(12 * emitted / SHARD_BYTES))
+    rows = rows.filter("node IS NOT NULL")
+    filled = rows.filter("n_shingles > 0").select("doc_id", "h", "n_shingles", "node")
+    short = F.conv(F.substring(F.hex("node"), 1, 12), 16, 10).cast("long").alias("id")
+    classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(short, "node", "n", "sketch", "doc_id"), "classes")
+    links = jaccard_links(docs, classes, schemes, shards)
+    repeated = filled.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v")
+    labels = components(links.union(filled.join(repeated.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))))
+    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = written(named.join(lowest, "label").select("node", "label", "component_id"), "class-components")
+    forget(spark, classes, links, labels)
+    placed = filled.join(of_class, "node").select("doc_id", "h", "n_shingles", "label", "component_id")
+    bare = rows.filter("n_shingles = 0").select("doc_id", "h", "n_shingles", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("component_id"))
+    return placed.union(bare)
+
+
 def similar_groups(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs.
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing: each is its own
     component. Rows that repeat a doc_id each have their row; those with words count as one document, which links
     what each of its texts links. A null doc_id takes part like any other and is never the smallest of a component
-    that has another. An empty table gives no rows; other columns are ignored.
+    that has another. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    docs = docs.select("doc_id", "text")
-    with small_batches(docs.sparkSession, TEXTS):
-        rows = written(document_sets(docs), "docsets")
-    filled = rows.filter("n_shingles > 0")
-    classes = written(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    links = jaccard_links(docs, classes, shards)
-    repeated = filled.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v")
-    links = links.union(filled.join(repeated.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")))
-    labels = components(links)
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = written(named.join(lowest, "label").select("node", "component_id"), "class-components")
-    placed = filled.join(of_class, "node").select("doc_id", "n_shingles", "component_id")
-    return placed.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return _placed(docs, shards).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,7 +767,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates the document with the smallest id, with its own columns."""
-    groups = similar_groups(docs)
-    gone = groups.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    """Pipeline stage: of each component of near duplicates one row, with its own columns: that of the smallest id.
+
+    Texts that are null or without words are in no component and stay. A null id comes after all others; of rows that
+    repeat the id, the text with the smallest hash stays, and of wholly repeated rows one. An empty table stays empty.
+    """
+    groups = written(_placed(docs).filter("label IS NOT NULL").groupBy("label", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "groups")
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("first")).select("label", F.col("first.doc_id").alias("d"), F.col("first.h").alias("t"))
+    stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))
+    judged = groups.join(first, "label").select(F.col("doc_id").alias("gone_d"), F.col("h").alias("gone_t"), "n", stays.alias("stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_d")) & (F.xxhash64("text") == F.col("gone_t"))
+    left = docs.join(judged.filter("NOT stays").hint("shuffle_hash"), same, "left_anti")
+    twice = written(judged.filter("stays AND n > 1"), "twice")
+    if twice.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.join(twice, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("gone_t")).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return left.join(twice, same, "left_anti").union(one.select("row.*"))

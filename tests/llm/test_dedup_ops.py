@@ -119,11 +119,15 @@ def jaccard_brute(ids, texts):
     return sorted([(ids[i], len(sets[i]), lowest[find(i)]) for i in range(len(ids))], key=str)
 
 
-@pytest.mark.parametrize(("small", "slack"), [(16, 0.06), (2, 0.06), (2, 0.0)])
-def test_jaccard_join_matches_brute_force(spark, monkeypatch, small, slack):
+@pytest.mark.parametrize(("small", "slack", "block", "scheme"), [(16, 0.06, 1000, None), (2, 0.06, 1000, 0), (2, 0.0, 5, 1), (2, 0.0, 1000, 2), (1, 0.0, 7, 2)])
+def test_jaccard_join_matches_brute_force(spark, monkeypatch, small, slack, block, scheme):
     """Small limits send the same groups through anchors, left-out signatures and the comparison beyond the slack."""
     monkeypatch.setattr(jaccard_join, "SMALL_GROUP", small)
     monkeypatch.setattr(jaccard_join, "SLACK", slack)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FILLED", 16)
+    if scheme is not None:
+        monkeypatch.setattr(jaccard_join, "least_cost", lambda measured: (dict.fromkeys(range(40), scheme), 0))
     texts = data.near_copies(seed=small)
     got = jaccard_join.similar_groups(data.frame(spark, data.rows(texts)), shards=3).collect()
     assert sorted([tuple(r) for r in got], key=str) == jaccard_brute(list(range(len(texts))), texts)
