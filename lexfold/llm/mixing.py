@@ -1,7 +1,9 @@
 """Mixing to target weights with soft membership.
 
-A classifier trained on a labelled table (multinomial naive Bayes over hashed words) gives every document a
-posterior over domains. Nonnegative rates, one per document, are then fitted so that the expected tokens of each
+A classifier trained on a labelled table gives every document a posterior over domains: multinomial logistic regression
+on the presence of those stems (the first letters of words) whose documents differ most between domains. Its posteriors
+are those of maximum likelihood, so they mean what they say (the README has held-out figures).
+Nonnegative rates, one per document, are then fitted so that the expected tokens of each
 domain, sum of rate * tokens * posterior, meet the targets in the least-squares sense.
 
 The squared residual of each domain is divided by the domain's expected tokens at rate 1. Proximal steps lead from
@@ -15,17 +17,23 @@ from __future__ import annotations
 
 import logging
 import math
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import let, table, words, written
+from lexfold.llm.common import WS, forget, let, table, written
 
 SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smallest hashes of doc_id
-FEATURES = 2048
-SMOOTHING = 0.5
-SHARPNESS = 40.0  # weight of the mean log-likelihood per word against the prior
+STEM = 5  # characters of a word that count: endings and punctuation after them do not
+VOCABULARY = 4096  # stems it knows, at most: those that tell most about the domain
+TELLING = 15.0  # least likelihood ratio statistic of a word (chi-squared with a degree a domain less one)
+CELLS = 1 << 17  # of the table that finds a word by its hash; of two in one cell the more telling stays
+PENALTY = 0.001  # of the regression (half of it on absolute, half on squared weights)
+STEPS = 60  # of fitting the regression, at most
 PROXIMAL = 1e-6
 CLOSE = 1e-4  # largest relative residual at which the targets are met
 OPTIMAL = 1e-7  # share of the tokens that a gradient step would still move, at which rates are optimal
@@ -40,43 +48,100 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).dropna().groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def _one_blank(text: Column) -> Column:
-    """text with every kind of white space a blank: splitting at one plain character needs no regular expression."""
-    for c in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
-def _features(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(FEATURES)).cast("int"))
-
-
-def train(docs: DataFrame, domains: DataFrame, names: list[str], samples: int = SAMPLES) -> tuple[list[float], list[float]]:
-    """Log prior of each domain, and log-likelihoods, feature by feature with the domains side by side."""
-    chosen = F.broadcast(domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples))  # samples rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", F.explode_outer(_features(F.col("text"))).alias("f"))
-    counts = {(r["domain"], r["f"]): r["n"] for r in rows.groupBy("domain", "f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_domain = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = [math.log((of_domain.get(d, 0) + SMOOTHING) / (sum(of_domain.values()) + SMOOTHING * len(names))) for d in names]
-    total = [sum(n for (k, f), n in counts.items() if k == d and f is not None) + SMOOTHING * FEATURES for d in names]
-    return prior, [math.log((counts.get((d, f), 0) + SMOOTHING) / total[k]) for f in range(FEATURES) for k, d in enumerate(names)]
-
-
-def scored(docs: DataFrame, prior: list[float], weights: list[float]) -> DataFrame:
-    """doc_id, t (hash of the text), rows that have both, tokens (words of one of them), p: share of each domain.
-
-    Words are exploded and summed by row map-side, in generated code; only one row per document is shuffled. Weights
-    are taken relative to the first domain's, which needs no sum of its own.
-    """
-    k = len(prior)
-    word = F.posexplode_outer(F.split(_one_blank(F.lower(F.coalesce("text", F.lit("")))), " ")).alias("pos", "w")
-    found = docs.select("doc_id", F.xxhash64("text").alias("t"), word)
-    feature = F.pmod(F.xxhash64("w"), F.lit(FEATURES)).cast("int")
-    weight = lambda j: F.when(F.col("w") != "", F.get(F.array(*(F.lit(round(x - y, 6)) for x, y in zip(weights[j::k], weights[::k]))), feature))
-    sums = found.groupBy("doc_id", "t").agg(F.count_if(F.col("pos") == 0).alias("rows"), F.count_if(F.col("w") != "").alias("words"), *(F.sum(weight(j)).alias(f"s{j}") for j in range(1, k)))
-    logs = F.array(F.lit(prior[0]), *(F.lit(prior[j]) + SHARPNESS * F.coalesce(F.col(f"s{j}"), F.lit(0.0)) / F.greatest("words", F.lit(1)) for j in range(1, k)))
-    soft = let(logs, lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))
-    return sums.select("doc_id", "t", "rows", (F.col("words") / F.col("rows")).cast("long").alias("tokens"), soft.alias("p"))
+def _split(text: Column) -> Column:
+    """Words of text in lower case; the first and the last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), WS + "+")
+
+
+def _stems(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, STEM)))
+
+
+@dataclass
+class Classifier:
+    """Log-odds of each domain against the first: in itself, and for each stem (by hash) that a text has."""
+
+    prior: list[float]
+    stems: list[tuple[int, list[float]]]
+
+    def logits(self, hashes: Column) -> Column:
+        """Of hashed stems, the log-odds of each domain: an array."""
+        cells: dict[int, tuple[int, list[float]]] = {}
+        for h, odds in self.stems:
+            cells.setdefault(h & (CELLS - 1), (h, odds))
+        # long constants as text, which is folded to an array once
+        column = lambda of, kind: F.split(F.lit(",".join(of(cells[c]) if c in cells else "0" for c in range(CELLS))), ",").cast(f"array<{kind}>")
+        cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+        held = column(lambda x: str(x[0]), "bigint")
+        odds = [column(lambda x, j=j: repr(round(x[1][j], 5)), "double") for j in range(1, len(self.prior))]
+        known = lambda hs: F.array_distinct(F.filter(hs, lambda h: F.get(held, cell(h)) == h))
+        summed = lambda hits, o: F.aggregate(hits, F.lit(0.0), lambda a, h: a + F.get(o, cell(h)))
+        total = lambda hits: F.array(F.lit(self.prior[0]), *(F.lit(p) + summed(hits, o) for p, o in zip(self.prior[1:], odds)))
+        return let(known(hashes), total) if cells else F.array(*(F.lit(p) for p in self.prior))
+
+
+def posterior(logits: Column) -> Column:
+    return let(let(logits, lambda x: F.transform(x, lambda v: F.exp(v - F.array_max(x)))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
+
+
+def telling_stems(rows: DataFrame, names: list[str]) -> list[int]:
+    """Hashes of the stems that tell most about the domain, of rows (domain, h: hashes); the most telling first."""
+    n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
+    n = [n.get(d, 0) for d in names]
+    every = sum(n)
+    present = rows.select("domain", F.explode(F.array_distinct("h")).alias("w")).filter(F.col("w") != F.xxhash64(F.lit("")))
+    df = present.groupBy("w").agg(*(F.count_if(F.col("domain") == d).alias(f"n{j}") for j, d in enumerate(names)))
+    both = sum((F.col(f"n{j}") for j in range(1, len(names))), F.col("n0"))
+
+    def term(j: int, has: bool) -> Column:
+        """observed * log(observed / expected) of a cell of the table of presence by domain"""
+        seen = F.col(f"n{j}") if has else F.lit(n[j]) - F.col(f"n{j}")
+        expected = F.lit(float(n[j])) * (both if has else F.lit(every) - both) / max(every, 1)
+        return seen * F.log(F.greatest(seen, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
+
+    ratio = 2 * sum((term(j, has) for j in range(len(names)) for has in (True, False)), F.lit(0.0))
+    told = df.filter(both >= 3).withColumn("ratio", ratio).filter(F.col("ratio") >= TELLING).orderBy(F.desc("ratio"), "w").limit(VOCABULARY)
+    return [r["w"] for r in told.collect()]
+
+
+def _fitted(rows: DataFrame, names: list[str], stems: list[int]) -> Classifier:
+    """Logistic regression of rows (domain, h: hashes of stems)."""
+    place = F.element_at(F.create_map(*(F.lit(x) for j, d in enumerate(names) for x in (d, float(j)))), F.col("domain"))
+    data = rows.select(place.alias("label"), F.transform("h", lambda h: h.cast("string")).alias("words"))
+    vectors = CountVectorizerModel.from_vocabulary([str(h) for h in stems], "words", "features", binary=True)
+    fit = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=0.5, maxIter=STEPS, standardization=False)
+    model = fit.fit(vectors.transform(data).select("label", "features"))
+    k = model.numClasses  # domains up to the last that occurs
+    weight, base = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    prior = [*(float(base[j] - base[0]) for j in range(k)), *(-20.0 for _ in names[k:])]
+    odds = weight - weight[:1]
+    return Classifier(prior, [(h, [*map(float, odds[:, i]), *(0.0 for _ in names[k:])]) for i, h in enumerate(stems) if np.abs(odds[:, i]).max() > 1e-4])
+
+
+def train(docs: DataFrame, domains: DataFrame, names: list[str], samples: int = SAMPLES) -> Classifier:
+    """The classifier of the chosen rows. Where labels are too few to fit anything, the shares of the domains alone; without any, all are equally likely."""
+    spark = docs.sparkSession
+    chosen = F.broadcast(domains.filter(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples))  # samples rows at most
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", _stems(_split(F.col("text"))).alias("h"))
+    rows = written(rows, "mixing-train")
+    stems = telling_stems(rows, names)
+    known = F.array(*(F.lit(h) for h in stems)) if stems else F.array().cast("array<long>")
+    small = written(rows.select("domain", F.array_intersect("h", known).alias("h")).coalesce(1), "mixing-train")  # samples rows of VOCABULARY numbers at most
+    n = {r["domain"]: r["n"] for r in small.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if stems and len(n) > 1:
+        out = _fitted(small, names, stems)
+    else:
+        out = Classifier([math.log((n.get(d, 0) + 0.5) / (n.get(names[0], 0) + 0.5)) for d in names], [])
+    forget(spark, rows, small)
+    return out
+
+
+def scored(docs: DataFrame, carry: list[str], model: Classifier, name: str) -> DataFrame:
+    """carry and, under name, t (hash of the text), tokens (words of it) and p (share of each domain), per row: one pass
+    over the texts, without a shuffle."""
+    body = let(_split(F.col("text")), lambda w: F.struct((F.size(w) - (F.get(w, F.lit(0)) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")).cast("long").alias("tokens"), model.logits(_stems(w)).alias("e")))
+    found = docs.select(*(F.col(f"`{c}`") for c in carry), F.struct(F.xxhash64("text").alias("t"), body.alias("b")).alias(name))
+    return found.withColumn(name, F.struct(F.col(f"{name}.t").alias("t"), F.col(f"{name}.b.tokens").alias("tokens"), posterior(F.col(f"{name}.b.e")).alias("p")))
 
 
 def _rate(p: Column, steps: list[list[float]]) -> Column:
@@ -152,7 +217,8 @@ def fit(rows: DataFrame, tokens: Column, p: Column, targets: list[float], budget
         worst = relative(now - goal)
         if worst <= CLOSE or PROXIMAL * moved <= OPTIMAL * budget:
             break
-    logging.getLogger(__name__).info("mixing rates fitted in %d proximal steps, largest relative residual %.3g", len(steps), worst)
+    log = logging.getLogger(__name__)
+    (log.info if worst <= CLOSE else log.warning)("mixing rates fitted in %d proximal steps, largest relative residual %.3g%s", len(steps), worst, "" if worst <= CLOSE else ": no nonnegative rates meet the targets")
     return steps
 
 
@@ -170,14 +236,13 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float], carry:
     name = "mixing"
     while any(c.lower() == name for c in carry):
         name += "_"
-    prior, weights = train(docs, domains, names)
-    rows = written(scored(docs, prior, weights), "mixing-rows")
-    steps = fit(rows, F.col("tokens") * F.col("rows"), F.col("p"), [targets[d] for d in names], budget)
-    u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "t"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rated = rows.select("doc_id", "t", "tokens", "p", _rate(F.col("p"), steps).alias("rate")).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
-    of = rated.select(F.col("doc_id").alias(f"{name}_d"), F.col("t").alias(f"{name}_t"), F.struct("tokens", "p", "rate", "copies").alias(name))
-    same = F.col("doc_id").eqNullSafe(F.col(f"{name}_d")) & (F.xxhash64("text") == F.col(f"{name}_t"))
-    return docs.join(of.hint("shuffle_hash"), same).select(*(F.col(f"`{c}`") for c in carry), name), name
+    rows = written(scored(docs, carry, train(docs, domains, names), name), "mixing-rows")
+    of = lambda c: F.col(f"{name}.{c}")
+    steps = fit(rows.select(of("tokens").alias("tokens"), of("p").alias("p")), F.col("tokens"), F.col("p"), [targets[d] for d in names], budget)
+    u = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id") if "doc_id" in carry else F.lit(0), of("t")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rate = _rate(of("p"), steps)
+    rated = let(rate, lambda r: F.struct(of("tokens").alias("tokens"), of("p").alias("p"), r.alias("rate"), F.floor(r + u).cast("int").alias("copies")))
+    return rows.select(*(F.col(f"`{c}`") for c in carry), rated.alias(name)), name
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +252,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as many times as its rate says; those of rate below one may go."""
+    """Pipeline stage: every document as many times as its rate says; those of rate below one may go.
+
+    Null, empty and very long texts, repeated rows, empty tables and other columns (whatever their names) are treated as
+    mixed() says; ties do not occur, as every row is judged by itself.
+    """
     rows, name = mixed(docs, labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
     times = F.sequence(F.lit(1), F.col(f"{name}.copies"))
     rows = rows.filter(F.col(f"{name}.copies") >= 1)
-    return rows.select(*docs.columns, F.explode(F.when(F.col(f"{name}.copies") >= 1, times).otherwise(F.array().cast("array<int>"))).alias(f"{name}_time")).drop(f"{name}_time")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.when(F.col(f"{name}.copies") >= 1, times).otherwise(F.array().cast("array<int>"))).alias(f"{name}_time")).drop(f"{name}_time")

@@ -1,4 +1,4 @@
-"""Rates are fitted to the optimum."""
+"""The classifier and its stems against numpy; rates are fitted to the optimum."""
 
 import random
 
@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexfold.llm import mixing
+from tests.llm import data
 
 
 def _rates(spark, p, targets):
@@ -33,3 +34,44 @@ def test_rates_are_optimal_where_targets_cannot_be_met(spark):
     off = 100 * rate @ p - max(base[0] / 0.9, 0) * np.array([0.9, 0.09, 0.01])
     gradient = p @ (off / base)
     assert (rate >= 0).all() and (gradient > -1e-4).all() and np.abs(gradient[rate > 1e-6]).max() < 1e-4
+
+
+def _labelled(n=300, seed=8):
+    r = random.Random(seed)
+    common = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows, kinds = [], []
+    for i in range(n):
+        kind = "toxic" if i % 10 == 0 else "poor" if i % 4 == 0 else "good"
+        words = [r.choice(common) + r.choice(["", "s", ",", "."]) for _ in range(30)]
+        if kind == "toxic" and r.random() < 0.8:
+            words[r.randrange(30)] = "vile" + r.choice(["", "!", "."])
+        if kind == "poor" and r.random() < 0.7:
+            words[r.randrange(30)] = "junkyard" + r.choice(["", "s"])
+        rows.append((i, " ".join(words), "en", "s", 0))
+        kinds.append((i, kind))
+    return rows, kinds
+
+
+def test_posteriors_are_those_of_the_regression_and_held_out_documents_are_recognised(spark):
+    rows, kinds = _labelled()
+    docs = data.frame(spark, rows)
+    domains = spark.createDataFrame([k for k in kinds if k[0] < 200], "doc_id long, domain string")
+    names = ["good", "poor", "toxic"]
+    model = mixing.train(docs, domains, names)
+    got = mixing.scored(docs, ["doc_id"], model, "m").orderBy("doc_id").collect()
+    stem = {r["h"]: r["s"] for r in spark.createDataFrame([("vile",), ("junky",), ("vile!",), ("vile.",)], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
+    assert {h for h, _ in model.stems} <= set(stem)
+    for r, (_, text, *_) in zip(got, rows):
+        has = {w[:5] for w in text.split()}
+        logits = np.array(model.prior) + sum((np.array(odds) for h, odds in model.stems if stem[h] in has), np.zeros(3))
+        assert np.allclose(r["m"]["p"], np.exp(logits) / np.exp(logits).sum(), atol=1e-4) and r["m"]["tokens"] == 30
+    held = [(names[int(np.argmax(r["m"]["p"]))], k) for r, (_, k) in zip(got[200:], kinds[200:])]
+    assert sum(a == b for a, b in held) / len(held) > 0.8  # a good share of the marked ones; guessing good gives 0.68
+
+
+def test_stages_take_dotted_and_clashing_columns(spark, tmp_path):
+    rows, kinds = _labelled(60)
+    docs = data.frame(spark, rows).withColumn("a.b", F.lit(1)).withColumn("mixing", F.lit("mine")).withColumn("tokens", F.lit(2))
+    spark.createDataFrame([(i, int(k == "good"), int(k == "toxic")) for i, k in kinds], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = mixing.mix_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and 0 < out.count() <= 3 * len(rows)
