@@ -1,11 +1,15 @@
 """Quality rules: base counts, then robust multivariate outliers within each language and source.
 
 Four statistics per document, transformed to be roughly bell-shaped, are judged by their Mahalanobis distance from
-the minimum-covariance-determinant estimate of the document's (lang, source) group. The estimate starts from
-two centres, medians with quartile ranges and means with covariances. From each it is concentrated, the nearest three
-quarters of the group giving the next centre and covariance, until no group's determinant falls any more; a group keeps
-the estimate of least determinant. All order statistics come from histograms of fixed resolution, so groups of any
-size are aggregated map-side and no group meets in one task.
+the minimum-covariance-determinant estimate of the document's (lang, source) group. From three starts (medians with
+quartile ranges, means with covariances, means and covariances weighted by the inverse distance from the medians) the
+estimate is concentrated, the nearest three quarters of the group giving the next centre and covariance, until the
+determinant falls no more; a group keeps the estimate of least determinant. A group too small for an estimate of its own
+is judged by that of its language, and a language too small by that of all documents.
+
+A step is one aggregation: documents are counted and their moments summed by bin of distance, map-side first, and the
+nearest bins give the next estimate. So groups of any size never meet in one task, and what a step shuffles does not
+grow with the documents.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from lexfold.llm.common import let, table, words, written
 
 SHARE = 0.75  # of a group that a concentration step takes
 CORRECTION = 1.485  # makes the covariance of the nearest 75 % consistent for four normal variables
-SETTLED = 1e-6  # fall of a log determinant that counts as none
-MIN_GROUP = 50  # smaller groups of a language are pooled; a pool that is still smaller gives no estimate and passes
-CUTOFF = 30.0  # squared distance from which a document is an outlier: set on labels, the README has recall and false rejections
+SETTLED = 1e-4  # fall of a log determinant that counts as none
+MIN_GROUP = 50  # smaller groups are judged by their language, smaller languages by all documents
+MIN_ALL = 10  # of fewer documents nothing can be estimated (twice the statistics and one): they are kept
+CUTOFF = 28.47  # squared distance from which a document is an outlier: 0.99999 quantile of chi-squared with 4 degrees
+FEW = 20_000  # estimates that are broadcast; more are joined by shuffle
 FLOORS = (0.05, 0.05, 0.08, 0.08)  # standard deviation added to each statistic, so that constant ones are no trap
 X = ("x1", "x2", "x3", "x4")
-FINE = 256  # histogram bins per unit
+FINE = 1024  # histogram bins per unit
 FACTOR = [f"l{i}{j}" for i in range(1, 5) for j in range(1, i + 1)]
 
 
@@ -99,75 +105,100 @@ def _columns() -> dict[str, Column]:
     return {c: F.col(c) for c in (*X, *(f"m{i}" for i in range(1, 5)), *FACTOR)}
 
 
-def _factored(moments: DataFrame, scale: float) -> DataFrame:
-    """Adds the Cholesky factor of scale * covariance + floors."""
-    out = moments
+MOMENTS = [(j, i) for i in range(1, 5) for j in range(1, i + 1)]
+ESTIMATE = [*(f"m{i}" for i in range(1, 5)), *FACTOR, "det"]
+
+
+def _beside(estimates: DataFrame) -> DataFrame:
+    """A written table of estimates, to be broadcast if it is known to be small."""
+    return F.broadcast(estimates) if estimates.limit(FEW + 1).count() <= FEW else estimates
+
+
+def _sums(weight: Column | None = None) -> list[Column]:
+    """Aggregates that give means and covariances: n, s1..s4, s11..s44."""
+    of = lambda c: F.sum(c if weight is None else weight * c)
+    return [of(F.lit(1.0)).alias("n"), *(of(F.col(x)).alias(f"s{x[1]}") for x in X), *(of(F.col(f"x{j}") * F.col(f"x{i}")).alias(f"s{j}{i}") for j, i in MOMENTS)]
+
+
+def _estimated(sums: DataFrame, key: list[str], scale: float) -> DataFrame:
+    """key, means, the Cholesky factor of scale * covariance + floors, and the logarithm of its determinant."""
+    out = sums.select(*key, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(1, 5)), *((F.col(f"s{j}{i}") / F.col("n")).alias(f"s{j}{i}") for j, i in MOMENTS))
     for i in range(1, 5):
         for j in range(1, i + 1):
-            c = scale * F.col(f"c{j}{i}") + (FLOORS[i - 1] ** 2 if i == j else 0.0)
+            c = F.col(f"s{j}{i}") - F.col(f"m{j}") * F.col(f"m{i}")
+            c = scale * (F.greatest(c, F.lit(0.0)) if i == j else c) + (FLOORS[i - 1] ** 2 if i == j else 0.0)
             for k in range(1, j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(1, 5)), *FACTOR)
+    return out.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(2, 5)), F.log("l11"))).select(*key, *ESTIMATE)
 
 
-def _start(stats: DataFrame) -> DataFrame:
+def _medians(stats: DataFrame) -> DataFrame:
     """Medians and quartile ranges of each group, as centre and diagonal factor."""
     bins = stats.select("g", F.posexplode(F.array(*X)).alias("k", "x")).groupBy("g", "k", F.floor(F.col("x") * FINE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("g", "k")
     run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / FINE
-    flat = run.groupBy("g", "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"), F.max("all").alias("all"))
+    flat = run.groupBy("g", "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
     of = lambda c, k: F.max(F.when(F.col("k") == k - 1, F.col(c)))
-    wide = flat.groupBy("g").agg(F.max("all").alias("all"), *(of("mid", k).alias(f"m{k}") for k in range(1, 5)), *(((of("hi", k) - of("lo", k)) / 1.349 + FLOORS[k - 1]).alias(f"l{k}{k}") for k in range(1, 5)))
+    wide = flat.groupBy("g").agg(*(of("mid", k).alias(f"m{k}") for k in range(1, 5)), *(((of("hi", k) - of("lo", k)) / 1.349 + FLOORS[k - 1]).alias(f"l{k}{k}") for k in range(1, 5)))
     off = [F.lit(0.0).alias(c) for c in FACTOR if c[1] != c[2]]
-    return wide.filter(F.col("all") >= MIN_GROUP).select("*", *off).select("g", *(f"m{i}" for i in range(1, 5)), *FACTOR)
+    return wide.select("*", *off, F.lit(None).cast("double").alias("det")).select("g", *ESTIMATE)
 
 
-def _concentrated(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """One step: estimate anew from the nearest SHARE of each group (whole bins of the distance)."""
-    placed = stats.join(params, "g").select("g", *X, F.floor(F.log(1 + _distance(_columns(), _columns())) * FINE).alias("bin"))
-    bins = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("g")
-    run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    limit = run.filter(F.col("upto") >= SHARE * F.col("all")).groupBy("g").agg(F.min("bin").alias("limit"))
-    near = placed.join(limit, "g").filter("bin <= limit")
-    return _factored(_moments(near), CORRECTION)
+def _starts(stats: DataFrame) -> DataFrame:
+    """g, start and an estimate of each."""
+    medians = written(_medians(stats), "quality-fit")
+    means = _estimated(stats.groupBy("g").agg(*_sums()), ["g"], 1.0)
+    near = stats.join(_beside(medians), "g").withColumn("w", 1 / (1 + F.sqrt(_distance(_columns(), _columns()))))
+    signs = _estimated(near.groupBy("g").agg(*_sums(F.col("w"))), ["g"], 1.0)
+    each = [df.select("g", F.lit(k).alias("start"), *ESTIMATE) for k, df in enumerate((medians, means, signs))]
+    return written(each[0].union(each[1]).union(each[2]), "quality-fit")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("g").agg(
-        *(F.avg(f"x{i}").alias(f"m{i}") for i in range(1, 5)),
-        *(F.covar_pop(f"x{j}", f"x{i}").alias(f"c{j}{i}") for i in range(1, 5) for j in range(1, i + 1)),
-    )
+def _concentrated(stats: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step of every estimate (g, start): from the nearest SHARE of the group, in whole bins of the distance."""
+    placed = stats.join(_beside(estimates), "g").withColumn("bin", F.floor(F.log(1 + _distance(_columns(), _columns())) * FINE))
+    bins = placed.groupBy("g", "start", "bin").agg(*_sums())
+    w = Window.partitionBy("g", "start")
+    run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    sums = ["n", *(f"s{i}" for i in range(1, 5)), *(f"s{j}{i}" for j, i in MOMENTS)]
+    near = run.filter(F.col("upto") - F.col("n") < SHARE * F.col("all")).groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in sums))
+    return _estimated(near, ["g", "start"], CORRECTION)
 
 
-def _settled(stats: DataFrame, start: DataFrame) -> DataFrame:
-    """Concentrated from start until no group's determinant falls; of each group the estimate of least determinant."""
-    det = 2 * sum((F.log(f"l{i}{i}") for i in range(2, 5)), F.log("l11"))
-    now = written(_concentrated(stats, start).withColumn("det", det), "quality-fit")
-    best = now
+def _least(stats: DataFrame) -> DataFrame:
+    """Of each group the estimate of least determinant, concentrated from all starts until none falls any more."""
+    spark = stats.sparkSession
+    now, done = written(_concentrated(stats, _starts(stats)), "quality-fit"), []
     while True:
-        now = written(_concentrated(stats, now.drop("det")).withColumn("det", det), "quality-fit")
-        both = best.join(now.select("g", F.struct(*(c for c in now.columns if c != "g")).alias("new")), "g")
-        falls = F.col("new.det") < F.col("det") - SETTLED
-        best = written(both.select("g", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in now.columns if c != "g"), falls.alias("fell")), "quality-fit")
-        fell, best = best.filter("fell").limit(1).count(), best.drop("fell")
-        if not fell:
-            return best
+        step = _concentrated(stats, now).select("g", "start", F.struct(*ESTIMATE).alias("new"))
+        both = written(now.join(step, ["g", "start"]).withColumn("falls", F.col("new.det") < F.col("det") - SETTLED), "quality-fit")
+        done.append(both.select("g", F.when(F.col("new.det") < F.col("det"), F.col("new")).otherwise(F.struct(*ESTIMATE)).alias("e")))
+        now = both.filter("falls").select("g", "start", "new.*")
+        if now.isEmpty():
+            break
+    every = done[0]
+    for df in done[1:]:
+        every = every.union(df)
+    return written(every.groupBy("g").agg(F.min_by("e", F.col("e.det")).alias("e")).select("g", "e.*"), "quality-fit")
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """g, m1..m4, l11..l44 per group; stats: lang, g, x1..x4."""
-    counts = stats.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
-    pools = written(counts.select("g", F.when(F.col("n") < MIN_GROUP, F.concat(F.lit("\x02"), "lang")).otherwise(F.col("g")).alias("pool")), "quality-pools")
-    pooled = stats.join(pools, "g").select(F.col("pool").alias("g"), *X)
-    medians = written(_start(pooled), "quality-fit")
-    means = _factored(_moments(pooled).join(medians.select("g"), "g", "left_semi"), 1.0)
-    ends = [_settled(pooled, start) for start in (medians, means)]
-    least = ends[0].union(ends[1]).groupBy("g").agg(*(F.min_by(c, "det").alias(c) for c in medians.columns if c != "g"))
-    params = written(least, "quality-fit")
-    return pools.join(params.withColumnRenamed("g", "pool"), "pool").drop("pool")
+    counts = written(stats.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n")), "quality-groups")
+    of_lang = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"), (F.min("n") < MIN_GROUP).alias("asked"))
+    asked = of_lang.agg(F.sum("n_lang").alias("n"), F.max(F.col("asked") & (F.col("n_lang") < MIN_GROUP)).alias("asked")).first()
+    lang, every = F.concat(F.lit("\x02"), "lang"), F.lit("\x03")
+    large, spoken = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
+    judge = F.when(large, F.col("g")).when(spoken, lang).otherwise(every)
+    gives = F.array_compact(F.array(F.when(large, F.col("g")), F.when(F.col("asked") & spoken, lang), F.when(F.lit(bool(asked["asked"])), every)))
+    pools = written(counts.join(of_lang, "lang").select("g", judge.alias("pool"), gives.alias("gives")), "quality-pools")
+    pooled = written(stats.join(_beside(pools), "g").select(F.explode("gives").alias("g"), *X), "quality-stats")
+    least = _least(pooled)
+    if (asked["n"] or 0) < MIN_ALL:
+        least = least.filter("false")
+    return written(pools.select("g", "pool").join(least.withColumnRenamed("g", "pool"), "pool").drop("pool", "det"), "quality-fit")
 
 
 def judged(docs: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -186,7 +217,7 @@ def judged(docs: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame,
     params = fit(rows.filter(~q("base_failed")).select(q("g").alias("g"), q("lang").alias("lang"), *(q(x).alias(x) for x in X)))
     model = params.select("g", F.struct(*(c for c in params.columns if c != "g")).alias(f"{name}_model")).withColumnRenamed("g", f"{name}_g")
     d2 = let(F.struct(F.col(name), F.col(f"{name}_model")), lambda s: _distance(s[name], s[f"{name}_model"]))
-    out = rows.join(model, q("g") == F.col(f"{name}_g"), "left").withColumn(
+    out = rows.join(_beside(model), q("g") == F.col(f"{name}_g"), "left").withColumn(
         name,
         F.struct(
             *(q(f).alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
@@ -203,6 +234,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, with their own columns."""
+    """Pipeline stage: documents that the rules keep, with their own columns; nulls, repeats and other names as in judged()."""
     rows, name = judged(docs)
     return rows.filter(f"{name}.kept").drop(name)
