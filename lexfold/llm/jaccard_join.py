@@ -56,9 +56,9 @@ SCHEMES = ((0, 1), (2, 1), (4, 2))  # shingles a segment at the top of a band (0
 PAIR_COST = 0.25  # of a pair that signatures bring together, in signatures
 COUNTERS = 256  # of the sketch of a scheme's pairs
 SHARD_BYTES = 8 << 20  # of signatures that meet in one place, about
-FLUSH_BYTES, FLUSH_CLASSES = 6 << 20, 30_000
+FLUSH_BYTES, FLUSH_CLASSES = 3 << 20, 30_000
 TEXTS = 1_000  # texts that go to Python at a time
-SLICE = 2 << 20  # bytes of text that are hashed at once
+SLICE = 1 << 20  # bytes of text that are hashed at once
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1_000, 1 << 20, 4_096  # sets and their shingles in a block; shared shingles multiplied at once
 BITMAP = 1 << 26  # most bits of the filter that spares other documents the second reading; any number of ids is correct
 
