@@ -8,6 +8,8 @@ has the key can invert it.
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import hashlib
 import math
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexfold.llm.common import table
+from lexfold.llm.common import map_arrow, table
 
 ROUNDS = 8
+KEY_SETTING = "spark.lexfold.pii.key"  # the session setting that op7 takes its key from
 DEMO_KEY = b"set a secret key of your own in production"
 
 # Where each kind can begin, in order of preference at the same start.
@@ -40,8 +43,11 @@ PATTERN = re.compile(
 # A run of digit groups ends where a date or number of its own format begins.
 WITHIN = re.compile(r"(?<=\x20)(?:(?P<iso>\d{4}-\d{2}-\d{2}(?=T\d|(?![A-Za-z0-9-])))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])))", re.A)
 KINDS = ("email", "iban", "ip", "iso", "dmy", "ssn", "card", "phone")
-DAY_FIRST = datetime.date(1900, 1, 1).toordinal()
-DAYS = datetime.date(2100, 1, 1).toordinal() - DAY_FIRST
+YEARS = range(1900, 2100)
+# Days up to the twelfth, and later ones: each kind is permuted within itself, so that a date that can only be read day
+# or month first stays so, and is linked to the same date in every other format.
+EARLY = [datetime.date(y, m, d) for y in YEARS for m in range(1, 13) for d in range(1, 13)]
+LATE = [datetime.date(y, m, d) for y in YEARS for m in range(1, 13) for d in range(13, calendar.monthrange(y, m)[1] + 1)]
 
 
 class Feistel:
@@ -155,27 +161,29 @@ def pseudonym(kind: str, value: str, step: Step) -> str | None:
         rest = _text(step, f"iban{plain[:2]}", plain[4:])
         return _refill(value, plain[:2] + iban_check(plain[:2], rest) + rest)
     if kind == "ip":
+        parts = value.split(".")  # each part keeps its number of digits
+        first, size = zip(*(((0, 10), (10, 90), (100, 156))[len(p) - 1] for p in parts))
         x = 0
-        for part in value.split("."):
-            x = x * 256 + int(part)
-        y = step(x, 1 << 32, kind)
-        return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
+        for p, low, n in zip(parts, first, size):
+            x = x * n + int(p) - low
+        x, out = step(x, math.prod(size), "ip" + "".join(str(len(p)) for p in parts)), []
+        for low, n in zip(first[::-1], size[::-1]):
+            x, d = divmod(x, n)
+            out.append(str(low + d))
+        return ".".join(out[::-1])
     if kind in ("iso", "dmy"):
         y, m, d = (plain[:4], plain[4:6], plain[6:]) if kind == "iso" else (plain[4:], plain[2:4], plain[:2])
         us = False
         if kind == "dmy" and int(m) > 12 >= int(d):  # month first
             us, m, d = True, d, m
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal() - DAY_FIRST
+            day = datetime.date(int(y), int(m), int(d))
         except ValueError:
             return None
-        if not 0 <= day < DAYS:
+        if day.year not in YEARS:
             return None
-        # one permutation for all formats, so that a date stays linked however it is written
-        to = datetime.date.fromordinal(DAY_FIRST + step(day, DAYS, "date"))
-        if us:  # only dates that again can't be read day first keep the format unambiguous
-            while to.day <= 12:
-                to = datetime.date.fromordinal(DAY_FIRST + step(to.toordinal() - DAY_FIRST, DAYS, "date"))
+        days = EARLY if day.day <= 12 else LATE
+        to = days[step(bisect.bisect_left(days, day), len(days), "early" if day.day <= 12 else "late")]
         return _refill(value, to.strftime("%Y%m%d") if kind == "iso" else to.strftime("%m%d%Y" if us else "%d%m%Y"))
     if kind == "ssn":
         valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
@@ -262,12 +270,16 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, columns: list[str] | No
     """columns of docs (all by default) with text replaced, then pii_spans: array of kind, start, end.
 
     Null text stays null with no spans. Rows are rewritten one by one, repeated ones alike; an empty table stays
-    empty; columns of other names pass through (a column named pii_spans is not allowed to be among them).
+    empty; columns of other names pass through. Where one is named pii_spans, underscores are added to the name of
+    the last column. Hosts of addresses stay as they are.
     """
     columns = docs.columns if columns is None else columns
+    name = "pii_spans"
+    while any(c.lower() == name for c in columns):
+        name += "_"
     rows = docs.select(*(F.col(f"`{c}`") for c in columns))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*rows.schema.fields, T.StructField("pii_spans", T.ArrayType(span))])
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(span))])
     where = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +292,13 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, columns: list[str] | No
                 texts.append(new)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e, _ in found])
             out = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(spans, kind)], [*columns, "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(spans, kind)], [*columns, name])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pseudonymise(table(spark, sf_dir, "documents"), columns=["doc_id", "text"])
+    key = spark.conf.get(KEY_SETTING, None)
+    rows = pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else DEMO_KEY, columns=["doc_id", "text"])
     kind = F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return rows.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"), F.array_join(kind, ",").alias("spans"))

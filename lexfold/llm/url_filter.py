@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import table
+from lexfold.llm.common import map_arrow, table
 
 #: Verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -164,7 +164,7 @@ def judge(pages: DataFrame, carry: list[str], counts: dict[str, int], rules=RULE
     from pyspark.sql import types as T
 
     text = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
-    return ruled.mapInArrow(run, T.StructType([*(ruled.schema[c] for c in carry), *text, T.StructField("score", T.DoubleType())]))
+    return map_arrow(ruled, run, T.StructType([*(ruled.schema[c] for c in carry), *text, T.StructField("score", T.DoubleType())]))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Personal data beside other numbers is found."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexfold.llm import pii
+from tests.llm import data
 
 CARD = "4111 1111 1111 1111"
 
@@ -22,3 +26,55 @@ def test_cards_beside_other_numbers_are_found(text):
 def test_dates_before_a_time_are_found():
     spans = pii.rewrite("2024-01-02T10:00 and 2024-01-02Tea", pii.Feistel(b"key").permute)[1]
     assert spans == [("iso", 0, 10, "2024-01-02")]
+
+
+def test_a_day_is_linked_in_all_formats():
+    step = pii.Feistel(b"key").permute
+    seen = set()
+    for day in range(1, 32):
+        iso, dmy, us = f"2024-01-{day:02d}", f"{day:02d}.01.2024", f"01/{day:02d}/2024"
+        y, m, d = pii.rewrite(iso, step)[0].split("-")
+        assert pii.rewrite(dmy, step)[0] == f"{d}.{m}.{y}" and (int(d) > 12) == (day > 12)
+        if day > 12:  # can only be read month first
+            assert pii.rewrite(us, step)[0] == f"{m}/{d}/{y}"
+        seen.add((y, m, d))
+        assert pii.rewrite("-".join((y, m, d)), pii.Feistel(b"key").invert)[0] == iso
+    assert len(seen) == 31
+
+
+def test_query_finds_planted_values_and_keeps_the_rest(spark, tmp_path):
+    values = {"card": CARD, "iban": "DE89370400440532013000", "ip": "10.20.30.40", "iso": "2024-02-29", "ssn": "123-45-6789", "email": "some.one@example.com"}
+    r = random.Random(2)
+    rows, want = [], {}
+    for i in range(60):
+        words = [r.choice(["plain", "words", "of", "a", "text", "12", "2024"]) for _ in range(25)]
+        planted = r.sample(sorted(values), r.randint(0, 3))
+        for k in planted:
+            words.insert(r.randrange(len(words)), "see " + values[k] + ",")
+        text = " ".join(words)
+        rows.append((i, text, "en", "s", 0))
+        want[i] = sorted((text.find(values[k]), k, values[k]) for k in planted)
+    data.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(pii.KEY_SETTING, "a key of the session")
+    try:
+        got = pii.op7_pii(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert [f.dataType.simpleString() for f in spark.read.parquet(str(tmp_path / "documents.parquet")).schema][:2] == ["bigint", "string"]
+    linked = {}
+    for g in got:
+        text = rows[g["doc_id"]][1]
+        assert g["n_found"] == len(want[g["doc_id"]]) and g["spans"] == ",".join(f"{k}:{a}:{a + len(v)}" for a, k, v in want[g["doc_id"]])
+        at = 0
+        for a, _, v in want[g["doc_id"]]:
+            assert g["text"][at:a] == text[at:a] and g["text"][a : a + len(v)] != v
+            assert linked.setdefault(v, g["text"][a : a + len(v)]) == g["text"][a : a + len(v)]
+            at = a + len(v)
+        assert g["text"][at:] == text[at:]
+    assert linked["123-45-6789"] != pii.rewrite("123-45-6789", pii.Feistel(pii.DEMO_KEY).permute)[0]
+
+
+def test_clashing_names_nulls_and_long_texts(spark):
+    df = data.odd(spark).withColumns({"pii_spans": F.lit("mine"), "a.b": F.lit(1)})
+    out = pii.pseudonymise(df)
+    assert out.columns == [*df.columns, "pii_spans_"] and out.drop("pii_spans_").exceptAll(df).count() == 0
