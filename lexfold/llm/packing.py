@@ -284,12 +284,12 @@ class Plan:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length and any other columns) with sequence_id and offset.
 
-    Pieces of one length are interchangeable: their ranks follow a hash of doc_id and piece, in BUCKETS parts that
-    are counted apart, so a length that a third of all rows share is not ranked in one task.
+    Pieces of one length are interchangeable: they are ranked in BUCKETS parts that are counted apart, so a length
+    that a third of all rows share is not ranked in one task, even where those are one row repeated.
     """
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    rows = pieces.withColumn("_part", part)
+    part = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
+    rows = written(pieces.withColumn("_part", part), "pack-pieces")
     counts = written(rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row per length
     places = np.array(sorted(Plan(histogram, capacity).places), np.int64).reshape(-1, 5)
@@ -330,8 +330,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     table gives no rows; other columns are ignored. Every piece is placed exactly once and sequences have no gaps
     before their last piece ends.
     """
-    pieces = written(tokenised(docs, path or tokenizer_path(), capacity), "pack-pieces")
-    return pack(pieces, capacity)
+    return pack(tokenised(docs, path or tokenizer_path(), capacity), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
