@@ -1,12 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of labelled text is built per language. A text is parsed against it from left to right into
-longest matches: a phrase ends where the automaton cannot follow, and the next begins there. The language whose
-automaton needs fewest phrases per character wins. As a phrase starts anew at the automaton's root, parsing needs
-only its forward moves; these become one dense table per language, and many pieces of text are parsed in step.
+longest matches: a phrase ends where the automaton cannot follow, and the next begins there. Phrases times the logarithm
+of the labelled text's length, over the length of the text, estimate the cross entropy; the language of the least wins.
+As a phrase starts anew at the automaton's root, parsing needs only its forward moves. Each language has the letters of
+its own labelled text; what else is a letter is unknown to it and a phrase of its own.
 
-Texts are parsed whole, in pieces of PIECE characters whose phrases add up (each piece starts a phrase of its own,
-the same way for every language).
+Texts are parsed whole. Long ones are cut into pieces that are parsed in step, each as if a phrase began there; then the
+parse of each piece is carried on into the next until the two agree, which they do after a few phrases, and the phrases
+up to there are counted by the one that was carried on. So counts are those of one parse from left to right.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexfold.llm.common import table
+from lexfold.llm.common import map_arrow, table
 
-PER_LANGUAGE = 200  # labelled documents per language, at most: those with the smallest hash of doc_id
-TRAIN_CHARS = 40_000  # characters of them that an automaton holds, at most, taken evenly from the documents
-ALPHABET = 64  # character classes: the most frequent letters, one class for all others, one for what parts words
+PER_LANGUAGE = 200  # labelled documents per language, at most: those with the smallest hash
+TRAIN_CHARS = 60_000  # characters that those have together, at most; each is learned from whole (a single one may be longer)
+DENSE = 1 << 23  # cells of a table of moves; an automaton that needs more keeps its moves sorted
 PIECE = 2048
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 UNKNOWN = "und"
 
 
@@ -33,28 +36,30 @@ def crc_part() -> Column:
 
 
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Labelled text per language, of at most `chars` characters, in a stable order.
+    """Labelled text per language, in a stable order: whole texts of at most per_language documents, which have at most
+    `chars` characters together (or are one document).
 
-    The per_language smallest hashes are first taken within each of many parts and then among those, so that no
-    language's rows meet in one task.
+    Only the share of a language's documents whose hash promises some times as many as are needed is ranked, so no
+    language's rows meet in one task. Rows that repeat a document count once.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).withColumn("h", F.xxhash64("doc_id", "lang"))
-    ids = rows.select("lang", "doc_id", "h", F.pmod("h", F.lit(256)).alias("part"))
-    for by in (["lang", "part"], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("rank") <= per_language).drop("rank")
-    chosen = F.broadcast(ids.select("lang", "doc_id").distinct())  # bounded: per_language rows a language
-    share = max(1, chars // per_language)
-    # of each chosen document a middle stretch: this bounds what is learned, predictions read whole texts
-    stretch = F.substring("text", 1 + F.greatest(F.lit(0), (F.char_length("text") - share).cast("int") / 2).cast("int"), F.lit(share * 2))
-    got = rows.join(chosen, ["lang", "doc_id"]).select("lang", "h", "doc_id", stretch.alias("t")).collect()
-    out: dict[str, str] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["doc_id"] if r["doc_id"] is not None else -1, r["t"])):
-        out[r["lang"]] = out.get(r["lang"], "") + "\n" + r["t"]
-    return {k: v[:chars] for k, v in out.items()}
-
-
-def _automaton(codes: list[int], size: int) -> np.ndarray:
-    """Moves of the suffix automaton of codes: next state, or -1; one row per state."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    ids = rows.select("lang", "h", F.char_length("text").alias("size"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = ids.join(F.broadcast(counts), "lang").filter((share * F.col("n") <= 8 * per_language) & ((F.col("size") <= chars) | (F.col("size") == F.col("least"))))  # counts: a row a language
+    some = some.groupBy("lang", "h").agg(F.first("size").alias("size"))
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = some.withColumn("upto", F.sum("size").over(order)).withColumn("rank", F.row_number().over(order))
+    chosen = F.broadcast(ranked.filter(((F.col("upto") <= chars) & (F.col("rank") <= per_language)) | (F.col("rank") == 1)).select("lang", "h"))
+    got = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("t")).collect()  # chars a language
+    out: dict[str, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["h"])):
+        out.setdefault(r["lang"], []).append(r["t"])
+    return {k: "\n".join(v) for k, v in out.items()}
+
+
+def _automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Moves of the suffix automaton of codes, by state."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -80,87 +85,141 @@ def _automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(moves), size), -1, np.int32)
-    for s, m in enumerate(moves):
-        if m:
-            out[s, list(m)] = list(m.values())
-    return out
+    return moves
+
+
+class Moves:
+    """Moves of a parse: state * 2, plus one where a phrase ended, from a state and a class of character.
+
+    State 0 is before the first character. Where the automaton cannot follow, the next phrase begins with the character
+    itself. One table, or, for many states and classes, the moves in order of state and class.
+    """
+
+    def __init__(self, moves: list[dict[int, int]], size: int):
+        self.size, alone = size, len(moves)  # alone: after a character unknown to the language, a phrase of its own
+        self.root = np.full(size, alone, np.int64)
+        self.root[list(moves[0])] = list(moves[0].values())
+        count = np.array([len(m) for m in moves] + [0])
+        state = np.repeat(np.arange(len(count)), count)
+        letter = np.fromiter((c for m in moves for c in m), np.int64, len(state))
+        to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state))
+        key = state * size + letter
+        self.dense = len(count) * size <= DENSE
+        if self.dense:
+            table = np.tile(self.root * 2 + 1, (len(count), 1)).astype(np.int32)
+            table[0] = self.root * 2  # where a text begins, no phrase has ended
+            table = table.ravel()
+            table[key] = to * 2
+            self.table = table
+        else:
+            order = np.argsort(key)
+            self.key, self.to = key[order], to[order]
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.table[state * self.size + letter]
+        key = state * self.size + letter
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        found = self.key[at] == key
+        return np.where(found, self.to[at] * 2, self.root[letter] * 2 + (state > 0))
+
+
+LETTER = np.zeros(0x110000, bool)
+
+
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    if not LETTER.any():
+        LETTER[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
+    return LETTER
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def squeezed(code: np.ndarray) -> np.ndarray:
+    """Which positions stay when runs of other than letters count as one, at the start not at all."""
+    gap = ~letters()[code]
+    return ~(gap & np.concatenate([[True], gap[:-1]])) if len(code) else gap
+
+
+class Language:
+    """Classes of characters and moves of one language, made from its labelled text."""
+
+    def __init__(self, text: str):
+        seen = sorted({ch for ch in text.lower() if ch.isalpha() and len(ch) == 1})
+        self.classes = np.ones(0x110000, np.uint16)  # 0: what parts words, 1: unknown letters
+        self.classes[~letters()] = 0
+        for k, ch in enumerate(seen, 2):
+            self.classes[ord(ch)] = k
+            if len(up := ch.upper()) == 1 and up.isalpha():
+                self.classes[ord(up)] = k
+        code = points(text)
+        known = self.classes[code[squeezed(code)]]
+        self.moves = Moves(_automaton(known.tolist()), len(seen) + 2)
+        self.weight = float(np.log2(len(known) + 2))
+
+    def phrases(self, code: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Phrases of each text; code: code points of the squeezed texts, one after the other."""
+        c, step = self.classes[code].astype(np.int64), self.moves.step
+        n, begin = len(length), np.cumsum(length) - length
+        pieces = -(-length // PIECE)
+        owner = np.repeat(np.arange(n), pieces)
+        index = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size, start = np.minimum(PIECE, length[owner] - index * PIECE), begin[owner] + index * PIECE
+        alone, end = self._parse(c, start, size)
+        ended, last, entered = alone.copy(), end.copy(), np.full(len(owner), -1, np.int64)
+        while True:  # pieces that follow another whose parse was not yet carried on into them, or ends otherwise by now
+            now = np.flatnonzero((index > 0) & (entered != np.roll(last, 1)))
+            if not len(now):
+                break
+            entered[now] = last[now - 1]
+            own, other = np.zeros(len(now), np.int64), entered[now]
+            more, alive = np.zeros(len(now), np.int64), np.arange(len(now))
+            for k in range(int(size[now].max())):
+                alive = alive[(k < size[now[alive]]) & (own[alive] != other[alive])]
+                if not len(alive):
+                    break
+                letter = c[start[now[alive]] + k]
+                x, y = step(own[alive], letter), step(other[alive], letter)
+                own[alive], other[alive] = x >> 1, y >> 1
+                more[alive] += (y & 1) - (x & 1)
+            ended[now] = alone[now] + more
+            last[now] = np.where(own == other, end[now], other)
+        return np.bincount(owner, ended, n).astype(np.int64) + (length > 0)
+
+    def _parse(self, c: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that ended in each piece, as if a text began with it, and the state at its end."""
+        order = np.argsort(-size, kind="stable")
+        begin, state, ended = start[order], np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        left = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1 if len(size) else 1), side="right")  # pieces of so many characters
+        for k, alive in enumerate(left.tolist()):
+            got = self.moves.step(state[:alive], c[begin[:alive] + k])
+            ended[:alive] += got & 1
+            state[:alive] = got >> 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ended[back], state[back]
 
 
 class Parser:
-    """Parsing tables of all languages, made from their labelled texts."""
+    """Parsers of all languages, made from their labelled texts."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        letters: dict[str, int] = {}
-        for t in texts.values():
-            for ch in t.lower():
-                if ch.isalpha():
-                    letters[ch] = letters.get(ch, 0) + 1
-        common = sorted(letters, key=lambda ch: (-letters[ch], ch))[: ALPHABET - 2]
-        self.codes = np.zeros(0x110000, np.uint8)  # 0: what parts words
-        self.letter = np.zeros(0x110000, bool)
-        points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()], np.int64)
-        self.letter[points] = True
-        self.codes[points] = ALPHABET - 1
-        for k, ch in enumerate(common, 1):
-            self.codes[ord(ch)] = k
-            if len(up := ch.upper()) == 1:
-                self.codes[ord(up)] = k
-        tables = []
-        for lang in self.languages:
-            codes = self.of(np.frombuffer(texts[lang].encode("utf-32-le", "surrogatepass"), np.uint32))
-            moves = _automaton(codes.tolist(), ALPHABET)
-            alone = len(moves)  # the state of a character unknown to the language, a phrase of its own
-            root = np.where(moves[0] >= 0, moves[0], alone)
-            moves = np.concatenate([moves, np.full((1, ALPHABET), -1, np.int32)])
-            failed = moves < 0
-            failed[0] = False  # where a piece begins, no phrase has ended
-            moves[0] = root
-            tables.append((np.where(failed, root[None, :], moves).astype(np.int32) * 2 + failed).ravel())  # lowest bit: a phrase ended
-        self.sizes = [len(t) for t in tables]
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.base = np.cumsum([0, *self.sizes[:-1]]) if tables else np.zeros(0, np.int64)
-
-    def of(self, points: np.ndarray) -> np.ndarray:
-        """Classes of code points, with runs of what parts words made one."""
-        codes = self.codes[points]
-        return codes[~((codes == 0) & np.concatenate([[True], codes[:-1] == 0]))] if len(codes) else codes
+        self.of = [Language(texts[k]) for k in self.languages]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases per text and language, characters parsed per text, and whether it has a letter."""
-        n, k = len(texts), len(self.languages)
-        coded, has = [], np.zeros(n, bool)
-        for i, t in enumerate(texts):
-            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            has[i] = self.letter[points].any()
-            coded.append(self.of(points))
-        length = np.array([len(c) for c in coded], np.int64)
-        total = np.zeros((k, n), np.int64)
-        if not k or not length.sum():
-            return total.T, length, has
+        coded = [points(t) for t in texts]
+        has = np.array([bool(letters()[x].any()) for x in coded], bool)
+        coded = [x[squeezed(x)] for x in coded]
+        length = np.array([len(x) for x in coded], np.int64)
+        if not len(self.of) or not length.sum():
+            return np.zeros((len(texts), len(self.of)), np.int64), length, has
         flat = np.concatenate(coded)
-        begin = np.cumsum(length) - length
-        pieces = -(-length // PIECE)
-        owner = np.repeat(np.arange(n), pieces)
-        start = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        size = np.minimum(PIECE, length[owner] - start * PIECE)
-        order = np.argsort(-size, kind="stable")
-        owner, size, start = owner[order], size[order], (begin[owner] + start * PIECE)[order]
-        counts = np.zeros((k, len(owner)), np.int32)
-        state = np.zeros((k, len(owner)), np.int64)
-        base = np.asarray(self.base)[:, None]
-        alive = len(owner)
-        left = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")  # pieces of at least so many characters
-        for step in range(int(size[0])):
-            alive = int(left[step])
-            c = flat[start[:alive] + step]
-            got = self.table[base + state[:, :alive] * ALPHABET + c[None, :]]
-            counts[:, :alive] += got & 1
-            state[:, :alive] = got >> 1
-        for j in range(k):
-            total[j] = np.bincount(owner, counts[j] + 1, n).astype(np.int64)
-        return total.T, length, has
+        return np.stack([x.phrases(flat, length) for x in self.of], 1), length, has
 
 
 _PARSERS: dict[int, Parser] = {}
@@ -169,15 +228,14 @@ _PARSERS: dict[int, Parser] = {}
 def predict(docs: DataFrame, texts: dict[str, str], carry: list[str]) -> DataFrame:
     """carry, lang_pred and score per row.
 
-    score is how many fewer phrases the winner needs than the runner-up, as a share of the runner-up's, from 0 to 1
+    score is how much less the winner's cross entropy is than the runner-up's, as a share of the latter, from 0 to 1
     (1 with a single language). Null text, text without a letter, and every text when nothing could be learned, is
-    'und' with score 0; equal counts go to the first language by name.
+    'und' with score 0; equal values go to the first language by name. Rows are judged one by one, repeated ones alike;
+    an empty table stays empty; columns of other names pass through.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(texts)  # bounded: TRAIN_CHARS a language
     rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").cast("string").alias("text"))
-    from pyspark.sql import types as T
-
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +254,8 @@ def predict(docs: DataFrame, texts: dict[str, str], carry: list[str]) -> DataFra
                 while z < len(texts_) and (z == a or chars < BATCH_CHARS):
                     chars += len(texts_[z])
                     z += 1
-                total, _, has = parser.phrases(texts_[a:z])
+                total, length, has = parser.phrases(texts_[a:z])
+                total = total * np.array([x.weight for x in parser.of]) / np.maximum(length, 1)[:, None]
                 for row, ok in zip(total, has):
                     if not ok or not len(row):
                         pred.append(UNKNOWN)
@@ -208,7 +267,7 @@ def predict(docs: DataFrame, texts: dict[str, str], carry: list[str]) -> DataFra
                 a = z
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*carry, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,30 +143,54 @@ def test_words_equal_the_tokenizer():
         assert len(sizes) == 100
 
 
-def parse_brute(parser, texts, text, lang):
-    points = lambda s: "".join(chr(65 + c) for c in parser.of(np.frombuffer(s.encode("utf-32-le"), np.uint32)).tolist())
-    known, t, n = points(texts[lang]), points(text), 0
-    for a in range(0, len(t), language_id.PIECE):
-        x, i = t[a : a + language_id.PIECE], 0
-        while i < len(x):
-            k = 1
-            while i + k <= len(x) and x[i : i + k] in known:
-                k += 1
-            i += max(1, k - 1)
-            n += 1
+def parse_brute(known, text):
+    """Phrases of a greedy parse of text into longest matches in known."""
+    clean = lambda s: re.sub(r"^ ", "", re.sub(r"[^\W\d_]+|(.)", lambda m: " " if m[1] else m[0], s.lower(), flags=re.S).replace("  ", " "))
+    squeeze = lambda s: re.sub(" +", " ", clean(s)).lstrip(" ")
+    known, t, i, n = squeeze(known), squeeze(text), 0, 0
+    while i < len(t):
+        k = 1
+        while i + k <= len(t) and t[i : i + k] in known:
+            k += 1
+        i += max(1, k - 1)
+        n += 1
     return n
 
 
-def test_language_phrases_match_brute_force():
+@pytest.mark.parametrize(("dense", "piece"), [(1 << 23, 2048), (1 << 23, 7), (0, 50), (1 << 23, 1)])
+def test_language_phrases_match_brute_force(monkeypatch, dense, piece):
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    monkeypatch.setattr(language_id, "PIECE", piece)
     r = random.Random(4)
     make = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
-    texts = {"a": make("abc de", 300), "b": make("xyz de", 300)}
+    texts = {"a": make("abc de", 300), "b": make("xyz de", 300), "c": "aaaaaaaaaaaaaaaaaaaaab" * 3, "d": make("的一是不了在人有我他", 400)}
     parser = language_id.Parser(texts)
-    probes = [make("abcxyzq e", 200), make("abc", 5000), "", "!!", "q", "aq"]
+    probes = [make("abcxyzq e", 200), make("abc", 5000), "", "!!", "q", "aq", "a" * 900 + "b" + "a" * 600, make("的一是不了", 300) + "x", "Ab1c  De"]
     got, _, has = parser.phrases(probes)
     for p, row in zip(probes, got.tolist()):
-        assert row == [parse_brute(parser, texts, p, k) for k in ("a", "b")]
-    assert has.tolist() == [True, True, False, False, True, True]
+        assert row == [parse_brute(texts[k], p) for k in "abcd"], p[:20]
+    assert has.tolist() == [bool(re.search(r"[^\W\d_]", p)) for p in probes]
+
+
+def test_languages_of_many_letters_and_uneven_references(spark):
+    r = random.Random(9)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(900)], "ja": [chr(0x3042 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(0, 900, 9)], "en": list("abcdefghijklmnop")}
+    words = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 4))) for _ in range(60)] for k, v in signs.items()}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    texts = {"zh": text("zh", 2000), "ja": text("ja", 100), "en": text("en", 700)}
+    docs = data.frame(spark, [(i, text(k, 40), k, "s", 0) for i, k in enumerate(list(signs) * 20)]).withColumn("a.b", F.lit(1)).withColumn("lang_pred", F.lit("mine"))
+    got = language_id.predict(docs, texts, ["doc_id", "lang", "a.b"]).collect()
+    assert len(got) == 60 and all(g["lang"] == g["lang_pred"] for g in got)
+
+
+def test_training_texts_are_whole_and_bounded(spark):
+    rows = [(i, f"text {i} " + "x" * (i % 7), "en" if i % 2 else "de", "s", 0) for i in range(400)] + [(900, "y" * 5000, "fr", "s", 0)] + [(7, "text 7 ", "en", "s", 0)] * 50
+    texts = language_id.training_texts(data.frame(spark, rows), 10, 200)
+    whole = {r[1] for r in rows}
+    assert set(texts) == {"de", "en", "fr"} and texts["fr"] == "y" * 5000
+    for k in ("de", "en"):
+        parts = texts[k].split("\n")
+        assert 5 <= len(parts) <= 10 and set(parts) <= whole and len(set(parts)) == len(parts)
 
 
 def test_language_held_out_accuracy_and_odd_rows(spark):
