@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, as a table read from Parquet, and all but the last return the columns of
 documents. Mixing repeats documents whose rate is above one, so packing may see a doc_id several times; it packs
 each of these rows.
+
+Null texts, and empty ones, count as having no words: the quality rules reject them. Null languages and sources are groups
+of their own, null ids come after all others, and rows that repeat an id are treated one by one until near duplicates,
+of which one row stays. Ties go to the smallest id, then to a hash of the text. Empty tables give no rows, and columns of
+other names, whatever they are, pass through all stages but the last.
 """
 
 from __future__ import annotations
