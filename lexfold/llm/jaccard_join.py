@@ -772,15 +772,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Texts that are null or without words are in no component and stay. A null id comes after all others; of rows that
     repeat the id, the text with the smallest hash stays, and of wholly repeated rows one. An empty table stays empty.
     """
+    mark = "gone"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    d, t, n = (f"{mark}{c}" for c in "dtn")
     groups = written(_placed(docs).filter("label IS NOT NULL").groupBy("label", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "groups")
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("first")).select("label", F.col("first.doc_id").alias("d"), F.col("first.h").alias("t"))
     stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))
-    judged = groups.join(first, "label").select(F.col("doc_id").alias("gone_d"), F.col("h").alias("gone_t"), "n", stays.alias("stays"))
-    same = F.col("doc_id").eqNullSafe(F.col("gone_d")) & (F.xxhash64("text") == F.col("gone_t"))
-    left = docs.join(judged.filter("NOT stays").hint("shuffle_hash"), same, "left_anti")
-    twice = written(judged.filter("stays AND n > 1"), "twice")
+    judged = groups.join(first, "label").select(F.col("doc_id").alias(d), F.col("h").alias(t), F.col("n").alias(n), stays.alias("stays"))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+    left = docs.join(judged.filter("NOT stays").drop("stays").hint("shuffle_hash"), same, "left_anti")
+    twice = written(judged.filter(F.col("stays") & (F.col(n) > 1)).drop("stays"), "twice")
     if twice.isEmpty():
         return left
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = left.join(twice, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("gone_t")).agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return left.join(twice, same, "left_anti").union(one.select("row.*"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = left.join(twice, same, "left_semi").groupBy(F.col("doc_id").alias(d), F.xxhash64("text").alias(t)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return left.join(twice, same, "left_anti").union(one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
