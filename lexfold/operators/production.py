@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfold.functions.normalize import bates
+from lexfold.operators.ranks import running
 
 # Fixed values.
 DISPOSITIONS = ("withhold", "redact_in_part", "produce")
+PAGE_ERROR = "page_num must be between 1 and "
+X_ERROR, Y_ERROR = "x_pct must be between 0 and 100", "y_pct must be between 0 and 100"
+EXTENT_ERROR = "w_pct and h_pct must be greater than 0"
+RIGHT_ERROR, BOTTOM_ERROR = "x_pct + w_pct must not exceed 100", "y_pct + h_pct must not exceed 100"
 
 
 def effective_disposition(privileged: Column, redacted: Column, override: Column) -> Column:
@@ -42,12 +47,12 @@ def log_description(sender: Column, recipient: Column, date: Column, file_type:
 def rectangle_error(page: Column, x: Column, y: Column, w: Column, h: Column, pages: Column) -> Column:
     """The first thing wrong with a redaction in percent of its page; null when it is valid."""
     return (
-        F.when((page < 1) | (page > pages), F.concat(F.lit("page_num must be between 1 and "), pages.cast("string")))
-        .when((x < 0) | (x > 100), "x_pct must be between 0 and 100")
-        .when((y < 0) | (y > 100), "y_pct must be between 0 and 100")
-        .when((w <= 0) | (h <= 0), "w_pct and h_pct must be greater than 0")
-        .when(x + w > 100, "x_pct + w_pct must not exceed 100")
-        .when(y + h > 100, "y_pct + h_pct must not exceed 100")
+        F.when((page < 1) | (page > pages), F.concat(F.lit(PAGE_ERROR), pages.cast("string")))
+        .when((x < 0) | (x > 100), X_ERROR)
+        .when((y < 0) | (y > 100), Y_ERROR)
+        .when((w <= 0) | (h <= 0), EXTENT_ERROR)
+        .when(x + w > 100, RIGHT_ERROR)
+        .when(y + h > 100, BOTTOM_ERROR)
     )
 
 
@@ -59,23 +64,21 @@ def produced_pages(disposition: Column, pages: Column) -> Column:
 def ordered(members: DataFrame, by_custodian: bool = False) -> DataFrame:
     """members with sort_order per set: families stay together, in the order of their first member.
 
-    members: set_id, control, family_id, custodian, doc_date and others. Orders of a set are one sequence.
+    members: set_id, control, family_id, custodian, doc_date and others. Orders of a set are one sequence, ranked in parts.
     """
     family = F.coalesce(F.concat(F.lit("f"), F.col("family_id").cast("string")), F.concat(F.lit("s"), "control"))
     head = Window.partitionBy("set_id", "_family").orderBy("control")
     first = lambda c: F.first(c).over(head)
     m = members.withColumn("_family", family).withColumn("_control", first("control")).withColumn("_custodian", F.coalesce(first("custodian"), F.lit(""))).withColumn("_date", first("doc_date"))
     keys = [F.col("_custodian"), F.col("_date").isNotNull().cast("int").desc(), F.col("_date").asc_nulls_last()] if by_custodian else []
-    w = Window.partitionBy("set_id").orderBy(*keys, "_control", "control")
-    return m.withColumn("sort_order", F.row_number().over(w)).drop("_family", "_control", "_custodian", "_date")
+    return running(m, ["set_id"], [*keys, "_control", "control"], "sort_order").drop("_family", "_control", "_custodian", "_date")
 
 
 def numbered(members: DataFrame, prefix: str, padding: int, start: int) -> DataFrame:
     """members (set_id, sort_order, pages) with begin and end: gap-free numbers in order."""
-    w = Window.partitionBy("set_id").orderBy("sort_order").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum("pages").over(w) + F.lit(start - 1)
     number = lambda c: bates(F.lit(prefix), c, F.lit(padding))
-    return members.withColumn("_last", last).withColumn("begin", number(F.col("_last") - F.col("pages") + 1)).withColumn("end", number(F.col("_last"))).drop("_last")
+    summed = running(members, ["set_id"], ["sort_order"], "_last", F.col("pages")).withColumn("_last", F.col("_last") + F.lit(start - 1))
+    return summed.withColumn("begin", number(F.col("_last") - F.col("pages") + 1)).withColumn("end", number(F.col("_last"))).drop("_last")
 
 
 def set_members(docs: DataFrame, explicit: DataFrame, tagged: DataFrame, duplicates: DataFrame, existing: DataFrame) -> DataFrame:

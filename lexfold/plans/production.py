@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexfold.functions.normalize import bates
 from lexfold.operators import production as O
+from lexfold.operators.ranks import running
 from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
 
@@ -120,7 +121,7 @@ def set_members(spark, sf):
     return O.set_members(d, d.filter(F.col("doc_id").isin(5, 10, 20, 25)), C.document_tags(spark, sf).filter("tag_id = 3"), d.select("doc_id", F.col("sha256").alias("group_id")), d.filter("doc_id % 11 = 3"))
 
 
-@query("v9_lock", ORDERED + "SELECT doc_id, sort_order, 'PRE' || lpad(CAST(last - pages + 1 + 99 AS VARCHAR), 6, '0') AS begin, 'PRE' || lpad(CAST(last + 99 AS VARCHAR), 6, '0') AS \"end\" FROM z")
+@query("v9_lock", ORDERED + "SELECT doc_id, sort_order, printf('PRE%06d', CAST(last - pages + 100 AS BIGINT)) AS begin, printf('PRE%06d', CAST(last + 99 AS BIGINT)) AS \"end\" FROM z")
 def lock(spark, sf):
     return O.numbered(O.ordered(_set(spark, sf)), "PRE", 6, 100).select("doc_id", "sort_order", "begin", "end")
 
@@ -134,16 +135,16 @@ def rectangles(spark, sf):
     return li.select("l_orderkey", "l_linenumber", F.when(tax & (F.col("l_discount") == 0), O.rectangle_error(F.col("l_linenumber"), F.col("l_quantity") * 2.2, F.col("l_suppkey") % 99, F.lit(1e-12), F.col("l_tax") * 300, F.lit(5))).otherwise(e).alias("error"))
 
 
-@query("v12_page_bates", ORDERED + "SELECT doc_id, p AS page, 'PRE' || lpad(CAST(last - pages + p + 99 AS VARCHAR), 6, '0') AS bates FROM (SELECT *, unnest(range(1, pages + 1)) AS p FROM z)")
+@query("v12_page_bates", ORDERED + "SELECT doc_id, p AS page, printf('PRE%06d', CAST(last - pages + p + 99 AS BIGINT)) AS bates FROM (SELECT *, unnest(range(1, pages + 1)) AS p FROM z)")
 def page_bates(spark, sf):
     z = O.numbered(O.ordered(_set(spark, sf)), "PRE", 6, 100).withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("pages"))))
     first = F.substring("begin", 4, 20).cast("bigint")
     return z.select("doc_id", "page", bates(F.lit("PRE"), first + F.col("page") - 1, F.lit(6)).alias("bates"))
 
 
-DAT_SQL = """SELECT 'PRE' || lpad(CAST(last - pages + 1 + 99 AS VARCHAR), 6, '0') AS "BEGBATES", min('PRE' || lpad(CAST(last - pages + 1 + 99 AS VARCHAR), 6, '0')) OVER f AS "BEGATTACH", max('PRE' || lpad(CAST(last + 99 AS VARCHAR), 6, '0')) OVER f AS "ENDATTACH",
+DAT_SQL = """SELECT printf('PRE%06d', CAST(last - pages + 100 AS BIGINT)) AS "BEGBATES", printf('PRE%06d', CAST(min(last - pages + 100) OVER f AS BIGINT)) AS "BEGATTACH", printf('PRE%06d', CAST(max(last + 99) OVER f AS BIGINT)) AS "ENDATTACH",
   CASE WHEN disposition = 'withhold' THEN '' ELSE coalesce(native_path, '') END AS "FILENAME", CASE WHEN disposition = 'redact_in_part' THEN 'Y' ELSE 'N' END AS "REDACTED", CASE WHEN disposition = 'withhold' THEN 'Y' ELSE 'N' END AS "WITHHELD",
-  CASE WHEN coalesce(disposition, 'produce') = 'produce' AND len(text) > 0 THEN '.\\TEXT\\PRE' || lpad(CAST(last - pages + 1 + 99 AS VARCHAR), 6, '0') || '.txt' ELSE '' END AS "TEXTPATH", pages AS "PAGECOUNT"
+  CASE WHEN coalesce(disposition, 'produce') = 'produce' AND len(text) > 0 THEN '.\\TEXT\\PRE' || printf('%06d', CAST(last - pages + 100 AS BIGINT)) || '.txt' ELSE '' END AS "TEXTPATH", pages AS "PAGECOUNT"
   FROM z WINDOW f AS (PARTITION BY production_id, CASE WHEN family_id IS NULL THEN 's' || bates_begin ELSE 'f' || family_id END)""".replace("\\\\", "\\")
 
 
@@ -155,18 +156,18 @@ def dat_rows(spark, sf):
     yes = lambda c: F.when(c, "Y").otherwise("N")
     text = (F.coalesce("disposition", F.lit("produce")) == "produce") & (F.char_length("text") > 0)
     return z.select(
-        F.col("begin").alias("BEGBATES"), F.min("begin").over(f).alias("BEGATTACH"), F.max("end").over(f).alias("ENDATTACH"), F.when(withheld, "").otherwise(F.coalesce("native_path", F.lit(""))).alias("FILENAME"),
+        F.col("begin").alias("BEGBATES"), F.min_by("begin", "sort_order").over(f).alias("BEGATTACH"), F.max_by("end", "sort_order").over(f).alias("ENDATTACH"), F.when(withheld, "").otherwise(F.coalesce("native_path", F.lit(""))).alias("FILENAME"),
         yes(F.col("disposition") == "redact_in_part").alias("REDACTED"), yes(withheld).alias("WITHHELD"), F.when(text, F.concat(F.lit(".\\TEXT\\"), "begin", F.lit(".txt"))).otherwise("").alias("TEXTPATH"), F.col("pages").alias("PAGECOUNT"),
     )
 
 
-@query("v14_manifest", ORDERED + "SELECT production_id AS set_id, count(*) AS documents, sum(pages) AS pages, count(*) FILTER (disposition = 'withhold') AS withhold, count(*) FILTER (disposition = 'redact_in_part') AS redact_in_part, 'PRE' || lpad(CAST(min(last - pages + 1 + 99) AS VARCHAR), 6, '0') AS first, 'PRE' || lpad(CAST(max(last + 99) AS VARCHAR), 6, '0') AS last, 0 AS gaps FROM z GROUP BY production_id")
+@query("v14_manifest", ORDERED + "SELECT production_id AS set_id, count(*) AS documents, sum(pages) AS pages, count(*) FILTER (disposition = 'withhold') AS withhold, count(*) FILTER (disposition = 'redact_in_part') AS redact_in_part, printf('PRE%06d', CAST(min(last - pages + 100) AS BIGINT)) AS first, printf('PRE%06d', CAST(max(last + 99) AS BIGINT)) AS last, 0 AS gaps FROM z GROUP BY production_id")
 def manifest(spark, sf):
     z = O.numbered(O.ordered(_set(spark, sf)), "PRE", 6, 100)
     n = lambda c: F.substring(c, 4, 20).cast("bigint")
-    gap = n("begin") - F.lag(n("end"), 1).over(Window.partitionBy("set_id").orderBy("sort_order")) != 1
-    z = z.withColumn("gap", F.coalesce(gap, F.lit(False)))
-    return z.groupBy("set_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("pages").alias("pages"), F.count_if(F.col("disposition") == "withhold").alias("withhold"), F.count_if(F.col("disposition") == "redact_in_part").alias("redact_in_part"), F.min("begin").alias("first"), F.max("end").alias("last"), F.count_if("gap").alias("gaps"))
+    before = z.select("set_id", (F.col("sort_order") + 1).alias("sort_order"), n("end").alias("before"))
+    z = z.join(before, ["set_id", "sort_order"], "left").withColumn("gap", F.coalesce(n("begin") - F.col("before") != 1, F.lit(False)))
+    return z.groupBy("set_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("pages").alias("pages"), F.count_if(F.col("disposition") == "withhold").alias("withhold"), F.count_if(F.col("disposition") == "redact_in_part").alias("redact_in_part"), F.min_by("begin", "sort_order").alias("first"), F.max_by("end", "sort_order").alias("last"), F.count_if("gap").alias("gaps"))
 
 
 @query("w5_hash_primary", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, min(bates_begin) OVER (PARTITION BY sha256) AS primary_control FROM docs")
@@ -176,13 +177,13 @@ def hash_primary(spark, sf):
 
 @query("w6_running_pages", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, coalesce(sum(page_count) OVER (PARTITION BY production_id ORDER BY bates_begin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first_page FROM docs")
 def running_pages(spark, sf):
-    w = Window.partitionBy("production_id").orderBy("bates_begin").rowsBetween(Window.unboundedPreceding, -1)
-    return C.documents(spark, sf).select("doc_id", (F.coalesce(F.sum("page_count").over(w), F.lit(0)) + 1).alias("first_page"))
+    d = running(C.documents(spark, sf).select("doc_id", "production_id", "bates_begin", "page_count"), ["production_id"], ["bates_begin"], "upto", F.col("page_count"))
+    return d.select("doc_id", (F.col("upto") - F.col("page_count") + 1).alias("first_page"))
 
 
-@query("w7_family_range", C.with_sql(C.DOCS_SQL) + "SELECT family_id, min(bates_begin) AS first, max(bates_begin) AS last FROM docs WHERE family_id IS NOT NULL GROUP BY family_id")
+@query("w7_family_range", C.with_sql(C.DOCS_SQL) + "SELECT family_id, arg_min(bates_begin, doc_id) AS first, arg_max(bates_begin, doc_id) AS last FROM docs WHERE family_id IS NOT NULL GROUP BY family_id")
 def family_range(spark, sf):
-    return C.documents(spark, sf).filter("family_id IS NOT NULL").groupBy("family_id").agg(F.min("bates_begin").alias("first"), F.max("bates_begin").alias("last"))
+    return C.documents(spark, sf).filter("family_id IS NOT NULL").groupBy("family_id").agg(F.min_by("bates_begin", "doc_id").alias("first"), F.max_by("bates_begin", "doc_id").alias("last"))
 
 
 @query("w9_break_groups", "SELECT o_custkey, o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS grp FROM orders")

@@ -38,9 +38,9 @@ def throughput(spark, sf):
     return b.orderBy(F.desc("reviewed"), "reviewer").limit(100)
 
 
-@query("a4_queue_totals", C.with_sql(C.BATCHES_SQL) + "SELECT n_name AS queue_owner, coalesce(sum(k), 0) AS documents FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS k FROM batch_docs JOIN customer ON c_custkey = reviewer WHERE status = 'pending' AND batch_id < 100 GROUP BY c_nationkey) ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("a4_queue_totals", C.with_sql(C.BATCHES_SQL) + "SELECT n_name AS queue_owner, coalesce(sum(k), 0) AS documents FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS k FROM batch_docs JOIN customer ON c_custkey = reviewer WHERE status = 'pending' GROUP BY c_nationkey) ON c_nationkey = n_nationkey GROUP BY n_name")
 def queue_totals(spark, sf):
-    b = C.batch_documents(spark, sf).filter("status = 'pending' AND batch_id < 100").groupBy("reviewer").agg(F.count(F.lit(1)).alias("k"))
+    b = C.batch_documents(spark, sf).filter("status = 'pending'").groupBy("reviewer").agg(F.count(F.lit(1)).alias("k"))
     c = C.read(spark, sf, "customer").join(b, F.col("c_custkey") == F.col("reviewer")).groupBy("c_nationkey").agg(F.sum("k").alias("k"))
     return C.read(spark, sf, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_name").alias("queue_owner"), F.coalesce("k", F.lit(0)).alias("documents"))
 

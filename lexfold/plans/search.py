@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lexfold.functions import normalize as N
 from lexfold.operators import search as S
+from lexfold.operators.ranks import running
 from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
+from lexfold.storage import written
 
 TERMS = ["the", "que", '"of the"', "th* AND NOT in", "der OR les", "password", "the"]
 WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
@@ -210,7 +212,7 @@ def bates_candidates(spark, sf):
 
 
 @query("q23_bates_resolve", C.with_sql(C.DOCS_SQL) + """, asked(a) AS (VALUES ('DOC000007'), ('doc-000008'), ('PROD000012'), ('NONE1')),
-  prod AS (SELECT doc_id, sum(page_count) OVER (ORDER BY bates_begin ROWS UNBOUNDED PRECEDING) AS e, page_count FROM docs WHERE doc_id < 40),
+  prod AS (SELECT doc_id, sum(page_count) OVER (ORDER BY bates_begin ROWS UNBOUNDED PRECEDING) AS e, page_count FROM docs ),
   c AS (SELECT a, doc_id, 1 AS p FROM asked, docs WHERE bates_begin = a UNION ALL SELECT a, doc_id, 2 FROM asked, docs WHERE regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') = bates_begin
     UNION ALL SELECT a, doc_id, 3 FROM asked, prod WHERE a LIKE 'PROD%' AND CAST(substr(a, 5) AS BIGINT) BETWEEN e - page_count + 1 AND e)
   SELECT a AS asked, doc_id, p AS how FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p, doc_id) AS r FROM c) WHERE r = 1""")
@@ -219,7 +221,7 @@ def bates_resolve(spark, sf):
     d = C.documents(spark, sf).select("doc_id", "bates_begin", "page_count")
     asked = spark.createDataFrame([(a,) for a in ("DOC000007", "doc-000008", "PROD000012", "NONE1")], "asked string").withColumn("norm", F.regexp_replace(F.upper("asked"), "[^A-Z0-9]", ""))
     number = F.when(F.col("asked").startswith("PROD"), F.expr("try_cast(substring(asked, 5) AS bigint)"))
-    produced = d.filter("doc_id < 40").withColumn("e", F.sum("page_count").over(Window.partitionBy(F.lit(1)).orderBy("bates_begin").rowsBetween(Window.unboundedPreceding, 0)))
+    produced = running(d, [], ["bates_begin"], "e", F.col("page_count"))
     asked_ = F.broadcast(asked)
     found = (
         d.join(asked_, F.col("asked") == F.col("bates_begin")).select("asked", "doc_id", F.lit(1).alias("how"))
@@ -230,20 +232,21 @@ def bates_resolve(spark, sf):
 
 
 @query("q24_produced_range", C.with_sql(C.DOCS_SQL) + """, prod AS (SELECT production_id, doc_id, sum(page_count) OVER (PARTITION BY production_id ORDER BY bates_begin ROWS UNBOUNDED PRECEDING) AS e, page_count FROM docs)
-  SELECT l_orderkey, l_linenumber, doc_id FROM lineitem JOIN prod ON production_id = l_linenumber % 3 AND l_partkey BETWEEN e - page_count + 1 AND e WHERE l_orderkey < 2000""")
+  SELECT l_orderkey, l_linenumber, doc_id FROM lineitem JOIN prod ON production_id = l_linenumber % 3 AND l_partkey BETWEEN e - page_count + 1 AND e""")
 def produced_range(spark, sf):
     """Which document holds a produced page: page numbers of a production are cut in ranges of 256, and each document is in every range it reaches."""
-    w = Window.partitionBy("production_id").orderBy("bates_begin").rowsBetween(Window.unboundedPreceding, 0)
-    p = C.documents(spark, sf).select("production_id", "doc_id", "page_count", F.sum("page_count").over(w).alias("e")).withColumn("b", F.col("e") - F.col("page_count") + 1)
+    d = C.documents(spark, sf).select("production_id", "doc_id", "bates_begin", "page_count")
+    p = running(d, ["production_id"], ["bates_begin"], "e", F.col("page_count")).drop("bates_begin").withColumn("b", F.col("e") - F.col("page_count") + 1)
     p = p.withColumn("bin", F.explode(F.sequence(F.floor(F.col("b") / 256), F.floor(F.col("e") / 256))))
-    asked = C.read(spark, sf, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("page"), (F.col("l_linenumber") % 3).cast("bigint").alias("production_id"), F.floor(F.col("l_partkey") / 256).alias("bin"))
+    asked = C.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("page"), (F.col("l_linenumber") % 3).cast("bigint").alias("production_id"), F.floor(F.col("l_partkey") / 256).alias("bin"))
     return asked.join(p, ["production_id", "bin"]).filter("page BETWEEN b AND e").select("l_orderkey", "l_linenumber", "doc_id")
 
 
 @query("q25_neighbours", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM docs WINDOW w AS (PARTITION BY production_id ORDER BY bates_begin)")
 def neighbours(spark, sf):
-    w = Window.partitionBy("production_id").orderBy("bates_begin")
-    return C.documents(spark, sf).select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.lead("doc_id").over(w).alias("next"))
+    d = written(running(C.documents(spark, sf).select("doc_id", "production_id", "bates_begin"), ["production_id"], ["bates_begin"], "place"), "places")
+    at = lambda by, name: d.select("production_id", (F.col("place") + by).alias("place"), F.col("doc_id").alias(name))
+    return d.join(at(1, "previous"), ["production_id", "place"], "left").join(at(-1, "next"), ["production_id", "place"], "left").select("doc_id", "previous", "next")
 
 
 @query("q26_find_similar", C.with_sql(C.DOCS_SQL, TOKENS_SQL) + "SELECT doc_id FROM toks WHERE list_contains(w, 'thing') AND len(list_filter(w, lambda x: starts_with(x, 'ere'))) > 0")

@@ -48,9 +48,9 @@ def dat_paths(spark, sf):
     return X.read_load_file(spark, path, slashes=True)
 
 
-@query("s6_opticon", "SELECT l_orderkey AS bates, list('img/' || l_linenumber || '.tif' ORDER BY l_linenumber) AS pages FROM lineitem WHERE l_orderkey < 1000 GROUP BY l_orderkey")
+@query("s6_opticon", "SELECT l_orderkey AS bates, list('img/' || l_linenumber || '.tif' ORDER BY l_linenumber) AS pages FROM lineitem GROUP BY l_orderkey")
 def opticon(spark, sf):
-    li = C.read(spark, sf, "lineitem").filter("l_orderkey < 1000")
+    li = C.read(spark, sf, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     line = F.format_string("%d,VOL1,img\\%d.tif,%s,,,", "l_orderkey", "l_linenumber", F.when(F.row_number().over(w) == 1, "Y").otherwise(""))
     rows = li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), line.alias("value"))
@@ -119,10 +119,10 @@ def unzip(spark, sf):
     return X.expand_zip(_rows(spark, "name string, raw binary", ("a.zip", X.sample_zip()), ("broken.zip", b"PK")), "name", "raw")
 
 
-@query("s16_families", "SELECT o_orderkey AS parent, CAST(o_orderkey AS VARCHAR) AS control, 0 AS position, o_orderkey AS family_id FROM orders WHERE o_orderkey < 500 UNION ALL SELECT l_orderkey, l_orderkey || '.' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0'), l_linenumber, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey < 500")
+@query("s16_families", "SELECT o_orderkey AS parent, CAST(o_orderkey AS VARCHAR) AS control, 0 AS position, o_orderkey AS family_id FROM orders UNION ALL SELECT l_orderkey, l_orderkey || '.' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0'), l_linenumber, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def families(spark, sf):
     """Parents and their numbered attachments share a family."""
-    o = C.read(spark, sf, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("parent"))
+    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("parent"))
     li = C.read(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("parent")).select("parent", F.format_string("%d.%04d", "l_orderkey", "l_linenumber").alias("control"), F.col("l_linenumber").cast("int").alias("position"))
     return o.select("parent", F.col("parent").cast("string").alias("control"), F.lit(0).alias("position")).union(li).withColumn("family_id", F.col("parent"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexfold.functions.normalize import bates
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "msg", "png", "mp4"))), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(
         "doc_id",
-        F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("bates_begin"),
+        bates(F.lit("DOC"), F.col("doc_id"), F.lit(6)).alias("bates_begin"),
         F.col("source").alias("custodian"),
         (F.col("doc_id") % 3).alias("production_id"),
         F.when(group % 2 == 1, group).alias("family_id"),
@@ -31,7 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOCS_SQL = """docs AS (SELECT doc_id, 'DOC' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS bates_begin, source AS custodian,
+DOCS_SQL = """docs AS (SELECT doc_id, printf('DOC%06d', doc_id) AS bates_begin, source AS custodian,
     doc_id % 3 AS production_id, CASE WHEN (doc_id // 4) % 2 = 1 THEN doc_id // 4 END AS family_id, sha256(text) AS sha256,
     1 + n_chars // 2000 AS page_count, CASE WHEN doc_id % 5 = 0 THEN 'received' WHEN doc_id % 5 > 1 THEN 'collection' END AS source_type,
     CASE WHEN doc_id % 6 <> 0 THEN 'NATIVE/' || doc_id || '.' || CASE WHEN doc_id % 2 = 0 THEN upper(['pdf','docx','msg','png','mp4'][doc_id % 5 + 1]) ELSE ['pdf','docx','msg','png','mp4'][doc_id % 5 + 1] END END AS native_path,
