@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +32,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     tri = words.withColumn("k", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
     sets = tri.select("doc_id", F.when(F.size("w") >= LEAST_WORDS, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))))).alias("s"))
     sets = written(sets.filter("s IS NOT NULL").withColumn("key", F.xxhash64("s")), "trigrams")
-    classes = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = sets.join(classes, "key").filter("doc_id = rep").select("doc_id", "s", F.size("s").alias("n"))
+    classes = sets.groupBy("key", F.col("s").alias("whole")).agg(F.min("doc_id").alias("rep"))  # by the sets themselves
+    of_class = sets.join(classes, "key").filter("s = whole")
+    reps = of_class.filter("doc_id = rep").select("doc_id", "s", F.size("s").alias("n"))
     tokens = reps.select("doc_id", "n", F.explode_outer("s").alias("t"))
     freq = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ranked = tokens.join(freq, "t").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))
@@ -41,38 +44,35 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     sa, sb = reps.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     near = pairs.join(sa, "a").join(sb, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    same = sets.join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    same = of_class.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
     return near.union(same)
 
 
 def similar_pairs(vectors: DataFrame, low: float, high: float, block: int = 512) -> DataFrame:
     """a, b, similarity of vectors (id, v) with low <= cosine < high; exact, in blocks of rows against blocks of rows.
 
-    A block's vectors travel once to each other block they meet, as arrays, and are multiplied as matrices. A zero
-    vector is similar to nothing.
+    Vectors are dealt to blocks by hash; two blocks meet once and are multiplied as matrices. The work is quadratic, as
+    exactness asks; memory is that of two blocks, and only pairs within the band come out. A zero vector is similar to
+    nothing.
     """
-    blocks = vectors.withColumn("blk", F.floor(F.row_number().over(_by_part()) / block)).withColumn("blk", F.concat_ws("/", "part", "blk"))
-    packed = blocks.groupBy("blk").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    left, right = packed.select(F.col("blk").alias("x"), F.col("ids").alias("i"), F.col("vs").alias("vi")), packed.select(F.col("blk").alias("y"), F.col("ids").alias("j"), F.col("vs").alias("vj"))
-
-    def run(frames):
-        for f in frames:
-            for i, vi, j, vj in zip(f["i"], f["vi"], f["j"], f["vj"]):
-                p, q = (np.array([np.asarray(r, np.float64) for r in m]) for m in (vi, vj))
-                unit = [m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (p, q)]
-                s = unit[0] @ unit[1].T
-                a, b = np.nonzero((s >= low) & (s < high))
-                i_, j_ = np.asarray(i)[a], np.asarray(j)[b]
-                ok = i_ < j_
-                yield pd.DataFrame({"a": i_[ok], "b": j_[ok], "similarity": s[a, b][ok]})
-
-    return left.join(right).mapInPandas(run, "a long, b long, similarity double")  # blocks against blocks: a matrix product
-
-
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("part").orderBy("id")
+    blocks = max(1, math.ceil(vectors.count() / block))
+    own = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key
+        unit = np.stack(f["v"].to_numpy())
+        norm = np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = unit / np.where(norm == 0, 1, norm)
+        ids, mine = f["id"].to_numpy(), f["own"].to_numpy()
+        x, y = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        s = unit[x] @ unit[y].T
+        i, j = np.nonzero((s >= low) & (s < high))
+        a, b = ids[x[i]], ids[y[j]]
+        once = (a < b) if lo == hi else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": s[i, j][once]})
+
+    return met.groupBy("lo", "hi").applyInPandas(run, "a long, b long, similarity double")
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
