@@ -16,6 +16,14 @@ from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
 from lexfold.streaming import events as ST
 
+# What in a label or a title tells that a model declined to give one, and how file types are shown.
+LABEL_REFUSALS = (
+    "i cannot", "i can't", "i am unable", "i'm unable", "unable to",
+    "sorry", "illegible", "not legible", "no legible", "cannot determine",
+)
+TITLE_REFUSALS = ("i don't have enough", "i cannot", "insufficient", "not enough context", "unable to")
+DISPLAY_TYPES = {"pdf": "pdf", "doc": "document", "docx": "document", "xls": "spreadsheet", "xlsx": "spreadsheet", "csv": "spreadsheet", "ppt": "presentation", "pptx": "presentation", "potx": "presentation", "msg": "email", "eml": "email", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "mp4": "video", "mov": "video", "wmv": "video", "mp3": "audio", "wav": "audio"}
+
 HASH_SQL = "hg AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS group_id, count(*) OVER (PARTITION BY sha256) AS n FROM docs WHERE sha256 <> '')"
 
 
@@ -101,17 +109,18 @@ def choose_k(spark, sf):
 def labels(spark, sf):
     d = spark.createDataFrame([(1, ' "Contracts" '), (2, "I cannot read this"), (3, "x" * 41), (4, "a b c d e f g"), (5, "Ends with dot."), (6, "Board minutes"), (7, "")], "no int, raw string")
     x = F.btrim(F.btrim(F.btrim("raw"), F.lit('"')))
-    refusal = F.lower(x).rlike("i cannot|i can't|i am unable|i'm unable|unable to|sorry|illegible|not legible|no legible|cannot determine")
+    refusal = F.lower(x).rlike("|".join(LABEL_REFUSALS))
     bad = (x == "") | (F.char_length(x) > 40) | (F.size(F.split(x, r"\s+")) > 6) | x.endswith(".") | refusal
     return d.select("no", F.when(~bad, x).alias("label"))
 
 
-@query("c5_spread_sample", "SELECT * FROM (VALUES (3,5,[0,1,2]),(10,4,[0,3,6,9]),(6,3,[0,2,5]),(9,1,[0]),(100,5,[0,25,50,74,99])) v(n, k, positions)")
+@query("c5_spread_sample", """SELECT p_partkey, n, k, CASE WHEN n <= k THEN range(0, n) WHEN k = 1 THEN [0] ELSE list_sort(list_distinct([CAST(round_even(CAST(i * (n - 1) AS DOUBLE) / (k - 1), 0) AS BIGINT) FOR i IN range(0, k)])) END AS positions
+  FROM (SELECT p_partkey, CAST(p_size * 3 + 1 AS BIGINT) AS n, CAST(p_partkey % 9 + 1 AS BIGINT) AS k FROM part)""")
 def spread(spark, sf):
     """Half-way positions round to even."""
-    d = spark.createDataFrame([(3, 5), (10, 4), (6, 3), (9, 1), (100, 5)], "n int, k int")
-    step = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.bround(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)), 0).cast("int"))))
-    return d.select("n", "k", F.when(F.col("n") <= F.col("k"), F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("k") == 1, F.array(F.lit(0))).otherwise(step).alias("positions"))
+    d = C.read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 3 + 1).cast("bigint").alias("n"), (F.col("p_partkey") % 9 + 1).alias("k"))
+    step = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda i: F.bround(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)), 0).cast("bigint"))))
+    return d.select("p_partkey", "n", "k", F.when(F.col("n") <= F.col("k"), F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).when(F.col("k") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(step).alias("positions"))
 
 
 @query("c6_diverse_sample")
@@ -165,12 +174,24 @@ def scope(spark, sf):
 
 # --- entities ------------------------------------------------------------------------------------------------------
 
-NAMES = ["Rivera, Jorge", "Dr. Jorge Rivera, Jr.", "ACME Corp., Inc.", "Acme, Inc.", "Smith, John, Esq.", "  Mr. Li ", "O'Brien-Smith"]
+# People and companies made from the customers' keys.
+FIRST, LAST = ["Jorge", "Maria", "Ann", "Li", "Michele"], ["Rivera", "Stone", "Smith", "Okafor", "Ng"]
+PERSON_SQL = "p AS (SELECT c_custkey AS id, ['Jorge','Maria','Ann','Li','Michele'][c_custkey % 5 + 1] AS f, ['Rivera','Stone','Smith','Okafor','Ng'][c_custkey // 5 % 5 + 1] AS l FROM customer)"
+
+
+def _people(spark, sf):
+    pick = lambda names, at: F.element_at(F.array(*(F.lit(n) for n in names)), (at % 5 + 1).cast("int"))
+    return C.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), pick(FIRST, F.col("c_custkey")).alias("f"), pick(LAST, F.floor(F.col("c_custkey") / 5)).alias("l"))
 
 
-@query("e1_normal_names", "SELECT * FROM (VALUES (0,'jorge rivera'),(1,'jorge rivera'),(2,'acme corp inc'),(3,'acme inc'),(4,'john smith'),(5,'li'),(6,'o brien smith')) v(no, norm)")
+@query("e1_normal_names", "WITH " + PERSON_SQL + """ SELECT id, CASE id % 8 WHEN 3 THEN lower(l) || ' corp inc' WHEN 4 THEN lower(l) WHEN 5 THEN 'o ' || lower(l) || ' ' || lower(f) WHEN 6 THEN '' WHEN 7 THEN lower(l) || ' ' || lower(f) || ' llc' ELSE lower(f) || ' ' || lower(l) END AS norm FROM p""")
 def normal_names(spark, sf):
-    return spark.createDataFrame(list(enumerate(NAMES)), "no int, name string").select("no", E.normal_name_udf("name").alias("norm"))
+    written = F.array(
+        F.concat("l", F.lit(", "), "f"), F.concat(F.lit("Dr. "), "f", F.lit(" "), "l", F.lit(", Jr.")), F.concat("l", F.lit(", "), "f", F.lit(" , Esq.")), F.concat(F.upper("l"), F.lit(" Corp., Inc.")),
+        F.concat(F.lit("  Mr. "), "l", F.lit(" ")), F.concat(F.lit("O'"), "l", F.lit("-"), "f"), F.lit(" , "), F.concat("l", F.lit(" "), "f", F.lit(",LLC")),
+    )
+    p = _people(spark, sf).select("id", F.get(written, (F.col("id") % 8).cast("int")).alias("name"))
+    return p.select("id", E.normal_name(F.col("name")).alias("norm"))
 
 
 @query("e2_token_similarity", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) v(no, suggested)")
@@ -179,16 +200,21 @@ def token_similarity(spark, sf):
     return d.select("no", (E.token_ratio_udf("a", "b") >= E.TOKEN_RATIO).alias("suggested"))
 
 
-@query("e3_typo", "SELECT * FROM (VALUES (1,true),(2,false),(3,false),(4,false),(5,false),(6,true)) v(no, typo)")
+@query("e3_typo", "WITH " + PERSON_SQL + " SELECT id, CASE id % 4 WHEN 0 THEN len(f) > 2 WHEN 3 THEN len(l) > 2 ELSE false END AS typo FROM p")
 def typo(spark, sf):
-    d = spark.createDataFrame([(1, "michele stone", "michelle stone"), (2, "joan lee", "john lee"), (3, "rogers", "roger"), (4, "li wu", "lin wu"), (5, "anna may west", "anna west"), (6, "acme holdings llc", "acme holding llc")], "no int, a string, b string")
-    return d.select("no", E.is_typo(F.col("a"), F.col("b")).alias("typo"))
+    """A doubled last letter of the first name, equal names, a single name, and a letter more in the last name."""
+    p = _people(spark, sf)
+    first, last, both = F.lower("f"), F.lower("l"), F.concat_ws(" ", F.lower("f"), F.lower("l"))
+    other = F.when(F.col("id") % 4 == 0, F.concat(first, F.substring(first, -1, 1), F.lit(" "), last)).when(F.col("id") % 4 == 1, both).when(F.col("id") % 4 == 2, first).otherwise(F.concat(both, F.lit("s")))
+    return p.select("id", E.is_typo(both, other).alias("typo"))
 
 
-@query("e4_initials", "SELECT * FROM (VALUES (1,true),(2,false),(3,false),(4,true)) v(no, same)")
+@query("e4_initials", "WITH " + PERSON_SQL + " SELECT id, id % 3 < 2 AS same FROM p")
 def initials(spark, sf):
-    d = spark.createDataFrame([(1, "j rivera", "jorge rivera"), (2, "jorge rivera", "jorge rivera"), (3, "j rivera", "maria rivera"), (4, "maria stone", "m stone")], "no int, a string, b string")
-    return d.select("no", E.is_initial(F.col("a"), F.col("b")).alias("same"))
+    p = _people(spark, sf)
+    initial = F.concat(F.substring(F.lower("f"), 1, 1), F.lit(" "), F.lower("l"))
+    whole = F.concat_ws(" ", F.lower("f"), F.lower("l"))
+    return p.select("id", E.is_initial(F.when(F.col("id") % 3 == 0, initial).otherwise(whole), F.when(F.col("id") % 3 == 1, initial).when(F.col("id") % 3 == 2, F.concat(F.lit("x "), F.lower("l"))).otherwise(whole)).alias("same"))
 
 
 def _candidates(spark):
@@ -208,7 +234,7 @@ def persist(spark, sf):
     from lexfold.operators.components import components as cc
 
     raw = C.read(spark, sf, "supplier").select(F.concat(F.lit("Mr. Agent "), F.regexp_replace("s_name", "#0*", " no")).alias("name"))
-    n = raw.select(E.normal_name_udf("name").alias("norm")).distinct().withColumn("token", F.explode(F.split("norm", " ")))
+    n = raw.select(E.normal_name(F.col("name")).alias("norm")).distinct().withColumn("token", F.explode(F.split("norm", " ")))
     pairs = n.join(n.select(F.col("norm").alias("other"), "token"), "token").filter("norm < other").select("norm", "other").distinct().filter(E.is_typo(F.col("norm"), F.col("other")))
     labels = cc(pairs.select(F.col("norm").alias("u"), F.col("other").alias("v")))
     return n.select("norm").distinct().join(labels.withColumnRenamed("node", "norm"), "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
@@ -217,17 +243,18 @@ def persist(spark, sf):
 EXTRACTION = T.StructType().add("entities", T.ArrayType(T.StructType().add("name", "string").add("type", "string").add("surface_forms", T.ArrayType(T.StringType()))))
 
 
-@query("e7_extraction_parse", "SELECT * FROM (VALUES (1,['Jorge Rivera','Acme']),(2,[]),(3,['Acme'])) v(no, names)")
+@query("e7_extraction_parse", "WITH " + PERSON_SQL + " SELECT id, CASE id % 4 WHEN 3 THEN [] ELSE list_filter([f || ' ' || l, 'Acme'], lambda x: id % 4 <> 2 OR x <> 'Acme') END AS names FROM p")
 def extraction(spark, sf):
-    """At most 50 entities, of known types, with usable names."""
-    good = '{"entities": [{"name": "Jorge Rivera", "type": "person"}, {"name": "x", "type": "robot"}, {"name": "he", "type": "person"}, {"name": "Acme", "type": "org"}]}'
-    d = spark.createDataFrame([(1, good), (2, "not json"), (3, '```json\n{"entities": [{"name": " Acme ", "type": "org"}]}\n```')], "no int, raw string")
+    """At most 50 entities, of known types, with usable names; answers that are no JSON have none."""
+    p = _people(spark, sf)
+    people = F.format_string('{"name": " %s %s ", "type": "person"}, {"name": "Robot", "type": "robot"}, {"name": "\\"Them.\\"", "type": "person"}, {"name": "C.", "type": "person"}', "f", "l")
+    company = F.when(F.col("id") % 4 == 2, F.lit('{"name": "others", "type": "org"}')).otherwise(F.lit('{"name": "Acme", "type": "org"}'))
+    body = F.concat(F.lit('{"entities": ['), people, F.lit(", "), company, F.lit("]}"))
+    raw = F.when(F.col("id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("id") % 4 == 3, "no entities here").otherwise(body)
     bare = F.regexp_replace(F.regexp_replace("raw", r"^```[^\n]*\n", ""), r"\n?```$", "")
-    pronoun = ("he", "she", "her", "him", "they", "them", "it", "i", "we", "you", "his", "hers", "their")
-    name = lambda e: F.btrim(e["name"])
-    ok = lambda e: e["type"].isin("person", "org") & (F.char_length(name(e)) > 1) & ~F.lower(name(e)).isin(*pronoun)
-    kept = F.transform(F.filter(F.slice(F.coalesce(F.from_json(bare, EXTRACTION)["entities"], F.array().cast(EXTRACTION["entities"].dataType)), 1, 50), ok), name)
-    return d.select("no", kept.alias("names"))
+    ok = lambda e: e["type"].isin("person", "org") & E.usable_name(F.btrim(e["name"]))
+    kept = F.transform(F.filter(F.slice(F.coalesce(F.from_json(bare, EXTRACTION)["entities"], F.array().cast(EXTRACTION["entities"].dataType)), 1, 50), ok), lambda e: F.btrim(e["name"]))
+    return p.select("id", raw.alias("raw")).select("id", kept.alias("names"))
 
 
 @query("e8_slice_merge", "SELECT l_suppkey AS entity, list(DISTINCT l_shipmode ORDER BY l_shipmode) AS forms FROM (SELECT l_suppkey, l_linestatus || l_returnflag AS l_shipmode FROM lineitem) GROUP BY l_suppkey")
@@ -241,20 +268,23 @@ def mentions(spark, sf):
     return E.mentions(C.read(spark, sf, "documents").select("doc_id", "text"), ["the", "thing", "in the", "que la"])
 
 
-@query("e10_event_date", "SELECT * FROM (VALUES (1, DATE '2019-03-15', 'day'), (2, DATE '2019-03-01', 'month'), (3, DATE '2019-01-01', 'year'), (4, NULL, 'unknown'), (5, NULL, 'unknown'), (6, NULL, 'unknown')) v(no, date, precision_)")
+@query("e10_event_date", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 2 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS date,
+  ['day','month','year','unknown','unknown','unknown'][o_orderkey % 6 + 1] AS precision_ FROM orders""")
 def event_date(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["2019-03-15", "2019-03", " 2019 ", "2019-02-30", "March 18", None], 1)), "no int, raw string")
+    """Days, months and years are dates; days that are none, words and nothing are not."""
+    forms = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM"), F.date_format("o_orderdate", "' 'yyyy' '"), F.date_format("o_orderdate", "yyyy-'02-30'"), F.date_format("o_orderdate", "MMMM d"), F.lit(None).cast("string"))
     date, precision = N.event_date(F.col("raw"))
-    return d.select("no", date.alias("date"), precision.alias("precision_"))
+    return C.read(spark, sf, "orders").select("o_orderkey", F.get(forms, (F.col("o_orderkey") % 6).cast("int")).alias("raw")).select("o_orderkey", date.alias("date"), precision.alias("precision_"))
 
 
-@query("e11_human_date", "SELECT * FROM (VALUES (1,'2019-03-05'),(2,'2019-03'),(3,'2019'),(4,NULL)) v(no, iso)")
+@query("e11_human_date", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') END AS iso FROM orders")
 def human_date(spark, sf):
     """1/2/2019-like edits: month, day and year in order, loosely written."""
-    d = spark.createDataFrame([(1, "3/5/2019"), (2, "2019-3"), (3, "2019"), (4, "soon")], "no int, raw string")
+    forms = F.array(F.date_format("o_orderdate", "M/d/yyyy"), F.date_format("o_orderdate", "yyyy-M"), F.date_format("o_orderdate", "yyyy"), F.lit("soon"))
+    d = C.read(spark, sf, "orders").select("o_orderkey", F.get(forms, (F.col("o_orderkey") % 4).cast("int")).alias("raw"))
     m, ym, y = (F.regexp_extract("raw", p, 0) != "" for p in (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}-\d{1,2}$", r"^\d{4}$"))
     part = lambda sep, i: F.lpad(F.split_part("raw", F.lit(sep), F.lit(i)), 2, "0")
-    return d.select("no", F.when(m, F.concat_ws("-", F.split_part("raw", F.lit("/"), F.lit(3)), part("/", 1), part("/", 2))).when(ym, F.concat_ws("-", F.substring("raw", 1, 4), part("-", 2))).when(y, F.col("raw")).alias("iso"))
+    return d.select("o_orderkey", F.when(m, F.concat_ws("-", F.split_part("raw", F.lit("/"), F.lit(3)), part("/", 1), part("/", 2))).when(ym, F.concat_ws("-", F.substring("raw", 1, 4), part("-", 2))).when(y, F.col("raw")).alias("iso"))
 
 
 @query("e12_addresses", "SELECT * FROM (VALUES (1,'Ann B','a@x.com'),(1,'','c@y.org'),(2,'','d@z.net')) v(no, name, address)")
@@ -370,7 +400,7 @@ def key_players(spark, sf):
     _, e = _candidates(spark)
     known = e.select("entity_id", F.explode(F.concat(F.array("norm"), "aliases")).alias("norm")).groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
     asked = spark.createDataFrame([("Jorge Rivera",), ("THE ACME",), ("Nobody",)], "name string")
-    return asked.withColumn("norm", E.normal_name_udf("name")).join(F.broadcast(known), "norm", "left").select("name", "entity_id")
+    return asked.withColumn("norm", E.normal_name(F.col("name"))).join(F.broadcast(known), "norm", "left").select("name", "entity_id")
 
 
 @query("e21_staleness", "SELECT o_custkey, n, CASE WHEN o_custkey % 3 = 0 THEN true ELSE n >= 1.5 * (o_custkey % 20) OR n >= o_custkey % 20 + 10 END AS stale FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
@@ -414,12 +444,13 @@ def truncation(spark, sf):
     return C.read(spark, sf, "documents").select("doc_id", n(12000).alias("summary"), n(8000).alias("similar_terms"), n(4000).alias("title"))
 
 
-@query("m2_title_filter", "SELECT * FROM (VALUES (1,'A Title'),(2,NULL),(3,NULL),(4,repeat('x',197) || '...')) v(no, title)")
+@query("m2_title_filter", """SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 2) THEN NULL WHEN len(t) > 200 THEN left(t, 197) || '...' ELSE t END AS title FROM (SELECT doc_id, trim(text, chr(34) || chr(39)) AS t FROM documents)""")
 def title_filter(spark, sf):
-    d = spark.createDataFrame([(1, "\"A Title'"), (2, "I cannot tell"), (3, ""), (4, "x" * 250)], "no int, raw string")
-    t = F.btrim("raw", F.lit("\"'"))
-    refusal = F.lower(t).rlike("i don't have enough|i cannot|insufficient|not enough context|unable to")
-    return d.select("no", F.when((t == "") | refusal, None).when(F.char_length(t) > 200, F.concat(F.substring(t, 1, 197), F.lit("..."))).otherwise(t).alias("title"))
+    """Quotes around a title go, refusals and empty ones too; long ones are cut."""
+    raw = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("I cannot tell from "), "text")).when(F.col("doc_id") % 5 == 2, F.lit("''")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit('"'), "text", F.lit("'"))).otherwise(F.col("text"))
+    t = F.btrim(raw, F.lit("\"'"))
+    refusal = F.lower(t).rlike("|".join(TITLE_REFUSALS))
+    return C.read(spark, sf, "documents").select("doc_id", F.when((t == "") | refusal, None).when(F.char_length(t) > 200, F.concat(F.substring(t, 1, 197), F.lit("..."))).otherwise(t).alias("title"))
 
 
 @query("m3_summaries", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, 'summary of ' || len(text) AS summary FROM docs WHERE len(trim(text)) > 0")
@@ -480,8 +511,7 @@ def timeline_json(spark, sf):
 
 @query("m11_display_type", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, CASE lower(regexp_extract(native_path, '\\.([^.]*)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'document' WHEN 'msg' THEN 'email' WHEN 'png' THEN 'image' WHEN 'mp4' THEN 'video' ELSE 'unknown' END AS kind FROM docs")
 def display_type(spark, sf):
-    kinds = {"pdf": "pdf", "doc": "document", "docx": "document", "xls": "spreadsheet", "xlsx": "spreadsheet", "csv": "spreadsheet", "ppt": "presentation", "pptx": "presentation", "potx": "presentation", "msg": "email", "eml": "email", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "mp4": "video", "mov": "video", "wmv": "video", "mp3": "audio", "wav": "audio"}
-    table = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    table = F.create_map(*(F.lit(x) for kv in DISPLAY_TYPES.items() for x in kv))
     return C.documents(spark, sf).select("doc_id", F.coalesce(F.element_at(table, N.file_type_of(F.col("native_path"))), F.lit("unknown")).alias("kind"))
 
 

@@ -15,10 +15,12 @@ def _rows(spark: SparkSession, schema: str, *values) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
 
-@query("s1_encoding", "SELECT * FROM (VALUES (1,'utf-8-sig'),(2,'utf-16'),(3,'utf-16'),(4,'utf-8'),(5,'cp1252')) v(no, encoding)")
+@query("s1_encoding", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-8' ELSE CASE WHEN len(text) = strlen(text) THEN 'utf-8' ELSE 'cp1252' END END AS encoding FROM documents""")
 def encoding(spark, sf):
-    d = _rows(spark, "no int, raw binary", (1, b"\xef\xbb\xbfa"), (2, b"\xff\xfea\x00"), (3, b"\xfe\xff\x00a"), (4, "déjà".encode()), (5, b"d\xe9j\xe0"))
-    return d.select("no", X.encoding_of(F.col("raw")).alias("encoding"))
+    mark = lambda b, name: F.concat(F.lit(b).cast("binary"), F.encode("text", name))
+    raw = F.when(F.col("doc_id") % 5 == 0, mark(bytearray(b"\xef\xbb\xbf"), "UTF-8")).when(F.col("doc_id") % 5 == 1, mark(bytearray(b"\xff\xfe"), "UTF-16LE")).when(F.col("doc_id") % 5 == 2, mark(bytearray(b"\xfe\xff"), "UTF-16BE"))
+    raw = raw.when(F.col("doc_id") % 5 == 3, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    return C.read(spark, sf, "documents").select("doc_id", raw.alias("raw")).select("doc_id", X.encoding_of(F.col("raw")).alias("encoding"))
 
 
 @query("s2_delimiter", """SELECT doc_id, CASE WHEN contains(l, chr(20)) THEN chr(20) WHEN t >= c AND t >= p AND t > 0 THEN chr(9) WHEN c >= p AND c > 0 THEN ',' WHEN p > 0 THEN '|' ELSE ',' END AS delimiter FROM (
@@ -27,10 +29,14 @@ def delimiter(spark, sf):
     return C.read(spark, sf, "documents").select("doc_id", N.delimiter_of(F.split_part("text", F.lit("\n"), F.lit(1))).alias("delimiter"))
 
 
-@query("s3_split", "SELECT * FROM (VALUES (1, ['A B', 'c', '']), (2, ['a', 'b, c', 'd \"e\"', '']), (3, ['x', 'y'])) v(no, fields)")
+@query("s3_split", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN [c_name, c_mktsegment, ''] WHEN 1 THEN [c_name || ', Inc', 'so-called "' || c_mktsegment || '"', ''] ELSE [c_name, c_mktsegment] END AS fields FROM customer""")
 def split(spark, sf):
-    d = _rows(spark, "no int, row string", (1, "þA Bþ\x14þ c þ\x14þþ"), (2, 'a,"b, c","d ""e""",'), (3, "x | y"))
-    return d.select("no", F.when(F.col("no") == 1, N.thorn_fields(F.col("row"))).when(F.col("no") == 2, N.csv_fields(F.col("row"), ",")).otherwise(N.csv_fields(F.col("row"), "|")).alias("fields"))
+    c = C.read(spark, sf, "customer")
+    thorn = F.concat(F.lit("þ"), "c_name", F.lit("þ\x14þ "), "c_mktsegment", F.lit(" þ\x14þþ"))
+    comma = F.concat(F.lit('"'), "c_name", F.lit(', Inc","so-called ""'), "c_mktsegment", F.lit('""",'))
+    pipe = F.concat("c_name", F.lit(" | "), "c_mktsegment")
+    of = F.when(F.col("c_custkey") % 3 == 0, N.thorn_fields(thorn)).when(F.col("c_custkey") % 3 == 1, N.csv_fields(comma, ",")).otherwise(N.csv_fields(pipe, "|"))
+    return c.select("c_custkey", of.alias("fields"))
 
 
 @query("s4_load_file", """SELECT n_name AS "NAME", CAST(n_regionkey AS VARCHAR) AS "REGION", CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'note ' || n_nationkey END AS "NOTE" FROM nation""")
@@ -42,9 +48,10 @@ def load_file(spark, sf):
     return X.read_load_file(spark, path)
 
 
-@query("s5_dat_paths", "SELECT 'a/b/c.pdf' AS \"PATH\", 'DOC1' AS \"BEG\"")
+@query("s5_dat_paths", "SELECT 'VOL/' || c_nationkey || '/' || c_custkey || '.pdf' AS \"PATH\", c_name AS \"BEG\" FROM customer")
 def dat_paths(spark, sf):
-    path = X.write_text(_rows(spark, "value string", ("þBEGþ\x14þPATHþ",), ("þDOC1þ\x14þa\\b\\c.pdfþ",)), ordered=True)
+    rows = C.read(spark, sf, "customer").select(F.concat(F.lit("þ"), "c_name", F.lit("þ\x14þVOL\\"), F.col("c_nationkey").cast("string"), F.lit("\\"), F.col("c_custkey").cast("string"), F.lit(".pdfþ")).alias("value"))
+    path = X.write_text(_rows(spark, "value string", ("þBEGþ\x14þPATHþ",)).union(rows), ordered=True)
     return X.read_load_file(spark, path, slashes=True)
 
 
@@ -182,10 +189,13 @@ def bools(spark, sf):
     return C.read(spark, sf, "orders").select("o_orderkey", N.bool_of(w).alias("value"))
 
 
-@query("n4_normalize_date", """SELECT * FROM (VALUES (0,1709217045),(1,1709217045),(2,1709217045),(3,1709164800),(4,1709217045),(5,1709217000),(6,1709217045),(7,1709217000),(8,1709164800),(9,1709217045),(10,NULL),(11,NULL),(12,1709209845)) v(no, utc_s)""")
+@query("n4_normalize_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 12 >= 10 THEN NULL ELSE CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + [s, s, s, 0, s, s // 60 * 60, s, s // 60 * 60, 0, s - 7200][o_orderkey % 12 + 1] END AS utc_s FROM (SELECT *, o_orderkey * 7919 % 86400 AS s FROM orders)""")
 def dates(spark, sf):
-    v = ["2024-02-29T14:30:45Z", "2024-02-29T14:30:45", "2024-02-29 14:30:45", "2024-02-29", "2/29/2024 2:30:45 PM", "02/29/2024 2:30 PM", "2/29/2024 14:30:45", "2/29/2024 14:30", "2/29/2024", "Thu, 29 Feb 2024 14:30:45 +0000", "2023-02-29", "soon", "2024-02-29T14:30:45+0200"]
-    return _rows(spark, "no int, v string", *enumerate(v)).select("no", F.unix_timestamp(N.utc_of(F.col("v"))).alias("utc_s"))
+    """Every format, with days that are none and words beside them."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", "o_orderdate")) + F.col("o_orderkey") * 7919 % 86400)
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy h:mm:ss a", "MM/dd/yyyy h:mm a", "M/d/yyyy HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "EEE, dd MMM yyyy HH:mm:ss' +0200'", "yyyy-'02-30'", "'soon'"]
+    o = C.read(spark, sf, "orders").select("o_orderkey", F.get(F.array(*(F.date_format(at, f) for f in forms)), (F.col("o_orderkey") % 12).cast("int")).alias("v"))
+    return o.select("o_orderkey", F.unix_timestamp(N.utc_of(F.col("v"))).alias("utc_s"))
 
 
 @query("n5_file_type", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, lower(nullif(regexp_extract(native_path, '\\.([^./]*)$', 1), '')) AS file_type FROM docs UNION ALL SELECT * FROM (VALUES (-1, NULL), (-2, 'gz'), (-3, NULL)) v(a, b)")
@@ -208,9 +218,10 @@ def control_offset(spark, sf):
     return C.documents(spark, sf).agg(F.max(F.expr("try_cast(regexp_extract(bates_begin, '^DOC([0-9]+)$', 1) AS bigint)")).alias("last"))
 
 
-@query("n8_prefix", "SELECT * FROM (VALUES (1,'SMITH'),(2,'ACMECORPORAT'),(3,'DOC'),(4,'A1')) v(no, prefix)")
+@query("n8_prefix", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(split_part(p_name, ' ', 1)) WHEN 1 THEN 'ACMECORPORAT' ELSE 'DOC' END AS prefix FROM part""")
 def prefix(spark, sf):
-    return _rows(spark, "no int, name string", (1, " smith v jones.pdf"), (2, "acme-corporation-ltd x"), (3, "  "), (4, "a1 b")).select("no", N.bates_prefix(F.col("name")).alias("prefix"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name", F.lit(".pdf"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("acme-corporation-ltd "), "p_name")).otherwise("   ")
+    return C.read(spark, sf, "part").select("p_partkey", N.bates_prefix(name).alias("prefix"))
 
 
 @query("n9_stub_title", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN bates_begin ELSE 'Note ' || bates_begin END, '^[A-Z]{2,12}[-_ ]?[0-9]{4,}$') AS stub FROM docs")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexfold.functions import normalize as N
 from lexfold.functions import stats as P
 from lexfold.operators import clustering, components, dedup, entities, production, search, threads
+from lexfold.operators.ranks import running
 from lexfold.sources import files
 
 
@@ -64,11 +65,48 @@ def test_threads(spark):
     assert all(re.fullmatch(r"T-[0-9a-f]{16}", x) for x in t.values())
 
 
-def test_names():
-    assert entities.normal_name("Rivera, Jorge") == "jorge rivera" and entities.normal_name(None) == ""
+def test_names(spark):
+    cases = {"Rivera, Jorge": "jorge rivera", None: "", "Dr. Jorge Rivera, Jr.": "jorge rivera", "ACME Corp., Inc.": "acme corp inc", "Smith, John, Esq.": "john smith", "O'Brien-Smith": "o brien smith", "Inc.": "inc", "a, b, c": "a b c", "...": "", "Doe, ...": "doe", "Ünal, Jörg, III": "jörg ünal"}
+    d = spark.createDataFrame([(k, v) for k, v in cases.items()], "name string, want string")
+    assert d.withColumn("got", entities.normal_name(F.col("name"))).filter("got <> want").collect() == []
+    usable = spark.createDataFrame([("Li", True), ("C.", False), ("\u201cShe,\u201d", False), ("J.B.", True), ("N/A", False), ("Everyone", False)], "name string, want boolean")
+    assert usable.withColumn("got", entities.usable_name(F.col("name"))).filter("got <> want").count() == 0
     assert entities.token_ratio("meridian holdings", "acme corporation") == 0
-    spans = entities.locate("Jorge Rivera met Rivera. Riverae J.B. said", ["Rivera", "Jorge Rivera", "J.B."])
-    assert [s[:3] for s in spans] == [("Jorge Rivera", 0, 12), ("Rivera", 17, 23), ("J.B.", 33, 37)]
+
+
+def test_places_of_names_match_a_search_form_by_form():
+    of = lambda text, forms: [m[:3] for m in entities.Places(forms).of(text)]
+    assert of("Jorge Rivera met Rivera. Riverae J.B. said", ["Rivera", "Jorge Rivera", "J.B."]) == [("Jorge Rivera", 0, 12), ("Rivera", 17, 23), ("J.B.", 33, 37)]
+    assert of("a b c", []) == [] and of("", ["a"]) == []
+    r = random.Random(3)
+    for _ in range(200):
+        text = " ".join(r.choice(["ab", "abc", "b", "ab.", "c", "b-c"]) for _ in range(12))
+        forms = r.sample(["ab", "abc", "ab abc", "abc b", "b c", "b", "ab.", "b-c", "ab ab"], 5)
+        taken, want = [], []
+        for f in sorted(forms, key=lambda f: (-len(f), f)):
+            for s in range(len(text)):
+                e = s + len(f)
+                whole = text[s:e] == f and not (s and f[0].isalnum() and re.match(r"\w", text[s - 1])) and not (f[-1].isalnum() and re.match(r"\w", text[e:]))
+                if whole and all(e <= x or s >= y for x, y in taken):
+                    taken.append((s, e))
+                    want.append((f, s, e))
+        assert of(text, forms) == sorted(want, key=lambda m: m[1])
+
+
+def test_numbers_grow_beyond_their_padding_and_parts_agree(spark):
+    rows = spark.range(999_990, 1_000_012).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 5 + 1).alias("pages"))
+    out = running(rows, ["g"], ["id"], "upto", F.col("pages")).orderBy("id").collect()
+    sums = {0: 0, 1: 0, 2: 0}
+    for r in out:
+        sums[r["g"]] += r["pages"]
+        assert r["upto"] == sums[r["g"]]
+    m = rows.select(F.lit("s").alias("set_id"), F.col("id").alias("sort_order"), "pages")
+    n = production.numbered(m, "P", 6, 999_980).orderBy("sort_order").collect()
+    last = 999_979
+    for r in n:
+        assert int(r["begin"][1:]) == last + 1 and int(r["end"][1:]) == last + r["pages"]
+        last = int(r["end"][1:])
+    assert last > 1_000_000
 
 
 def test_production_rules(spark):
