@@ -568,7 +568,7 @@ def _promising(grouped: DataFrame, members: DataFrame, paired: np.ndarray) -> Da
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v: short ids) those of sets that are similar: u, v (digests)."""
+    """Links (u, v: digests) that connect what all similar pairs (u, v: short ids) do: of a task's, a spanning forest."""
     spark = docs.sparkSession
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,12 +578,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grows = Forest().grows
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3)):
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both))
+                ok.append(100 * both >= 75 * (len(x) + len(y) - both) and grows(u, v))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
     end = lambda e: classes.select(F.col("id").alias(e), F.col("node").alias(f"node_{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"x{e}"))
@@ -622,18 +623,22 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _forest(a: list[int], b: list[int], n: int) -> list[int]:
-    """Which of the edges (a, b) between n nodes connect what was not connected by those before."""
-    root, out = list(range(n)), []
-    for k, (u, v) in enumerate(zip(a, b)):
-        while root[u] != u:
-            root[u] = u = root[root[u]]
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        if u != v:
-            root[u] = v
-            out.append(k)
-    return out
+class Forest:
+    """Tells of links, one after the other, which connect what those before did not."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def _find(self, u):
+        root = self.root
+        while (v := root.setdefault(u, u)) != u:
+            root[u] = u = root[v]
+        return u
+
+    def grows(self, u, v) -> bool:
+        u, v = self._find(u), self._find(v)
+        self.root[u] = v
+        return u != v
 
 
 def _families(beyond: DataFrame, shared: DataFrame) -> DataFrame:
@@ -671,7 +676,8 @@ def _blocks(docs: DataFrame, classes: DataFrame, families: DataFrame) -> DataFra
         if lo == hi:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
-        tree = _forest(x[i].tolist(), y[j].tolist(), len(found))  # links that connect what all of the block's do
+        grows = Forest().grows
+        tree = [k for k, (u, v) in enumerate(zip(x[i].tolist(), y[j].tolist())) if grows(u, v)]  # links that connect what all of the block's do
         i, j = i[tree], j[tree]
         yield pa.RecordBatch.from_arrays([pa.array(names[x[i]].tolist(), pa.binary()), pa.array(names[y[j]].tolist(), pa.binary())], ["u", "v"])
         del t, found, both, near
