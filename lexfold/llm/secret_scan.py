@@ -1,9 +1,10 @@
 """Secret scans: three base patterns, and strings that look random to a pair of character Markov models.
 
-Both models are first-order chains over the characters a candidate may have. One is trained on random strings (the
-values the base patterns flag), the other on ordinary identifiers and words; a candidate is a secret when its
-log-likelihood ratio per character is above a threshold. Training uses a bounded, documented number of labelled
-samples, chosen by hash; everything is column expressions.
+Both models are first-order chains over the characters a candidate may have, its end included. One is trained on random
+strings (the values the base patterns flag, and digests in hexadecimal, base 64 and capitals), the other on ordinary identifiers and
+words; a candidate of LEAST_CHARS or more is a secret when its log-likelihood ratio is above a threshold in all and per
+character, so short strings must look the more random. Digits alone are a number and no candidate. Training uses a bounded, documented number of labelled samples,
+chosen by hash; everything is column expressions.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # as AKIA[A-Z0-9]+ of 18 or more: what is too short has no longer match inside
 HEX = r"[0-9a-f]{16,}"  # as [0-9a-f]+ of 16 or more
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_CHARS = 12
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 SAMPLES = 20_000  # labelled strings of each class that the models are trained on, at most
-WORDS_EACH = 8  # ordinary words from each of SAMPLES / WORDS_EACH documents, whole texts
+DIGESTS = 2_000  # random strings of each of three kinds that are made for training
+PLAIN_DOCS = 2_500  # documents, by hash, that ordinary words are taken from, whole texts
 SMOOTHING = 0.5
 THRESHOLD = 0.2  # nats a character by which random must be likelier
+TOTAL = 9.0  # nats in all
 
 
 def _starts(text: Column, pattern: str, matches: Column) -> Column:
@@ -65,32 +69,33 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _codes(s: Column) -> Column:
-    """Positions of a string's characters in ALPHABET, from 1; others are left out."""
-    return F.filter(F.transform(F.split(s, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.position(c, F.lit(ALPHABET)))), lambda k: k > 0)
-
-
 def _pairs(s: Column) -> Column:
-    """Index of each pair of neighbouring characters, from 0."""
-    return let(_codes(s), lambda k: F.zip_with(F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0))), F.slice(k, F.lit(2), F.greatest(F.size(k) - 1, F.lit(0))), lambda a, b: (a - 1) * SIZE + b - 1))
+    """Index of each pair of neighbouring characters, from 0; those with a character outside ALPHABET are left out."""
+    code = lambda c: F.position(c, F.lit(ALPHABET)) - 1
+    at = F.sequence(F.lit(1), F.char_length(s) - 1)
+    pairs = F.transform(at, lambda i: let(F.struct(code(F.substring(s, i, F.lit(1))).alias("a"), code(F.substring(s, i + 1, F.lit(1))).alias("b")), lambda p: F.when((p["a"] >= 0) & (p["b"] >= 0), p["a"] * SIZE + p["b"])))
+    return F.when(F.char_length(s) > 1, F.filter(pairs, lambda p: p.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
 def labelled_samples(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """word, random (1 or 0): values flagged by the base patterns, and ordinary words of documents without any.
+    """word, random (1 or 0): values flagged by the base patterns and digests, and ordinary words of documents without any.
 
     At most `samples` of each, those of the smallest hash of the string, so the choice does not depend on
     partitioning. Ordinary words have 6 to 40 characters; they come from a bounded number of documents, by hash.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     value = F.regexp_extract("text", ASSIGN, 2)
     flagged = docs.select(F.explode(base_spans(text)).alias("s")).select("s.text").select(F.when(value != "", value).otherwise(F.col("text")).alias("word"))
-    some_docs = F.broadcast(docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples // WORDS_EACH))
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_-]{5,39}\b"), F.lit(0))
-    by_hash = F.array_sort(F.transform(found, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    plain = docs.join(some_docs, "doc_id").select(F.explode(F.slice(by_hash, 1, WORDS_EACH)).alias("s")).select(F.col("s.w").alias("word"))
-    plain = plain.filter(~F.col("word").rlike("[0-9a-f]{16,}|AKIA"))
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
+    made = spark.range(DIGESTS).select(F.explode(F.array(digest, base64, F.upper(F.regexp_replace(base64, "[+/]", "")))).alias("word"))
+    some_docs = F.broadcast(docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PLAIN_DOCS))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]{5,39}(?![A-Za-z0-9_-])"), F.lit(0)))
+    plain = docs.join(some_docs, "doc_id").select(F.explode(found).alias("word"))
+    plain = plain.filter(~F.col("word").rlike("[0-9a-f]{16,}|AKIA")).join(F.broadcast(flagged.select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(samples)), "word", "left_anti")
     some = lambda df, label: df.groupBy("word").agg(F.lit(label).alias("random")).orderBy(F.xxhash64("word"), "word").limit(samples)
-    return some(flagged, 1).unionByName(some(plain, 0))
+    return some(flagged.union(made), 1).unionByName(some(plain, 0))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -105,9 +110,14 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(s: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string's character pairs; null without pairs."""
+    """Log-likelihood ratio of a string's character pairs, random against ordinary: a struct of total and mean (null without pairs)."""
     weights = F.array(*(F.lit(round(x, 6)) for x in model))
-    return let(_pairs(s), lambda p: F.aggregate(p, F.lit(0.0), lambda acc, i: acc + F.element_at(weights, i + 1)) / F.nullif(F.size(p), F.lit(0)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, i: acc + F.element_at(weights, i + 1))
+    return let(_pairs(s), lambda p: let(total(p), lambda t: F.struct(t.alias("total"), (t / F.nullif(F.size(p), F.lit(0))).alias("mean"))))
+
+
+def looks_random(s: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
+    return let(ratio(s, model), lambda r: (r["total"] > TOTAL) & (r["mean"] > threshold))
 
 
 def scan(docs: DataFrame, carry: list[str], model: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -118,7 +128,7 @@ def scan(docs: DataFrame, carry: list[str], model: list[float], threshold: float
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base_spans(text)
-    random = F.filter(_spans(text, CANDIDATE, "markov"), lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]") & (ratio(s["text"], model) > threshold))
+    random = F.filter(_spans(text, CANDIDATE, "markov"), lambda s: s["text"].rlike("[A-Za-z]") & looks_random(s["text"], model, threshold))
     rows = docs.select(*(F.col(f"`{c}`") for c in carry), base.alias("base"), random.alias("random"))
     new = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     every = F.array_sort(F.concat("base", new), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))

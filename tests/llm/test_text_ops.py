@@ -85,6 +85,38 @@ def test_secret_models_tell_random_from_words(spark):
     assert [(s["start"], s["end"]) for s in got[0] if s["rank"] == 3] == [(4, 44)] and not got[1] and not got[2]
 
 
+def test_secret_ratio_matches_brute_force(spark):
+    r = random.Random(5)
+    signs, n = secret_scan.ALPHABET, secret_scan.SIZE
+    samples = [("".join(r.choice(signs[: r.choice([5, 30, n])]) for _ in range(r.randint(1, 20))), k % 2) for k in range(60)] + [("ab\u00e9cd", 1), ("", 0)]
+    model = secret_scan.train(spark.createDataFrame(samples, "word string, random int"))
+    count = {(k, x, y): 0 for k in (0, 1) for x in signs for y in signs}
+    for w, k in samples:
+        for x, y in zip(w, w[1:]):
+            if x in signs and y in signs:
+                count[k, x, y] += 1
+    odds = {}
+    for x in signs:
+        total = [sum(count[k, x, y] for y in signs) + 0.5 * n for k in (0, 1)]
+        for y in signs:
+            odds[x, y] = float(np.log((count[1, x, y] + 0.5) / total[1]) - np.log((count[0, x, y] + 0.5) / total[0]))
+    assert np.allclose(model, [odds[x, y] for x in signs for y in signs])
+    probes = [w for w, _ in samples[:20]] + ["a", "", "x\u00e9y", "ab\u00e9cd"]
+    got = spark.createDataFrame(list(enumerate(probes)), "i int, w string").select("i", secret_scan.ratio(F.col("w"), model).alias("r")).orderBy("i").collect()
+    for p, g in zip(probes, got):
+        each = [odds[x, y] for x, y in zip(p, p[1:]) if x in signs and y in signs]
+        assert abs((g["r"]["total"] or 0) - sum(each)) < 1e-4 and (g["r"]["mean"] is None) == (not each)
+
+
+def test_secret_query_on_odd_rows_and_clashing_names(spark, tmp_path):
+    df = data.frame(spark, data.rows([*SECRETS, *SECRETS[:2]])).unionByName(data.odd(spark)).withColumns({"base": F.lit(1), "random": F.lit(2), "spans": F.lit(3), "a.b": F.lit(4)})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = secret_scan.op8_secret_scan(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string")]
+    want = sorted((str(r["doc_id"]), hashlib.sha256(spans_brute(r["text"]).encode()).hexdigest()) for r in df.collect())
+    assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got.collect()) == want
+
+
 def test_packing_round_trip_and_places(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice(["alpha", "Beta,", "x1", "<|endoftext|>", "é!", "it's", "ﬁne"]) for _ in range(r.choice([0, 1, 5, 40, 700, 9000]))) for _ in range(60)]
