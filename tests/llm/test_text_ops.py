@@ -272,26 +272,61 @@ def url_brute(url):
     return host, path, *(best or (None, None))
 
 
-def test_url_rules_and_method(spark):
-    urls = ["http://A.Example.NET/en/1?x", "https://example.net/de/", "net/", None, "x://net", "x://net/", "ftp://www.example.com/de/1#y", "http://EXAMPLE.org/fr/", "http://fakenet/", "http://É.net/ü", "a://b://c/d", "http://cheap-pills.example.org/x\ny", ""]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = url_filter.judge(df, ["page_id"], {"cheap": 9, "pills": 9, "example": 5}).orderBy("page_id").collect()
+URLS = ["http://A.Example.NET/en/1?x", "https://example.net/de/", "net/", None, "x://net", "x://net/", "ftp://www.example.com/de/1#y", "http://EXAMPLE.org/fr/", "http://fakenet/", "http://É.net/ü", "a://b://c/d", "http://cheap-pills.example.org/x\ny", "", "http://cheappills.example.org/en/" + "very/long-" * 3000, "http://buy.cheappills.net/pills/12", "http://goodreads.example.net/en/books/7", "http://goodbooks.example.org/fr/books", "http://cheapbooks.io/books/9.html", "http://pillsпилюли.io/9", "http://" + "a" * 300 + ".io/x", "http://cheapbooks.io/books/9.html"]
+WORDS = {"cheap": 9, "pills": 9, "example": 5, "good": 20, "books": 12, "read": 3, "reads": 2, "пилюли": 4, "ex": 1}
+
+
+def url_features(host, path):
+    total = sum(WORDS.values())
+    cut = lambda t: [t] if len(t) > url_filter.LONGEST else url_filter.segmented(t, {w: n for w, n in WORDS.items() if w in t}, total)
+    out = ["h:" + w for label in host.split(".")[:-1] for t in label.split("-") if t for w in cut(t)]
+    for t in re.split(url_filter.SPLIT, path.lower()):
+        out += [] if not t else ["p:#"] if re.fullmatch(r"\d+", t) else ["p:" + w for w in cut(t)]
+    return out
+
+
+def test_url_rules_scores_and_verdicts_match_brute_force(spark):
+    df = spark.createDataFrame([*enumerate(URLS), (0, URLS[0])], "page_id long, url string").withColumns({"a.b": F.lit(1), "url_h": F.lit("mine"), "score_": F.lit(2)})
+    words = spark.createDataFrame(list(WORDS.items()), "w string, n long")
+    got = url_filter.judge(df, ["page_id", "a.b", "url_h"], words).orderBy("page_id").collect()
+    urls = [URLS[0], *URLS]
+    n, docs = {"block": Counter(), "allow": Counter()}, Counter()
+    for u in urls:
+        host, path, _, verdict = url_brute(u)
+        if verdict:
+            docs[verdict] += 1
+            n[verdict].update(url_features(host, path))
+    seen = len(set(n["block"]) | set(n["allow"]))
+    log = lambda k, f: np.log((n[k][f] + 0.5) / (sum(n[k].values()) + 0.5 * (seen + 1)))
+    assert len(got) == len(urls) and got[0].asDict().keys() == {"page_id", "a.b", "url_h", "host", "path", "rule", "verdict", "score"}
     for r, u in zip(got, urls):
         host, path, rule, verdict = url_brute(u)
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block") and (verdict is None or r["verdict"] == verdict)
-    assert url_filter.judge(df.limit(0), ["page_id"], {}).count() == 0
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        if verdict:
+            assert r["verdict"] == verdict and r["score"] is None
+        else:
+            score = np.log((docs["block"] + 0.5) / (docs["allow"] + 0.5)) + sum(log("block", f) - log("allow", f) for f in url_features(host, path))
+            assert abs(r["score"] - score) < 1e-9 and r["verdict"] == ("block" if score > 0 else "allow")
+    assert url_filter.judge(df.limit(0), ["page_id"], words).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(df.filter("page_id = 3"), ["page_id"], words.limit(0)).collect()} == {"allow"}
 
 
-def test_segmentation_is_the_cheapest(spark):
-    s = url_filter.Segmenter({"the": 50, "them": 5, "me": 20, "heme": 1, "park": 9})
-    cost = lambda ws: sum(s.cost.get(w, s.unknown * len(w)) for w in ws)
+def test_unigrams_count_words_of_all_scripts(spark):
+    df = spark.createDataFrame([("<p>The the <b>ÉTÉ</b> x1 слово<script>var the</script></p>",), (None,), ("the",)], "html string")
+    assert {r["w"]: r["n"] for r in url_filter.unigrams(df, "html").collect()} == {"the": 3, "été": 1, "слово": 1}
+
+
+def test_segmentation_is_the_cheapest():
+    counts = {"the": 50, "them": 5, "me": 20, "heme": 1, "park": 9}
+    total = sum(counts.values())
+    cost = lambda ws: sum(np.log(total + 1) - np.log(counts[w]) if w in counts else (np.log(total + 1) + 1) * len(w) for w in ws)
 
     def splits(x):
         return [[]] if not x else [[x[:i], *r] for i in range(1, len(x) + 1) for r in splits(x[i:])]
 
     for name in ("theme", "themepark", "thxme", "q", "parkthem"):
-        assert cost(s.words(name)) == pytest.approx(min(cost(p) for p in splits(name)))
-        assert "".join(s.words(name)) == name
+        found = url_filter.segmented(name, counts, total)
+        assert cost(found) == pytest.approx(min(cost(p) for p in splits(name))) and "".join(found) == name
 
 
 def test_mixing_meets_targets(spark):
