@@ -90,6 +90,9 @@ def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column
         ),
         "exact-rows",
     )
+    held_rows = joined.filter("n > 1").groupBy("digest").agg(F.max("is_best").alias("there"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
+    if not held_rows.filter("NOT there OR rows <> n").isEmpty():
+        raise ValueError("files that the state was made from are gone or were rewritten: begin a new state")
     best = joined.filter("is_best").select("digest", F.col("body").alias("best_body")).hint("shuffle_hash")
     checked = joined.filter("n > 1").join(best, "digest").select("doc_id", "digest", "points", "keep_id", "n", "body", (F.col("body") == F.col("best_body")).alias("same"))
     differ = written(checked.filter(~F.col("same")).select("digest").distinct(), "exact-collisions")
@@ -120,7 +123,8 @@ def streaming_dedup(
     Texts are equal when identical without ASCII white space; null counts as empty. The row with the most code
     points stays, then the smallest doc_id (a null doc_id after all others). Rows that repeat a doc_id count one
     by one and all share their kept flag. An empty table gives no rows. Other columns are ignored.
-    state_dir, when given, is continued: only files it has not seen are read into the state.
+    state_dir, when given, is continued: only files it has not seen are read into the state. The files it has seen must
+    still be there as they were, as bytes are compared with them; a ValueError tells when they are not.
     """
     docs = spark.read.parquet(path)
     state_dir = state_dir or fresh_path(spark, "exact-state")

@@ -48,6 +48,15 @@ def test_exact_dedup_state_is_continued(spark, tmp_path):
     assert got == {0: (9, 2), 9: (9, 2), 1: (1, 1)}
 
 
+def test_exact_dedup_tells_when_seen_files_were_rewritten(spark, tmp_path):
+    path, state = tmp_path / "documents.parquet", f"file://{tmp_path}/state"
+    data.frame(spark, data.rows(["a", "a", "b"])).coalesce(1).write.parquet(str(path))
+    exact_dedup.streaming_dedup(spark, str(path), state).count()
+    data.frame(spark, data.rows(["a", "a", "b"])).coalesce(1).write.mode("overwrite").parquet(str(path))
+    with pytest.raises(ValueError, match="begin a new state"):
+        exact_dedup.streaming_dedup(spark, str(path), state)
+
+
 def test_exact_dedup_empty_and_clashing_columns(spark, tmp_path):
     empty = data.frame(spark, [])
     assert exact_dedup.streaming_dedup(spark, stored(empty, tmp_path, "e")).count() == 0
