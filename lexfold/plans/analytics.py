@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from lexfold.operators import clustering as K
 from lexfold.operators import dedup as D
 from lexfold.operators import entities as E
 from lexfold.operators import graph as G
+from lexfold.operators import rewriting as W
 from lexfold.operators import threads as TH
 from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
@@ -465,6 +468,28 @@ def summaries(spark, sf):
     return d.mapInPandas(model, "doc_id long, summary string")
 
 
+@query("m4_search_string", r"""SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 4 = 3 OR trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')[:5])), ' AND ') END AS query FROM conversations""")
+def search_string(spark, sf):
+    """The model is a stand-in that joins the first long words; it fails for every fourth turn."""
+
+    def model(text):
+        turn, _, said = text.partition(" ")
+        if int(turn) % 4 == 3:
+            raise TimeoutError
+        return " AND ".join(sorted(set(re.findall("[a-z]{4,}", said.lower())[:5])))
+
+    c = C.read(spark, sf, "conversations")
+    q = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.when(F.btrim("text") != "", F.concat_ws(" ", "turn", "text")).otherwise("").alias("text"))
+    out = W.search_strings(q, model)
+    return out.select("id", "query")
+
+
+@query("m4_similar_terms", r"""SELECT doc_id AS id, nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(left(text, 8000)), '[a-z]{7,}')[-6:])), ' OR '), '') AS terms FROM documents""")
+def similar_terms(spark, sf):
+    """A stand-in model names the last long words of what it reads."""
+    return W.similar_terms(C.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), lambda t: " OR ".join(sorted(set(re.findall("[a-z]{7,}", t.lower())[-6:]))))
+
+
 @query("m5_title_fallback", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN 'Given ' || doc_id END, regexp_extract(native_path, '([^/]*)\\.[^.]*$', 1), left(text, 200)) AS title FROM docs")
 def title_fallback(spark, sf):
     stem = F.regexp_extract("native_path", r"([^/]*)\.[^.]*$", 1)
@@ -540,6 +565,22 @@ def redaction_list(spark, sf):
     return C.read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("redaction_id")).orderBy("doc_id", "page", "redaction_id")
 
 
+@query("m16_saved_searches", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type IN (SELECT min(event_type) FROM events)")
+def saved_searches(spark, sf):
+    """Of one kind of event, as saved searches: each user's own, the newest first."""
+    e = C.read(spark, sf, "events")
+    kind = e.agg(F.min("event_type").alias("event_type"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return e.join(F.broadcast(kind), "event_type").select("user_id", "event_id", F.row_number().over(w).alias("place"))  # kind: one row
+
+
+@query("m16_notes", """SELECT l_partkey AS doc_id, l_linenumber AS page, count(*) AS notes, count(*) FILTER (l_returnflag = 'N') AS open, max(l_shipdate) AS last FROM lineitem GROUP BY ALL""")
+def notes(spark, sf):
+    """Notes and annotations of documents by page, how many are open, and the last one's time."""
+    li = C.read(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("l_returnflag") == "N").alias("open"), F.max("l_shipdate").alias("last"))
+
+
 # --- set operations and streams ------------------------------------------------------------------------------------
 
 
