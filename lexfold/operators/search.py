@@ -66,6 +66,16 @@ def compiled(query: str) -> str:
     return " ".join(x for op, atom in parse(query) for x in (op, atom.text()) if x)
 
 
+def by_mode(semantic: DataFrame | None, full: DataFrame) -> DataFrame:
+    """Rows of semantic (None where filters forbid it) with mode, or those of full where it has none."""
+    text = full.withColumn("mode", F.lit("full_text"))
+    if semantic is None:
+        return text
+    found = written(semantic, "semantic")  # at most a page
+    none = found.agg((F.count(F.lit(1)) == 0).alias("none"))
+    return found.withColumn("mode", F.lit("semantic")).union(text.join(F.broadcast(none)).filter("none").drop("none"))  # none: one row
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 

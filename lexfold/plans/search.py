@@ -152,13 +152,16 @@ def grounding(spark, sf):
     return C.chunks(spark, sf).select("document_id", "chunk_index", S.cosine(F.col("embedding"), q).alias("sim")).orderBy(F.desc("sim"), "document_id", "chunk_index").limit(8).select("document_id", "chunk_index", F.round("sim", 4).alias("rank"))
 
 
-@query("q14_mode_switch", C.with_sql(C.DOCS_SQL, TOKENS_SQL) + "SELECT doc_id, 'full_text' AS mode FROM toks WHERE list_contains(w, 'secret')")
+@query("q14_mode_switch", C.with_sql(C.DOCS_SQL, TOKENS_SQL, C.CHUNKS_SQL, QVEC_SQL, SIM_SQL) + """, sem AS (SELECT document_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sim DESC, chunk_index) AS r FROM near) WHERE r = 1 ORDER BY sim DESC, document_id LIMIT 10)
+  SELECT 'no filter' AS asked, document_id AS doc_id, 'semantic' AS mode FROM sem UNION ALL SELECT 'no chunks', doc_id, 'full_text' FROM toks WHERE list_contains(w, 'secret') UNION ALL SELECT 'a filter', doc_id, 'full_text' FROM toks WHERE list_contains(w, 'secret') AND doc_id % 2 = 0""")
 def mode_switch(spark, sf):
-    """Semantic results when there are any for the query and no filter; else full text. No chunk lies that near."""
-    near = S.semantic_search(C.chunks(spark, sf), _query_vector(spark, sf), 10).filter("rank > 1.5").select(F.col("document_id").alias("doc_id"), F.lit("semantic").alias("mode"))
-    d = C.documents(spark, sf).select("doc_id", S.tokens(F.col("text")).alias("w")).filter(S.matches(F.col("w"), "secret")).select("doc_id", F.lit("full_text").alias("mode"))
-    first = near.limit(1).agg(F.count(F.lit(1)).alias("any"))
-    return near.union(d.join(F.broadcast(first)).filter("any = 0").drop("any"))
+    """Semantic results when no filter is set and there are any, else full text."""
+    q, chunks = _query_vector(spark, sf), C.chunks(spark, sf)
+    d = C.documents(spark, sf).select("doc_id", S.tokens(F.col("text")).alias("w")).filter(S.matches(F.col("w"), "secret")).select("doc_id")
+    near = lambda c: S.semantic_search(c, q, 10).select(F.col("document_id").alias("doc_id"))
+    cases = {"no filter": S.by_mode(near(chunks), d), "no chunks": S.by_mode(near(chunks.filter("label < 0")), d), "a filter": S.by_mode(None, d.filter("doc_id % 2 = 0"))}
+    first, *others = (df.select(F.lit(name).alias("asked"), "doc_id", "mode") for name, df in cases.items())
+    return first.union(others[0]).union(others[1])
 
 
 @query("q15_document_list", C.with_sql(C.DOCS_SQL, C.TAGS_SQL) + """SELECT doc_id, bates_begin, page_count FROM docs WHERE production_id = 1 AND custodian IN ('src1', 'src2', 'src3') AND lang = 'en' AND page_count >= 1
