@@ -645,7 +645,13 @@ def _families(beyond: DataFrame, shared: DataFrame) -> DataFrame:
     """beyond with family: sets of it that are tied by left-out signatures (shared: u, sig)."""
     spark = beyond.sparkSession
     edges = shared.join(beyond.select("u").distinct(), "u", "left_semi").select("u", F.concat(F.lit("signature").cast("binary"), F.col("sig").cast("string").cast("binary")).alias("v"))
-    labels = components(edges)
+
+    def connecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a set has many signatures, most of which tell nothing new
+        grows = Forest().grows
+        for b in batches:
+            yield b.filter(pa.array([grows(u, v) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+
+    labels = components(edges.mapInArrow(connecting, "u binary, v binary"))
     out = written(beyond.join(labels.select(F.col("node").alias("u"), F.col("label").alias("family")), "u"), "families")
     forget(spark, labels)
     return out
