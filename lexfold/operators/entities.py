@@ -89,6 +89,27 @@ def is_typo(a: Column, b: Column, least: int = 4) -> Column:
     return F.when((F.size(x) < 2) | (F.size(x) != F.size(y)) | (F.size(odd) != 1), False).otherwise(one)
 
 
+def typo_pairs(left: DataFrame, right: DataFrame, on: list[str] | None = None, least: int = 4) -> DataFrame:
+    """Pairs of rows of left (a) and right (b), equal in the columns `on`, whose names are typos of each other: as is_typo
+    says, without comparing all: a longer token less one of its characters is the shorter one, and all else is equal.
+
+    Columns of the two sides must have different names but for `on`.
+    """
+    on = on or []
+
+    def keyed(rows: DataFrame, name: str, longer: bool) -> DataFrame:
+        words = F.split(name, " ")
+        each = rows.withColumn("_words", words).filter(F.size("_words") >= 2).select("*", F.posexplode("_words").alias("_i", "_t"))
+        rest = F.transform("_words", lambda w, i: F.when(i == F.col("_i"), F.lit("")).otherwise(w))
+        less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("_t")), lambda j: F.concat(F.substring("_t", F.lit(1), j - 1), F.substring("_t", j + 1, F.char_length("_t")))))
+        form = F.when(F.char_length("_t") >= least, less).otherwise(F.array().cast("array<string>")) if longer else F.array("_t")
+        return each.select(*rows.columns, F.array_join(rest, " ").alias("_rest"), "_i", F.explode(form).alias("_form"))
+
+    key = [*on, "_rest", "_i", "_form"]
+    out = [keyed(left, "a", longer).join(keyed(right, "b", not longer), key) for longer in (False, True)]
+    return out[0].unionByName(out[1]).drop("_rest", "_i", "_form").distinct()
+
+
 def is_initial(a: Column, b: Column) -> Column:
     """Same last token, and one first token is the other's initial."""
     x, y = F.split(a, " "), F.split(b, " ")
@@ -152,7 +173,7 @@ def match(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     mail = c.select("candidate_id", "kind", F.explode("emails").alias("mail")).join(e.select("entity_id", "kind", F.explode("emails").alias("mail")), ["kind", "mail"]).select("candidate_id", "entity_id", F.lit(3), F.lit(1.0))
     ct, et = c.select("candidate_id", "kind", F.col("norm").alias("a"), F.explode(F.split("norm", " ")).alias("token")), e.select("entity_id", "kind", F.col("norm").alias("b"), F.explode(F.split("norm", " ")).alias("token"))
     near = ct.join(et, ["kind", "token"]).select("candidate_id", "entity_id", "a", "b").distinct().filter("a <> b")
-    typo = near.filter(is_typo(F.col("a"), F.col("b"))).select("candidate_id", "entity_id", F.lit(4), F.lit(1.0))
+    typo = typo_pairs(c.select("candidate_id", "kind", F.col("norm").alias("a")), e.select("entity_id", "kind", F.col("norm").alias("b")), ["kind"]).select("candidate_id", "entity_id", F.lit(4), F.lit(1.0))
     scored = near.select("candidate_id", "entity_id", F.when(is_initial(F.col("a"), F.col("b")), 0.9).otherwise(0.0).alias("i"), ratio_udf("a", "b").alias("r"), token_ratio_udf("a", "b").alias("t"))
     suggest = scored.filter((F.col("i") > 0) | (F.col("r") >= RATIO) | (F.col("t") >= TOKEN_RATIO)).select("candidate_id", "entity_id", F.lit(5), F.greatest("i", "r", "t"))
     every = exact.union(alias).union(mail).union(typo).union(suggest)

@@ -237,9 +237,9 @@ def persist(spark, sf):
     from lexfold.operators.components import components as cc
 
     raw = C.read(spark, sf, "supplier").select(F.concat(F.lit("Mr. Agent "), F.regexp_replace("s_name", "#0*", " no")).alias("name"))
-    n = raw.select(E.normal_name(F.col("name")).alias("norm")).distinct().withColumn("token", F.explode(F.split("norm", " ")))
-    pairs = n.join(n.select(F.col("norm").alias("other"), "token"), "token").filter("norm < other").select("norm", "other").distinct().filter(E.is_typo(F.col("norm"), F.col("other")))
-    labels = cc(pairs.select(F.col("norm").alias("u"), F.col("other").alias("v")))
+    n = raw.select(E.normal_name(F.col("name")).alias("norm")).distinct()
+    pairs = E.typo_pairs(n.select(F.col("norm").alias("a")), n.select(F.col("norm").alias("b")))
+    labels = cc(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return n.select("norm").distinct().join(labels.withColumnRenamed("node", "norm"), "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
 
 
@@ -364,7 +364,7 @@ def merge_aliases(spark, sf):
 def auto_typos(spark, sf):
     """Safe typo pairs in order, each name used once."""
     names = spark.createDataFrame([("michele stone",), ("michelle stone",), ("acme holdings llc",), ("acme holding llc",), ("joan lee",), ("john lee",)], "a string")
-    pairs = names.join(names.withColumnRenamed("a", "b")).filter("a < b").filter(E.is_typo(F.col("a"), F.col("b")))
+    pairs = E.typo_pairs(names, names.withColumnRenamed("a", "b")).filter("a < b")
     first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter("r = 1")
     return first.withColumn("r2", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter("r2 = 1").select(F.col("a").alias("keep"), F.col("b").alias("gone"))
 

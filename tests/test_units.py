@@ -74,6 +74,15 @@ def test_names(spark):
     assert entities.token_ratio("meridian holdings", "acme corporation") == 0
 
 
+def test_typo_pairs_are_those_of_all_comparisons(spark):
+    r = random.Random(6)
+    names = sorted({" ".join(r.choice(["anna", "annaa", "ana", "west", "wests", "we", "wet", "stone", "tone"]) for _ in range(r.randint(1, 3))) for _ in range(60)})
+    a = spark.createDataFrame([(n,) for n in names], "a string")
+    b = a.withColumnRenamed("a", "b")
+    want = a.crossJoin(b).filter(entities.is_typo(F.col("a"), F.col("b"))).collect()
+    assert sorted(map(tuple, entities.typo_pairs(a, b).collect())) == sorted(map(tuple, want)) and want
+
+
 def test_places_of_names_match_a_search_form_by_form():
     of = lambda text, forms: [m[:3] for m in entities.Places(forms).of(text)]
     assert of("Jorge Rivera met Rivera. Riverae J.B. said", ["Rivera", "Jorge Rivera", "J.B."]) == [("Jorge Rivera", 0, 12), ("Rivera", 17, 23), ("J.B.", 33, 37)]
