@@ -641,18 +641,19 @@ class Forest:
         return u != v
 
 
-def _families(beyond: DataFrame, shared: DataFrame) -> DataFrame:
-    """beyond with family: sets of it that are tied by left-out signatures (shared: u, sig)."""
+def _families(beyond: DataFrame) -> DataFrame:
+    """beyond with family in place of sigs: sets of it that are tied by signatures they left out (sigs)."""
     spark = beyond.sparkSession
-    edges = shared.join(beyond.select("u").distinct(), "u", "left_semi").select("u", F.concat(F.lit("signature").cast("binary"), F.col("sig").cast("string").cast("binary")).alias("v"))
 
-    def connecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a set has many signatures, most of which tell nothing new
+    def connecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # most signatures of a set tell nothing new
         grows = Forest().grows
         for b in batches:
-            yield b.filter(pa.array([grows(u, v) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+            ties = [(u, b"signature%d" % s) for u, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in sigs]
+            ties = [(u, v) for u, v in ties if grows(u, v)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in ties], pa.binary()), pa.array([v for _, v in ties], pa.binary())], ["u", "v"])
 
-    labels = components(edges.mapInArrow(connecting, "u binary, v binary"))
-    out = written(beyond.join(labels.select(F.col("node").alias("u"), F.col("label").alias("family")), "u"), "families")
+    labels = components(beyond.select("u", "sigs").mapInArrow(connecting, "u binary, v binary"))
+    out = written(beyond.drop("sigs").join(labels.select(F.col("node").alias("u"), F.col("label").alias("family")), "u"), "families")
     forget(spark, labels)
     return out
 
@@ -726,11 +727,11 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, schemes: dict[int, int],
     more = _verified(docs, classes, kept)
     # sets that left out more weight than their slack meet each other through what was left out
     skipped = open_.filter("skipped")
-    lost = skipped.groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("most"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-    beyond = written(lost.filter("lost > most").select("u", "band", "comp", "n"), "beyond")
+    lost = skipped.groupBy("u", "band").agg(F.sum("weight").alias("lost"), F.max("slack").alias("most"), F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list("sig").alias("sigs"))  # no more than a set has
+    beyond = written(lost.filter("lost > most").select("u", "band", "comp", "n", "sigs"), "beyond")
     out = links.union(more)
     if not beyond.isEmpty():
-        families = _families(beyond, skipped.select("u", "sig"))
+        families = _families(beyond)
         out = out.union(_blocks(docs, classes, families))
         forget(spark, families)
     out = written(out, "links")
