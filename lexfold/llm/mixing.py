@@ -31,7 +31,7 @@ SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smal
 STEM = 5  # characters of a word that count: endings and punctuation after them do not
 VOCABULARY = 4096  # stems it knows, at most: those that tell most about the domain
 TELLING = 15.0  # least likelihood ratio statistic of a word (chi-squared with a degree a domain less one)
-CELLS = 1 << 17  # of the table that finds a word by its hash; of two in one cell the more telling stays
+CELLS = 32  # for each stem, of the table that finds one by its hash; of two in one cell the more telling stays
 PENALTY = 0.001  # of the regression (half of it on absolute, half on squared weights)
 STEPS = 60  # of fitting the regression, at most
 PROXIMAL = 1e-6
@@ -66,12 +66,13 @@ class Classifier:
 
     def logits(self, hashes: Column) -> Column:
         """Of hashed stems, the log-odds of each domain: an array."""
+        size = 1 << (CELLS * len(self.stems)).bit_length()
         cells: dict[int, tuple[int, list[float]]] = {}
         for h, odds in self.stems:
-            cells.setdefault(h & (CELLS - 1), (h, odds))
+            cells.setdefault(h & (size - 1), (h, odds))
         # long constants as text, which is folded to an array once
-        column = lambda of, kind: F.split(F.lit(",".join(of(cells[c]) if c in cells else "0" for c in range(CELLS))), ",").cast(f"array<{kind}>")
-        cell = lambda h: h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+        column = lambda of, kind: F.split(F.lit(",".join(of(cells[c]) if c in cells else "0" for c in range(size))), ",").cast(f"array<{kind}>")
+        cell = lambda h: h.bitwiseAND(F.lit(size - 1)).cast("int")
         held = column(lambda x: str(x[0]), "bigint")
         odds = [column(lambda x, j=j: repr(round(x[1][j], 5)), "double") for j in range(1, len(self.prior))]
         known = lambda hs: F.array_distinct(F.filter(hs, lambda h: F.get(held, cell(h)) == h))
