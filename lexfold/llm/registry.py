@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, url_filter
+from lexfold.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, simhash_trie, url_filter
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op9_packing": packing.op9_packing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_simhash_trie": simhash_trie.op11_simhash_trie,
 }
 
 ORACLE = {
