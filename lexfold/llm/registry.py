@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexfold.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, simhash_trie, url_filter
+from lexfold.llm import exact_dedup, jaccard_join, kd_clusters, language_id, line_dedup, mixing, packing, pii, quality_rules, secret_scan, simhash_trie, url_filter, vector_codes
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_language_id": language_id.op10_language_id,
     "op11_simhash_trie": simhash_trie.op11_simhash_trie,
+    "op12_kd_clusters": kd_clusters.op12_kd_clusters,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op12_kd_clusters": kd_clusters.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
