@@ -77,21 +77,23 @@ def state_table(spark: SparkSession, state_dir: str) -> DataFrame:
 def resolve(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of docs; see streaming_dedup."""
     rows, held = _rows(docs, digest), state.withColumnRenamed("at", "best_at").hint("shuffle_hash")
-    hit = F.col("n") > 1
+    hit, there = F.col("n") > 1, F.col("at") == F.col("best_at")
     joined = written(
-        rows.join(held, "digest").select(
+        rows.join(held, "digest", "left").select(
             "doc_id",
             "digest",
             "points",
             "keep_id",
             "n",
-            (hit & (F.col("at") == F.col("best_at"))).alias("is_best"),
+            (hit & there).alias("is_best"),
+            (F.col("n").isNull() | ((F.col("n") == 1) & ~there)).alias("odd"),  # not in the state, or not where it was
             F.when(hit, normalised(F.col("text"))).alias("body"),
         ),
         "exact-rows",
     )
     held_rows = joined.filter("n > 1").groupBy("digest").agg(F.max("is_best").alias("there"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
-    if not held_rows.filter("NOT there OR rows <> n").isEmpty():
+    seen, now = state.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first(), joined.agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("odd")).first()
+    if now["odd"] or seen["n"] != now["n"] or not held_rows.filter("NOT there OR rows <> n").isEmpty():
         raise ValueError("files that the state was made from are gone or were rewritten: begin a new state")
     best = joined.filter("is_best").select("digest", F.col("body").alias("best_body")).hint("shuffle_hash")
     checked = joined.filter("n > 1").join(best, "digest").select("doc_id", "digest", "points", "keep_id", "n", "body", (F.col("body") == F.col("best_body")).alias("same"))

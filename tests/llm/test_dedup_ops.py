@@ -57,6 +57,22 @@ def test_exact_dedup_tells_when_seen_files_were_rewritten(spark, tmp_path):
         exact_dedup.streaming_dedup(spark, str(path), state)
 
 
+@pytest.mark.parametrize("after", [["a new text", "b"], ["b", "b"], ["b", "a"], ["a"], ["a", "b", "c"]])
+def test_exact_dedup_tells_when_single_rows_changed(spark, tmp_path, after):
+    """A rewritten table never loses rows without an error, in groups of one too."""
+    path, state = tmp_path / "documents.parquet", f"file://{tmp_path}/state"
+    data.frame(spark, data.rows(["a", "b"])).coalesce(1).write.parquet(str(path))
+    assert exact_dedup.streaming_dedup(spark, str(path), state).count() == 2
+    file = next(x for x in path.iterdir() if x.suffix == ".parquet")
+    again = tmp_path / "again.parquet"
+    data.frame(spark, data.rows(after)).coalesce(1).write.parquet(str(again))
+    for x in path.iterdir():
+        x.unlink()
+    file.write_bytes(next(x for x in again.iterdir() if x.suffix == ".parquet").read_bytes())
+    with pytest.raises(ValueError, match="begin a new state"):
+        exact_dedup.streaming_dedup(spark, str(path), state)
+
+
 def test_exact_dedup_empty_and_clashing_columns(spark, tmp_path):
     empty = data.frame(spark, [])
     assert exact_dedup.streaming_dedup(spark, stored(empty, tmp_path, "e")).count() == 0
