@@ -36,17 +36,17 @@ def crc_part() -> Column:
 
 
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Labelled text per language, in a stable order: whole texts of at most per_language documents, which have at most
-    `chars` characters together (or are one document).
+    """Labelled text per language, in a stable order: whole texts of the documents with the smallest hash, per_language
+    of them or as many as have at most `chars` characters together, but one at least, whatever its length.
 
     Only the share of a language's documents whose hash promises some times as many as are needed is ranked, so no
     language's rows meet in one task. Rows that repeat a document count once.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     ids = rows.select("lang", "h", F.char_length("text").alias("size"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = ids.join(F.broadcast(counts), "lang").filter((share * F.col("n") <= 8 * per_language) & ((F.col("size") <= chars) | (F.col("size") == F.col("least"))))  # counts: a row a language
+    some = ids.join(F.broadcast(counts), "lang").filter(share * F.col("n") <= max(64, 8 * per_language))  # counts: a row a language
     some = some.groupBy("lang", "h").agg(F.first("size").alias("size"))
     order = Window.partitionBy("lang").orderBy("h")
     ranked = some.withColumn("upto", F.sum("size").over(order)).withColumn("rank", F.row_number().over(order))

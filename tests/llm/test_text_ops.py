@@ -225,6 +225,12 @@ def test_training_texts_are_whole_and_bounded(spark):
         assert 5 <= len(parts) <= 10 and set(parts) <= whole and len(set(parts)) == len(parts)
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, f"{'long' if i % 2 else 'lang'} text {i} " + "z" * 60, "en" if i % 2 else "de", "s", 0) for i in range(3000)] + [(5000 + i, f"x{i}", "de", "s", 0) for i in range(3)]
+    texts = language_id.training_texts(data.frame(spark, rows), 20, 30)
+    assert set(texts) == {"de", "en"} and all("\n" not in t and t in {r[1] for r in rows} for t in texts.values())
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark):
     r = random.Random(8)
     vocabulary = {"en": ["the", "thing", "of", "with", "night"], "fr": ["le", "que", "nous", "être", "eau"], "de": ["der", "und", "schön", "nicht", "auf"]}
