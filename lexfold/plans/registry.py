@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lexfold.plans import analytics, production, review, search, sources  # noqa: E402, F401
+from lexfold.plans import analytics, indexed, production, review, search, sources  # noqa: E402, F401
