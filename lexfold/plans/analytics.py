@@ -13,6 +13,8 @@ from lexfold.operators import clustering as K
 from lexfold.operators import dedup as D
 from lexfold.operators import entities as E
 from lexfold.operators import graph as G
+from lexfold.operators import persistence as PE
+from lexfold.operators import reviews as RV
 from lexfold.operators import rewriting as W
 from lexfold.operators import threads as TH
 from lexfold.plans.registry import query
@@ -243,6 +245,30 @@ def persist(spark, sf):
     return n.select("norm").distinct().join(labels.withColumnRenamed("node", "norm"), "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
 
 
+def document_candidates(spark, sf):
+    """Candidates of documents in order: each customer's name in one of several spellings, with forms and addresses."""
+    c = C.read(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("seq"), (F.col("c_custkey") % 3).cast("int").alias("production_id"), "c_nationkey", (F.col("c_custkey") * 7 % 11).alias("way"))
+    last = F.concat(F.element_at(F.array(*map(F.lit, LAST)), (F.col("c_nationkey") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("", "ton", "son", "berg", "s"))), (F.floor(F.col("c_nationkey") / 5) % 5 + 1).cast("int")))
+    first = F.element_at(F.array(*map(F.lit, FIRST)), (F.col("seq") % 5 + 1).cast("int"))
+    name = F.when(F.col("way") < 4, F.concat(first, F.lit(" "), last)).when(F.col("way") < 6, F.concat(last, F.lit(", "), first)).when(F.col("way") == 6, F.concat(F.lit("Dr. "), first, F.lit(" "), last, F.lit("s"))).when(F.col("way") == 7, F.concat(F.substring(first, 1, 1), F.lit(". "), last)).when(F.col("way") == 8, last).otherwise(F.concat(first, F.lit("e "), last))
+    mail = F.concat(F.lower(first), F.lit("@"), F.lower(last), F.lit(".com"))
+    return c.select("seq", "production_id", F.when(F.col("seq") % 13 == 0, "org").otherwise("person").alias("kind"), name.alias("name"), F.when(F.col("seq") % 4 == 0, "counsel").alias("role"), F.array(name, F.concat(F.lit("Mr. "), last)).alias("forms"), F.when(F.col("way") > 8, F.array(mail)).otherwise(F.array().cast("array<string>")).alias("emails"))
+
+
+@query("e6_persisted_decisions")
+def persisted_decisions(spark, sf):
+    """Which entity each candidate went to, document by document, and how."""
+    return PE.decided(document_candidates(spark, sf))[0]
+
+
+@query("e6_persisted_entities")
+def persisted_entities(spark, sf):
+    """The entities then, with aliases and addresses, and the earlier one each is most like."""
+    _, entities = PE.decided(document_candidates(spark, sf))
+    hints = PE.suggestions(entities).select(F.col("entity_a").alias("entity_id"), F.col("entity_b").alias("suggested"), "score")
+    return entities.join(hints, "entity_id", "left").select("entity_id", "production_id", "kind", "name", "role", F.array_join("aliases", "|").alias("aliases"), F.array_join("emails", "|").alias("emails"), "suggested", "score")
+
+
 EXTRACTION = T.StructType().add("entities", T.ArrayType(T.StructType().add("name", "string").add("type", "string").add("surface_forms", T.ArrayType(T.StringType()))))
 
 
@@ -360,13 +386,30 @@ def merge_aliases(spark, sf):
     return G.aliases_after(s, s.filter("entity_id % 2 = 0").select(F.col("entity_id").alias("loser"), (F.col("entity_id") - 1).alias("winner")))
 
 
-@query("e15_auto_typos", "SELECT * FROM (VALUES ('michele stone','michelle stone'),('acme holding llc','acme holdings llc')) v(keep, gone)")
+TYPO_ENTITIES_SQL = "e AS (SELECT s_suppkey AS id, s_suppkey // 4 AS g, s_suppkey % 4 AS k, s_nationkey + 1 AS n, s_nationkey % 7 = 0 AS org FROM supplier)"
+
+
+def _typo_entities(spark, sf):
+    """Companies whose names grow by a letter within groups of four, and suggestions to merge each with the next two."""
+    s = C.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 4).alias("g"), (F.col("s_suppkey") % 4).alias("k"), (F.col("s_nationkey") + 1).alias("n"), (F.col("s_nationkey") % 7 == 0).alias("org"))
+    name = F.concat(F.lit("Stone"), F.expr("repeat('e', cast(k as int))"), F.lit(" No"), F.col("g").cast("string"))
+    e = s.select(F.col("id").alias("entity_id"), F.lit(1).alias("production_id"), F.when(F.col("org"), "org").otherwise("person").alias("kind"), name.alias("name"), F.col("n").alias("mentions"))
+    pairs = s.select(F.col("id").alias("a"), "g").join(s.select(F.col("id").alias("b"), "g"), "g").filter("b > a AND b - a <= 2")
+    return e, pairs.select(((F.col("a") * 7 + F.col("b")) % 11 * 1_000_000_000 + F.col("a") * 4 + F.col("b") - F.col("a")).alias("at"), "a", "b")
+
+
+@query("e15_auto_typos", "WITH RECURSIVE " + TYPO_ENTITIES_SQL + """,
+  s AS (SELECT a.id AS a, b.id AS b, b.k - a.k = 1 AND a.org = b.org AS typo, row_number() OVER (ORDER BY (a.id * 7 + b.id) % 11, a.id, b.id) AS no FROM e a JOIN e b ON a.g = b.g AND b.id > a.id AND b.id - a.id <= 2),
+  fold(no, gone, n) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(w BIGINT, l BIGINT)[]), (SELECT list(CAST(n AS BIGINT) ORDER BY id) FROM e)
+    UNION ALL SELECT f.no + 1, CASE WHEN hit THEN list_append(gone, {'w': w, 'l': l}) ELSE gone END, CASE WHEN hit THEN list_transform(n, lambda x, i: CASE WHEN i = w + 1 THEN x + n[l + 1] ELSE x END) ELSE n END
+    FROM (SELECT f.no, gone, n, CASE WHEN n[a + 1] >= n[b + 1] THEN a ELSE b END AS w, CASE WHEN n[a + 1] >= n[b + 1] THEN b ELSE a END AS l,
+          typo AND len(list_filter(gone, lambda x: x.l = a OR x.l = b)) = 0 AS hit FROM fold f JOIN s ON s.no = f.no + 1) f),
+  merged AS (SELECT unnest(gone, recursive := true) FROM (SELECT gone FROM fold ORDER BY no DESC LIMIT 1))
+  SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM merged WHERE (w = a AND l = b) OR (w = b AND l = a)) THEN 'accepted' WHEN a IN (SELECT l FROM merged) OR b IN (SELECT l FROM merged) THEN 'rejected' ELSE 'pending' END AS status FROM s""")
 def auto_typos(spark, sf):
-    """Safe typo pairs in order, each name used once."""
-    names = spark.createDataFrame([("michele stone",), ("michelle stone",), ("acme holdings llc",), ("acme holding llc",), ("joan lee",), ("john lee",)], "a string")
-    pairs = E.typo_pairs(names, names.withColumnRenamed("a", "b")).filter("a < b")
-    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter("r = 1")
-    return first.withColumn("r2", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter("r2 = 1").select(F.col("a").alias("keep"), F.col("b").alias("gone"))
+    """Safe typos merge in order, into the one of more mentions; who has gone merges no more."""
+    e, suggestions = _typo_entities(spark, sf)
+    return RV.auto_resolve(suggestions, e).select("a", "b", "status")
 
 
 CO_SQL = "dm AS (SELECT DISTINCT doc_id, entity_id FROM mentions), co AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS documents FROM dm a JOIN dm b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
@@ -422,12 +465,30 @@ def evidence(spark, sf):
     return c.join(n.select(F.col("entity_id").alias("a"), F.col("n").alias("of_a")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("n").alias("of_b")), "b").select("a", "b", F.col("documents").alias("shared"), "of_a", "of_b")
 
 
-@query("e23_merge_verdicts", "SELECT * FROM (VALUES (1,'merge'),(2,'keep'),(3,'keep'),(4,'dismiss')) v(no, action)")
+def merge_docket(spark, sf):
+    """verdicts, suggestions, entities and snippets: companies in groups of four, reviewed twice, some to be renamed."""
+    e, pairs = _typo_entities(spark, sf)
+    suggestions = pairs.select(F.col("at").alias("suggestion_id"), F.lit(1).alias("production_id"), "a", "b", F.when(F.col("a") % 9 == 0, "accepted").otherwise("pending").alias("status"))
+    twice = suggestions.select("suggestion_id", "a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    correction = F.struct(F.col("b").alias("entity_id"), F.when(F.col("a") % 2 == 0, F.concat(F.lit("stone no"), F.floor(F.col("b") / 4).cast("string"))).otherwise("Nowhere Ltd").alias("corrected_name"), F.lit(0.9).alias("confidence"))
+    verdict = F.when((F.col("a") + F.col("again")) % 5 == 0, "distinct").when((F.col("b") + F.col("again")) % 7 == 0, "unsure").otherwise("merge")
+    v = twice.select((F.col("again") * 10**11 + F.col("suggestion_id")).alias("at"), "suggestion_id", verdict.alias("verdict"), F.when(F.col("a") % 3 == 0, F.col("b")).alias("keep_id"), (F.lit(0.8) + F.col("b") % 4 * 0.05).alias("confidence"), F.when(F.col("b") % 3 == 0, F.array(correction)).otherwise(F.array().cast("array<struct<entity_id:bigint,corrected_name:string,confidence:double>>")).alias("corrections"))
+    snippets = e.filter("entity_id % 4 < 3").select("entity_id", F.concat(F.lit("signed for  STONE\nno"), F.floor(F.col("entity_id") / 4).cast("string"), F.lit(" today")).alias("snippet"))
+    return v, suggestions, e.withColumn("aliases", F.array(F.lit("the company"))), snippets
+
+
+@query("e23_merge_verdicts")
 def verdicts(spark, sf):
-    """A merge needs confidence of 0.85 and a quote that both names' text really holds."""
-    d = spark.createDataFrame([(1, "same", 0.9, "jorge rivera cfo", "mr jorge rivera cfo signed"), (2, "same", 0.8, "x", "x"), (3, "same", 0.95, "not there", "text"), (4, "different", 0.9, "", "")], "no int, verdict string, confidence double, quote string, text string")
-    sure = (F.col("confidence") >= 0.85) & F.col("text").contains(F.col("quote"))
-    return d.select("no", F.when((F.col("verdict") == "same") & sure, "merge").when((F.col("verdict") == "different") & (F.col("confidence") >= 0.85), "dismiss").otherwise("keep").alias("action"))
+    """What becomes of each verdict, in order: merges past the gate, dismissals without one, names that snippets attest."""
+    done, _ = RV.apply_merge_verdicts(*merge_docket(spark, sf))
+    return done.select("at", "outcome", "keep", "drop", "renamed", F.size("reasons").alias("reasons"))
+
+
+@query("e23_reviewed_entities")
+def reviewed(spark, sf):
+    """The entities after all verdicts, with their aliases and where they went."""
+    _, after = RV.apply_merge_verdicts(*merge_docket(spark, sf))
+    return after.select("entity_id", "name", F.array_join("aliases", "|").alias("aliases"), "mentions", "merged_into")
 
 
 @query("e24_timeline_verdicts", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'kept' WHEN c < 0.8 THEN 'kept' WHEN o_orderkey % 3 = 0 THEN 'deleted' WHEN o_orderkey % 3 = 1 THEN 'rerated' ELSE 'edited' END AS outcome FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0 AS c FROM orders)")
@@ -441,6 +502,30 @@ def timeline_verdicts(spark, sf):
 # --- model wrappers ------------------------------------------------------------------------------------------------
 
 
+def timeline_docket(spark, sf):
+    """verdicts and events: orders as events, of which five in a row get three verdicts that build on one another."""
+    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+    events = o.select(F.col("id").alias("event_id"), F.lit("meeting").alias("event_type"), F.concat(F.lit("event "), F.col("id").cast("string")).alias("description"), "date", F.lit("day").alias("precision"), F.lit(3).alias("significance"), (F.col("id") % 17 == 0).alias("human_edited"), F.array((F.col("o_custkey") % 5).cast("bigint")).alias("participants"))
+    kind = F.element_at(F.array(*map(F.lit, ("merge", "delete", "edit", "rerate", "merge"))), ((F.col("id") + F.col("turn")) % 5 + 1).cast("int"))
+    v = o.filter("id % 5 < 3").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    v = v.select((F.col("id") * 7 % 1013 * 10**10 + F.col("id") * 2 + F.col("turn")).alias("at"), kind.alias("kind"), (F.lit(0.75) + F.col("id") % 6 * 0.05).alias("confidence"), F.col("id").alias("event_id"), F.array("id", F.col("id") + 1).alias("event_ids"), (F.col("id") + F.col("turn")).alias("keep_id"), F.when(F.col("id") % 4 == 0, "1999-01-02").when(F.col("id") % 4 == 1, "soon").alias("date"), F.lit("month").alias("precision"), F.when(F.col("id") % 3 == 0, "corrected").alias("description"), F.when(F.col("id") % 11 == 0, "party").when(F.col("id") % 2 == 0, "payment").alias("event_type"), (F.col("id") % 7).cast("int").alias("significance"))
+    return v, events
+
+
+@query("e24_timeline_fold")
+def timeline_fold(spark, sf):
+    """What becomes of each verdict on events that other verdicts merge, delete, edit and rerate."""
+    done, _ = RV.apply_timeline_verdicts(*timeline_docket(spark, sf))
+    return done
+
+
+@query("e24_reviewed_timeline")
+def reviewed_timeline(spark, sf):
+    """The events that verdicts name, after all of them."""
+    _, after = RV.apply_timeline_verdicts(*timeline_docket(spark, sf))
+    return after.withColumn("participants", F.array_join(F.transform("participants", lambda p: p.cast("string")), ","))
+
+
 @query("m1_truncation", "SELECT doc_id, len(substr(text, 1, 12000)) AS summary, len(substr(text, 1, 8000)) AS similar_terms, len(substr(text, 1, 4000)) AS title FROM documents")
 def truncation(spark, sf):
     n = lambda k: F.char_length(F.substring("text", 1, k)).cast("bigint")
