@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexfold.functions.normalize import bates
+from lexfold.functions.normalize import bates, file_type_of
 from lexfold.operators.ranks import running
 
 # Fixed values.
@@ -56,9 +56,16 @@ def rectangle_error(page: Column, x: Column, y: Column, w: Column, h: Column, pa
     )
 
 
-def produced_pages(disposition: Column, pages: Column) -> Column:
-    """A withheld document takes one page, its slip sheet."""
-    return F.when(disposition == "withhold", F.lit(1)).otherwise(F.greatest(pages, F.lit(1))).cast("bigint")
+def produced_as_native(disposition: Column, native_path: Column, types: tuple[str, ...]) -> Column:
+    """Whether a document that is produced whole goes out as its native file: it has one, of a type that the set asks for."""
+    kind = F.coalesce(file_type_of(native_path).isin(*types), F.lit(False)) if types else F.lit(False)
+    return (F.coalesce(disposition, F.lit("produce")) == "produce") & native_path.isNotNull() & kind
+
+
+def produced_pages(disposition: Column, pages: Column, native: Column | None = None) -> Column:
+    """A document that is withheld or produced as its native file takes one page, its slip sheet."""
+    slip = (disposition == "withhold") if native is None else F.coalesce(disposition == "withhold", F.lit(False)) | native
+    return F.when(slip, F.lit(1)).otherwise(F.greatest(pages, F.lit(1))).cast("bigint")
 
 
 def ordered(members: DataFrame, by_custodian: bool = False) -> DataFrame:

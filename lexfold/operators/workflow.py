@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexfold.operators.ranks import running
 from lexfold.sources import corpus as C
 
 
@@ -18,8 +19,9 @@ def queue_documents(docs: DataFrame, by_query: DataFrame | None = None, by_decis
 def new_batches(docs: DataFrame, batched: DataFrame, size: int) -> DataFrame:
     """Documents not yet batched, cut into batches of a production in Bates order: batch and position from 0."""
     left = docs.join(batched.select("doc_id").distinct(), "doc_id", "left_anti")
-    r = F.row_number().over(Window.partitionBy("production_id").orderBy("bates_begin")) - 1
-    return left.select("production_id", "doc_id", F.floor(r / size).alias("batch"), (r % size).cast("bigint").alias("position"))
+    placed = running(left.select("production_id", "bates_begin", "doc_id"), ["production_id"], ["bates_begin", "doc_id"], "_r")
+    r = F.col("_r") - 1
+    return placed.select("production_id", "doc_id", F.floor(r / size).alias("batch"), (r % size).cast("bigint").alias("position"))
 
 
 class Tools:

@@ -90,14 +90,19 @@ def conflicts(spark, sf):
 ORDER_SQL = """o AS (SELECT *, first_value(bates_begin) OVER w AS hc, coalesce(first_value(custodian) OVER w, '') AS hu, first_value(CASE WHEN doc_id % 5 > 0 THEN n_chars END) OVER w AS hd
   FROM e WINDOW w AS (PARTITION BY production_id, CASE WHEN family_id IS NULL THEN 's' || bates_begin ELSE 'f' || family_id END ORDER BY bates_begin)),
 s AS (SELECT *, row_number() OVER (PARTITION BY production_id ORDER BY hc, bates_begin) AS sort_order, row_number() OVER (PARTITION BY production_id ORDER BY hu, hd IS NULL, hd, hc, bates_begin) AS by_custodian,
-  CASE WHEN disposition = 'withhold' THEN 1 ELSE greatest(page_count, 1) END AS pages FROM o),
+  CASE WHEN disposition = 'withhold' OR (coalesce(disposition, 'produce') = 'produce' AND regexp_matches(lower(native_path), '[.](mp4|msg)$')) THEN 1 ELSE greatest(page_count, 1) END AS pages FROM o),
 z AS (SELECT *, sum(pages) OVER (PARTITION BY production_id ORDER BY sort_order ROWS UNBOUNDED PRECEDING) AS last FROM s)"""
 ORDERED = C.with_sql(C.DOCS_SQL, C.TAGS_SQL, MEMBERS_SQL, ORDER_SQL)
 
 
+NATIVE_TYPES = ("mp4", "msg")  # produced as native files
+
+
 def _set(spark, sf):
     m = members(spark, sf).withColumn("set_id", F.col("production_id")).withColumn("control", F.col("bates_begin")).withColumn("doc_date", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")))
-    return m.withColumn("pages", O.produced_pages(F.col("disposition"), F.col("page_count")))
+    native = O.produced_as_native(F.col("disposition"), F.col("native_path"), NATIVE_TYPES)
+    m = m.withColumn("pages", O.produced_pages(F.col("disposition"), F.col("page_count"), native)).withColumn("has_text", F.char_length("text") > 0)
+    return m.select("doc_id", "set_id", "control", "family_id", "custodian", "doc_date", "disposition", "native_path", "has_text", "pages")  # ranked and written: no texts
 
 
 @query("v6_family_order", ORDERED + "SELECT doc_id, sort_order, by_custodian FROM s")
@@ -154,7 +159,7 @@ def dat_rows(spark, sf):
     f = Window.partitionBy("set_id", F.coalesce(F.concat(F.lit("f"), F.col("family_id").cast("string")), F.concat(F.lit("s"), "control")))
     withheld = F.coalesce(F.col("disposition") == "withhold", F.lit(False))
     yes = lambda c: F.when(c, "Y").otherwise("N")
-    text = (F.coalesce("disposition", F.lit("produce")) == "produce") & (F.char_length("text") > 0)
+    text = (F.coalesce("disposition", F.lit("produce")) == "produce") & F.col("has_text")
     return z.select(
         F.col("begin").alias("BEGBATES"), F.min_by("begin", "sort_order").over(f).alias("BEGATTACH"), F.max_by("end", "sort_order").over(f).alias("ENDATTACH"), F.when(withheld, "").otherwise(F.coalesce("native_path", F.lit(""))).alias("FILENAME"),
         yes(F.col("disposition") == "redact_in_part").alias("REDACTED"), yes(withheld).alias("WITHHELD"), F.when(text, F.concat(F.lit(".\\TEXT\\"), "begin", F.lit(".txt"))).otherwise("").alias("TEXTPATH"), F.col("pages").alias("PAGECOUNT"),

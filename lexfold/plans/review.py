@@ -177,8 +177,10 @@ def continuity(spark, sf):
 
 @query("w10_batch_slices", "SELECT o_orderkey, (r - 1) // 50 AS batch, (r - 1) % 50 AS position FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders)")
 def batch_slices(spark, sf):
-    r = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
-    return C.read(spark, sf, "orders").select("o_orderkey", F.floor(r / 50).alias("batch"), (r % 50).cast("bigint").alias("position"))
+    from lexfold.operators.ranks import running
+
+    r = F.col("_r") - 1
+    return running(C.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], ["o_orderkey"], "_r").select("o_orderkey", F.floor(r / 50).alias("batch"), (r % 50).cast("bigint").alias("position"))
 
 
 # --- sampling and validation ---------------------------------------------------------------------------------------

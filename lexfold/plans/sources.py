@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexfold.functions import normalize as N
+from lexfold.operators import rollover as R
 from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
 from lexfold.sources import files as X
@@ -149,11 +150,27 @@ def word_boxes(spark, sf):
     return C.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x0.alias("x0"), (x1 - x0).alias("width"))
 
 
-@query("s19_volumes")
+VOLUMES_SQL = """WITH RECURSIVE d AS (SELECT doc_id % 3 AS production_id, printf('DOC%06d', doc_id) AS bates_begin, n_chars AS bytes, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY printf('DOC%06d', doc_id)) AS r FROM documents),
+  v AS (SELECT production_id, bates_begin, bytes, r, 1 AS volume, bytes AS used FROM d WHERE r = 1
+    UNION ALL SELECT d.production_id, d.bates_begin, d.bytes, d.r, CASE WHEN v.used > 0 AND v.used + d.bytes > 20000 THEN v.volume + 1 ELSE v.volume END, CASE WHEN v.used > 0 AND v.used + d.bytes > 20000 THEN d.bytes ELSE v.used + d.bytes END
+    FROM v JOIN d ON d.production_id = v.production_id AND d.r = v.r + 1) """
+
+
+def _volumes(spark, sf):
+    d = C.documents(spark, sf).select("production_id", "bates_begin", F.col("n_chars").alias("bytes"))
+    return R.volumes(d, "production_id", "bates_begin", "bytes", 20_000)
+
+
+@query("s19_volumes", VOLUMES_SQL + "SELECT production_id, bates_begin, bytes, volume FROM v")
 def volumes(spark, sf):
     """Documents of a production set dealt to volumes of a size cap, in order."""
-    d = C.documents(spark, sf).select("production_id", "bates_begin", F.col("n_chars").alias("bytes"))
-    return X.volumes(d, "production_id", "bates_begin", "bytes", 200_000)
+    return _volumes(spark, sf)
+
+
+@query("s19_volume_manifest", VOLUMES_SQL + "SELECT production_id, printf('VOL%03d', volume) AS label, count(*) AS documents, CAST(sum(bytes) AS BIGINT) AS bytes FROM v GROUP BY production_id, volume")
+def volume_manifest(spark, sf):
+    """What each volume holds."""
+    return R.manifest(_volumes(spark, sf), "production_id", "bytes")
 
 
 @query("s20_object_store")
@@ -189,12 +206,12 @@ def bools(spark, sf):
     return C.read(spark, sf, "orders").select("o_orderkey", N.bool_of(w).alias("value"))
 
 
-@query("n4_normalize_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 12 >= 10 THEN NULL ELSE CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + [s, s, s, 0, s, s // 60 * 60, s, s // 60 * 60, 0, s - 7200][o_orderkey % 12 + 1] END AS utc_s FROM (SELECT *, o_orderkey * 7919 % 86400 AS s FROM orders)""")
+@query("n4_normalize_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 18 IN (10, 11) THEN NULL ELSE CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + [s, s, s, 0, s, s // 60 * 60, s, s // 60 * 60, 0, s - 7200, 0, 0, s, s, s - 7200, s + 18000, s // 60 * 60, s][o_orderkey % 18 + 1] END AS utc_s FROM (SELECT *, o_orderkey * 7919 % 86400 AS s FROM orders)""")
 def dates(spark, sf):
     """Every format, with days that are none and words beside them."""
     at = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", "o_orderdate")) + F.col("o_orderkey") * 7919 % 86400)
-    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy h:mm:ss a", "MM/dd/yyyy h:mm a", "M/d/yyyy HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "EEE, dd MMM yyyy HH:mm:ss' +0200'", "yyyy-'02-30'", "'soon'"]
-    o = C.read(spark, sf, "orders").select("o_orderkey", F.get(F.array(*(F.date_format(at, f) for f in forms)), (F.col("o_orderkey") % 12).cast("int")).alias("v"))
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy h:mm:ss a", "MM/dd/yyyy h:mm a", "M/d/yyyy HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "EEE, dd MMM yyyy HH:mm:ss' +0200'", "yyyy-'02-30'", "'soon'", "EEE, dd MMM yyyy HH:mm:ss' GMT'", "EEE, d MMM yyyy HH:mm:ss' +0000 (UTC)'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "d MMM yy HH:mm:ss' EST'", "EEE d MMM yyyy HH:mm' -0000'", "dd-MMM-yyyy HH:mm:ss"]
+    o = C.read(spark, sf, "orders").select("o_orderkey", F.get(F.array(*(F.date_format(at, f) for f in forms)), (F.col("o_orderkey") % 18).cast("int")).alias("v"))
     return o.select("o_orderkey", F.unix_timestamp(N.utc_of(F.col("v"))).alias("utc_s"))
 
 

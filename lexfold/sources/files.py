@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexfold.functions import normalize as N
+from lexfold.operators.ranks import scan
 from lexfold.storage import fresh_path
 
 # Bounds of what is unpacked from an archive.
@@ -62,8 +63,7 @@ def parse_opticon(lines: DataFrame) -> DataFrame:
     the first break are dropped, and of repeated documents the last stays."""
     f = F.split("value", ",")
     rows = lines.select("line_no", f.alias("f")).filter(F.size("f") >= 4).select("line_no", F.btrim(F.get("f", F.lit(0))).alias("bates"), F.replace(F.btrim(F.get("f", F.lit(2))), F.lit("\\"), F.lit("/")).alias("page"), (F.upper(F.btrim(F.get("f", F.lit(3)))) == "Y").alias("brk"))
-    # one load file is one sequence: its lines are numbered, and the running count of breaks names the document
-    rows = rows.withColumn("doc", F.max(F.when(F.col("brk"), F.col("line_no"))).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))).filter("doc IS NOT NULL")
+    rows = scan(rows, [], ["line_no"], "doc", F.when(F.col("brk"), F.col("line_no")), "last").filter("doc IS NOT NULL")
     docs = rows.groupBy("doc").agg(F.max(F.when(F.col("brk"), F.col("bates"))).alias("bates"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "page"))), lambda x: x["page"]).alias("pages"))
     return docs.groupBy("bates").agg(F.max_by("pages", "doc").alias("pages")).filter("bates <> ''")
 
@@ -240,23 +240,6 @@ def expand_zip(files: DataFrame, name: str, raw: str) -> DataFrame:
     return _expanded(files, [name, raw], "archive string, entry string, size long, content binary", _zip_rows)
 
 
-def volumes(docs: DataFrame, by: str, order: str, size: str, cap: int) -> DataFrame:
-    """docs with volume, from 1: a new one begins when the next document would pass the cap. One set, one sequence."""
-    schema = f"{by} {dict(docs.dtypes)[by]}, {order} string, {size} long, volume int"
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order).reset_index(drop=True)
-        out, volume, used = [], 1, 0
-        for s in f[size]:
-            if used and used + s > cap:
-                volume, used = volume + 1, 0
-            used += s
-            out.append(volume)
-        return f.assign(volume=out)[[by, order, size, "volume"]]
-
-    return docs.groupBy(by).applyInPandas(run, schema)
-
-
 # --- samples for tests and demonstration queries -------------------------------------------------------------------
 
 
