@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexfold.functions import normalize as N
 from lexfold.operators.ranks import scan
+from lexfold.sources.loadfile import open_load_file
 from lexfold.storage import fresh_path
 
 # Bounds of what is unpacked from an archive.
@@ -42,20 +43,9 @@ def write_text(rows: DataFrame, ordered: bool = False) -> str:
 
 
 def read_load_file(spark: SparkSession, path: str, slashes: bool = False) -> DataFrame:
-    """A delimited load file as a table: the first line names the columns; blank lines go, short rows are padded.
-
-    Only the header is looked at on the driver; lines are split where they are read.
-    """
-    lines = spark.read.text(path).select(F.rtrim(F.replace(F.replace("value", F.lit("\x00")), F.lit("\ufeff")), F.lit("\r")).alias("line")).filter(F.btrim("line") != "")
-    first = lines.first()
-    if first is None:
-        return spark.createDataFrame([], "empty string").drop("empty")
-    head = spark.range(1).select(N.delimiter_of(F.lit(first["line"])).alias("d")).first()["d"]
-    split = (lambda c: N.thorn_fields(c)) if head == N.DC4 else (lambda c: N.csv_fields(c, head))
-    names = spark.range(1).select(split(F.lit(first["line"])).alias("n")).first()["n"]
-    value = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
-    rows = lines.filter(F.col("line") != first["line"]).select(split(F.col("line")).alias("f"))
-    return rows.select(*((F.replace(value(i), F.lit("\\"), F.lit("/")) if slashes else value(i)).alias(n) for i, n in enumerate(names)))
+    """A load file as a table (see loadfile.py), with slashes for backslashes in its values if asked."""
+    rows = open_load_file(spark, path).rows
+    return rows.select(*(F.replace(f"`{c}`", F.lit("\\"), F.lit("/")).alias(c) for c in rows.columns)) if slashes else rows
 
 
 def parse_opticon(lines: DataFrame) -> DataFrame:
