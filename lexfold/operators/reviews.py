@@ -108,6 +108,29 @@ def auto_resolve(suggestions: DataFrame, entities: DataFrame, places: DataFrame
     return out.select("at", "a", "b", status.alias("status"), "winner", "loser")
 
 
+VERDICTS = ("merge", "distinct", "unclear")  # Fixed values.
+ONE = "suggestion_id string, verdict string, keep_id string, reason string, confidence string, corrections array<string>"
+FIX = "entity_id string, corrected_name string, reason string, confidence string"
+
+
+def parse_merge_verdicts(answers: DataFrame) -> DataFrame:
+    """id, place, suggestion_id, verdict, keep_id, reason, confidence, corrections of a model's answers (id, raw), in their order.
+
+    What is no JSON object gives none; a verdict needs a known word and two numbers, a correction a name of 1 to 500
+    characters, an entity and a number. Reasons are cut at 1,000 and 500 characters.
+    """
+    number = lambda c: c.try_cast("double")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    # each element is read by itself: one that is no object spoils no other
+    v = answers.select("id", F.posexplode(F.from_json("raw", "verdicts array<string>")["verdicts"]).alias("place", "v")).select("id", "place", F.from_json("v", ONE).alias("v")).select("id", "place", "v.*")
+    named = lambda c: (F.char_length(F.btrim(text(c["corrected_name"]))).between(1, 500)) & (F.btrim(text(c["entity_id"])) != "") & number(c["confidence"]).isNotNull()
+    shaped = lambda c: F.struct(F.btrim(c["entity_id"]).try_cast("bigint").alias("entity_id"), F.btrim(c["corrected_name"]).alias("corrected_name"), number(c["confidence"]).alias("confidence"), F.substring(text(c["reason"]), 1, 500).alias("reason"))
+    kept = v.filter(F.col("verdict").isin(*VERDICTS) & number(F.col("suggestion_id")).isNotNull() & number(F.col("confidence")).isNotNull())
+    fixes = F.transform(F.coalesce("corrections", F.array().cast("array<string>")), lambda c: F.from_json(c, FIX))
+    corrections = F.transform(F.filter(fixes, named), shaped)
+    return kept.select("id", "place", number(F.col("suggestion_id")).cast("bigint").alias("suggestion_id"), "verdict", F.nullif(text(F.col("keep_id")), F.lit("")).try_cast("bigint").alias("keep_id"), F.substring(text(F.col("reason")), 1, 1000).alias("reason"), number(F.col("confidence")).alias("confidence"), corrections.alias("corrections"))
+
+
 DOCKET = "at bigint, outcome string, keep bigint, drop bigint, renamed int, reasons array<string>, entity_id bigint, name string, aliases array<string>, mentions bigint, merged_into bigint"
 
 

@@ -104,19 +104,36 @@ def silhouette(spark, sf):
     return K.silhouettes(_vectors(spark, sf)).select("id", F.round("silhouette", 4).alias("silhouette"))
 
 
-@query("c3_choose_k", "SELECT * FROM (VALUES (3, 2), (10, 4), (49, 4), (50, 5), (400, 12)) v(n, k)")
+@query("c3_choose_k")
 def choose_k(spark, sf):
-    """Scores here peak at 4 and, from 50 vectors on, at 12."""
-    return spark.createDataFrame([(n, K.choose_k(n, lambda k, n=n: -abs(k - (12 if n >= 50 else 4)))) for n in (3, 10, 49, 50, 400)], "n int, k int")
+    """Mean silhouettes of all numbers of clusters that are tried on the vectors, and which is best."""
+    best, scores = K.choose_k(_vectors(spark, sf))
+    return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in scores.items()], "k int, silhouette double, best boolean")
 
 
-@query("c4_label_sanitise", "SELECT * FROM (VALUES (1,'Contracts'),(2,NULL),(3,NULL),(4,NULL),(5,NULL),(6,'Board minutes'),(7,NULL)) v(no, label)")
+@query("c3_tried", """SELECT o_custkey, n, CASE WHEN n < 50 THEN range(2, greatest(2, least(6, n))) ELSE range(5, greatest(5, least(31, n // 10 + 1))) END AS tried FROM (SELECT o_custkey, count(*) * (o_custkey % 40) AS n FROM orders GROUP BY o_custkey)""")
+def tried(spark, sf):
+    """Which numbers of clusters are tried for collections of many sizes."""
+    n = F.count(F.lit(1)) * F.first(F.col("o_custkey") % 40)
+    ks = F.udf(lambda m: K.candidates_of_k(m), "array<bigint>")
+    d = C.read(spark, sf, "orders").groupBy("o_custkey").agg(n.alias("n"))
+    known = d.select("n").distinct().withColumn("tried", ks("n"))
+    return d.join(known, "n").select("o_custkey", "n", "tried")
+
+
+RAW_LABEL_SQL = """r AS (SELECT p_partkey, ['"' || p_name || '" ', 'I cannot read ' || p_name, repeat(p_name, 5), 'a b c d e ' || p_name, p_name || '.', p_name, ' ', 'Sorry, ' || p_name][p_partkey % 8 + 1] AS raw FROM part)"""
+
+
+@query("c4_label_sanitise", "WITH " + RAW_LABEL_SQL + """ SELECT p_partkey, CASE WHEN x <> '' AND len(x) <= 40 AND len(regexp_split_to_array(x, '\\s+')) <= 6 AND right(x, 1) <> '.' AND NOT contains(lower(x), 'i cannot') AND NOT contains(lower(x), 'sorry') THEN x END AS label FROM (SELECT p_partkey, trim(trim(trim(raw), '"')) AS x FROM r)""")
 def labels(spark, sf):
-    d = spark.createDataFrame([(1, ' "Contracts" '), (2, "I cannot read this"), (3, "x" * 41), (4, "a b c d e f g"), (5, "Ends with dot."), (6, "Board minutes"), (7, "")], "no int, raw string")
+    """Labels in quotes, refusals, too long ones and sentences, made from the parts' names."""
+    name = F.col("p_name")
+    raw = F.array(F.concat(F.lit('"'), name, F.lit('" ')), F.concat(F.lit("I cannot read "), name), F.repeat(name, F.lit(5)), F.concat(F.lit("a b c d e "), name), F.concat(name, F.lit(".")), name, F.lit(" "), F.concat(F.lit("Sorry, "), name))
+    d = C.read(spark, sf, "part").select("p_partkey", F.get(raw, (F.col("p_partkey") % 8).cast("int")).alias("raw"))
     x = F.btrim(F.btrim(F.btrim("raw"), F.lit('"')))
     refusal = F.lower(x).rlike("|".join(LABEL_REFUSALS))
     bad = (x == "") | (F.char_length(x) > 40) | (F.size(F.split(x, r"\s+")) > 6) | x.endswith(".") | refusal
-    return d.select("no", F.when(~bad, x).alias("label"))
+    return d.select("p_partkey", F.when(~bad, x).alias("label"))
 
 
 @query("c5_spread_sample", """SELECT p_partkey, n, k, CASE WHEN n <= k THEN range(0, n) WHEN k = 1 THEN [0] ELSE list_sort(list_distinct([CAST(round_even(CAST(i * (n - 1) AS DOUBLE) / (k - 1), 0) AS BIGINT) FOR i IN range(0, k)])) END AS positions
@@ -199,10 +216,13 @@ def normal_names(spark, sf):
     return p.select("id", E.normal_name(F.col("name")).alias("norm"))
 
 
-@query("e2_token_similarity", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) v(no, suggested)")
+@query("e2_token_similarity", "SELECT s_suppkey, s_suppkey % 3 <> 1 AS suggested FROM supplier")
 def token_similarity(spark, sf):
-    d = spark.createDataFrame([(1, "smyrna park elementary", "severna park elementary school"), (2, "meridian holdings", "acme corporation"), (3, "jon smith", "john smith")], "no int, a string, b string")
-    return d.select("no", (E.token_ratio_udf("a", "b") >= E.TOKEN_RATIO).alias("suggested"))
+    """A school misheard, two firms without a common word, and a letter more in a first name, each numbered."""
+    n = F.col("s_suppkey").cast("string")
+    of = lambda *names: F.get(F.array(*(F.concat(F.lit(x + " "), n) for x in names)), (F.col("s_suppkey") % 3).cast("int"))
+    d = C.read(spark, sf, "supplier").select("s_suppkey", of("smyrna park elementary", "meridian holdings", "jon smith").alias("a"), F.when(F.col("s_suppkey") % 3 == 1, "acme corporation").otherwise(of("severna park elementary school", "", "john smith")).alias("b"))
+    return d.select("s_suppkey", (E.token_ratio_udf("a", "b") >= E.TOKEN_RATIO).alias("suggested"))
 
 
 @query("e3_typo", "WITH " + PERSON_SQL + " SELECT id, CASE id % 4 WHEN 0 THEN len(f) > 2 WHEN 3 THEN len(l) > 2 ELSE false END AS typo FROM p")
@@ -222,15 +242,25 @@ def initials(spark, sf):
     return p.select("id", E.is_initial(F.when(F.col("id") % 3 == 0, initial).otherwise(whole), F.when(F.col("id") % 3 == 1, initial).when(F.col("id") % 3 == 2, F.concat(F.lit("x "), F.lower("l"))).otherwise(whole)).alias("same"))
 
 
-def _candidates(spark):
-    c = [(1, "jorge rivera", "person", []), (2, "jorge rivara", "person", []), (3, "george rivera", "person", ["jr@acme.com"]), (4, "michele stone", "person", []), (5, "new name", "person", []), (6, "acme inc", "person", []), (7, "j rivera", "person", []), (8, "the acme", "org", [])]
-    e = [(10, "jorge rivera", "person", ["jorge r"], ["jr@acme.com"]), (11, "michelle stone", "person", [], []), (12, "acme inc", "org", ["the acme"], [])]
-    return spark.createDataFrame(c, "candidate_id int, norm string, kind string, emails array<string>"), spark.createDataFrame(e, "entity_id int, norm string, kind string, aliases array<string>, emails array<string>")
+ENTITY_SQL = """e AS (SELECT s_suppkey AS id, 'a' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 7) AS f, 'b' || substr(md5(CAST(s_suppkey AS VARCHAR)), 8, 7) AS l FROM supplier)"""
+
+
+def _match_tables(spark, sf):
+    """Suppliers as entities of two words that resemble no other's, and customers as candidates that name one in six ways."""
+    s = C.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("h"))
+    s = s.select("entity_id", F.concat(F.lit("a"), F.substring("h", 1, 7)).alias("f"), F.concat(F.lit("b"), F.substring("h", 8, 7)).alias("l"), F.when(F.col("entity_id") % 2 == 1, "person").otherwise("org").alias("kind"), F.col("entity_id").cast("string").alias("n"))
+    e = s.select("entity_id", F.concat_ws(" ", "f", "l").alias("norm"), "kind", F.array(F.concat(F.lit("alias "), "n")).alias("aliases"), F.array(F.concat(F.lit("m"), "n", F.lit("@x.com"))).alias("emails"))
+    count = s.agg(F.count(F.lit(1)).alias("suppliers"))
+    c = C.read(spark, sf, "customer").crossJoin(F.broadcast(count)).select(F.col("c_custkey").alias("candidate_id"), (F.col("c_custkey") % F.col("suppliers")).alias("entity_id"))  # count: one row
+    c = c.join(s, "entity_id").withColumn("way", (F.col("candidate_id") % 6).cast("int"))
+    other = F.concat(F.lit("zz"), F.substring(F.md5(F.concat(F.lit("c"), F.col("candidate_id").cast("string")).cast("binary")), 1, 12))
+    names = F.array(F.concat_ws(" ", "f", "l"), F.concat(F.lit("alias "), "n"), other, F.concat("f", F.lit("x "), "l"), F.concat(F.lit("a "), "l"), other)
+    return c.select("candidate_id", F.get(names, F.col("way")).alias("norm"), "kind", F.when(F.col("way") == 2, F.array(F.concat(F.lit("m"), "n", F.lit("@x.com")))).otherwise(F.array().cast("array<string>")).alias("emails")), e
 
 
-@query("e5_match", "SELECT * FROM (VALUES (1,10,'exact'),(2,10,'suggest'),(3,10,'email'),(4,11,'typo'),(5,NULL,'create'),(6,NULL,'create'),(7,10,'suggest'),(8,12,'alias')) v(candidate_id, entity_id, how)")
+@query("e5_match", "SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 6 < 5 THEN c_custkey % (SELECT count(*) FROM supplier) END AS entity_id, ['exact', 'alias', 'email', 'typo', 'suggest', 'create'][c_custkey % 6 + 1] AS how FROM customer")
 def match(spark, sf):
-    return E.match(*_candidates(spark)).select("candidate_id", "entity_id", "how")
+    return E.match(*_match_tables(spark, sf)).select("candidate_id", "entity_id", "how")
 
 
 @query("e6_persist_entities")
@@ -316,10 +346,12 @@ def human_date(spark, sf):
     return d.select("o_orderkey", F.when(m, F.concat_ws("-", F.split_part("raw", F.lit("/"), F.lit(3)), part("/", 1), part("/", 2))).when(ym, F.concat_ws("-", F.substring("raw", 1, 4), part("-", 2))).when(y, F.col("raw")).alias("iso"))
 
 
-@query("e12_addresses", "SELECT * FROM (VALUES (1,'Ann B','a@x.com'),(1,'','c@y.org'),(2,'','d@z.net')) v(no, name, address)")
+@query("e12_addresses", "SELECT c_custkey, c_name AS name, lower(c_mktsegment) || '@x.com' AS address FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, '', 'c' || c_custkey || '@y.org' FROM customer WHERE c_custkey % 5 > 0")
 def addresses(spark, sf):
-    d = spark.createDataFrame([(1, "Ann B <A@x.com>; c@Y.org"), (2, "nobody, d@z.net"), (3, None)], "no int, header string")
-    return d.select("no", F.explode(E.addresses("header")).alias("a")).select("no", "a.name", "a.address")
+    """Names with addresses, bare addresses after a semicolon, and what is no address."""
+    header = F.concat(F.lit('"'), "c_name", F.lit('" <'), "c_mktsegment", F.lit("@X.com>; C"), F.col("c_custkey").cast("string"), F.lit("@Y.org, nobody"))
+    d = C.read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, header).alias("header"))
+    return d.select("c_custkey", F.explode(E.addresses("header")).alias("a")).select("c_custkey", "a.name", "a.address")
 
 
 EDGES_SQL = "edges AS (SELECT DISTINCT l_partkey % 50 AS source, l_suppkey % 50 AS target FROM lineitem)"
@@ -441,12 +473,15 @@ def entity_list(spark, sf):
     return m.orderBy(F.desc("documents"), "entity_id").offset(10).limit(20)
 
 
-@query("e20_key_players", "SELECT * FROM (VALUES ('Jorge Rivera', 10), ('THE ACME', 12), ('Nobody', NULL)) v(name, entity_id)")
+@query("e20_key_players", "WITH " + ENTITY_SQL + " SELECT id AS asked, CASE WHEN id % 3 < 2 THEN id END AS entity_id FROM e")
 def key_players(spark, sf):
-    _, e = _candidates(spark)
+    """Names in capitals, aliases and strangers, looked up among normal names and aliases of all entities."""
+    _, e = _match_tables(spark, sf)
     known = e.select("entity_id", F.explode(F.concat(F.array("norm"), "aliases")).alias("norm")).groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
-    asked = spark.createDataFrame([("Jorge Rivera",), ("THE ACME",), ("Nobody",)], "name string")
-    return asked.withColumn("norm", E.normal_name(F.col("name"))).join(F.broadcast(known), "norm", "left").select("name", "entity_id")
+    name = F.get(F.array(F.concat(F.lit("Mr. "), F.upper("norm")), F.concat(F.lit("ALIAS, "), F.element_at(F.split(F.element_at("aliases", 1), " "), 2)), F.concat(F.lit("Nobody "), "norm")), (F.col("entity_id") % 3).cast("int"))
+    swapped = F.when(F.col("entity_id") % 3 == 1, F.concat(F.element_at(F.split(F.element_at("aliases", 1), " "), 2), F.lit(", Alias"))).otherwise(name)
+    asked = e.select(F.col("entity_id").alias("asked"), E.normal_name(swapped).alias("norm"))
+    return asked.join(known, "norm", "left").select("asked", "entity_id")
 
 
 @query("e21_staleness", "SELECT o_custkey, n, CASE WHEN o_custkey % 3 = 0 THEN true ELSE n >= 1.5 * (o_custkey % 20) OR n >= o_custkey % 20 + 10 END AS stale FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
@@ -457,11 +492,11 @@ def staleness(spark, sf):
     return d.select("o_custkey", "n", (seen.isNull() | (F.col("n") >= 1.5 * seen) | (F.col("n") >= seen + 10)).alias("stale"))
 
 
-@query("e22_merge_evidence", C.with_sql(C.MENTIONS_SQL, CO_SQL) + "SELECT a, b, documents AS shared, (SELECT count(*) FROM dm WHERE entity_id = a) AS of_a, (SELECT count(*) FROM dm WHERE entity_id = b) AS of_b FROM co WHERE b = a + 1")
+@query("e22_merge_evidence", C.with_sql(C.MENTIONS_SQL, CO_SQL) + "SELECT a, b, documents AS shared, (SELECT count(*) FROM dm WHERE entity_id = a) AS of_a, (SELECT count(*) FROM dm WHERE entity_id = b) AS of_b FROM co")
 def evidence(spark, sf):
     m = C.mentions(spark, sf)
     n = m.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n"))
-    c = G.cooccurrence(m).filter("b = a + 1")
+    c = G.cooccurrence(m)
     return c.join(n.select(F.col("entity_id").alias("a"), F.col("n").alias("of_a")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("n").alias("of_b")), "b").select("a", "b", F.col("documents").alias("shared"), "of_a", "of_b")
 
 
@@ -581,19 +616,23 @@ def title_fallback(spark, sf):
     return C.documents(spark, sf).select("doc_id", F.coalesce(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Given "), F.col("doc_id").cast("string"))), stem, F.substring("text", 1, 200)).alias("title"))
 
 
-@query("m6_brief_parse", "SELECT * FROM (VALUES (1, 'about', 6), (2, NULL, 0)) v(no, overview, players)")
+@query("m6_brief_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN 'about ' || o_orderkey END AS overview, CASE WHEN o_orderkey % 4 > 1 THEN least(6, o_orderkey % 9) ELSE 0 END AS players FROM orders")
 def brief_parse(spark, sf):
-    many = ", ".join(f'"p{i}"' for i in range(9))
-    d = spark.createDataFrame([(1, f'{{"overview": "about", "players": [{many}]}}'), (2, '{"players": ["x"]}')], "no int, raw string")
-    p = F.from_json("raw", "overview string, players array<string>")
-    return d.select("no", p["overview"].alias("overview"), F.when(p["overview"].isNotNull(), F.size(F.slice(p["players"], 1, 6))).otherwise(0).alias("players"))
+    """Answers with too many players, without an overview, and that are no JSON."""
+    many = F.array_join(F.transform(F.when(F.col("o_orderkey") % 9 > 0, F.sequence(F.lit(1).cast("bigint"), F.col("o_orderkey") % 9)).otherwise(F.array().cast("array<bigint>")), lambda i: F.concat(F.lit('"p'), i.cast("string"), F.lit('"'))), ", ")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"players": ['), many, F.lit("]}"))).when(F.col("o_orderkey") % 4 == 1, "no answer").otherwise(F.concat(F.lit('{"overview": "about '), F.col("o_orderkey").cast("string"), F.lit('", "players": ['), many, F.lit("]}")))
+    d = C.read(spark, sf, "orders").select("o_orderkey", F.from_json(raw, "overview string, players array<string>").alias("p"))
+    return d.select("o_orderkey", "p.overview", F.when(F.col("p.overview").isNotNull(), F.size(F.slice("p.players", 1, 6))).otherwise(0).cast("bigint").alias("players"))
 
 
-@query("m7_pending_stages", "SELECT * FROM (VALUES (1, ['summaries','brief']), (2, ['clustering','summaries','entities','timeline_review','brief'])) v(no, pending)")
+@query("m7_pending_stages", "SELECT o_orderkey, list_filter(['clustering','summaries','entities','timeline_review','brief'], lambda x, i: (o_custkey // CAST(pow(2, i - 1) AS BIGINT)) % 2 = 0 OR (i = 2 AND o_orderkey % 2 = 0)) AS pending FROM orders")
 def pending(spark, sf):
-    stages = F.array(*map(F.lit, ("clustering", "summaries", "entities", "timeline_review", "brief")))
-    d = spark.createDataFrame([(1, {"clustering": "done", "summaries": "failed", "entities": "done", "timeline_review": "done"}), (2, {})], "no int, state map<string,string>")
-    return d.select("no", F.filter(stages, lambda s: F.coalesce(F.element_at("state", s), F.lit("")) != "done").alias("pending"))
+    """Stages that are not done: each is done by a bit of the customer's key; summaries of even orders have failed."""
+    names = ("clustering", "summaries", "entities", "timeline_review", "brief")
+    done = lambda i: F.shiftright("o_custkey", i).bitwiseAND(F.lit(1)) == 1
+    state = F.map_from_entries(F.filter(F.array(*(F.when(done(i), F.struct(F.lit(n).alias("k"), F.when(F.lit(i == 1) & (F.col("o_orderkey") % 2 == 0), "failed").otherwise("done").alias("v"))) for i, n in enumerate(names))), lambda e: e.isNotNull()))
+    d = C.read(spark, sf, "orders").select("o_orderkey", state.alias("state"))
+    return d.select("o_orderkey", F.filter(F.array(*map(F.lit, names)), lambda s: F.coalesce(F.try_element_at("state", s), F.lit("")) != "done").alias("pending"))
 
 
 @query("m8_ocr_complete", "SELECT l_orderkey, count(*) = max(l_linenumber) AND bool_and(l_discount > 0) AS complete FROM lineitem GROUP BY l_orderkey")
@@ -603,12 +642,19 @@ def ocr_complete(spark, sf):
     return li.select("l_orderkey", ((F.size("pages") == F.col("n")) & F.forall("pages", lambda p: p > 0)).alias("complete"))
 
 
-@query("m9_verdict_parse", "SELECT * FROM (VALUES (1,'same',0.9),(2,'unsure',1.0),(3,'unsure',0.0)) v(no, verdict, confidence)")
+@query("m9_verdict_parse", """SELECT o_orderkey AS id, 0 AS place, o_custkey AS suggestion_id, ['merge', 'distinct', 'unclear'][o_orderkey % 3 + 1] AS verdict, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS keep_id, (o_orderkey % 100) / 100.0 AS confidence, CASE WHEN o_orderkey % 5 = 1 THEN 1 ELSE 0 END AS corrections
+  FROM orders WHERE o_orderkey % 5 < 3""")
 def verdict_parse(spark, sf):
-    d = spark.createDataFrame([(1, '{"verdict": "same", "confidence": "0.9"}'), (2, '{"verdict": "maybe", "confidence": 7}'), (3, "?")], "no int, raw string")
-    p = F.from_json("raw", "verdict string, confidence string")
-    known = F.when(p["verdict"].isin("same", "different", "unsure"), p["verdict"]).otherwise("unsure")
-    return d.select("no", known.alias("verdict"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.expr("try_cast(from_json(raw, 'verdict string, confidence string').confidence AS double)"))), F.lit(0.0)).alias("confidence"))
+    """Answers with numbers as text, with unknown words, without a number, with bad corrections, and that are no JSON."""
+    n = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit('{"verdicts": [{"suggestion_id": "'), n("o_custkey"), F.lit('", "verdict": "'))
+    keep = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(', "keep_id": '), (F.col("o_custkey") + 1).cast("string"))).otherwise(', "keep_id": ""')
+    sure = F.concat(F.lit('", "reason": "r", "confidence": '), F.format_string("%.2f", (F.col("o_orderkey") % 100) / 100.0))
+    fixes = F.when(F.col("o_orderkey") % 5 == 1, ', "corrections": [{"entity_id": "7", "corrected_name": " Ann ", "confidence": 1}, {"entity_id": "", "corrected_name": "x", "confidence": 1}, {"entity_id": "7", "corrected_name": "y", "confidence": "high"}]').otherwise("")
+    word = F.element_at(F.array(*map(F.lit, RV.VERDICTS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    raw = F.when(F.col("o_orderkey") % 5 == 3, F.concat(head, F.lit("maybe"), sure, F.lit("}]}"))).when(F.col("o_orderkey") % 5 == 4, "[not an object").otherwise(F.concat(head, word, sure, keep, fixes, F.lit("}, 7]}")))
+    d = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderkey", raw.alias("raw"))
+    return RV.parse_merge_verdicts(d).select("id", "place", "suggestion_id", "verdict", "keep_id", "confidence", F.size("corrections").alias("corrections"))
 
 
 @query("m10_timeline_json", "SELECT o_custkey, '[' || string_agg('{\"id\":' || o_orderkey || '}', ',' ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END NULLS LAST, o_orderkey) || ']' AS events FROM orders GROUP BY o_custkey")

@@ -135,11 +135,12 @@ def families(spark, sf):
     return o.select("parent", F.col("parent").cast("string").alias("control"), F.lit(0).alias("position")).union(li).withColumn("family_id", F.col("parent"))
 
 
-@query("s17_pdf_text_rule", r"SELECT doc_id, CASE WHEN len(regexp_replace(substr(text, 1, 40), '\s', '', 'g')) >= 10 THEN 'embedded' ELSE 'ocr' END AS way FROM documents")
+@query("s17_pdf_text_rule", r"SELECT doc_id, page, CASE WHEN len(regexp_replace(substr(text, page * 2000 + 1, 2000), '\s', '', 'g')) >= 10 THEN 'embedded' ELSE 'ocr' END AS way FROM (SELECT doc_id, text, unnest(range(0, 1 + len(text) // 2000)) AS page FROM documents)")
 def pdf_rule(spark, sf):
-    """A page with at least ten characters of its own needs no OCR."""
-    own = F.length(F.regexp_replace(F.substring("text", 1, 40), r"\s", ""))
-    return C.read(spark, sf, "documents").select("doc_id", F.when(own >= 10, "embedded").otherwise("ocr").alias("way"))
+    """A page with at least ten characters of its own needs no OCR; pages are of 2,000 characters."""
+    d = C.read(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / 2000).cast("int"))).alias("page"))
+    own = F.length(F.regexp_replace(F.substring("text", F.col("page") * 2000 + 1, F.lit(2000)), r"\s", ""))
+    return d.select("doc_id", F.col("page").cast("bigint").alias("page"), F.when(own >= 10, "embedded").otherwise("ocr").alias("way"))
 
 
 @query("s18_word_boxes", """SELECT l_orderkey, l_linenumber, x0, round_even(least(100.0, greatest(0.0, (l_suppkey + l_quantity) / 10.0)), 2) - x0 AS width FROM (SELECT *, round_even(least(100.0, greatest(0.0, l_suppkey / 10.0)), 2) AS x0 FROM lineitem)""")
@@ -184,20 +185,30 @@ def embeddings(spark, sf):
     return C.read(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.round(F.sqrt(sq), 5).alias("norm"))
 
 
-HEADERS = ["BEGDOC", "Bates-Begin", "End Bates", "cust", "Sent Date", "File  Type", "From", "to", "Mystery", "MD5 hash"]
+LOADS_SQL = """l AS (SELECT c_custkey AS load, unnest([0, 1, 2, 3, 4]) AS no, unnest([['BEGDOC', 'Bates-Begin', 'begin bates'][c_custkey % 3 + 1], CASE WHEN c_custkey % 2 = 0 THEN 'END BATES' ELSE 'EndBates ' END,
+  ['cust', 'Custodian  Name', 'Mystery'][c_custkey % 3 + 1], 'custodian', c_mktsegment]) AS header, c_custkey % 3 AS way FROM customer),
+f AS (SELECT load, no, header, CASE no WHEN 0 THEN 'bates_begin' WHEN 1 THEN 'bates_end' WHEN 2 THEN CASE WHEN way < 2 THEN 'custodian' END WHEN 3 THEN CASE WHEN way = 2 THEN 'custodian' END END AS field FROM l)"""
 
 
-@query("n1_header_aliases", "SELECT * FROM (VALUES ('bates_begin','BEGDOC'),('bates_end','End Bates'),('custodian','cust'),('date_sent','Sent Date'),('file_type','File  Type'),('email_from','From'),('email_to','to'),('file_hash_md5','MD5 hash')) v(field, header)")
+def _headers(spark, sf):
+    """The headers of a load file for each customer: spellings of known fields, one of them twice, and unknown ones."""
+    c = C.read(spark, sf, "customer")
+    of = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("c_custkey") % 3).cast("int"))
+    names = F.array(of("BEGDOC", "Bates-Begin", "begin bates"), F.when(F.col("c_custkey") % 2 == 0, "END BATES").otherwise("EndBates "), of("cust", "Custodian  Name", "Mystery"), F.lit("custodian"), F.col("c_mktsegment"))
+    return c.select(F.col("c_custkey").alias("load"), F.posexplode(names).alias("no", "header"))
+
+
+@query("n1_header_aliases", "WITH " + LOADS_SQL + " SELECT load, field, header FROM f WHERE field IS NOT NULL")
 def header_aliases(spark, sf):
-    return X.match_headers(spark, HEADERS).filter("field IS NOT NULL").select("field", "header")
+    return X.match_headers(_headers(spark, sf)).filter("field IS NOT NULL").select("load", "field", "header")
 
 
-@query("n2_proposed_mapping", "SELECT * FROM (VALUES ('BEGDOC','bates_begin',1.0),('Bates-Begin',NULL,0.0),('End Bates','bates_end',1.0),('cust','custodian',1.0),('Sent Date','date_sent',1.0),('File  Type','file_type',1.0),('From','email_from',1.0),('to','email_to',1.0),('Mystery','source_path',0.6),('MD5 hash','file_hash_md5',1.0)) v(header, field, confidence)")
+@query("n2_proposed_mapping", "WITH " + LOADS_SQL + " SELECT load, no, coalesce(field, CASE WHEN header = 'Mystery' THEN 'source_path' END) AS field, CASE WHEN field IS NOT NULL THEN 1.0 WHEN header = 'Mystery' THEN 0.6 ELSE 0.0 END AS confidence FROM f")
 def proposed_mapping(spark, sf):
     """Aliases count 1.0, a suggester (here a stand-in for a model) 0.6, the rest 0.0."""
     suggested = F.when(F.col("header") == "Mystery", "source_path")
-    m = X.match_headers(spark, HEADERS)
-    return m.select("header", F.coalesce("field", suggested).alias("field"), F.when(F.col("field").isNotNull(), 1.0).when(suggested.isNotNull(), 0.6).otherwise(0.0).alias("confidence"))
+    m = X.match_headers(_headers(spark, sf))
+    return m.select("load", "no", F.coalesce("field", suggested).alias("field"), F.when(F.col("field").isNotNull(), 1.0).when(suggested.isNotNull(), 0.6).otherwise(0.0).alias("confidence"))
 
 
 @query("n3_normalize_bool", "SELECT o_orderkey, CASE WHEN v IN ('yes','y','true','t','1') THEN true WHEN v IN ('no','n','false','f','0') THEN false END AS value FROM (SELECT o_orderkey, trim(lower(['YES ',' n','True','f','1','0','maybe',''][CAST(o_orderkey % 8 AS INT) + 1])) AS v FROM orders)")

@@ -62,14 +62,14 @@ def dat_line(values: list[Column]) -> Column:
     return F.concat_ws(N.DC4, *(F.concat(F.lit(N.THORN), N.clean_field(v), F.lit(N.THORN)) for v in values))
 
 
-def match_headers(spark: SparkSession, headers: list[str]) -> DataFrame:
-    """header, field: each field takes its first header, the others of it get none."""
+def match_headers(asked: DataFrame) -> DataFrame:
+    """load, no, header, field of the headers (load, no, header) of load files: in each file a field takes its first header."""
     alias = [(f, a, i) for i, (f, names) in enumerate(N.FIELD_ALIASES.items()) for a in names]
+    spark = asked.sparkSession
     known = spark.createDataFrame(alias, "field string, alias string, o int").select("field", N.header_key(F.col("alias")).alias("key"), "o").groupBy("key").agg(F.min_by("field", "o").alias("field"))
-    asked = spark.createDataFrame(list(enumerate(headers)), "no int, header string").withColumn("key", N.header_key(F.col("header")))
-    joined = asked.join(F.broadcast(known), "key", "left")
-    first = F.row_number().over(Window.partitionBy("field").orderBy("no")) == 1
-    return joined.select("no", "header", F.when(first, F.col("field")).alias("field"))
+    joined = asked.withColumn("key", N.header_key(F.col("header"))).join(F.broadcast(known), "key", "left")  # known: a row for each alias
+    first = F.row_number().over(Window.partitionBy("load", "field").orderBy("no")) == 1  # the headers of a file
+    return joined.select("load", "no", "header", F.when(first, F.col("field")).alias("field"))
 
 
 def word_chunks(docs: DataFrame) -> DataFrame:

@@ -154,4 +154,3 @@ def test_hash_groups_ignore_empty_hashes(spark):
 
 def test_spread_and_choice_of_k():
     assert clustering.spread(10, 4) == [0, 3, 6, 9] and clustering.spread(3, 5) == [0, 1, 2] and clustering.spread(9, 1) == [0]
-    assert clustering.choose_k(3, lambda k: 0.0) == 2
