@@ -9,6 +9,7 @@ from lexfold.functions import normalize as N
 from lexfold.operators import rollover as R
 from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
+from lexfold.sources import families as FA
 from lexfold.sources import files as X
 
 
@@ -122,6 +123,18 @@ def containers(spark, sf):
     return X.expand_mailbox(_rows(spark, "name string, raw binary", ("a.mbox", X.sample_mbox()), ("b.eml", b"Subject: one\r\n\r\nbody"), ("c.pst", b"?")), "name", "raw")
 
 
+@query("s14_container_families", """WITH m AS (SELECT 'M' || (conv_id * 100 + turn) AS c, (conv_id * 100 + turn) % 4 AS way FROM conversations),
+  f AS (SELECT c, c AS control, CASE WHEN way = 3 THEN 'zip' ELSE 'email' END AS file_type, CASE WHEN way = 3 THEN 'partial' ELSE 'ok' END AS status FROM m
+    UNION ALL SELECT c, c || ' .0001', CASE way WHEN 1 THEN 'txt' WHEN 2 THEN 'zip' ELSE 'email' END, CASE WHEN way = 2 THEN 'partial' ELSE 'ok' END FROM m WHERE way > 0
+    UNION ALL SELECT c, c || ' .0001 .0001', CASE WHEN way = 2 THEN 'email' ELSE 'txt' END, 'ok' FROM m WHERE way > 1
+    UNION ALL SELECT c, c || CASE WHEN way = 2 THEN ' .0001 .0002' ELSE ' .0002' END, 'txt', 'ok' FROM m WHERE way > 1
+    UNION ALL SELECT c, c || ' .0001 .0001 .0001', 'txt', 'ok' FROM m WHERE way = 2)
+  SELECT control, c AS family_id, file_type, status FROM f""")
+def container_families(spark, sf):
+    """Mail and archives in one another, made of the messages, become families of numbered documents."""
+    return FA.expand(FA.packed(C.messages(spark, sf))).select("control", "family_id", "file_type", "status")
+
+
 @query("s15_zip")
 def unzip(spark, sf):
     return X.expand_zip(_rows(spark, "name string, raw binary", ("a.zip", X.sample_zip()), ("broken.zip", b"PK")), "name", "raw")
