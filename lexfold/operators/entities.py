@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from email.utils import getaddresses
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexfold.operators.patterns import automaton, occurrences
 from lexfold.storage import written
 
 # Fixed values.
@@ -165,12 +167,10 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], also: Column
 
 
 class Places:
-    """Where any of some forms stands in a text, found in one pass: at a place the longest, which tells the others."""
+    """Where any of some forms stands in a text, found in one pass by an automaton of all of them."""
 
     def __init__(self, forms: list[str]):
-        known = sorted({f for f in forms if f}, key=len, reverse=True)
-        self.any = re.compile(f"(?=({'|'.join(map(re.escape, known))}))") if known else None
-        self.heads = {f: [g for g in known if f.startswith(g)] for f in known}
+        self.automaton = automaton([f for f in forms if f])
 
     def _whole(self, text: str, start: int, form: str) -> bool:
         end, word = start + len(form), re.compile(r"\w").match
@@ -178,7 +178,7 @@ class Places:
 
     def of(self, text: str) -> list[tuple[str, int, int, str]]:
         """Form, start, end and what stands around, without overlap: the longest first, then by form and place; PER_FORM of each."""
-        found = [(g, m.start()) for m in (self.any.finditer(text) if self.any else ()) for g in self.heads[m[1]] if self._whole(text, m.start(), g)]
+        found = [(g, s) for g, s in occurrences(self.automaton, text) if self._whole(text, s, g)]
         starts, ends, count, out = [], [], Counter(), []
         for form, s in sorted(found, key=lambda x: (-len(x[0]), x)):
             e = s + len(form)
@@ -195,9 +195,10 @@ def mentions(docs: DataFrame, forms: list[str]) -> DataFrame:
     """doc_id, form, start, end, snippet."""
 
     @F.pandas_udf("array<struct<form:string,start:int,end:int,snippet:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        places = Places(forms)
-        return pd.Series([[{"form": f, "start": s, "end": e, "snippet": c} for f, s, e, c in places.of(t or "")] for t in texts])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = Places(forms)  # once a task
+        for texts in batches:
+            yield pd.Series([[{"form": f, "start": s, "end": e, "snippet": c} for f, s, e, c in places.of(t or "")] for t in texts])
 
     return docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
 

@@ -8,11 +8,14 @@ matched against the words of each text, phrases against consecutive ones. Matchi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexfold.operators.patterns import automaton, occurrences
 from lexfold.storage import written
 
 #: Words are runs of letters, digits, _ and -.
@@ -105,6 +108,41 @@ def matches(words: Column, query: str) -> Column:
     return out
 
 
+MANY = 24  # words, phrases and prefixes of a report, from which an automaton finds them all in one pass
+
+
+def _padded(atom: Atom) -> str:
+    return f" {' '.join(atom.words)}" + ("" if atom.prefix else " ")
+
+
+def hits_in_one_pass(words: Column, terms: list[str]) -> Column:
+    """The terms that words (of tokens()) satisfy, in order: each text is gone through once for all words of all terms."""
+    asked = [(t, [[(_padded(a), a.negated) for a in branch] for branch in _branches(t)]) for t in terms]
+    strings = [s for _, branches in asked for b in branches for s, _ in b]
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        every = automaton(strings)  # once a task
+        for texts in batches:
+            out = []
+            for t in texts:
+                there = {s for s, _ in occurrences(every, t)}
+                out.append([name for name, branches in asked if any(all((s in there) != no for s, no in b) for b in branches)])
+            yield pd.Series(out)
+
+    return run(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+
+
+def _branches(query: str) -> list[list[Atom]]:
+    out: list[list[Atom]] = []
+    for op, atom in parse(query):
+        if op == "&":
+            out[-1].append(atom)
+        else:
+            out.append([atom])
+    return out
+
+
 def term_report(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Per term: hits, with_families, unique_hits; and on every row total_docs, any_hits and any_with_families.
 
@@ -112,7 +150,10 @@ def term_report(docs: DataFrame, terms: list[str]) -> DataFrame:
     document that exactly one distinct term hits; a term listed twice gives two equal rows.
     """
     names = list(dict.fromkeys(terms))
-    hit = F.filter(F.array(*(F.when(matches(F.col("w"), t), F.lit(t)) for t in names)), lambda x: x.isNotNull())
+    if sum(len(parse(t)) for t in names) >= MANY:
+        hit = hits_in_one_pass(F.col("w"), names)
+    else:
+        hit = F.filter(F.array(*(F.when(matches(F.col("w"), t), F.lit(t)) for t in names)), lambda x: x.isNotNull())
     tokenised = docs.select("doc_id", "family_id", tokens(F.col("text")).alias("w"))
     # a few names per document: written once, as three aggregates read them
     scored = written(tokenised.select("doc_id", "family_id", hit.alias("terms")), "term-hits")

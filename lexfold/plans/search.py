@@ -37,6 +37,19 @@ def term_report(spark: SparkSession, sf: str) -> DataFrame:
     return S.term_report(C.documents(spark, sf).select("doc_id", "family_id", "text"), TERMS)
 
 
+def many_terms(spark: SparkSession, sf: str) -> list[str]:
+    """Two hundred search terms: frequent words of the benchmark passages, alone and combined."""
+    words = C.read(spark, sf, "benchmark").select(F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("w")).filter("length(w) > 2")
+    top = [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(100).collect()]
+    return [*top, *(f"{a} AND {b}*" for a, b in zip(top, top[1:])), *(f'"{a} {b}" OR NOT {a}' for a, b in zip(top[::2], top[1::2]))][:200]
+
+
+@query("r1_many_terms")
+def many_term_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report on two hundred terms, found in one pass over each text."""
+    return S.term_report(C.documents(spark, sf).select("doc_id", "family_id", "text"), many_terms(spark, sf))
+
+
 @query(
     "q1_query_compiler",
     """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN w[1] || ' & ' || w[2] WHEN 1 THEN w[1] || ' | ' || w[2] WHEN 2 THEN '(' || w[1] || ' <-> ' || w[2] || ')' WHEN 3 THEN '!' || w[1] WHEN 4 THEN w[1] || ':*' WHEN 5 THEN w[1] WHEN 6 THEN w[1] || ' & (' || w[2] || ' <-> x) & !d:*' ELSE '' END AS compiled
@@ -47,7 +60,7 @@ def compiler(spark: SparkSession, sf: str) -> DataFrame:
     w = F.split("p_name", " ")
     a, b = F.upper(w[0]), w[1]
     asked = F.array(F.concat_ws(" ", a, b), F.concat_ws(" OR ", a, b), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')), F.concat(F.lit("NOT "), a), F.concat(a, F.lit("*")), F.concat(F.lit("AND OR ("), a, F.lit(") AND")), F.concat(a, F.lit(' AND "'), b, F.lit(' x" NOT D*')), F.lit("- -- OR"))
-    compiled = F.udf(S.compiled, "string")  # one short string at a time: what a user typed
+    compiled = F.udf(lambda q: S.compiled(q), "string")  # one short string at a time: what a user typed
     return C.read(spark, sf, "part").select("p_partkey", compiled(F.get(asked, (F.col("p_partkey") % 8).cast("int"))).alias("compiled"))
 
 

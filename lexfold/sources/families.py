@@ -204,7 +204,7 @@ def packed(messages: DataFrame) -> DataFrame:
     holds mail and an entry that leads out of it, or as an archive itself, by doc_id."""
 
     @F.udf("struct<name:string,raw:binary>")
-    def pack(doc_id: int, text: str | None) -> tuple[str, bytes]:
+    def pack(doc_id, text):
         def mail(body: str, *attachments: tuple[str, bytes]) -> bytes:
             m = email.message.EmailMessage()
             m["Subject"] = f"message {doc_id}"
