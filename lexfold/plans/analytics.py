@@ -12,6 +12,7 @@ from lexfold.functions import normalize as N
 from lexfold.operators import clustering as K
 from lexfold.operators import dedup as D
 from lexfold.operators import entities as E
+from lexfold.operators import extraction as EX
 from lexfold.operators import graph as G
 from lexfold.operators import persistence as PE
 from lexfold.operators import reviews as RV
@@ -322,6 +323,40 @@ def slice_merge(spark, sf):
     return li.groupBy(F.col("l_suppkey").alias("entity")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("forms"))
 
 
+def model_answers(spark, sf):
+    """Answers on two slices of each order: people, events and relationships, more of them than one answer may bring in."""
+    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 45).alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"))
+    i = F.sequence(F.lit(0).cast("bigint"), F.col("n"))
+    each = lambda form, *of: F.array_join(F.transform(i, lambda k: F.format_string(form, *(f(k) for f in of))), ",")
+    people = each('{"name": "Person %d", "type": "person", "surface_forms": ["P %d", "She"], "role": "%s"}', lambda k: k * 2 + F.col("slice"), lambda k: k, lambda k: F.when(F.col("slice") == 1, "clerk").otherwise(""))
+    events = each('{"description": "Event %d", "type": "%s", "date": "2020-01-01", "significance": %d}', lambda k: k, lambda k: F.when(k % 2 == 0, "filing").otherwise("party"), lambda k: k % 9)
+    related = each('{"source": "Person %d", "target": "Person %d", "type": "family"}', lambda k: k, lambda k: k % 3)
+    raw = F.concat(F.lit('{"entities": ['), people, F.lit('], "events": ['), events, F.lit('], "relationships": ['), related, F.lit("]}"))
+    return o.select("id", "slice", F.when(F.col("id") % 7 == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(F.col("id") % 7 == 1, "none").otherwise(raw).alias("raw"))
+
+
+ANSWERS_SQL = "o AS (SELECT o_orderkey AS id, o_orderkey % 45 AS n FROM orders WHERE o_orderkey % 7 <> 1), k AS (SELECT id, n, unnest(range(0, n + 1)) AS k FROM o)"
+
+
+@query("e8_merged_entities", "WITH " + ANSWERS_SQL + """ SELECT id, 'Person ' || (2 * k + s) AS name, 'P ' || k AS forms, CASE WHEN s = 1 THEN 'clerk' END AS role FROM k, (VALUES (0), (1)) v(s)""")
+def merged_entities(spark, sf):
+    entities, _, _ = EX.merged(EX.parsed(model_answers(spark, sf)))
+    return entities.select("id", "name", F.array_join("surface_forms", "|").alias("forms"), "role")
+
+
+@query("e8_merged_events", "WITH " + ANSWERS_SQL + " SELECT id, 'Event ' || k AS description, CASE WHEN k % 2 = 0 THEN 'filing' ELSE 'other' END AS type, greatest(1, least(5, k % 9)) AS significance FROM k WHERE k < 30")
+def merged_events(spark, sf):
+    """Thirty an answer at most; both slices say the same."""
+    _, events, _ = EX.merged(EX.parsed(model_answers(spark, sf)))
+    return events.select("id", "description", "type", F.col("significance").cast("bigint").alias("significance"))
+
+
+@query("e8_merged_relationships", "WITH " + ANSWERS_SQL + " SELECT id, 'Person ' || k AS source, 'Person ' || (k % 3) AS target FROM k WHERE k < 30 AND k <> k % 3")
+def merged_relationships(spark, sf):
+    _, _, related = EX.merged(EX.parsed(model_answers(spark, sf)))
+    return related.select("id", "source", "target")
+
+
 @query("e9_mentions")
 def mentions(spark, sf):
     return E.mentions(C.read(spark, sf, "documents").select("doc_id", "text"), ["the", "thing", "in the", "que la"])
