@@ -43,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == last:
             break
     labels = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return written(labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
+    return written(labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).coalesce(tasks), "labels")

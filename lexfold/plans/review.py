@@ -368,3 +368,73 @@ def agent_tools(spark, sf):
     t = Tools(spark, sf)
     one = lambda name, df: df.agg(F.lit(name).alias("tool"), F.count(F.lit(1)).alias("rows"))
     return one("documents", t.documents()).union(one("tags", t.tags())).union(one("page", t.page(t.documents(), "doc_id", 2)))
+
+
+def assistant(spark, sf, accessible=(0, 2)):
+    """The tools over the views: productions 0 and 2 of three are accessible; suppliers are the entities."""
+    from lexfold.functions.normalize import FILE_GROUPS
+    from lexfold.operators.tools import AgentTools
+
+    docs = C.documents(spark, sf).withColumn("title", F.concat(F.lit("Title "), F.col("doc_id").cast("string")))
+    hashes = docs.select("doc_id", F.col("sha256").alias("group_id"))
+    common = hashes.groupBy("group_id").count().filter("count > 1").select("group_id")
+    entities = C.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), (F.col("s_suppkey") % 3).alias("production_id"), F.lit("org").alias("kind"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias("aliases"))
+    li = C.read(spark, sf, "lineitem")
+    counts = li.groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("mentions"))
+    tables = {
+        "documents": docs,
+        "chunks": C.chunks(spark, sf),
+        "duplicates": hashes.join(common, "group_id").select("doc_id", "group_id", F.lit("hash").alias("type"), F.lit(1.0).alias("similarity")),
+        "tags": C.document_tags(spark, sf),
+        "productions": spark.range(4).select(F.col("id").alias("production_id"), F.concat(F.lit("Matter "), F.col("id").cast("string")).alias("name")),
+        "entities": entities.join(counts, "entity_id", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0))),
+        "mentions": li.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("line "), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit(" of "), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("snippet")),
+        "related": li.select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 10).alias("target_id"), F.col("l_returnflag").alias("type")),
+    }
+    vector = lambda text: [float(len(text) % 7 + i % 5) for i in range(64)]  # noqa: E731  a stand-in for a model
+    return AgentTools(list(accessible), tables, vector, FILE_GROUPS)
+
+
+@query("x15_get_document", C.with_sql(C.DOCS_SQL) + "SELECT doc_id, bates_begin, 'Title ' || doc_id AS title, page_count, CASE WHEN len(t) > 12000 THEN left(t, 12000) || chr(10) || '…[truncated]' ELSE t END AS text FROM (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM docs WHERE bates_begin = 'DOC000012')")
+def tool_document(spark, sf):
+    return assistant(spark, sf).get_document(" DOC000012 ")
+
+
+@query("x15_list_productions", C.with_sql(C.DOCS_SQL) + "SELECT production_id, 'Matter ' || production_id AS name, count(*) AS documents FROM docs WHERE production_id IN (0, 2) GROUP BY production_id")
+def tool_productions(spark, sf):
+    return assistant(spark, sf).list_productions()
+
+
+@query("x15_corpus_stats", C.with_sql(C.DOCS_SQL, C.TAGS_SQL) + """, d AS (SELECT * FROM docs WHERE production_id = 2) SELECT 'documents' AS what, NULL AS category, NULL AS tag, count(*) AS n FROM d UNION ALL SELECT 'pages', NULL, NULL, CAST(sum(page_count) AS BIGINT) FROM d
+  UNION ALL SELECT 'tag', category, tag, count(*) FROM tags WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY category, tag""")
+def tool_stats(spark, sf):
+    return assistant(spark, sf).get_corpus_stats(2)
+
+
+@query("x15_duplicates", C.with_sql(C.DOCS_SQL) + """, g AS (SELECT sha256 FROM docs GROUP BY sha256 HAVING count(*) > 1), one AS (SELECT doc_id, sha256 FROM docs WHERE production_id <> 1 AND bates_begin = (SELECT min(bates_begin) FROM docs JOIN g USING (sha256) WHERE production_id <> 1))
+  SELECT d.doc_id, bates_begin, 'Title ' || d.doc_id AS title, 1.0 AS similarity, 'hash' AS type FROM docs d JOIN one ON d.sha256 = one.sha256 AND d.doc_id <> one.doc_id WHERE production_id <> 1""")
+def tool_duplicates(spark, sf):
+    """Of the first accessible document that has copies: those in accessible productions."""
+    t = assistant(spark, sf)
+    first = t.docs.join(t.t["duplicates"], "doc_id", "left_semi").agg(F.min("bates_begin").alias("b")).first()["b"]
+    return t.get_duplicates(first or "none")
+
+
+@query("x15_lookup_entity", """WITH e AS (SELECT s_suppkey AS id, s_name, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n FROM supplier WHERE s_suppkey % 3 <> 1 AND contains(lower(s_name), 'supplier#0000000')),
+  top AS (SELECT * FROM e ORDER BY n DESC, id LIMIT 5)
+  SELECT id AS entity_id, s_name AS name, n AS mentions, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = id) AS documents,
+    (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT l_returnflag || ' -> ' || t.s_name AS x FROM lineitem JOIN supplier t ON t.s_suppkey = l_partkey % 10 WHERE l_suppkey = id ORDER BY x LIMIT 10)) AS related FROM top""")
+def tool_entity(spark, sf):
+    found = assistant(spark, sf).lookup_entity("supplier#0000000")
+    return found.select("entity_id", "name", "mentions", "documents", F.array_join("related", "|").alias("related"))
+
+
+@query("x15_search_documents")
+def tool_search(spark, sf):
+    """A page of the best by stems, with headlines and the total."""
+    return assistant(spark, sf).search_documents("other things", file_type="native")
+
+
+@query("x15_semantic_search")
+def tool_semantic(spark, sf):
+    return assistant(spark, sf).semantic_search("anything like it").union(assistant(spark, sf).find_similar_documents("DOC000002"))
