@@ -3,8 +3,8 @@
 A part is cut into segments of equal length. Of the segments' sums and the norms of what is left when their means are
 taken away follows a lower bound of a part's distance from an entry: the means' distance times the length, and the
 difference of the norms (a triangle inequality), squared and added up. Bounds go from one segment to two, four and
-so on; entries whose bound is over the distance of one entry already known are dropped, what is left after the finest
-bound gets exact integer distances. Bounds are lowered by more than their rounding, and equal ones stay.
+so on; at each level the most promising entry's distance is taken, entries whose bound is over the least distance known
+are dropped, and what is left after the finest bound gets exact integer distances. Bounds are lowered by more than their rounding, and equal ones stay.
 """
 
 from __future__ import annotations
@@ -54,7 +54,11 @@ def nearest(x: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     most = np.square(x - e[first]).sum(1)
     i, j = np.nonzero(low <= most[:, None])  # the first is among them
     for level in range(1, len(a.levels)):
-        stay = bound(level, i, j) <= most[i]
+        low = bound(level, i, j)
+        begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        best = np.flatnonzero(low == np.minimum.reduceat(low, begin)[i])  # the most promising of each row, some more than once
+        np.minimum.at(most, i[best], np.square(x[i[best]] - e[j[best]]).sum(1))
+        stay = low <= most[i]  # the entry whose distance this is stays
         i, j = i[stay], j[stay]
     d = np.square(x[i] - e[j]).sum(1)
     begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
