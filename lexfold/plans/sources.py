@@ -11,6 +11,7 @@ from lexfold.plans.registry import query
 from lexfold.sources import corpus as C
 from lexfold.sources import families as FA
 from lexfold.sources import files as X
+from lexfold.storage import written
 
 
 def _rows(spark: SparkSession, schema: str, *values) -> DataFrame:
@@ -132,7 +133,8 @@ def containers(spark, sf):
   SELECT control, c AS family_id, file_type, status FROM f""")
 def container_families(spark, sf):
     """Mail and archives in one another, made of the messages, become families of numbered documents."""
-    return FA.expand(FA.packed(C.messages(spark, sf))).select("control", "family_id", "file_type", "status")
+    made = written(FA.packed(C.messages(spark, sf)), "containers")  # built once
+    return FA.expand(made).select("control", "family_id", "file_type", "status")
 
 
 @query("s15_zip")

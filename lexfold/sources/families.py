@@ -10,13 +10,13 @@ what is past the bounds, or cannot be read, leaves a note on the archive, which
 from __future__ import annotations
 
 import email
-import email.message
 import email.policy
 import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from email.message import EmailMessage
 from functools import reduce
 
 import pyarrow as pa
@@ -206,7 +206,7 @@ def packed(messages: DataFrame) -> DataFrame:
     @F.udf("struct<name:string,raw:binary>")
     def pack(doc_id, text):
         def mail(body: str, *attachments: tuple[str, bytes]) -> bytes:
-            m = email.message.EmailMessage()
+            m = EmailMessage()
             m["Subject"] = f"message {doc_id}"
             m.set_content(body)
             for n, d in attachments:

@@ -5,9 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import io
-import mailbox
 import re
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -194,10 +192,8 @@ def _mailbox_rows(name: str, raw: bytes) -> list[tuple]:
     if name.lower().endswith(".eml"):
         return [(name, 0, bytes(raw))]
     if name.lower().endswith(".mbox"):
-        with tempfile.TemporaryDirectory() as d:
-            path = Path(d, "x.mbox")
-            path.write_bytes(raw)
-            return [(name, i, m.as_bytes()) for i, m in enumerate(mailbox.mbox(path))]
+        parts = re.split(rb"(?m)^From [^\n]*\n", bytes(raw))[1:]  # a blank line before the next belongs to the format
+        return [(name, i, email.message_from_bytes(p[:-1] if p.endswith(b"\n\n") else p).as_bytes()) for i, p in enumerate(parts)]
     return []  # formats that need a tool which isn't there
 
 
