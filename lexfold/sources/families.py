@@ -136,7 +136,12 @@ def _opened(nodes: DataFrame, limits: Limits) -> DataFrame:
                         r["text"] = _body(r["raw"])
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(t.name) for r in rows], t.type) for t in kinds], names=FIELDS)
 
-    return nodes.select(*FIELDS).mapInArrow(run, NODE)
+    return _dealt(nodes.select(*FIELDS), "root", "path").mapInArrow(run, NODE)
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows over all tasks: opening a container takes far longer than moving it, and a small table is one task's otherwise."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def expand(files: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -150,7 +155,7 @@ def expand(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     kinds = F.when(F.lower("name").endswith(".zip"), "zip").when(F.lower("name").endswith(".eml"), "mail").otherwise("file")
     raw = F.coalesce("raw", F.lit(b""))
     text = F.udf(lambda n, r, k: ("ok", _body(r)) if k == "mail" else ("ok", None) if k == "zip" else extract_one(n or "", bytes(r)), "status string, text string")
-    start = files.select(F.col("control").alias("root"), F.lit("").alias("path"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("visible"), "name", kinds.alias("kind"), F.lit(1).alias("depth"), raw.alias("raw"), F.length(raw).cast("bigint").alias("size"), F.lit(None).cast("string").alias("note"), F.sha2(raw, 256).alias("sha256"))
+    start = _dealt(files, "control").select(F.col("control").alias("root"), F.lit("").alias("path"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("visible"), "name", kinds.alias("kind"), F.lit(1).alias("depth"), raw.alias("raw"), F.length(raw).cast("bigint").alias("size"), F.lit(None).cast("string").alias("note"), F.sha2(raw, 256).alias("sha256"))
     start = start.withColumn("_x", text("name", "raw", "kind")).select("*", F.col("_x.status").alias("status"), F.col("_x.text").alias("text")).withColumn("raw", F.when(F.col("kind") != "file", F.col("raw"))).select(*FIELDS)
     held = [written(start, "family")]
     while True:
@@ -224,5 +229,5 @@ def packed(messages: DataFrame) -> DataFrame:
         inner = archive(("deep.zip", archive(("in.eml", mail("inside", ("a.txt", body))))), ("../out.txt", b"no"), ("b.txt", body))
         return [("m.eml", mail("alone")), ("m.eml", mail("with", ("a.txt", body))), ("m.eml", mail("pack", ("pack.zip", inner))), ("pack.zip", inner)][doc_id % 4]
 
-    d = messages.select(F.concat(F.lit("M"), F.col("doc_id").cast("string")).alias("control"), pack("doc_id", "text").alias("p"))
+    d = _dealt(messages, "doc_id").select(F.concat(F.lit("M"), F.col("doc_id").cast("string")).alias("control"), pack("doc_id", "text").alias("p"))
     return d.select("control", "p.name", "p.raw")
