@@ -1,8 +1,9 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document a posterior over domains: multinomial logistic regression
-on the presence of those stems (the first letters of words) whose documents differ most between domains. Its posteriors
-are those of maximum likelihood, so they mean what they say (the README has held-out figures).
+on the presence of words (whole ones, without the punctuation around them): all those whose presence differs between the
+domains beyond chance. Its posteriors are those of maximum likelihood, so they mean what they say (the README has
+held-out figures).
 Nonnegative rates, one per document, are then fitted so that the expected tokens of each
 domain, sum of rate * tokens * posterior, meet the targets in the least-squares sense.
 
@@ -28,10 +29,8 @@ from pyspark.sql import functions as F
 from lexfold.llm.common import WS, forget, let, table, written
 
 SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smallest hashes of doc_id
-STEM = 5  # characters of a word that count: endings and punctuation after them do not
-VOCABULARY = 4096  # stems it knows, at most: those that tell most about the domain
+AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # what is no part of a word at its ends
 TELLING = 15.0  # least likelihood ratio statistic of a word (chi-squared with a degree a domain less one)
-CELLS = 32  # for each stem, of the table that finds one by its hash; of two in one cell the more telling stays
 PENALTY = 0.001  # of the regression (half of it on absolute, half on squared weights)
 STEPS = 60  # of fitting the regression, at most
 PROXIMAL = 1e-6
@@ -53,40 +52,71 @@ def _split(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), WS + "+")
 
 
-def _stems(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(F.substring(w, 1, STEM)))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(AROUND))))
+
+
+def _list(values, kind: str) -> Column:
+    """A long constant array, as text that is folded once; never empty."""
+    return F.split(F.lit(",".join(values)), ",").cast(f"array<{kind}>")
+
+
+def perfect_cells(hashes: list[int]) -> tuple[list[int], dict[int, int]]:
+    """A cell of its own for each of different 64-bit hashes: shifts by group, and the hash of each used cell.
+
+    The lowest bits of a hash say its group, the group's shift which other bits say the cell. Groups take the first shift
+    that leads to free cells, large groups first; should one find none, the table is doubled.
+    """
+    low = max(1, (len(hashes) // 2).bit_length())
+    while True:
+        groups: dict[int, list[int]] = {}
+        for h in hashes:
+            groups.setdefault(h & ((1 << low) - 1), []).append(h)
+        shifts, cells, mask = [low] * (1 << low), {}, (1 << (low + 3)) - 1
+        for g, members in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            for shift in range(low, 64 - low - 2):
+                at = {(h & ((1 << 64) - 1)) >> shift & mask: h for h in members}
+                if len(at) == len(members) and cells.keys().isdisjoint(at):
+                    shifts[g] = shift
+                    cells |= at
+                    break
+            else:
+                break
+        else:
+            return shifts, cells
+        low += 1
 
 
 @dataclass
 class Classifier:
-    """Log-odds of each domain against the first: in itself, and for each stem (by hash) that a text has."""
+    """Log-odds of each domain against the first: in itself, and for each word (by hash) that a text has."""
 
     prior: list[float]
-    stems: list[tuple[int, list[float]]]
+    words: list[tuple[int, list[float]]]
 
     def logits(self, hashes: Column) -> Column:
-        """Of hashed stems, the log-odds of each domain: an array."""
-        size = 1 << (CELLS * len(self.stems)).bit_length()
-        cells: dict[int, tuple[int, list[float]]] = {}
-        for h, odds in self.stems:
-            cells.setdefault(h & (size - 1), (h, odds))
-        # long constants as text, which is folded to an array once
-        column = lambda of, kind: F.split(F.lit(",".join(of(cells[c]) if c in cells else "0" for c in range(size))), ",").cast(f"array<{kind}>")
-        cell = lambda h: h.bitwiseAND(F.lit(size - 1)).cast("int")
-        held = column(lambda x: str(x[0]), "bigint")
-        odds = [column(lambda x, j=j: repr(round(x[1][j], 5)), "double") for j in range(1, len(self.prior))]
+        """Of hashed words, the log-odds of each domain: an array."""
+        if not self.words:
+            return F.array(*(F.lit(p) for p in self.prior))
+        shifts, cells = perfect_cells([h for h, _ in self.words])
+        odds_of, size = dict(self.words), 8 * len(shifts)
+        turn, held = _list(map(str, shifts), "int"), _list((str(cells.get(c, 0)) for c in range(size)), "bigint")
+        odds = [_list((repr(round(odds_of[cells[c]][j], 5)) if c in cells else "0" for c in range(size)), "double") for j in range(1, len(self.prior))]
+        shift = lambda h: F.get(turn, h.bitwiseAND(F.lit(len(shifts) - 1)).cast("int"))
+        cell = lambda h: F.call_function("shiftrightunsigned", h, shift(h)).bitwiseAND(F.lit(size - 1)).cast("int")
         known = lambda hs: F.array_distinct(F.filter(hs, lambda h: F.get(held, cell(h)) == h))
         summed = lambda hits, o: F.aggregate(hits, F.lit(0.0), lambda a, h: a + F.get(o, cell(h)))
         total = lambda hits: F.array(F.lit(self.prior[0]), *(F.lit(p) + summed(hits, o) for p, o in zip(self.prior[1:], odds)))
-        return let(known(hashes), total) if cells else F.array(*(F.lit(p) for p in self.prior))
+        return let(known(hashes), total)
 
 
 def posterior(logits: Column) -> Column:
     return let(let(logits, lambda x: F.transform(x, lambda v: F.exp(v - F.array_max(x)))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
 
-def telling_stems(rows: DataFrame, names: list[str]) -> list[int]:
-    """Hashes of the stems that tell most about the domain, of rows (domain, h: hashes); the most telling first."""
+def telling_words(rows: DataFrame, names: list[str]) -> list[int]:
+    """Hashes of all words that tell about the domain, of rows (domain, h: hashes); the most telling first. They are bounded
+    by the training sample: a telling word stands in three of its rows at least."""
     n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
     n = [n.get(d, 0) for d in names]
     every = sum(n)
@@ -101,36 +131,36 @@ def telling_stems(rows: DataFrame, names: list[str]) -> list[int]:
         return seen * F.log(F.greatest(seen, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
 
     ratio = 2 * sum((term(j, has) for j in range(len(names)) for has in (True, False)), F.lit(0.0))
-    told = df.filter(both >= 3).withColumn("ratio", ratio).filter(F.col("ratio") >= TELLING).orderBy(F.desc("ratio"), "w").limit(VOCABULARY)
+    told = df.filter(both >= 3).withColumn("ratio", ratio).filter(F.col("ratio") >= TELLING).orderBy(F.desc("ratio"), "w")
     return [r["w"] for r in told.collect()]
 
 
-def _fitted(rows: DataFrame, names: list[str], stems: list[int]) -> Classifier:
-    """Logistic regression of rows (domain, h: hashes of stems)."""
+def _fitted(rows: DataFrame, names: list[str], known: list[int]) -> Classifier:
+    """Logistic regression of rows (domain, h: hashes of words)."""
     place = F.element_at(F.create_map(*(F.lit(x) for j, d in enumerate(names) for x in (d, float(j)))), F.col("domain"))
     data = rows.select(place.alias("label"), F.transform("h", lambda h: h.cast("string")).alias("words"))
-    vectors = CountVectorizerModel.from_vocabulary([str(h) for h in stems], "words", "features", binary=True)
+    vectors = CountVectorizerModel.from_vocabulary([str(h) for h in known], "words", "features", binary=True)
     fit = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=0.5, maxIter=STEPS, standardization=False)
     model = fit.fit(vectors.transform(data).select("label", "features"))
     k = model.numClasses  # domains up to the last that occurs
     weight, base = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     prior = [*(float(base[j] - base[0]) for j in range(k)), *(-20.0 for _ in names[k:])]
     odds = weight - weight[:1]
-    return Classifier(prior, [(h, [*map(float, odds[:, i]), *(0.0 for _ in names[k:])]) for i, h in enumerate(stems) if np.abs(odds[:, i]).max() > 1e-4])
+    return Classifier(prior, [(h, [*map(float, odds[:, i]), *(0.0 for _ in names[k:])]) for i, h in enumerate(known) if np.abs(odds[:, i]).max() > 1e-4])
 
 
 def train(docs: DataFrame, domains: DataFrame, names: list[str], samples: int = SAMPLES) -> Classifier:
     """The classifier of the chosen rows. Where labels are too few to fit anything, the shares of the domains alone; without any, all are equally likely."""
     spark = docs.sparkSession
     chosen = F.broadcast(domains.filter(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples))  # samples rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", _stems(_split(F.col("text"))).alias("h"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", _hashes(_split(F.col("text"))).alias("h"))
     rows = written(rows, "mixing-train")
-    stems = telling_stems(rows, names)
-    known = F.array(*(F.lit(h) for h in stems)) if stems else F.array().cast("array<long>")
-    small = written(rows.select("domain", F.array_intersect("h", known).alias("h")).coalesce(1), "mixing-train")  # samples rows of VOCABULARY numbers at most
+    telling = telling_words(rows, names)
+    known = _list(map(str, telling), "bigint") if telling else F.array().cast("array<long>")
+    small = written(rows.select("domain", F.array_intersect("h", known).alias("h")).coalesce(1), "mixing-train")  # samples rows, each of its telling words
     n = {r["domain"]: r["n"] for r in small.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if stems and len(n) > 1:
-        out = _fitted(small, names, stems)
+    if telling and len(n) > 1:
+        out = _fitted(small, names, telling)
     else:
         out = Classifier([math.log((n.get(d, 0) + 0.5) / (n.get(names[0], 0) + 0.5)) for d in names], [])
     forget(spark, rows, small)
@@ -140,7 +170,7 @@ def train(docs: DataFrame, domains: DataFrame, names: list[str], samples: int =
 def scored(docs: DataFrame, carry: list[str], model: Classifier, name: str) -> DataFrame:
     """carry and, under name, t (hash of the text), tokens (words of it) and p (share of each domain), per row: one pass
     over the texts, without a shuffle."""
-    body = let(_split(F.col("text")), lambda w: F.struct((F.size(w) - (F.get(w, F.lit(0)) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")).cast("long").alias("tokens"), model.logits(_stems(w)).alias("e")))
+    body = let(_split(F.col("text")), lambda w: F.struct((F.size(w) - (F.get(w, F.lit(0)) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")).cast("long").alias("tokens"), model.logits(_hashes(w)).alias("e")))
     found = docs.select(*(F.col(f"`{c}`") for c in carry), F.struct(F.xxhash64("text").alias("t"), body.alias("b")).alias(name))
     return found.withColumn(name, F.struct(F.col(f"{name}.t").alias("t"), F.col(f"{name}.b.tokens").alias("tokens"), posterior(F.col(f"{name}.b.e")).alias("p")))
 

@@ -1,4 +1,4 @@
-"""The classifier and its stems against numpy; rates are fitted to the optimum."""
+"""The classifier and its words against numpy; rates are fitted to the optimum."""
 
 import random
 
@@ -59,11 +59,12 @@ def test_posteriors_are_those_of_the_regression_and_held_out_documents_are_recog
     names = ["good", "poor", "toxic"]
     model = mixing.train(docs, domains, names)
     got = mixing.scored(docs, ["doc_id"], model, "m").orderBy("doc_id").collect()
-    stem = {r["h"]: r["s"] for r in spark.createDataFrame([("vile",), ("junky",), ("vile!",), ("vile.",)], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
-    assert {h for h, _ in model.stems} <= set(stem)
+    known = sorted({w.strip(mixing.AROUND) for _, text, *_ in rows for w in text.split()})
+    word = {r["h"]: r["s"] for r in spark.createDataFrame([(w,) for w in known], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
+    assert {"vile", "junkyard"} <= {word[h] for h, _ in model.words}
     for r, (_, text, *_) in zip(got, rows):
-        has = {w[:5] for w in text.split()}
-        logits = np.array(model.prior) + sum((np.array(odds) for h, odds in model.stems if stem[h] in has), np.zeros(3))
+        has = {w.strip(mixing.AROUND) for w in text.split()}
+        logits = np.array(model.prior) + sum((np.array(odds) for h, odds in model.words if word[h] in has), np.zeros(3))
         assert np.allclose(r["m"]["p"], np.exp(logits) / np.exp(logits).sum(), atol=1e-4) and r["m"]["tokens"] == 30
     held = [(names[int(np.argmax(r["m"]["p"]))], k) for r, (_, k) in zip(got[200:], kinds[200:])]
     assert sum(a == b for a, b in held) / len(held) > 0.8  # a good share of the marked ones; guessing good gives 0.68
@@ -75,3 +76,29 @@ def test_stages_take_dotted_and_clashing_columns(spark, tmp_path):
     spark.createDataFrame([(i, int(k == "good"), int(k == "toxic")) for i, k in kinds], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = mixing.mix_stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and 0 < out.count() <= 3 * len(rows)
+
+
+def test_words_count_whole_and_each_has_a_cell_of_its_own(spark):
+    r = random.Random(9)
+    kinds = [(i, "toxic" if i % 2 else "good") for i in range(200)]
+    # words that differ behind their first letters only
+    rows = [(i, " ".join([r.choice(["plain", "other"]), "internationalisation" if k == "toxic" else "internationalism"]), "en", "s", 0) for i, k in kinds]
+    docs = data.frame(spark, rows)
+    model = mixing.train(docs, spark.createDataFrame(kinds, "doc_id long, domain string"), ["good", "poor", "toxic"])
+    got = mixing.scored(docs, ["doc_id"], model, "m").collect()
+    assert all((x["m"]["p"][2] > 0.9) == (x["doc_id"] % 2 == 1) for x in got)
+
+
+def test_cells_hold_every_hash():
+    r = random.Random(10)
+    for n in (1, 2, 3, 50, 5000, 40000):
+        hashes = [r.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+        if n > 2:
+            hashes[1] = hashes[0] ^ (1 << 63)  # alike but for one bit
+            hashes[2] = hashes[0] ^ 1
+        hashes = list(set(hashes))
+        shifts, cells = mixing.perfect_cells(hashes)
+        for h in hashes:
+            at = (h & ((1 << 64) - 1)) >> shifts[h & (len(shifts) - 1)] & (8 * len(shifts) - 1)
+            assert cells[at] == h
+        assert len(cells) == len(hashes) and len(shifts) <= 8 * n
