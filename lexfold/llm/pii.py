@@ -12,9 +12,12 @@ import bisect
 import calendar
 import datetime
 import hashlib
+import logging
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,27 +30,38 @@ ROUNDS = 8
 KEY_SETTING = "spark.lexfold.pii.key"  # the session setting that op7 takes its key from
 DEMO_KEY = b"set a secret key of your own in production"
 
+BOX = r"[\w\u0300-\u036f.%+-]"  # characters of a mailbox, of any script
 # Where each kind can begin, in order of preference at the same start.
 PATTERN = re.compile(
-    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"""
-    r"""|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"""
+    rf"""(?u:(?<!{BOX})(?<!{BOX}')(?P<email>{BOX}+(?:'{BOX}+)*@(?:[^\W_](?:[^\W_]|[\u0300-\u036f-])*\.)+(?:xn--[A-Za-z0-9-]+|[^\W\d_]{{2,}})(?![\w-])))"""
+    r"""|(?<![A-Za-z0-9])(?P<iban>[A-Za-z]{2}\d{2}(?:\x20?[A-Za-z0-9]{4}){2,7}(?:\x20?[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])"""
     r"""|(?<![A-Za-z0-9.+-])(?:"""
     r"""(?P<ip>(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![A-Za-z0-9]|\.\d))"""
-    r"""|(?P<iso>\d{4}-\d{2}-\d{2}(?=T\d|(?![A-Za-z0-9-])))"""
-    r"""|(?P<dmy>\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4}(?![A-Za-z0-9]))"""
+    r"""|(?P<iso>\d{4}-\d{1,2}-\d{1,2}(?=T\d|(?![A-Za-z0-9-])))"""
+    r"""|(?P<dmy>\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![A-Za-z0-9]))"""
     r"""|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-]))"""
+    r"""|(?P<abroad>00[1-9]\d{0,2}[\x20./-](?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]?\d{2,4}){2,3}(?![A-Za-z0-9]))"""
     r"""|(?P<card>\d(?:[\x20-]?\d){12,}(?![A-Za-z0-9])))"""
     r"""|(?<![A-Za-z0-9])(?P<phone>(?:\+\d{1,3}[\x20.-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]?\d{2,4}){2,3}(?![A-Za-z0-9])|\(\d{3}\)\x20?\d{3}-\d{4}(?![A-Za-z0-9]))""",
     re.A,
 )
 # A run of digit groups ends where a date or number of its own format begins.
-WITHIN = re.compile(r"(?<=\x20)(?:(?P<iso>\d{4}-\d{2}-\d{2}(?=T\d|(?![A-Za-z0-9-])))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])))", re.A)
-KINDS = ("email", "iban", "ip", "iso", "dmy", "ssn", "card", "phone")
-YEARS = range(1900, 2100)
-# Days up to the twelfth, and later ones: each kind is permuted within itself, so that a date that can only be read day
-# or month first stays so, and is linked to the same date in every other format.
-EARLY = [datetime.date(y, m, d) for y in YEARS for m in range(1, 13) for d in range(1, 13)]
-LATE = [datetime.date(y, m, d) for y in YEARS for m in range(1, 13) for d in range(13, calendar.monthrange(y, m)[1] + 1)]
+WITHIN = re.compile(r"(?<=\x20)(?:(?P<iso>\d{4}-\d{1,2}-\d{1,2}(?=T\d|(?![A-Za-z0-9-])))|(?P<ssn>\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])))", re.A)
+KINDS = ("email", "iban", "ip", "iso", "dmy", "ssn", "abroad", "card", "phone")
+YEARS = range(1500, 2100)  # of a number that is taken for a date
+ERA = 200  # years of which a date stays in its own
+
+
+@lru_cache(maxsize=24)
+def days_like(era: int, month: int, day: int) -> list[datetime.date]:
+    """Days of an era of like format: months below the tenth or not, days below the tenth, up to the twelfth, or later.
+
+    Dates are permuted within these, so that one that can only be read day or month first stays so, one written
+    without zeros keeps its length, and each is linked to the same date in every other format.
+    """
+    months = (range(1, 10), range(10, 13))[month]
+    days = lambda y, m: (range(1, 10), range(10, 13), range(13, calendar.monthrange(y, m)[1] + 1))[day]
+    return [datetime.date(y, m, d) for y in range(era, era + ERA) for m in months for d in days(y, m)]
 
 
 class Feistel:
@@ -107,21 +121,31 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+@lru_cache(maxsize=None)  # a code point each
+def _alphabet(c: str) -> str:
+    """What c may become: digits, letters of its case, or beyond ASCII what is of its category in its block of 256."""
+    for known in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"):
+        if c in known:
+            return known
+    first = ord(c) & ~255
+    return "".join(x for x in map(chr, range(max(first, 128), first + 256)) if unicodedata.category(x) == unicodedata.category(c) and x.isalnum())
+
+
 def _radices(s: str) -> tuple[int, int]:
-    """A string's number in mixed radix, digits and letters apart, and how many there are of its form."""
+    """A string's number in mixed radix, by the alphabet of each character, and how many there are of its form."""
     x, n = 0, 1
     for c in s:
-        base, value = (10, ord(c) - 48) if c.isdigit() else (26, ord(c) - 65) if c.isupper() else (26, ord(c) - 97)
-        x, n = x * base + value, n * base
+        letters = _alphabet(c)
+        x, n = x * len(letters) + letters.index(c), n * len(letters)
     return x, n
 
 
 def _like(s: str, x: int) -> str:
     out = []
     for c in reversed(s):
-        base, first = (10, "0") if c.isdigit() else (26, "A") if c.isupper() else (26, "a")
-        x, d = divmod(x, base)
-        out.append(chr(ord(first) + d))
+        letters = _alphabet(c)
+        x, d = divmod(x, len(letters))
+        out.append(letters[d])
     return "".join(reversed(out))
 
 
@@ -132,7 +156,8 @@ def _refill(form: str, chars: str) -> str:
 
 
 def _shape(s: str) -> str:
-    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" for c in s)
+    ascii_ = {"0": "9", "A": "A", "a": "a"}
+    return "".join(ascii_.get(first := _alphabet(c)[0], first) for c in s)
 
 
 Step = Callable[[int, int, str], int]
@@ -148,11 +173,17 @@ def pseudonym(kind: str, value: str, step: Step) -> str | None:
     plain = re.sub(r"[^A-Za-z0-9]", "", value)
     if kind == "email":
         local, _, host = value.partition("@")
-        bare = re.sub(r"[^A-Za-z0-9]", "", local)
-        return f"{_refill(local, _text(step, kind, bare))}@{host}"
+        bare = "".join(filter(str.isalnum, local))
+        return bare and f"{_refill(local, _text(step, kind, bare))}@{host}" or None
     if kind == "card":
-        if not (13 <= len(plain) <= 19 and plain[0] in "3456" and luhn_digit(plain[:-1]) == plain[-1]):
+        if not (13 <= len(plain) <= 19 and plain[0] in "23456" and luhn_digit(plain[:-1]) == plain[-1]):
             return None
+        if plain[0] == "2":  # 16 digits that begin with 2221 to 2720
+            low, n = 2221 * 10**11, 500 * 10**11
+            if len(plain) != 16 or not 0 <= int(plain[:-1]) - low < n:
+                return None
+            body = str(low + step(int(plain[:-1]) - low, n, "card2"))
+            return _refill(value, body + luhn_digit(body))
         body = plain[0] + _text(step, f"card{plain[0]}", plain[1:-1])
         return _refill(value, body + luhn_digit(body))
     if kind == "iban":
@@ -172,19 +203,21 @@ def pseudonym(kind: str, value: str, step: Step) -> str | None:
             out.append(str(low + d))
         return ".".join(out[::-1])
     if kind in ("iso", "dmy"):
-        y, m, d = (plain[:4], plain[4:6], plain[6:]) if kind == "iso" else (plain[4:], plain[2:4], plain[:2])
-        us = False
-        if kind == "dmy" and int(m) > 12 >= int(d):  # month first
-            us, m, d = True, d, m
+        parts = re.findall(r"\d+", value)
+        y, m, d = parts if kind == "iso" else parts[::-1]
+        us = kind == "dmy" and int(m) > 12 >= int(d)  # month first
+        if us:
+            m, d = d, m
         try:
             day = datetime.date(int(y), int(m), int(d))
         except ValueError:
             return None
         if day.year not in YEARS:
             return None
-        days = EARLY if day.day <= 12 else LATE
-        to = days[step(bisect.bisect_left(days, day), len(days), "early" if day.day <= 12 else "late")]
-        return _refill(value, to.strftime("%Y%m%d") if kind == "iso" else to.strftime("%m%d%Y" if us else "%d%m%Y"))
+        alike = days_like(day.year // 100 * 100 - (day.year // 100 + 1) % 2 * 100, int(day.month > 9), int(day.day > 9) + int(day.day > 12))
+        to = alike[step(bisect.bisect_left(alike, day), len(alike), f"{alike[0]:%Y%m%d}")]
+        y, m, d = str(to.year), str(to.month).zfill(len(m)), str(to.day).zfill(len(d))
+        return _refill(value, y + m + d if kind == "iso" else m + d + y if us else d + m + y)
     if kind == "ssn":
         valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
         if not valid(plain):
@@ -192,6 +225,9 @@ def pseudonym(kind: str, value: str, step: Step) -> str | None:
         while not valid(plain := _text(step, kind, plain)):
             pass
         return _refill(value, plain)
+    if kind == "abroad":  # as with +
+        new = pseudonym("phone", "+" + value[2:], step)
+        return new and "00" + new[1:]
     if kind == "phone":
         if not 9 <= len(plain) <= 15:
             return None
@@ -256,12 +292,15 @@ def rewrite(text: str, step: Step, known: dict[tuple[str, str], str | None] | No
                 known.clear()
             known[kind, value] = pseudonym(kind, value, step)
         new = known[kind, value]
+        if new is None and kind == "iban":  # words that follow may have been taken into it
+            ends = [x.start() for x in re.finditer(r"\x20", value)]
+            value, new = next(((value[:e], x) for e in reversed(ends) if (x := pseudonym(kind, value[:e], step))), (value, None))
         if new is None:
-            at = m.start() + len(value) if kind != "iban" else m.start() + 4
+            at = m.start() + len(value) if kind not in ("iban", "abroad") else m.start() + 4
             continue
         start = m.start(kind)
         out += [text[last:start], new]
-        spans.append((kind, start, start + len(value), value))
+        spans.append(("phone" if kind == "abroad" else kind, start, start + len(value), value))
         last = at = start + len(value)
     return "".join([*out, text[last:]]) if out else text, spans
 
@@ -299,6 +338,8 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, columns: list[str] | No
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local["):
+        logging.getLogger(__name__).warning("%s is not set: pseudonyms are made with the key of the source code, with which anyone can undo them", KEY_SETTING)
     rows = pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else DEMO_KEY, columns=["doc_id", "text"])
     kind = F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return rows.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"), F.array_join(kind, ",").alias("spans"))
