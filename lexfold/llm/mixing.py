@@ -1,8 +1,8 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document a posterior over domains: multinomial logistic regression
-on the presence of words (whole ones, without the punctuation around them): all those whose presence differs between the
-domains beyond chance. Its posteriors are those of maximum likelihood, so they mean what they say (the README has
+on the presence of words, and of the marks around them: all those whose presence differs between the domains beyond
+chance. Its posteriors are those of maximum likelihood, so they mean what they say (the README has
 held-out figures).
 Nonnegative rates, one per document, are then fitted so that the expected tokens of each
 domain, sum of rate * tokens * posterior, meet the targets in the least-squares sense.
@@ -30,7 +30,7 @@ from lexfold.llm.common import WS, forget, let, table, written
 
 SAMPLES = 5_000  # labelled rows the classifier is trained on, at most: the smallest hashes of doc_id
 AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # what is no part of a word at its ends
-TELLING = 15.0  # least likelihood ratio statistic of a word (chi-squared with a degree a domain less one)
+TELLING = 9.0  # least likelihood ratio statistic of a word (chi-squared with a degree a domain less one)
 PENALTY = 0.001  # of the regression (half of it on absolute, half on squared weights)
 STEPS = 60  # of fitting the regression, at most
 PROXIMAL = 1e-6
@@ -53,7 +53,11 @@ def _split(text: Column) -> Column:
 
 
 def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(AROUND))))
+    """Of each word, without what stands around it, and of what stands around it where anything does: "%%%" of "the%%%"."""
+    bare = lambda w: F.btrim(w, F.lit(AROUND))
+    of_words = lambda ws: F.transform(ws, lambda w: F.xxhash64(bare(w)))
+    of_marks = lambda ws: F.transform(F.filter(ws, lambda w: w != bare(w)), lambda w: F.xxhash64(F.replace(w, bare(w), F.lit(""))))
+    return let(words, lambda ws: F.concat(of_words(ws), of_marks(ws)))
 
 
 def _list(values, kind: str) -> Column:

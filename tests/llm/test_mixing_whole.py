@@ -52,6 +52,11 @@ def _labelled(n=300, seed=8):
     return rows, kinds
 
 
+def _features(w):
+    bare = w.strip(mixing.AROUND)
+    return bare, w.replace(bare, "") if bare else w
+
+
 def test_posteriors_are_those_of_the_regression_and_held_out_documents_are_recognised(spark):
     rows, kinds = _labelled()
     docs = data.frame(spark, rows)
@@ -59,11 +64,11 @@ def test_posteriors_are_those_of_the_regression_and_held_out_documents_are_recog
     names = ["good", "poor", "toxic"]
     model = mixing.train(docs, domains, names)
     got = mixing.scored(docs, ["doc_id"], model, "m").orderBy("doc_id").collect()
-    known = sorted({w.strip(mixing.AROUND) for _, text, *_ in rows for w in text.split()})
+    known = sorted({x for _, text, *_ in rows for w in text.split() for x in _features(w)})
     word = {r["h"]: r["s"] for r in spark.createDataFrame([(w,) for w in known], "s string").select("s", F.xxhash64("s").alias("h")).collect()}
     assert {"vile", "junkyard"} <= {word[h] for h, _ in model.words}
     for r, (_, text, *_) in zip(got, rows):
-        has = {w.strip(mixing.AROUND) for w in text.split()}
+        has = {x for w in text.split() for x in _features(w)}
         logits = np.array(model.prior) + sum((np.array(odds) for h, odds in model.words if word[h] in has), np.zeros(3))
         assert np.allclose(r["m"]["p"], np.exp(logits) / np.exp(logits).sum(), atol=1e-4) and r["m"]["tokens"] == 30
     held = [(names[int(np.argmax(r["m"]["p"]))], k) for r, (_, k) in zip(got[200:], kinds[200:])]
@@ -102,3 +107,13 @@ def test_cells_hold_every_hash():
             at = (h & ((1 << 64) - 1)) >> shifts[h & (len(shifts) - 1)] & (8 * len(shifts) - 1)
             assert cells[at] == h
         assert len(cells) == len(hashes) and len(shifts) <= 8 * n
+
+
+def test_marks_around_words_count(spark):
+    kinds = [(i, "poor" if i % 2 else "good") for i in range(200)]
+    r = random.Random(11)
+    rows = [(i, " ".join(["".join(r.choices("abcdefgh", k=9)) + ("%%%" if k == "poor" else "") for _ in range(3)]), "en", "s", 0) for i, k in kinds]
+    docs = data.frame(spark, rows)
+    model = mixing.train(docs, spark.createDataFrame(kinds, "doc_id long, domain string"), ["good", "poor", "toxic"])
+    got = mixing.scored(docs, ["doc_id"], model, "m").collect()
+    assert all((x["m"]["p"][1] > 0.9) == (x["doc_id"] % 2 == 1) for x in got)
