@@ -110,8 +110,10 @@ def exceptions(spark, sf):
 
 @query("a15_mean_vectors", C.with_sql(C.CHUNKS_SQL) + ", p AS (SELECT document_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM chunks) SELECT document_id, list(round(a, 5) ORDER BY i) AS vector FROM (SELECT document_id, i, avg(CAST(x AS DOUBLE)) AS a FROM p GROUP BY document_id, i) GROUP BY document_id")
 def mean_vectors(spark, sf):
+    """Means are rounded as numbers: scaled, to the nearest whole, halves away from zero, whatever their shortest decimals say."""
+    near = lambda a: F.signum(a) * F.round(F.abs(a) * 1e5) / 1e5
     p = C.chunks(spark, sf).select("document_id", F.posexplode("embedding").alias("i", "x")).groupBy("document_id", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
-    return p.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda s: F.round(s["a"], 5)).alias("vector"))
+    return p.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda s: near(s["a"])).alias("vector"))
 
 
 @query("a16_entities", C.with_sql(C.MENTIONS_SQL) + "SELECT entity_id, count(DISTINCT doc_id) AS documents, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM mentions JOIN orders ON o_orderkey = doc_id GROUP BY entity_id")
