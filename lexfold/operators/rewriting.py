@@ -23,17 +23,17 @@ def _asked(rows: DataFrame, name: str, model: Callable[[str], str | None]) -> Da
                         answer = model(t)
                     except Exception:  # the service may fail for one; the others go on
                         logging.getLogger(__name__).warning("no answer from the model", exc_info=True)
-                out.append((answer or "").strip() or None)
+                out.append(None if answer is None else answer.strip())
             yield pd.DataFrame({"id": f["id"], name: out})
 
     return rows.mapInPandas(run, f"id long, {name} string")
 
 
 def search_strings(questions: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
-    """id, query of each question (id, text): null where it is blank or the model fails."""
+    """id, query of each question (id, text): null where it is blank or the model fails, empty where the model finds nothing to search for."""
     return _asked(questions.select("id", "text"), "query", model)
 
 
 def similar_terms(docs: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
-    """id, terms of each document (id, text), of whose text the model reads the first MOST_CHARS characters."""
-    return _asked(docs.select("id", F.substring("text", 1, MOST_CHARS).alias("text")), "terms", model)
+    """id, terms of each document (id, text), of whose text the model reads the first MOST_CHARS characters; null where there are none."""
+    return _asked(docs.select("id", F.substring("text", 1, MOST_CHARS).alias("text")), "terms", model).select("id", F.nullif("terms", F.lit("")).alias("terms"))
