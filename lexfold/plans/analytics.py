@@ -325,7 +325,9 @@ def slice_merge(spark, sf):
 
 def model_answers(spark, sf):
     """Answers on two slices of each order: people, events and relationships, more of them than one answer may bring in."""
-    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 45).alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"))
+    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a small table is one task's otherwise; merging needs no other shuffle
+    o = o.select("id", (F.col("id") % 45).alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"))
     i = F.sequence(F.lit(0).cast("bigint"), F.col("n"))
     each = lambda form, *of: F.array_join(F.transform(i, lambda k: F.format_string(form, *(f(k) for f in of))), ",")
     people = each('{"name": "Person %d", "type": "person", "surface_forms": ["P %d", "She"], "role": "%s"}', lambda k: k * 2 + F.col("slice"), lambda k: k, lambda k: F.when(F.col("slice") == 1, "clerk").otherwise(""))
