@@ -32,7 +32,6 @@ NON_NAME_TOKENS = (
     "the", "a", "an", "unknown", "n/a", "none", "various", "other", "others",
 )
 RATIO, TOKEN_RATIO = 0.85, 0.70
-LOST = 2 - 1.5 * RATIO - (1.5 * RATIO - 1) * RATIO / (2 - RATIO)  # of a name's neighbouring characters, see alike_names
 SNIPPET, PER_FORM = 80, 200
 
 
@@ -123,32 +122,32 @@ def is_initial(a: Column, b: Column) -> Column:
     return (F.size(x) >= 2) & (F.size(y) >= 2) & (F.element_at(x, -1) == F.element_at(y, -1)) & (fx != fy) & initial
 
 
-def _grams(name: Column) -> Column:
-    """Pairs of neighbouring characters, the k-th of equal ones told by k."""
-    pairs = F.when(F.char_length(name) > 1, F.transform(F.sequence(F.lit(1), F.char_length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
-
-
 def alike_names(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """on, a, b: distinct pairs of names that may have a ratio of RATIO or more: all that have, and few others.
 
-    Names of ratio r and lengths m and n have r (m + n) / 2 characters in common, in order. What is left over destroys at
-    most 2 (m - common) + (n - common) of a name's pairs of neighbouring characters, so at a ratio of 0.85 less than
-    0.522 m of them: two such names share one of their 0.522 m + 1 rarest pairs.
+    Names of lengths m and n and that ratio have at least `_least` characters in common, in order, so what is left over is
+    x = m - _least of the one and y = n - _least of the other at most. Of x + y + 1 pieces of the one at least one is
+    left whole and stands in the other, moved by no more than x to the front and y to the back; and the two are no more
+    than x + y edits apart. Only lengths that occur are paired.
     """
-    sides = [side.select(*on, F.col(c).alias("_name")).distinct() for side, c in ((left, "a"), (right, "b"))]
-    grams = [s.select(*on, "_name", F.explode(_grams(F.col("_name"))).alias("_gram")) for s in sides]
-    often = grams[0].unionByName(grams[1]).groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
-
-    def keyed(g: DataFrame, name: str) -> DataFrame:
-        rare = F.array_sort(F.collect_list(F.struct("_often", "_gram")))
-        kept = g.join(often, "_gram").groupBy(*on, "_name").agg(rare.alias("_grams"))  # of a name
-        some = F.slice("_grams", F.lit(1), F.floor(F.char_length("_name") * F.lit(LOST)).cast("int") + 2)
-        return kept.select(*on, F.col("_name").alias(name), F.char_length("_name").alias(f"_{name}_n"), F.explode(some).alias("_k")).select(*on, name, f"_{name}_n", "_k._gram")
-
-    p = keyed(grams[0], "a").join(keyed(grams[1], "b"), [*on, "_gram"])
-    near = F.least("_a_n", "_b_n") * 2 >= F.lit(RATIO - 1e-9) * (F.col("_a_n") + F.col("_b_n"))
-    return p.filter(near & (F.col("a") != F.col("b"))).select(*on, "a", "b").distinct()
+    sides = [side.select(*on, F.col(c).alias(c)).distinct().withColumn(k, F.char_length(c)) for side, c, k in ((left, "a", "_m"), (right, "b", "_n"))]
+    least = F.ceil((F.col("_m") + F.col("_n")) * F.lit(RATIO / 2) - F.lit(1e-9)).cast("int")
+    lengths = sides[0].select(*on, "_m").distinct().join(sides[1].select(*on, "_n").distinct(), on).withColumn("_least", least).filter((F.col("_least") <= F.least("_m", "_n")) & (F.least("_m", "_n") > 0))
+    lengths = lengths.withColumn("_odd", F.col("_m") + F.col("_n") - 2 * F.col("_least"))
+    cut = lambda i: F.floor(i * F.col("_m") / (F.col("_odd") + 1)).cast("int")
+
+    def pieces(name: str, moves: Column) -> Column:
+        one = lambda i, by: F.struct(i.alias("i"), (cut(i) + by).alias("at"), (cut(i + 1) - cut(i)).alias("size"))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_odd")), lambda i: F.transform(moves, lambda by: one(i, by))))
+        inside = F.filter(every, lambda p: (p["at"] >= 0) & (p["at"] + p["size"] <= F.char_length(name)))
+        return F.explode(F.array_distinct(F.transform(inside, lambda p: F.struct(p["i"].alias("i"), F.substring(F.col(name), p["at"] + 1, p["size"]).alias("text")))))
+
+    key = [*on, "_m", "_n", "_odd", "_piece"]
+    moves = F.sequence(F.col("_least") - F.col("_m"), F.col("_n") - F.col("_least"))
+    x = sides[0].join(lengths, [*on, "_m"]).select(*on, "_m", "_n", "_odd", "a", pieces("a", F.array(F.lit(0))).alias("_piece"))
+    y = sides[1].join(lengths, [*on, "_n"]).select(*on, "_m", "_n", "_odd", "b", pieces("b", moves).alias("_piece"))
+    near = F.expr("levenshtein(a, b, _odd) >= 0")
+    return x.join(y, key).filter((F.col("a") != F.col("b")) & near).select(*on, "a", "b").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
@@ -212,14 +211,15 @@ def match(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """candidate_id, entity_id, how, score: the best tier of exact, alias, email, typo or suggest; none is create.
 
     candidates: candidate_id, norm, kind, emails; entities: entity_id, norm, kind, aliases (normal forms), emails.
-    Only names that share a word, rare neighbouring characters or an address are compared.
+    Only names that share a word, a piece or an address are compared, and similar ones only for candidates of no better tier.
     """
     c, e = candidates, entities
     exact = c.join(e, ["norm", "kind"]).select("candidate_id", "entity_id", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     alias = c.join(e.select("entity_id", "kind", F.explode("aliases").alias("norm")), ["norm", "kind"]).select("candidate_id", "entity_id", F.lit(2), F.lit(1.0))
     mail = c.select("candidate_id", "kind", F.explode("emails").alias("mail")).join(e.select("entity_id", "kind", F.explode("emails").alias("mail")), ["kind", "mail"]).select("candidate_id", "entity_id", F.lit(3), F.lit(1.0))
-    near = similar_names(c.select("candidate_id", "kind", F.col("norm").alias("a")), e.select("entity_id", "kind", F.col("norm").alias("b")), ["kind"])
     typo = typo_pairs(c.select("candidate_id", "kind", F.col("norm").alias("a")), e.select("entity_id", "kind", F.col("norm").alias("b")), ["kind"]).select("candidate_id", "entity_id", F.lit(4), F.lit(1.0))
+    left = c.join(exact.union(alias).union(mail).union(typo), "candidate_id", "left_anti")
+    near = similar_names(left.select("candidate_id", "kind", F.col("norm").alias("a")), e.select("entity_id", "kind", F.col("norm").alias("b")), ["kind"])
     suggest = near.select("candidate_id", "entity_id", F.lit(5), "score")
     every = exact.union(alias).union(mail).union(typo).union(suggest)
     best = every.withColumn("k", F.row_number().over(Window.partitionBy("candidate_id").orderBy("tier", F.desc("score"), "entity_id"))).filter("k = 1").drop("k")
