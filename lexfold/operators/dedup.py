@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexfold.operators.clustering import met_blocks, packed_blocks, unpacked
 from lexfold.operators.components import components
 from lexfold.storage import written
 
@@ -48,31 +49,27 @@ def near_pairs(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     return near.union(same)
 
 
-def similar_pairs(vectors: DataFrame, low: float, high: float, block: int = 512) -> DataFrame:
+def similar_pairs(vectors: DataFrame, low: float, high: float) -> DataFrame:
     """a, b, similarity of vectors (id, v) with low <= cosine < high; exact, in blocks of rows against blocks of rows.
 
     Vectors are dealt to blocks by hash; two blocks meet once and are multiplied as matrices. The work is quadratic, as
-    exactness asks; memory is that of two blocks, and only pairs within the band come out. A zero vector is similar to
-    nothing.
+    exactness asks; memory is that of blocks, nothing is copied for the meetings, and only pairs within the band come
+    out. A zero vector is similar to nothing.
     """
-    blocks = max(1, math.ceil(vectors.count() / block))
-    own = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key
-        unit = np.stack(f["v"].to_numpy())
-        norm = np.linalg.norm(unit, axis=1, keepdims=True)
-        unit = unit / np.where(norm == 0, 1, norm)
-        ids, mine = f["id"].to_numpy(), f["own"].to_numpy()
-        x, y = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        s = unit[x] @ unit[y].T
-        i, j = np.nonzero((s >= low) & (s < high))
-        a, b = ids[x[i]], ids[y[j]]
-        once = (a < b) if lo == hi else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": s[i, j][once]})
-
-    return met.groupBy("lo", "hi").applyInPandas(run, "a long, b long, similarity double")
+    blocks, parts = packed_blocks(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (lo, mine, p), (hi, theirs, q) = unpacked(batch, k, "x_"), unpacked(batch, k, "y_")
+                p, q = (v / np.where((norm := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, norm) for v in (p, q))
+                s = p @ q.T
+                i, j = np.nonzero((s >= low) & (s < high))
+                once = (mine[i] < theirs[j]) if lo == hi else np.ones(len(i), bool)
+                x, y = mine[i][once], theirs[j][once]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s[i, j][once])], ["a", "b", "similarity"])
+
+    return met_blocks(blocks, parts).filter("x_own <= y_own").mapInArrow(run, "a long, b long, similarity double")
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
