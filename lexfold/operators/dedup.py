@@ -74,6 +74,7 @@ def similar_pairs(vectors: DataFrame, low: float, high: float) -> DataFrame:
 
 def grouped(pairs: DataFrame) -> DataFrame:
     """doc_id, group_id (smallest member), score (largest similarity of a pair the document is in)."""
+    pairs = written(pairs.select("a", "b", "similarity"), "pairs")  # found once
     labels = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     score = pairs.select(F.col("a").alias("node"), "similarity").union(pairs.select("b", "similarity")).groupBy("node").agg(F.max("similarity").alias("score"))
     return labels.join(score, "node").select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"), "score")
