@@ -8,6 +8,8 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from email.headerregistry import HeaderRegistry
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -22,6 +24,21 @@ from lexfold.storage import fresh_path
 # Bounds of what is unpacked from an archive.
 ZIP_DEPTH, ZIP_ENTRIES, ZIP_ENTRY_BYTES, ZIP_BYTES = 2, 500, 200 << 20, 1 << 30
 CHUNK_WORDS, CHUNK_STEP = 500, 450
+HEADERS, HEADER_CHARS = 1_000, 1_000  # values of headers that a process remembers, and the longest of them
+
+
+class Headers(HeaderRegistry):
+    """Headers of mail, each value parsed once while it is remembered: a part is asked for its type many times, and types repeat."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._known = lru_cache(maxsize=HEADERS)(super().__call__)
+
+    def __call__(self, name, value):
+        return self._known(name, value) if type(value) is str and len(value) <= HEADER_CHARS else super().__call__(name, value)
+
+
+MAIL_POLICY = email.policy.default.clone(header_factory=Headers())
 
 
 def fresh(name: str, spark: SparkSession) -> str:
@@ -174,7 +191,7 @@ MAIL = "message_id string, subject string, sender string, recipients string, par
 
 
 def _message_rows(raw: bytes) -> list[tuple]:
-    m = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+    m = email.message_from_bytes(bytes(raw), policy=MAIL_POLICY)
     head = (m["message-id"], str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""))
     body = m.get_body(("plain",)) or m.get_body(("html",))
     text = body.get_content() if body is not None else ""
