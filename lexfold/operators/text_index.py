@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfold.functions.english import TOKEN, terms
+from lexfold.functions.english import TOKEN, term_of, terms, words
 from lexfold.operators.search import parse
 from lexfold.storage import fresh_path, written
 
@@ -33,7 +33,9 @@ BLOCK = 1024  # documents, about
 SHARDS = 64  # folders
 SEED = 32  # blocks that are ranked first
 ROWS = "term string, block int, n int, top int, docs array<long>, places array<array<int>>, shard int"
-FLUSH = 50_000  # rows that a task gives at once
+HITS = "term string, block int, n int, top int, docs array<long>, places array<array<int>>"
+PART = 64  # blocks, of which a folder's files hold all rows of a term
+FLUSH, PLACES = 50_000, 1_000_000  # rows that a task gives at once, and places in them, about
 ALL = ""  # in place of a term: all documents of a block
 WEIGHT, LIMIT = 0.1, 1.64493406685
 
@@ -157,6 +159,67 @@ def _headline(text: str, keys: list[tuple[str, bool]], fragments: int, least: in
     return " ... ".join(parts)
 
 
+class _Terms(dict):
+    """Numbers of a block's terms by word, -1 of stop words."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.numbers: dict[str, int] = {ALL: 0}
+
+    def __missing__(self, word: str) -> int:
+        t = term_of(word)
+        self[word] = n = -1 if t is None else self.numbers.setdefault(t, len(self.numbers))
+        return n
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index from documents (block, doc_id, text) in order of block and doc_id, which are a whole block's."""
+    now, known, docs, codes = None, _Terms(), [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            block = b.column(0)[i].as_py()
+            if docs and block != now:
+                yield from _block_rows(now, known, docs, codes)
+                known, docs, codes = _Terms(), [], []
+            now = block
+            docs.append(b.column(1)[i].as_py())
+            found = words(b.column(2)[i].as_py())
+            codes.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+    if docs:
+        yield from _block_rows(now, known, docs, codes)
+
+
+def _block_rows(block: int, known: _Terms, docs: list[int], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    lengths = np.array([len(c) for c in codes])
+    code = np.concatenate(codes)
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+    place = (np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1).astype(np.int32)
+    order = np.argsort(code, kind="stable")  # by term, then document, then place
+    order = order[np.searchsorted(code[order], 0) :]
+    code, doc, place = code[order], doc[order], place[order]
+    # entries: of a term in a document; of all documents, without places, come first
+    begins = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
+    sizes = np.r_[np.zeros(len(docs), np.int64), np.diff(np.r_[begins, len(code)])]
+    of_term, of_doc = np.r_[np.zeros(len(docs), np.int32), code[begins]], np.r_[np.arange(len(docs)), doc[begins]]
+    rows = np.flatnonzero(np.r_[True, of_term[1:] != of_term[:-1]])  # terms are numbered without gaps
+    entries = np.r_[rows, len(of_term)]
+    places = np.r_[0, np.cumsum(sizes)]
+    top = np.maximum.reduceat(sizes, rows)
+    names, ids = pa.array(list(known.numbers), pa.string()), np.array(docs, np.int64)[of_doc]
+    a = 0
+    while a < len(rows):
+        z = min(a + FLUSH, len(rows), max(a + 1, int(np.searchsorted(places[entries], places[entries[a]] + PLACES))))
+        p, q = entries[a], entries[z]
+        at = pa.ListArray.from_arrays(pa.array((places[p : q + 1] - places[p]).astype(np.int32)), pa.array(place[places[p] : places[q]]))
+        offsets = pa.array((entries[a : z + 1] - p).astype(np.int32))
+        n = np.diff(entries[a : z + 1]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [names.slice(a, z - a), pa.array(np.full(z - a, block, np.int32)), pa.array(n), pa.array(top[a:z].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids[p:q])), pa.ListArray.from_arrays(offsets, at)],
+            ["term", "block", "n", "top", "docs", "places"],
+        )
+        a = z
+
+
 class TextIndex:
     """An index at a path; see the module."""
 
@@ -173,29 +236,10 @@ class TextIndex:
         rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         blocks = max(1, math.ceil(rows.count() / block))
         dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = {"term": pa.string(), "block": pa.int32(), "doc": pa.int64(), "at": pa.list_(pa.int32())}
-            out: dict[str, list] = {k: [] for k in kinds}
-            flush = lambda: pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
-            for b in batches:
-                for i in range(b.num_rows):
-                    found: dict[str, list[int]] = defaultdict(list)
-                    for t, at in terms(b.column(2)[i].as_py()):
-                        found[t].append(at)
-                    out["term"] += [ALL, *found]
-                    out["at"] += [[], *found.values()]
-                    out["block"] += [b.column(0)[i].as_py()] * (1 + len(found))
-                    out["doc"] += [b.column(1)[i].as_py()] * (1 + len(found))
-                    if len(out["term"]) > FLUSH:
-                        yield flush()
-                        out = {k: [] for k in kinds}
-            yield flush()
-
-        hits = dealt.mapInArrow(run, "term string, block int, doc long, at array<int>")
-        gathered = hits.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "at"))).alias("x"))  # a block's documents at most
-        out = gathered.select(cls._shard(F.col("term"), shards).alias("shard"), "term", "block", F.size("x").alias("n"), F.array_max(F.transform("x.at", F.size)).alias("top"), F.col("x.doc").alias("docs"), F.col("x.at").alias("places"))
-        out.repartitionByRange("shard", "term", "block").sortWithinPartitions("shard", "term", "block").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/postings")
+        dealt = dealt.repartition("block").sortWithinPartitions("block", "doc_id", "text")
+        out = dealt.mapInArrow(_inverted, HITS).select(cls._shard(F.col("term"), shards).alias("shard"), "term", "block", "n", "top", "docs", "places")
+        part = F.pmod(F.xxhash64("term", F.floor(F.col("block") / PART)), F.lit(math.ceil(blocks / PART)))  # a term of many blocks is in several parts of its folder
+        out.repartition("shard", part).sortWithinPartitions("shard", "term", "block").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/postings")
         spark.createDataFrame([(blocks, shards)], "blocks int, shards int").coalesce(1).write.json(f"{path}/about")
         return cls(spark, path)
 

@@ -112,3 +112,29 @@ def test_headlines(index, spark, texts):
 def test_empty_table(spark):
     index = ti.TextIndex.build(importable(spark).createDataFrame([], "doc_id long, text string"))
     assert index.top("thing").collect() == [] and index.match("NOT thing").collect() == []
+
+
+def test_blocks_are_inverted_whole_and_in_bounded_batches(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from lexfold.functions.english import terms
+    from lexfold.operators import text_index as T
+
+    r = random.Random(5)
+    docs = [(block, doc, " ".join(r.choice(["thing", "things", "of", "well-known", "a1", "ü", "-"]) for _ in range(r.randrange(30))) or None) for block in (0, 3) for doc in range(block, 90, 2)]
+    monkeypatch.setattr(T, "FLUSH", 3)
+    monkeypatch.setattr(T, "PLACES", 40)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs[k : k + 7]), (pa.int32(), pa.int64(), pa.string()))], ["block", "doc_id", "text"]) for k in range(0, len(docs), 7)]
+    out = list(T._inverted(iter(batches)))
+    got = {(x["term"], x["block"]): (x["n"], x["top"], x["docs"], x["places"]) for b in out for x in b.to_pylist()}
+    want = {}
+    for block, doc, text in docs:
+        found = {T.ALL: []}
+        for t, at in terms(text):
+            found.setdefault(t, []).append(at)
+        for t, at in found.items():
+            want.setdefault((t, block), []).append((doc, at))
+    assert got == {k: (len(v), max(len(at) for _, at in v), [d for d, _ in v], [at for _, at in v]) for k, v in want.items()}
+    assert all(b.num_rows <= 3 for b in out) and sum(b.num_rows for b in out) == len(got)
