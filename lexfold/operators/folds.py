@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,6 +44,28 @@ def labelled(rows: DataFrame, touched: Column, alone: Column) -> DataFrame:
     return named.withColumn(COMPONENT, F.coalesce("_label", "_node", alone)).drop("_keys", "_node", "_label")
 
 
+def values(column: pa.Array) -> list:
+    """column.to_pylist(), by whole columns: value by value, rows with arrays of structs take longer to read than to fold."""
+    kind, none = column.type, column.null_count
+    if none == len(column):
+        return [None] * len(column)
+    if pa.types.is_struct(kind) and len({f.name for f in kind}) == kind.num_fields:
+        names = [f.name for f in kind]
+        out = [dict(zip(names, v)) for v in zip(*(values(c) for c in column.flatten()))] if names else column.to_pylist()
+    elif pa.types.is_list(kind):
+        inner, at = values(column.flatten()), np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())].tolist()
+        out = [inner[a:z] for a, z in zip(at, at[1:])]
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind):
+        out = column.fill_null(pa.scalar(0).cast(kind) if not pa.types.is_boolean(kind) else False).to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_string(kind) or pa.types.is_date32(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)) if none else ():
+        out[i] = None
+    return out
+
+
 def folded(rows: DataFrame, order: list[str], begin: Callable[[], Fold], schema: str) -> DataFrame:
     """What the folds of all components give; rows: of labelled()."""
 
@@ -50,7 +74,9 @@ def folded(rows: DataFrame, order: list[str], begin: Callable[[], Fold], schema:
         now, state = None, None
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*out)) or [[] for _ in kinds], kinds)], names=[t.name for t in kinds])
         for b in batches:
-            for r in b.to_pylist():
+            names = b.schema.names
+            for v in zip(*map(values, b.columns)):
+                r = dict(zip(names, v))
                 if state is None or r[COMPONENT] != now:
                     out += state.end() if state else ()
                     now, state = r[COMPONENT], begin()
@@ -62,4 +88,5 @@ def folded(rows: DataFrame, order: list[str], begin: Callable[[], Fold], schema:
         yield batch()
 
     kinds = list(to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema))
-    return rows.repartition(COMPONENT).sortWithinPartitions(COMPONENT, *order).mapInArrow(run, schema)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: a fold takes longer than its bytes tell
+    return rows.repartition(tasks, COMPONENT).sortWithinPartitions(COMPONENT, *order).mapInArrow(run, schema)
