@@ -12,10 +12,12 @@ from email.headerregistry import HeaderRegistry
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexfold.batches import PIECE, mapped
 from lexfold.functions import normalize as N
 from lexfold.operators.ranks import scan
 from lexfold.sources.loadfile import open_load_file
@@ -163,9 +165,11 @@ def extract_one(name: str, raw: bytes) -> tuple[str, str]:
 def extract(files: DataFrame, name: str, raw: str) -> DataFrame:
     """files with status and text of each."""
 
-    @F.pandas_udf("status string, text string")
-    def run(names: pd.Series, raws: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_one(n or "", r or b"") for n, r in zip(names, raws)], columns=["status", "text"])
+    kind = pa.struct([("status", pa.string()), ("text", pa.string())])
+
+    @F.arrow_udf("status string, text string")
+    def run(names: pa.Array, raws: pa.Array) -> pa.Array:
+        return mapped(lambda n, r: dict(zip(("status", "text"), extract_one(n or "", r or b""))), kind, names, raws)
 
     return files.withColumn("x", run(name, raw)).select("*", "x.status", "x.text").drop("x")
 
@@ -173,18 +177,23 @@ def extract(files: DataFrame, name: str, raw: str) -> DataFrame:
 def _expanded(files: DataFrame, columns: list[str], schema: str, one) -> DataFrame:
     """Rows of one(*values) for every row; a file that can't be read gives none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        for f in frames:
-            rows = []
-            for values in zip(*(f[c] for c in columns)):
+    kinds = list(to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(kinds)], names=[t.name for t in kinds])
+        for b in batches:
+            for i in range(b.num_rows):
                 try:
-                    rows += one(*values)
+                    rows += one(*(c[i].as_py() for c in b.columns))
                 except Exception:  # noqa: S110  broken containers give nothing, by contract
                     pass
-            yield pd.DataFrame(rows, columns=names)
+                if len(rows) >= PIECE:
+                    yield batch()
+                    rows.clear()
+        yield batch()
 
-    return files.select(*columns).mapInPandas(run, schema)
+    return files.select(*columns).mapInArrow(run, schema)
 
 
 MAIL = "message_id string, subject string, sender string, recipients string, part string, name string, content string"
@@ -192,7 +201,7 @@ MAIL = "message_id string, subject string, sender string, recipients string, par
 
 def _message_rows(raw: bytes) -> list[tuple]:
     m = email.message_from_bytes(bytes(raw), policy=MAIL_POLICY)
-    head = (m["message-id"], str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""))
+    head = (None if m["message-id"] is None else str(m["message-id"]), str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""))
     body = m.get_body(("plain",)) or m.get_body(("html",))
     text = body.get_content() if body is not None else ""
     if body is not None and body.get_content_subtype() == "html":
