@@ -11,10 +11,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexfold.batches import mapped
 from lexfold.operators.patterns import automaton, occurrences
 from lexfold.storage import written
 
@@ -120,15 +121,16 @@ def hits_in_one_pass(words: Column, terms: list[str]) -> Column:
     asked = [(t, [[(_padded(a), a.negated) for a in branch] for branch in _branches(t)]) for t in terms]
     strings = [s for _, branches in asked for b in branches for s, _ in b]
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         every = automaton(strings)  # once a task
+
+        def held(text: str) -> list[str]:
+            there = {s for s, _ in occurrences(every, text)}
+            return [name for name, branches in asked if any(all((s in there) != no for s, no in b) for b in branches)]
+
         for texts in batches:
-            out = []
-            for t in texts:
-                there = {s for s, _ in occurrences(every, t)}
-                out.append([name for name, branches in asked if any(all((s in there) != no for s, no in b) for b in branches)])
-            yield pd.Series(out)
+            yield mapped(held, pa.list_(pa.string()), texts)
 
     return run(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
 
