@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,27 +78,37 @@ def bool_of(value: Column) -> Column:
     return F.when(v.isin(*TRUE_WORDS), True).when(v.isin(*FALSE_WORDS), False)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mail_date(value: Column) -> Column:
     """Timestamp in UTC of a mail header's date, or null: with or without weekday, seconds, zone (a name or hours and
     minutes; what is unknown is UTC) and comments in parentheses; years of two digits are 1969 to 2068."""
-    plain = F.btrim(F.regexp_replace(value, r"\([^()]*\)", " "))
     form = r"^(?:[A-Za-z]+,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3,9})[\s-]+(\d{2}|\d{4})\s+(\d{1,2})[:.](\d{2})(?:[:.](\d{2}))?\s*([A-Za-z]+|[+-]\d{4})?$"
-    part = lambda k: F.regexp_extract(plain, form, k)
-    number = lambda k: F.when(part(k) != "", part(k)).otherwise("0").cast("int")
-    year = F.when(F.length(part(3)) == 4, number(3)).when(number(3) < 69, number(3) + 2000).otherwise(number(3) + 1900)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(2), 1, 3))).cast("int")
-    zone = F.upper(part(7))
     named = F.create_map(*(F.lit(x) for z in ZONES.items() for x in z))
-    minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))).otherwise(F.coalesce(F.try_element_at(named, zone) * 60, F.lit(0)))
-    at = F.try_make_timestamp(year, month, number(1), number(4), number(5), number(6).cast("decimal(16,6)"))
-    return F.when(plain.rlike(form) & (month > 0), at - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+    def of(parts: Column) -> Column:
+        part = lambda k: F.get(parts, F.lit(k - 1))
+        number = lambda k: F.when(part(k) != "", part(k)).otherwise("0").cast("int")
+        year = F.when(F.length(part(3)) == 4, number(3)).when(number(3) < 69, number(3) + 2000).otherwise(number(3) + 1900)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(2), 1, 3))).cast("int")
+        zone = F.upper(part(7))
+        minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))).otherwise(F.coalesce(F.try_element_at(named, zone) * 60, F.lit(0)))
+        at = F.try_make_timestamp(year, month, number(1), number(4), number(5), number(6).cast("decimal(16,6)"))
+        return F.when(month > 0, at - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+    fields = lambda plain: F.split(F.regexp_replace(plain, form, "$1|$2|$3|$4|$5|$6|$7|"), r"\|")
+    return _once(F.btrim(F.regexp_replace(value, r"\([^()]*\)", " ")), lambda plain: F.when(plain.rlike(form), _once(fields(plain), of)))
 
 
 def utc_of(value: Column) -> Column:
     """Timestamp of the first format that fits (the session is in UTC), else of a mail date, or null; a trailing Z is +0000."""
-    v = F.btrim(value)
-    v = F.regexp_replace(F.regexp_replace(v, "Z$", "+0000"), r"([+-]\d\d):(\d\d)$", "$1$2")
-    return F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS), mail_date(F.btrim(value)))
+    zoned = lambda v: F.regexp_replace(F.regexp_replace(v, "Z$", "+0000"), r"([+-]\d\d):(\d\d)$", "$1$2")
+    fits = lambda v, slashes: F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS if ("/" in f) == slashes))
+    dated = lambda v: F.when(v.contains("/"), fits(v, True)).otherwise(fits(v, False))
+    return _once(F.btrim(value), lambda v: F.coalesce(_once(zoned(v), dated), mail_date(v)))
 
 
 def file_type_of(path: Column) -> Column:

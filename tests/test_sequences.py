@@ -12,6 +12,7 @@ from lexfold.operators import clustering as K
 from lexfold.operators import production as O
 from lexfold.operators import ranks
 from lexfold.operators import rollover as R
+from lexfold.plans.registry import QUERIES
 from lexfold.session import importable
 from lexfold.sources import files as X
 
@@ -125,3 +126,18 @@ def test_dates(spark):
         assert got[v] == (t if t.tzinfo else t.replace(tzinfo=utc)).timestamp(), v
     assert all(got[v] is None for v in none)
     assert all(got[v] == datetime.datetime.fromisoformat(t).replace(tzinfo=utc).timestamp() for v, t in iso.items())
+
+
+def test_a_date_is_read_once(spark):
+    v = F.concat(F.col("v"), F.lit(""))  # stands for any expression
+    d = spark.createDataFrame([("20 Jul 26 14:30 EDT\n",), ("Mon, 20 Jul 2026 14:30:00 -0730 (a|b) (c/d)",), ("1|20|Jul|2026|14|30|0|",), ("13/2/2024",), ("2024-02-30",), (None,)], "v string")
+    got = d.select(F.unix_timestamp(N.utc_of(v)).alias("t"))
+    at = lambda *x: datetime.datetime(*x, tzinfo=datetime.timezone.utc).timestamp()
+    assert [r.t for r in got.collect()] == [at(2026, 7, 20, 18, 30), at(2026, 7, 20, 22, 0), None, None, None, None]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(v") <= 1 and plan.count("regexp_extract") == 0 and plan.count(r"\([^()]*\)") == 1
+
+
+def test_dates_are_dealt_over_all_tasks(spark):
+    d = QUERIES["n4_normalize_date"](spark, "/root/testdata/sf0.001")
+    assert d.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
