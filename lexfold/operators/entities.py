@@ -52,7 +52,7 @@ def normal_name(name: Column) -> Column:
 def usable_name(name: Column) -> Column:
     """Whether a name has two letters or digits and is, without punctuation around it, no word that names nobody."""
     bare = F.lower(F.btrim(name, F.lit(".,'\"\u201c\u201d\u2018\u2019 ")))
-    return (F.regexp_count(name, F.lit(r"[\p{L}\p{N}]")) >= 2) & ~bare.isin(*NON_NAME_TOKENS)
+    return name.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]*+[\p{L}\p{N}]") & ~bare.isin(*NON_NAME_TOKENS)
 
 
 def ratio(a: str, b: str) -> float:

@@ -324,16 +324,17 @@ def slice_merge(spark, sf):
 
 
 def model_answers(spark, sf):
-    """Answers on two slices of each order: people, events and relationships, more of them than one answer may bring in."""
-    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a small table is one task's otherwise; merging needs no other shuffle
-    o = o.select("id", (F.col("id") % 45).alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"))
-    i = F.sequence(F.lit(0).cast("bigint"), F.col("n"))
-    each = lambda form, *of: F.array_join(F.transform(i, lambda k: F.format_string(form, *(f(k) for f in of))), ",")
-    people = each('{"name": "Person %d", "type": "person", "surface_forms": ["P %d", "She"], "role": "%s"}', lambda k: k * 2 + F.col("slice"), lambda k: k, lambda k: F.when(F.col("slice") == 1, "clerk").otherwise(""))
-    events = each('{"description": "Event %d", "type": "%s", "date": "2020-01-01", "significance": %d}', lambda k: k, lambda k: F.when(k % 2 == 0, "filing").otherwise("party"), lambda k: k % 9)
-    related = each('{"source": "Person %d", "target": "Person %d", "type": "family"}', lambda k: k, lambda k: k % 3)
-    raw = F.concat(F.lit('{"entities": ['), people, F.lit('], "events": ['), events, F.lit('], "relationships": ['), related, F.lit("]}"))
+    """Answers on two slices of each order: people, events and relationships, more of them than one answer may bring in.
+
+    Slices of an order come one after the other: what is merged needs no other shuffle, and no sort of whole answers.
+    """
+    o = C.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "slice")  # a small table is one task's otherwise
+    each = lambda form: F.array_join(F.slice(F.array(*(F.lit(form(k)) for k in range(45))), 1, (F.col("id") % 45 + 1).cast("int")), ",")
+    people = [each(lambda k, s=s, role=role: f'{{"name": "Person {k * 2 + s}", "type": "person", "surface_forms": ["P {k}", "She"], "role": "{role}"}}') for s, role in enumerate(("", "clerk"))]
+    events = each(lambda k: f'{{"description": "Event {k}", "type": "{"party" if k % 2 else "filing"}", "date": "2020-01-01", "significance": {k % 9}}}')
+    related = each(lambda k: f'{{"source": "Person {k}", "target": "Person {k % 3}", "type": "family"}}')
+    raw = F.concat(F.lit('{"entities": ['), F.when(F.col("slice") == 0, people[0]).otherwise(people[1]), F.lit('], "events": ['), events, F.lit('], "relationships": ['), related, F.lit("]}"))
     return o.select("id", "slice", F.when(F.col("id") % 7 == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(F.col("id") % 7 == 1, "none").otherwise(raw).alias("raw"))
 
 
